@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 from .decontaminate import decontaminate
+from .ngram_join import similar_groups
 from .packing import pack_documents
 from .secret_scan import digests, find_secrets
 from .token_files import token_file_round_trip
@@ -33,9 +34,13 @@ def op5_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_writer, op3_sum_of_squares_packing, op4_linked_secret_scan, op5_pfor_token_files, op9_toxic_segments)}
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_writer, op3_sum_of_squares_packing, op4_linked_secret_scan, op5_pfor_token_files, op6_ngram_jaccard_join, op9_toxic_segments)}
 ORACLE_SQL: dict[str, str] = {}
