@@ -20,7 +20,7 @@ from ._words import SPACE, word_bounds
 
 # White space beyond ASCII.
 FAR_SPACE = "[\u0085   -     　]"
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 
 
 def vocabulary_path(name: str) -> str:
