@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._common import chunks, flat
 from ._words import tokens
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -140,22 +140,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         """Of each batch: token, toxic texts and clean texts with it; token 0 counts the texts."""
         for b in batches:
             data, bounds = flat(b.column("text"))
-            toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-            h, per, *_ = tokens(data, bounds)
-            row = np.repeat(np.arange(len(toxic)), np.diff(per))
-            if only is not None and len(h):
-                keep = hits(only, np.zeros(len(only)), h)[0]
-                h, row = h[keep], row[keep]
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, t = h[new], toxic[row[new]]
-            u, inverse = np.unique(h, return_inverse=True)
-            one = np.bincount(inverse, t, len(u)).astype(np.int64)
-            every = np.bincount(inverse, minlength=len(u))
-            u, one, every = np.append(u, np.uint64(0)), np.append(one, toxic.sum()), np.append(every, len(toxic))
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(one), pa.array((every - one).astype(np.int64))], ["token", "t", "c"])
+            every_toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi in chunks(bounds, CHUNK):
+                toxic = every_toxic[lo:hi]
+                h, per, *_ = tokens(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                row = np.repeat(np.arange(len(toxic)), np.diff(per))
+                if only is not None and len(h):
+                    keep = hits(only, np.zeros(len(only)), h)[0]
+                    h, row = h[keep], row[keep]
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                h, t = h[new], toxic[row[new]]
+                u, inverse = np.unique(h, return_inverse=True)
+                one = np.bincount(inverse, t, len(u)).astype(np.int64)
+                every = np.bincount(inverse, minlength=len(u))
+                u, one, every = np.append(u, np.uint64(0)), np.append(one, toxic.sum()), np.append(every, len(toxic))
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(one), pa.array((every - one).astype(np.int64))], ["token", "t", "c"])
 
     schema = "token long, t long, c long"
     first = sample.where("toxic > 0").mapInArrow(present, schema).groupBy("token").agg(F.sum("t").alias("t"))
