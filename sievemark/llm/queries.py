@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .ngram_join import similar_groups
 from .packing import pack_documents
 from .secret_scan import digests, find_secrets
+from .suffix_dedup import remove_repeats
 from .token_files import token_file_round_trip
 from .toxicity import score_toxicity
 from .warc_files import warc_round_trip
@@ -38,9 +39,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_run_length_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_writer, op3_sum_of_squares_packing, op4_linked_secret_scan, op5_pfor_token_files, op6_ngram_jaccard_join, op9_toxic_segments)}
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_writer, op3_sum_of_squares_packing, op4_linked_secret_scan, op5_pfor_token_files, op6_ngram_jaccard_join, op7_run_length_suffix_dedup, op9_toxic_segments)}
 ORACLE_SQL: dict[str, str] = {}
