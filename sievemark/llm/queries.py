@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .ann_tree import nearest
 from .decontaminate import decontaminate
+from .lm_score import score_cross_entropy
 from .ngram_join import similar_groups
 from .packing import pack_documents
 from .secret_scan import digests, find_secrets
@@ -43,9 +45,17 @@ def op7_run_length_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_cross_entropy(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_writer, op3_sum_of_squares_packing, op4_linked_secret_scan, op5_pfor_token_files, op6_ngram_jaccard_join, op7_run_length_suffix_dedup, op9_toxic_segments)}
+def op10_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_writer, op3_sum_of_squares_packing, op4_linked_secret_scan, op5_pfor_token_files, op6_ngram_jaccard_join, op7_run_length_suffix_dedup, op8_cross_entropy_difference, op9_toxic_segments, op10_kmeans_tree_search)}
 ORACLE_SQL: dict[str, str] = {}
