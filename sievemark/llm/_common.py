@@ -123,3 +123,14 @@ class Rolling:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.powers[end])
+
+
+def rows_kept(docs: DataFrame, keep) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``keep(batch)`` marks."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(keep(b), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

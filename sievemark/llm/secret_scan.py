@@ -144,8 +144,43 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return read.mapInArrow(scan, f"id {ids}, base array<struct<start:int,end:int,kind:string>>, {SPANS}").withColumnRenamed("id", id_col)
 
 
-def written(spans) -> str:
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each run of overlapping spans replaced by one mark that names its first kind."""
+    out, at = [], 0
+    for s, e, kind in spans:
+        if s >= at:
+            out += [text[at:s], f"<{kind}>"]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", reach: int = 400, bits: float = 3.5) -> DataFrame:
+    """All rows and columns of ``docs`` with secrets replaced; ``length_col``, if there, follows the text."""
+
+    def run(batches):
+        for b in batches:
+            text = b.column(text_col).cast(pa.string())
+            hit = pc.match_substring_regex(text.fill_null(""), SCREEN).to_numpy(zero_copy_only=False).nonzero()[0]
+            new = {}
+            for i in hit.tolist():
+                body = text[i].as_py()
+                if spans := scan_text(body, reach, bits)[1]:
+                    new[i] = redacted(body, spans)
+            if new:
+                values = text.to_pylist()
+                for i, v in new.items():
+                    values[i] = v
+                at = b.schema.get_field_index(text_col)
+                b = b.set_column(at, b.schema.field(at), pa.array(values, pa.string()).cast(b.schema.field(at).type))
+                if length_col in b.schema.names:
+                    at = b.schema.get_field_index(length_col)
+                    sizes = b.column(at).to_pylist()
+                    for i, v in new.items():
+                        sizes[i] = len(v)
+                    b = b.set_column(at, b.schema.field(at), pa.array(sizes, b.schema.field(at).type))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:

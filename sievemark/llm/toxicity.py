@@ -3,8 +3,8 @@
 Training: a bounded sample of labelled rows (``train_rows``, smallest hashes of
 the id first) gives, for each token, the numbers of distinct toxic and clean
 texts that hold it.  Tokens get log-odds with an informative Dirichlet prior;
-those whose z value passes ``least_z`` make the model, at most ``most_tokens``
-of them.  All other tokens carry one small negative score, so that the expected
+those whose likelihood ratio against equal shares is beyond ``chance``, divided
+by the number of tokens tested, make the model, at most ``most_tokens`` of them.  All other tokens carry one small negative score, so that the expected
 score is negative and segment statistics hold.
 
 Scoring: every text is scanned once in linear time (Ruzzo and Tompa 1999) for
@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, flat
+from ._common import chunks, flat, mix, rows_kept
 from ._words import tokens
 
 CHUNK = 1 << 20
+SHINGLE = 5
 
 
 @dataclass
@@ -100,15 +101,21 @@ def evidence(found: list[tuple[int, int, float]], n: int, m: Model) -> float:
     return sum(x for *_, s in found if (x := m.decay * s - math.log(m.k * max(n, 1))) > 0)
 
 
-def walk(text: pa.Array, hashes: np.ndarray, scores: np.ndarray, drift: float):
-    """For each row (row, number of tokens, its passages); rows without a hit have none."""
+def row_tokens(text: pa.Array):
+    """(first row, token hashes, tokens before each row) of each chunk of rows."""
     data, bounds = flat(text)
     for lo, hi in chunks(bounds, CHUNK):
         h, per, *_ = tokens(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+        yield lo, h, per
+
+
+def walk(text: pa.Array, hashes: np.ndarray, scores: np.ndarray, drift: float):
+    """For each row (row, number of tokens, its passages); rows without a hit have none."""
+    for lo, h, per in row_tokens(text):
         at, s = hits(hashes, scores, h)
         row = np.searchsorted(per, at, "right") - 1
-        cut = np.searchsorted(row, np.arange(hi - lo + 1))
-        for i in range(hi - lo):
+        cut = np.searchsorted(row, np.arange(len(per)))
+        for i in range(len(per) - 1):
             a, b = cut[i], cut[i + 1]
             yield lo + i, int(per[i + 1] - per[i]), passages(at[a:b] - per[i], s[a:b], drift) if b > a else []
 
@@ -119,7 +126,10 @@ def held_out(id_col):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled rows that aren't held out; equal texts count once."""
+    """(toxic, text) of at most ``rows`` labelled rows that aren't held out.
+
+    Texts with the same smallest shingle hash, so most near copies, count once.
+    """
     chosen = (
         labels.select(labels["doc_id"].alias("k"), labels["toxic"].cast("int").alias("toxic"))
         .where(F.col("k").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("k")))
@@ -127,10 +137,24 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         .orderBy(F.xxhash64("k"), "k").limit(rows)
     )
     found = docs.select(docs[id_col].alias("k"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "k")  # at most ``rows`` ids
-    return found.select("toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"])
 
+    def sketch(batches):
+        for b in batches:
+            keys = []
+            for _, h, per in row_tokens(b.column("text")):
+                m = max(0, len(h) - SHINGLE + 1)
+                x = np.zeros(m, np.uint64)
+                for j in range(SHINGLE if m else 0):
+                    x = mix(x + h[j : j + m])
+                for a, z in zip(per[:-1].tolist(), per[1:].tolist()):
+                    keys.append(int((x[a : z - SHINGLE + 1].min() if z - a >= SHINGLE else mix(h[a:z]).sum(dtype=np.uint64)).view(np.int64)))
+            yield b.append_column("key", pa.array(keys, pa.int64()))
+
+    rows = found.select("toxic", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sketch, "toxic int, text string, key long")
+    return rows.dropDuplicates(["key"]).drop("key")
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", train_rows=40_000, least_toxic=3, least_z=4.0, most_tokens=100_000, prior=500.0) -> Model:
+
+def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", train_rows=40_000, least_toxic=3, chance=0.01, most_tokens=100_000, prior=10.0) -> Model:
     from ._common import dropped, staged
 
     sample = staged(training_sample(docs, labels, id_col, text_col, train_rows), "toxic-sample")
@@ -139,11 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     def present(batches, only=None):
         """Of each batch: token, toxic texts and clean texts with it; token 0 counts the texts."""
         for b in batches:
-            data, bounds = flat(b.column("text"))
             every_toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in chunks(bounds, CHUNK):
-                toxic = every_toxic[lo:hi]
-                h, per, *_ = tokens(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+            for lo, h, per in row_tokens(b.column("text")):
+                toxic = every_toxic[lo : lo + len(per) - 1]
                 row = np.repeat(np.arange(len(toxic)), np.diff(per))
                 if only is not None and len(h):
                     keep = hits(only, np.zeros(len(only)), h)[0]
@@ -173,8 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     t, c = counted.t.to_numpy(float), counted.c.to_numpy(float)
     a = prior * (t + c) / (nt + nc) + 0.01
     odds = np.log((t + a) / (nt + prior - t - a + 1)) - np.log((c + a) / (nc + prior - c - a + 1))
-    z = odds / np.sqrt(1 / (t + a) + 1 / (c + a))
-    keep = (z >= least_z) & (odds > 0.7)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = nt / (nt + nc)
+        ratio = 2 * (np.where(t > 0, t * np.log(t / ((t + c) * share)), 0) + np.where(c > 0, c * np.log(c / ((t + c) * (1 - share))), 0))
+    keep = (ratio >= 2 * math.log(max(2, len(t)) / chance)) & (odds > 0.7)
     hashes, scores = counted.token.to_numpy()[keep].view(np.uint64), odds[keep]
     order = np.argsort(hashes)
     hashes, scores = hashes[order], scores[order]
@@ -220,6 +244,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
+def probability(found: list[tuple[int, int, float]], n: int, m: Model) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * math.log1p(evidence(found, n, m)) + m.intercept))))
+
+
 def score(docs: DataFrame, m: Model, id_col="doc_id", text_col="text", threshold=0.3) -> DataFrame:
     """(id, score, predicted, n_passages, passages) for every row."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("neg_ln_e", pa.float64())]))
@@ -228,8 +256,7 @@ def score(docs: DataFrame, m: Model, id_col="doc_id", text_col="text", threshold
         for b in batches:
             p, spans = [], []
             for _, n, found in walk(b.column(1), m.hashes, m.scores, m.drift):
-                x = math.log1p(evidence(found, n, m))
-                p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * x + m.intercept)))))
+                p.append(probability(found, n, m))
                 base = math.log(m.k * max(n, 1))
                 spans.append([{"start": s, "end": e, "neg_ln_e": m.decay * v - base} for s, e, v in found])
             p = pa.array(p, pa.float64())
@@ -245,3 +272,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """Trains on the labelled rows that aren't held out and scores every row."""
     scored = score(docs, train(docs, labels, **settings))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages", "passages")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col="text", threshold=0.3, **settings) -> DataFrame:
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
+    m = train(docs, labels, text_col=text_col, **settings)
+    return rows_kept(docs, lambda b: [probability(found, n, m) < threshold for _, n, found in walk(b.column(text_col).cast(pa.string()), m.hashes, m.scores, m.drift)])
