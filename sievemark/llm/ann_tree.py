@@ -8,9 +8,11 @@ leaves in turn.  How many leaves are visited is calibrated: for a bounded sample
 of queries the true neighbours are found among all rows, and visits are widened
 until they hold ``recall`` of them.
 
-Vectors travel as blobs of one leaf and one batch, queries likewise, and meet in
-an equi-join on the leaf whose large keys can be split; partial top lists are
-merged by query.  No leaf is gathered in one place.
+Neighbouring leaves make buckets of about ``GROUP`` vectors; a larger leaf makes
+several groups, its vectors dealt by a hash of the id.  A query goes once to each
+group that holds leaves it visits, with a bitmap of those.  A task reads a group's
+vectors first and then streams the queries past them, so its memory is bounded by
+``GROUP``; the groups' top lists are merged by query.
 
 Scores are sums of double products in a fixed order, so equal vectors tie.
 
@@ -31,7 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import mix, staged
+
+#: Vectors of a group, about.
+GROUP = 8192
 
 
 @dataclass
@@ -80,6 +85,44 @@ class Tree:
     def leaves(self) -> int:
         return sum(not c for c in self.children)
 
+    def in_order(self) -> list[int]:
+        """All leaves, those of one branch side by side."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            if self.children[node]:
+                todo += reversed(self.children[node])
+            else:
+                out.append(node)
+        return out
+
+
+@dataclass
+class Groups:
+    """Where leaves' vectors and visiting queries go."""
+
+    bucket: np.ndarray  # of each node
+    place: np.ndarray  # of each leaf in its bucket
+    size: list[int]  # leaves of each bucket
+    parts: np.ndarray  # groups of each bucket
+    first: np.ndarray  # number of its first group
+
+
+def grouped(tree: Tree, count: dict[int, int]) -> Groups:
+    """Buckets of neighbouring leaves with about GROUP vectors each."""
+    bucket, place = np.zeros(len(tree.children), np.int64), np.zeros(len(tree.children), np.int64)
+    size, rows = [], []
+    for leaf in tree.in_order():
+        n = count.get(leaf, 0)
+        if not size or rows[-1] and rows[-1] + n > GROUP:
+            size.append(0)
+            rows.append(0)
+        bucket[leaf], place[leaf] = len(size) - 1, size[-1]
+        size[-1] += 1
+        rows[-1] += n
+    parts = np.maximum(1, -(-np.array(rows) // GROUP))
+    return Groups(bucket, place, size, parts, np.cumsum(parts) - parts)
+
 
 def kmeans(x: np.ndarray, k: int, rng, rounds: int = 10) -> np.ndarray:
     """Labels of at most ``k`` clusters by Lloyd's rounds."""
@@ -121,22 +164,22 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def best(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int):
-    """(query row, id, score) of each query's best ``k`` of ``x``, with equal ids left out."""
+def best(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None):
+    """(query row, id, score) of each query's best ``k`` of ``x`` that reach its floor, with equal ids left out."""
     rough = q @ x.T
     rough[q_id[:, None] == x_id[None, :]] = -np.inf
-    if len(x_id) > k:
-        floor = np.partition(rough, len(x_id) - k, axis=1)[:, len(x_id) - k]
-        slack = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(x).max(initial=0.0))
-        keep = rough >= (floor - slack)[:, None]
-    else:
-        keep = np.ones(rough.shape, bool)
-    keep &= rough > -np.inf
-    i, j = np.nonzero(keep)
+    floor = np.full(len(q_id), -np.inf) if floor is None else floor.copy()
+    open_ = np.flatnonzero(floor == -np.inf)
+    if len(x_id) > k and len(open_):
+        floor[open_] = np.partition(rough[open_], len(x_id) - k, axis=1)[:, len(x_id) - k]
+    slack = 1e-9 * (1 + np.abs(q).sum(axis=1) * np.abs(x).max(initial=0.0))
+    i, j = np.nonzero((rough >= (floor - slack)[:, None]) & (rough > -np.inf))
     score = np.empty(len(i))
     for lo in range(0, len(i), 1 << 16):
         a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
         score[lo : lo + (1 << 16)] = (q[a] * x[b]).sum(axis=1)
+    if len(x_id) <= k or len(i) <= k * len(q_id):
+        return i, x_id[j], score
     order = np.lexsort((x_id[j], -score, i))
     i, j, score = i[order], j[order], score[order]
     first = np.searchsorted(i, np.arange(len(q_id)))
@@ -145,16 +188,26 @@ def best(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: in
 
 
 class Tops:
-    """Running best lists by query, for one partition."""
+    """Running best lists by query, and from them the score that a new one has to reach."""
 
-    def __init__(self, k: int, most: int = 2_000_000):
+    def __init__(self, k: int, most: int = 200_000):
         self.k, self.most = k, most
-        self.parts, self.held = [], 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.held, self.reduced = [], 0, 0
+        self.known, self.least = np.zeros(0, np.int64), np.zeros(0)
+
+    def floor(self, q_id: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(q_id), -np.inf)
+        at = np.minimum(np.searchsorted(self.known, q_id), len(self.known) - 1)
+        return np.where(self.known[at] == q_id, self.least[at], -np.inf)
 
     def add(self, q_id, v_id, score) -> None:
         self.parts.append((q_id, v_id, score))
         self.held += len(q_id)
-        if self.held > self.most:
+        if self.held > max(self.most, 2 * self.reduced):
             self.reduce()
 
     def reduce(self) -> None:
@@ -168,17 +221,21 @@ class Tops:
         new[1:] = q[1:] != q[:-1]
         first = np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
         top = np.arange(len(q)) - first < self.k
-        self.parts, self.held = [(q[top], v[top], s[top])], int(top.sum())
+        last = np.arange(len(q)) - first == self.k - 1
+        self.known, self.least = q[last], s[last]
+        self.parts, self.reduced = [(q[top], v[top], s[top])], int(top.sum())
+        self.held = self.reduced
 
     def flush(self):
-        """The lists so far, if they are large; all of them at the end."""
+        """The lists so far."""
         if self.parts:
             self.reduce()
             q, v, s = self.parts[0]
-            self.parts, self.held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+        self.clear()
 
 
+NAMES, GROUP_ROWS = ["key", "kind", "ids", "v", "more"], "key long, kind int, ids binary, v binary, more binary"
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -196,7 +253,7 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vector_col="embedding", recall: float = 0.97, fit_rows: int = 20_000, leaf_rows: int = 200, branch: int = 16, calibration: int = 200) -> DataFrame:
+def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vector_col="embedding", recall: float = 0.94, fit_rows: int = 20_000, leaf_rows: int = 200, branch: int = 16, calibration: int = 200) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row that ``query_filter(id)`` picks."""
     spark = vectors.sparkSession
     rows = staged(taking_part(vectors, id_col, vector_col), "vectors")
@@ -240,40 +297,78 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
         if len(ranks):
             visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
+    def assign(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.append_column("leaf", pa.array(sent.value.leaf(matrix(b.column(1)))))
+
+    assigned = staged(rows.mapInArrow(assign, "id long, v array<double>, leaf long"), "assigned")
+    groups = grouped(tree, {r.leaf: r["count"] for r in assigned.groupBy("leaf").count().collect()})  # one row a leaf
+    where = spark.sparkContext.broadcast(groups)
+
     def put(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-            leaf = sent.value.leaf(x)
-            order = np.argsort(leaf, kind="stable")
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(leaf[order])) + 1, [len(leaf)]])
+            ids, x, leaf, g = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy(), where.value
+            at = g.bucket[leaf]
+            key = g.first[at] + (mix(ids.view(np.uint64)) % g.parts[at].astype(np.uint64)).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]])
             parts = [order[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([int(leaf[p[0]]) for p in parts], pa.int64()), pa.array([ids[p].tobytes() for p in parts], pa.binary()), pa.array([x[p].tobytes() for p in parts], pa.binary())], ["leaf", "x_id", "x"])
+            blobs = [pa.array([y[p].tobytes() for p in parts], pa.binary()) for y in (ids, x, g.place[leaf])]
+            yield pa.RecordBatch.from_arrays([pa.array([int(key[p[0]]) for p in parts], pa.int64()), pa.array([0] * len(parts), pa.int32()), *blobs], NAMES)
 
     def ask(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, q = b.column(0).to_numpy(), matrix(b.column(1))
-            by: dict[int, list[int]] = {}
-            for i, leaves in enumerate(sent.value.visits(q, visits)):
-                for leaf in leaves:
-                    by.setdefault(leaf, []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([ids[p].tobytes() for p in by.values()], pa.binary()), pa.array([q[p].tobytes() for p in by.values()], pa.binary())], ["leaf", "q_id", "q"])
+            ids, q, g = b.column(0).to_numpy(), matrix(b.column(1)), where.value
+            leaves = [np.array(x) for x in sent.value.visits(q, visits)]
+            row, leaf = np.repeat(np.arange(len(ids)), [len(x) for x in leaves]), np.concatenate(leaves)
+            out = [[] for _ in NAMES]
+            for k in np.unique(g.bucket[leaf]):
+                mine = g.bucket[leaf] == k
+                rows, back = np.unique(row[mine], return_inverse=True)
+                seen = np.zeros((len(rows), g.size[k]), bool)
+                seen[back, g.place[leaf[mine]]] = True
+                for part in range(int(g.parts[k])):
+                    for o, v in zip(out, (int(g.first[k]) + part, 1, ids[rows].tobytes(), q[rows].tobytes(), seen.tobytes())):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], NAMES)
 
     def meet(batches):
-        tops = Tops(k)
+        tops, now, held, x_id = Tops(k), None, [], None
         for b in batches:
-            for q_id, q, x_id, x in zip(*(b.column(c).to_pylist() for c in ("q_id", "q", "x_id", "x"))):
-                q_id, x_id = np.frombuffer(q_id, np.int64), np.frombuffer(x_id, np.int64)
-                q, x = (np.frombuffer(y, np.float64).reshape(len(i), -1) for y, i in ((q, q_id), (x, x_id)))
-                i, v, s = best(q_id, q, x_id, x, k)
-                tops.add(q_id[i], v, s)
-                if tops.held > tops.most // 2:
+            for key, kind, ids, v, more in zip(*(c.to_pylist() for c in b.columns)):
+                if key != now:
                     yield from tops.flush()
+                    now, held, x_id = key, [], None
+                ids = np.frombuffer(ids, np.int64)
+                v = np.frombuffer(v, np.float64).reshape(len(ids), -1)
+                if kind == 0:
+                    held.append((ids, v, np.frombuffer(more, np.int64)))
+                    continue
+                if not held:
+                    continue
+                if x_id is None:
+                    x_id, x, leaf = (np.concatenate(c) for c in zip(*held))
+                    order = np.argsort(leaf, kind="stable")
+                    x_id, x, leaf = x_id[order], x[order], leaf[order]
+                    edge = np.searchsorted(leaf, np.arange(leaf[-1] + 2))
+                seen = np.frombuffer(more, bool).reshape(len(ids), -1)
+                for lo in range(0, len(ids), 1024):
+                    for n in range(min(seen.shape[1], len(edge) - 1)):
+                        rows = lo + np.flatnonzero(seen[lo : lo + 1024, n])
+                        if len(rows) and edge[n + 1] > edge[n]:
+                            at = slice(edge[n], edge[n + 1])
+                            i, w, s = best(ids[rows], v[rows], x_id[at], x[at], k, tops.floor(ids[rows]))
+                            tops.add(ids[rows][i], w, s)
+                    tops.reduce() if tops.parts else None
+                yield from tops.flush()
         yield from tops.flush()
 
-    met = rows.mapInArrow(put, "leaf long, x_id binary, x binary").join(queries.mapInArrow(ask, "leaf long, q_id binary, q binary"), "leaf")
-    found = met.select("q_id", "q", "x_id", "x").mapInArrow(meet, RESULT)
+    both = assigned.mapInArrow(put, GROUP_ROWS).unionByName(queries.mapInArrow(ask, GROUP_ROWS))
+    total = int(groups.parts.sum())
+    found = both.repartition(total, "key").sortWithinPartitions("key", "kind").mapInArrow(meet, RESULT)
     return top_k(found, k).select("query_id", "rank", "vec_id", "score")
