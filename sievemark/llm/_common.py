@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import tempfile
 import uuid
@@ -12,6 +13,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +63,21 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def released() -> None:
+    """Gives freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def tidy(batches):
+    """The batches, with freed memory given back after each."""
+    for b in batches:
+        yield b
+        del b
+        released()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and each row's bounds; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -129,7 +152,7 @@ def rows_kept(docs: DataFrame, keep) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``keep(batch)`` marks."""
 
     def run(batches):
-        for b in batches:
+        for b in tidy(batches):
             if b.num_rows:
                 yield b.filter(pa.array(keep(b), pa.bool_()))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dropped, staged
+from ._common import dropped, staged, tidy
 
 SLABS = 16
 
@@ -58,7 +58,7 @@ def gathered(slabs: DataFrame, dtype, size: int, how: str = "sum") -> np.ndarray
 
     def add(batches):
         codec, total = pa.Codec("zstd", 1), {}
-        for b in batches:
+        for b in tidy(batches):
             for slab, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 one = np.frombuffer(codec.decompress(blob, each, asbytes=True), dtype)
                 total[slab] = one.copy() if slab not in total else total[slab] + one if how == "sum" else total[slab] | one

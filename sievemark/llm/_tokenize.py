@@ -65,8 +65,8 @@ class Pieces:
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         counts, new = np.zeros(len(texts), np.int64), []
-        for lo in range(0, len(texts), 20_000):
-            for i, e in enumerate(self.tokenizer.encode_batch(texts[lo : lo + 20_000], add_special_tokens=False)):
+        for lo in range(0, len(texts), 5_000):
+            for i, e in enumerate(self.tokenizer.encode_batch(texts[lo : lo + 5_000], add_special_tokens=False)):
                 ids = e.ids
                 counts[lo + i] = len(ids)
                 new += ids

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mix, staged
+from ._common import mix, staged, tidy
 
 #: Vectors of a group, about.
 GROUP = 8192
@@ -275,7 +275,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
     def brute(batches):
         ids, q = asked.value
         tops = Tops(k)
-        for b in batches:
+        for b in tidy(batches):
             if b.num_rows and len(ids):
                 x_id = b.column(0).to_numpy()
                 i, v, s = best(ids, q, x_id, matrix(b.column(1)), k)
@@ -287,7 +287,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
         true = top_k(rows.mapInArrow(brute, RESULT), k).select("query_id", "vec_id")
 
         def placed(batches):
-            for b in batches:
+            for b in tidy(batches):
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sent.value.leaf(matrix(b.column(2))))], ["query_id", "vec_id", "leaf"])
 
@@ -298,7 +298,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
             visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
     def assign(batches):
-        for b in batches:
+        for b in tidy(batches):
             if b.num_rows:
                 yield b.append_column("leaf", pa.array(sent.value.leaf(matrix(b.column(1)))))
 
@@ -307,7 +307,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
     where = spark.sparkContext.broadcast(groups)
 
     def put(batches):
-        for b in batches:
+        for b in tidy(batches):
             if not b.num_rows:
                 continue
             ids, x, leaf, g = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy(), where.value
@@ -320,7 +320,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
             yield pa.RecordBatch.from_arrays([pa.array([int(key[p[0]]) for p in parts], pa.int64()), pa.array([0] * len(parts), pa.int32()), *blobs], NAMES)
 
     def ask(batches):
-        for b in batches:
+        for b in tidy(batches):
             if not b.num_rows:
                 continue
             ids, q, g = b.column(0).to_numpy(), matrix(b.column(1)), where.value
@@ -339,7 +339,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
 
     def meet(batches):
         tops, now, held, x_id = Tops(k), None, [], None
-        for b in batches:
+        for b in tidy(batches):
             for key, kind, ids, v, more in zip(*(c.to_pylist() for c in b.columns)):
                 if key != now:
                     yield from tops.flush()

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ._common import tidy
+
 from ._tokenize import pieces, vocabulary_path
 
 
@@ -115,7 +117,7 @@ def pack_documents(docs: DataFrame, id_col="doc_id", text_col="text", window=102
                 done += 1
             return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
 
-        for b in batches:
+        for b in tidy(batches):
             kind, doc, full = b.column(0).type, b.column(0).to_pylist(), []
             for d, ids in zip(doc, pieces(path, True).rows(b.column(1))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

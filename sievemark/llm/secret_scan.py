@@ -30,6 +30,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ._common import tidy
+
 # The base kinds of the contract, in its order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -129,7 +131,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def scan(batches):
-        for b in batches:
+        for b in tidy(batches):
             text = b.column(1).cast(pa.string()).fill_null("")
             hit = pc.match_substring_regex(text, SCREEN).to_numpy(zero_copy_only=False)
             base, every = [[] for _ in range(len(text))], [[] for _ in range(len(text))]
@@ -158,7 +160,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
     """All rows and columns of ``docs`` with secrets replaced; ``length_col``, if there, follows the text."""
 
     def run(batches):
-        for b in batches:
+        for b in tidy(batches):
             text = b.column(text_col).cast(pa.string())
             hit = pc.match_substring_regex(text.fill_null(""), SCREEN).to_numpy(zero_copy_only=False).nonzero()[0]
             new = {}

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, chunks, dropped, flat, mix, staged
+from ._common import Rolling, chunks, dropped, flat, mix, staged, tidy
 from ._graph import gathered, slab_rows
 from ._rindex import RunIndex
 
@@ -144,7 +144,7 @@ def deal_segments(docs: DataFrame, long: int, k: int, shards: int, groups: int)
     """Step 1: SEGMENT rows (shard, packed segments) and RANGES rows (group, packed repeats)."""
 
     def run(batches):
-        for b in batches:
+        for b in tidy(batches):
             if not b.num_rows:
                 continue
             doc, tag = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
@@ -225,7 +225,7 @@ def bitmap(rows: DataFrame) -> np.ndarray:
 
     def mark(batches):
         bits = np.zeros(BITMAP, bool)
-        for b in batches:
+        for b in tidy(batches):
             if b.num_rows:
                 bits[place_in(b)] = True
         slab, blob = slab_rows(np.packbits(bits))
@@ -249,7 +249,7 @@ def fetch(docs: DataFrame, variants: DataFrame, long: int, shards: int) -> DataF
     table = docs.sparkSession.sparkContext.broadcast(bitmap(variants))
 
     def pick(batches):
-        for b in batches:
+        for b in tidy(batches):
             if b.num_rows:
                 yield b.filter(pa.array(marked(b, table.value)))
 
@@ -257,7 +257,7 @@ def fetch(docs: DataFrame, variants: DataFrame, long: int, shards: int) -> DataF
     text = docs.mapInArrow(pick, "doc long, tag long, text binary").dropDuplicates(["doc", "tag"])
 
     def cut(batches):
-        for b in batches:
+        for b in tidy(batches):
             rows = {}
             for doc, tag, text, parts in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "text", "parts"))):
                 for p in parts:
@@ -306,7 +306,7 @@ def index_shards(fetched: DataFrame, long: int, groups: int) -> DataFrame:
 
     def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, bodies = [[] for _ in range(5)], []
-        for b in batches:
+        for b in tidy(batches):
             for blob in b.column("blob").to_pylist():
                 raw = unpacked(blob)
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
@@ -343,7 +343,7 @@ def merge_ranges(packed_ranges: DataFrame) -> DataFrame:
 
     def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[] for _ in range(4)]
-        for b in batches:
+        for b in tidy(batches):
             for blob in b.column("blob").to_pylist():
                 for c, part in zip(cols, np.frombuffer(unpacked(blob), np.int64).reshape(4, -1)):
                     c.append(part)
@@ -396,7 +396,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", long: int
 
     def split(batches):
         """Rows that can't have repeats are done; only the others carry their text on."""
-        for b in batches:
+        for b in tidy(batches):
             if b.num_rows:
                 may, text = marked(b, table.value) | keep_text, b.column("text").to_pylist()
                 sha = pa.array([None if m else hashlib.sha256(t).hexdigest() for m, t in zip(may, text)], pa.string())
@@ -404,7 +404,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", long: int
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), b.column("id"), pa.array([len(t) for t in text], pa.int64()), sha, body], ["doc", "tag", "id", "n_bytes", "sha", "text"])
 
     def finish(batches):
-        for b in batches:
+        for b in tidy(batches):
             rows = []
             for n, sha, text, r in zip(*(b.column(c).to_pylist() for c in ("n_bytes", "sha", "text", "ranges"))):
                 removed, spans, rest = kept(text, r) if r is not None and text is not None else (0, 0, text)

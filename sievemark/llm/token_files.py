@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import filesystem, new_path
+from ._common import filesystem, new_path, tidy
 from ._tokenize import pieces, vocabulary_path
 
 MAGIC, BLOCK = b"SMPF", 1024
@@ -160,7 +160,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col="doc_id", text_col="t
 
     def run(batches):
         part, store, writer, out, held = TaskContext.get().partitionId(), None, None, None, ""
-        for b in batches:
+        for b in tidy(batches):
             if b.num_rows and writer is None:
                 store, root = filesystem(folder)
                 held = f"{root}/_part-{part:06d}.{uuid.uuid4().hex}"
@@ -201,7 +201,7 @@ def read_token_files(spark: SparkSession, folder: str, id_col="doc_id") -> DataF
 
     def run(batches):
         store, root = filesystem(folder)
-        for b in batches:
+        for b in tidy(batches):
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 cols = [[], [], [], []]
                 with store.open_input_file(f"{root}/{name}") as f:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, flat, mix, rows_kept
+from ._common import chunks, flat, mix, rows_kept, tidy
 from ._words import tokens
 
 CHUNK = 1 << 20
@@ -139,7 +139,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     found = docs.select(docs[id_col].alias("k"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "k")  # at most ``rows`` ids
 
     def sketch(batches):
-        for b in batches:
+        for b in tidy(batches):
             keys = []
             for _, h, per in row_tokens(b.column("text")):
                 m = max(0, len(h) - SHINGLE + 1)
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
     def present(batches, only=None):
         """Of each batch: token, toxic texts and clean texts with it; token 0 counts the texts."""
-        for b in batches:
+        for b in tidy(batches):
             every_toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             for lo, h, per in row_tokens(b.column("text")):
                 toxic = every_toxic[lo : lo + len(per) - 1]
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
     def measured(batches):
         """Tokens and hits by text, for the segment statistics, in a bounded histogram of best scores."""
-        for b in batches:
+        for b in tidy(batches):
             rows = [(n, max((s for *_, s in found), default=0.0), sum(s for *_, s in found), len(found)) for _, n, found in walk(b.column("text"), hashes, scores, m.drift)]
             toxic = b.column("toxic").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array([float(x[i]) for x in rows], pa.float64()) for i in range(4)] + [pa.array(toxic.astype(np.int32))], ["n", "best", "sum", "found", "toxic"])
@@ -253,7 +253,7 @@ def score(docs: DataFrame, m: Model, id_col="doc_id", text_col="text", threshold
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("neg_ln_e", pa.float64())]))
 
     def run(batches):
-        for b in batches:
+        for b in tidy(batches):
             p, spans = [], []
             for _, n, found in walk(b.column(1), m.hashes, m.scores, m.drift):
                 p.append(probability(found, n, m))

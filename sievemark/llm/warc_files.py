@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import filesystem, new_path
+from ._common import filesystem, new_path, tidy
 from .token_files import read_manifest, renamed
 
 # Fixed values of the format.
@@ -99,7 +99,7 @@ def write_warc(pages: DataFrame, folder: str, id_col="page_id", url_col="url", p
             renamed(store, held, f"{root}/{name}")
             done.append((part, name, count, at))
 
-        for b in batches:
+        for b in tidy(batches):
             for i, url, payload, kind, digest, ref in zip(*(c.to_pylist() for c in b.columns)):
                 if i != page:
                     page, ordinal, refers, seen = i, 0, {}, set()
@@ -178,7 +178,7 @@ def read_warc(spark: SparkSession, folder: str, id_col="page_id") -> DataFrame:
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-        for b in batches:
+        for b in tidy(batches):
             for name in b.column(0).to_pylist():
                 rows, held = [], 0
                 with store.open_input_stream(f"{root}/{name}", compression=None) as f:
