@@ -575,3 +575,64 @@ def source_detail(spark, sf_dir):
 def exists_semi(spark, sf_dir):
     r = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return load(spark, sf_dir, "orders").join(r, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey").distinct()
+
+
+# ---- tables and procedures, composed from orders
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS category, concat('fix ', o_orderstatus, ' | now') AS solution, 3 AS n_fields,
+concat('|Order Type Failed|NA|', chr(10), '|BAN CAN|NA|', chr(10), '|MSISDN|', o_custkey, '|', chr(10), '|Cause|NA|', chr(10), '|Category|', o_orderpriority, '|', chr(10), '|Solution applied|fix ', o_orderstatus, ' | now|', chr(10), '|System modified|NA|', chr(10), '|Customer action|NA|') AS rendered FROM orders""")
+def table_parse(spark, sf_dir):
+    from ..functions import tables as B
+
+    o = load(spark, sf_dir, "orders")
+    body = F.concat(F.lit("hello\n| --- | --- |\n|*Category:*|"), "o_orderpriority", F.lit("|\n||Solution||fix "), "o_orderstatus", F.lit(" | now|\n| MSISDN | "), F.col("o_custkey").cast("string"), F.lit(" |\n|Category|other|\n|Cause||\n|unknown|x|"))
+    m = B.parse_table(body)
+    return o.select("o_orderkey", m["Category"].alias("category"), m["Solution applied"].alias("solution"), F.size(m).alias("n_fields"), B.render(m).alias("rendered"))
+
+
+@query("SELECT o_orderkey, concat('=== FIX ===', chr(10), 'Cause: bad ', o_orderstatus, chr(10), '1. Reset the port', chr(10), '2. Retry ', o_orderpriority, chr(10), '=== END ===') AS fix, 2 AS n_steps FROM orders")
+def fix_steps(spark, sf_dir):
+    from ..functions import tables as B
+
+    o = load(spark, sf_dir, "orders")
+    body = F.concat(F.lit("Cause: bad "), "o_orderstatus", F.lit("\n- reset the port; retry "), "o_orderpriority", F.lit(".\n"))
+    return o.select("o_orderkey", B.render_fix(B.cause_of(body), B.steps(body)).alias("fix"), F.size(B.steps(body)).alias("n_steps"))
+
+
+@query("SELECT o_orderkey, o_orderpriority AS step, concat(o_orderstatus, ' | failed') AS error FROM orders")
+def structured_fields(spark, sf_dir):
+    from ..functions import tables as B
+
+    o = load(spark, sf_dir, "orders")
+    m = B.structured_fields(F.concat(F.lit("Order Type: 123\nFailed Step: "), "o_orderpriority", F.lit(" | x\nError Description: "), "o_orderstatus", F.lit(" | failed\n")))
+    return o.select("o_orderkey", m["Failed Step"].alias("step"), m["Error Description"].alias("error"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, concat('reset port/', lower(o_orderstatus)) AS first_clause, 2 AS n_clauses FROM orders GROUP BY 1")
+def procedure_identity(spark, sf_dir):
+    from ..functions import procedures as P
+
+    o = load(spark, sf_dir, "orders")
+    body = F.concat(F.lit("1. resetting the port/"), F.lower("o_orderstatus"), F.lit(" and retried it"))
+    p = P.procedure_identity(body)
+    return o.groupBy("o_orderstatus", F.array_join(p[0], " ").alias("first_clause"), F.size(p).alias("n_clauses")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS supported FROM orders")
+def step_support(spark, sf_dir):
+    from ..functions import procedures as P
+
+    o = load(spark, sf_dir, "orders")
+    source = F.concat(F.lit("Check the line; reset port "), "o_orderstatus", F.lit(" then retry order"))
+    return o.select("o_orderkey", P.is_supported(F.lit("checked line; reset the port F; retried order"), source).alias("supported"))
+
+
+@query("SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 AS span, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
+def thread_totals(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), (F.max("turn") - F.min("turn") + 1).alias("span"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, length(html) AS n FROM pages")
+def upload_sources(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.length("html").cast("long").alias("n"))
