@@ -30,6 +30,13 @@ SEVEN_DIGITS = r"\b\d{7,}\b"
 EMPTY_SPELLINGS = ("", "na", "n/a", "none", "null", "nil", "-", "--")
 PLACEHOLDER = r"(?is)^(?:n/?a|none|done|fixed|resolved|closed|ok|completed?|(?:completed?|retr(?:y|ied))\s+(?:the\s+)?(?:failed\s+)?step)[.! ]*$"
 AUTOMATIC_CLOSURE = r"(?is)(?:resolved for more than\s+\d+\s+days?\s+with no response|will now be automatically closed|automatically closed due to inactivity)"
+ERROR_CODES = (
+    r"^\s*\[?(-?\d{1,6})\]?\s*$",
+    r"(?i)\b(?:error\s*code|status\s*code|http(?:\s+status)?)\s*[:=# ]+([A-Z][A-Z0-9_-]*|-?\d{1,6})\b",
+    r"(?i)\berror\s*[:=#]\s*([A-Z][A-Z0-9_-]*|-?\d{1,6})\b",
+    r"^\s*\[?([A-Z][A-Z0-9_-]{1,30}|-?\d{1,6})\]?\s*(?:(?:\||:|-|–)|(?=\s+[A-Z]))",
+    r"\b(UNABLE_TO_LOCK_ROW|DUPLICATE_VALUE|REQUEST_LIMIT_EXCEEDED)\b",
+)
 MEDIA = r"(?i)!\S+\.(?:png|jpe?g|gif|bmp)[^!]*!|\[\^[^\]]+\]|<img[^>]*>"
 
 
@@ -136,26 +143,27 @@ def field(c: Column, *names: str, most: int = 500) -> Column:
     """First value over names of ``Label: value`` lines and ``|Label| value`` cells."""
     found = []
     for name in names:
-        for pattern in (rf"(?im)^[ \t*]*{name}[ \t*]*:[ \t]*([^\n|]*)", rf"(?im)^\s*\|+\s*\*?{name}\*?\s*\|+\s*([^\n|]*)"):
-            found.append(F.nullif(F.trim(F.regexp_extract(text(c), pattern, 1)), F.lit("")))
+        for pattern in (rf"(?im)^\s*\*{{0,2}}\s*{name}\s*\*{{0,2}}\s*:\s*\*{{0,2}}\s*([^\n]+)$", rf"(?im)^\s*\|{{1,2}}\s*{name}\s*\|{{1,2}}\s*([^\n|]+)"):
+            found.append(F.nullif(F.btrim(F.regexp_extract(text(c), pattern, 1), F.lit(" |*\t\r")), F.lit("")))
     return F.substring(F.coalesce(*found, F.lit("")), 1, most)
 
 
 def parse_failure(c: Column) -> Column:
-    """Struct of step and error of a labelled text."""
-    inline = F.trim(F.regexp_extract(text(c), r"(?i)Failed\s+Step:\s*(.+?)\s+-\s+Order:", 1))
+    """Struct of step and error of a labelled text; a step may also stand inside a summary line."""
     step = field(c, r"Failed\s+Step", "Step")
-    return F.struct(F.when(inline != "", inline).otherwise(step).alias("step"), field(c, r"Error\s+Description", r"Error\s+Message", "Error").alias("error"))
+    inline = F.btrim(F.regexp_extract(text(c), r"(?i)\bFailed\s+Step\s*:\s*(.+?)(?:\s+-\s*Order\s*:|\n|$)", 1), F.lit(" -*|\t"))
+    return F.struct(F.when(step != "", step).otherwise(F.substring(inline, 1, 500)).alias("step"), field(c, r"Error\s+Description", r"Error\s+Code", "Error").alias("error"))
 
 
 def error_code(c: Column) -> Column:
-    """First code found by ordered patterns, in capitals; a bare year of a leading date is not one."""
-    lead = F.regexp_extract(text(c), r"^[\s*•|>-]*(\d{1,6})\s*\|", 1)
-    named = F.regexp_extract(text(c), r"(?i)\b(?:error\s+)?code\s*[:=#]?\s*([A-Z]*-?\d{2,6})\b", 1)
-    tagged = F.regexp_extract(text(c), r"\b([A-Z]{2,10}-\d{2,6})\b", 1)
-    bare = F.regexp_extract(text(c), r"^\s*(\d{3,6})\b(?![/-]\d)", 1)
-    pick = lambda x: F.nullif(x, F.lit(""))
-    return F.upper(F.coalesce(pick(lead), pick(named), pick(tagged), pick(bare), F.lit("")))
+    """First code found by ordered patterns, in capitals; the year of a leading date is passed over."""
+    value = F.trim(text(c))
+    dated = F.regexp_like(value, F.lit(r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}"))
+    found = []
+    for pattern in ERROR_CODES:
+        code = F.upper(F.regexp_extract(value, pattern, 1))
+        found.append(F.when((code != "") & ~(dated & F.regexp_like(code, F.lit(r"^\d{4}$"))), code))
+    return F.coalesce(*found, F.lit(""))
 
 
 def clean_newlines(c: Column) -> Column:

@@ -18,7 +18,11 @@ BROADCAST_ROWS = 50_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
+
+    For tables that are cheap to count; what is computed is left to adaptive execution,
+    which knows its size when it gets there.
+    """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -48,7 +52,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, key="doc_id", body="text", query
     weighed = df.crossJoin(F.broadcast(about)).select("token", "mean", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf"))
     terms = q.join(weighed, "token")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return tf.join(small(terms), "token").groupBy("query_id", "key").agg(F.sum(part).alias("score")).where("score > 0")
+    return tf.join(terms, "token").groupBy("query_id", "key").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def fielded_bm25(corpus: DataFrame, queries: DataFrame, fields: dict[str, float], key: str, query_key: str, query_body: str, k1=1.2, b=0.75, most_terms=32) -> DataFrame:
@@ -66,14 +70,17 @@ def fielded_bm25(corpus: DataFrame, queries: DataFrame, fields: dict[str, float]
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighed = df.select("token", "mean", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return tf.join(small(q.join(weighed, "token")), "token").groupBy("query_id", "key").agg(F.sum(part).alias("score"))
+    return tf.join(q.join(weighed, "token"), "token").groupBy("query_id", "key").agg(F.sum(part).alias("score"))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, key="vec_id", vector="embedding", query_key="query_id", query_vector="q", score: Column | None = None) -> DataFrame:
-    """(query_id, key, score) of all pairs: clamped inner product of unit vectors."""
+    """(query_id, key, score) of one block of queries and all vectors: clamped inner product of unit vectors, to 9 places.
+
+    ``queries`` is broadcast; ``dense_top`` gives it blocks of bounded size.
+    """
     v = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("q"))
-    return v.join(F.broadcast(q), F.lit(True)).select("query_id", "key", clamp(dot(F.col("v"), F.col("q"))).alias("score"))
+    return v.join(F.broadcast(q), F.lit(True)).select("query_id", "key", F.round(clamp(dot(F.col("v"), F.col("q"))), 9).alias("score"))
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2_000, **names) -> DataFrame:

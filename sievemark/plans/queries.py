@@ -105,10 +105,10 @@ def content_hash(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, step, error, code FROM (SELECT o_orderkey, o_orderpriority AS step, concat(14000 + o_custkey % 7, '') AS code,
-concat(14000 + o_custkey % 7, ' / ', o_orderstatus) AS error FROM orders)""")
+concat(14000 + o_custkey % 7, ': ', o_orderstatus) AS error FROM orders)""")
 def parse_failure(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
-    body = F.concat(F.lit("Summary: x\nFailed Step: "), "o_orderpriority", F.lit("\n| Error Description | "), (14000 + F.col("o_custkey") % 7).cast("string"), F.lit(" / "), "o_orderstatus", F.lit(" |\n"))
+    body = F.concat(F.lit("Summary: x\nFailed Step: "), "o_orderpriority", F.lit("\n| Error Description | "), (14000 + F.col("o_custkey") % 7).cast("string"), F.lit(": "), "o_orderstatus", F.lit(" |\n"))
     p = T.parse_failure(body)
     return o.select("o_orderkey", p["step"].alias("step"), p["error"].alias("error"), T.error_code(p["error"]).alias("code"))
 
@@ -232,15 +232,14 @@ dtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(f"WITH {DENSE} SELECT query_id::BIGINT AS query_id, key, round(score, 9) AS score, rank FROM dtop")
 def dense_topk(spark, sf_dir):
-    hits = retrieve.dense(load(spark, sf_dir, "embeddings"), group_queries(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return retrieve.top(hits, 20, "score", "key")
+    return retrieve.dense_top(load(spark, sf_dir, "embeddings"), group_queries(spark, sf_dir), 20)
 
 
 @query("""WITH gq AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY 1)
 SELECT query_id::BIGINT AS query_id, vec_id AS key, round(0.35 * list_dot_product(embedding[1:32]::DOUBLE[], q[1:32]::DOUBLE[]) + 0.65 * list_dot_product(embedding[33:64]::DOUBLE[], q[33:64]::DOUBLE[]), 6) AS score FROM embeddings, gq""")
 def dual_score(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
-    p = e.join(F.broadcast(group_queries(spark, sf_dir)), F.lit(True))
+    p = e.join(retrieve.small(group_queries(spark, sf_dir)), F.lit(True))
     half = lambda c, i: F.slice(c, i, 32)
     step, error = (S.dot(half(F.col("embedding"), i), half(F.col("q"), i)) for i in (1, 33))
     return p.select("query_id", F.col("vec_id").alias("key"), F.round(S.dual_score(step, error), 6).alias("score"))
@@ -276,7 +275,7 @@ def history_search(spark, sf_dir):
     """The whole search: keyword and quotation lists, fusion, usable sources only, texts looked up, best five."""
     found = fused(spark, sf_dir).withColumn("retrieval_score", F.round("retrieval_score", 6))
     known = rated(spark, sf_dir).select(F.col("doc_id").alias("key"), "tier", "lang", F.length("text").cast("long").alias("n"))
-    ok = corpus.usable(known.join(retrieve.small(found), "key"))
+    ok = corpus.usable(known.join(found, "key"))
     return retrieve.top(ok, 5, "retrieval_score", "key").select("query_id", "key", "tier", "lang", "n", "retrieval_score", "rank")
 
 
@@ -294,7 +293,7 @@ def jaccard_similarity(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("t"))
     one = d.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     two = b.select("item_id", F.size("t").alias("m"), F.explode("t").alias("token"))
-    shared = one.join(retrieve.small(two), "token").groupBy("item_id", "doc_id", "n", "m").agg(F.count("*").alias("c"))
+    shared = one.join(two, "token").groupBy("item_id", "doc_id", "n", "m").agg(F.count("*").alias("c"))
     score = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
     return shared.where(score >= 0.2).select("item_id", "doc_id", F.round(score, 6).alias("score"))
 
@@ -316,7 +315,7 @@ w AS (SELECT *, 0.25 * retrieval_score + 0.25 + 0.25 * evidence AS composite FRO
 
 def composite_candidates(spark, sf_dir):
     tiers = rated(spark, sf_dir).select(F.col("doc_id").alias("key"), "tier")
-    c = tiers.join(retrieve.small(fused(spark, sf_dir)), "key").join(vote_columns(spark, sf_dir), "key", "left").withColumn("relevance", F.lit(None).cast("double"))
+    c = tiers.join(fused(spark, sf_dir), "key").join(vote_columns(spark, sf_dir), "key", "left").withColumn("relevance", F.lit(None).cast("double"))
     return rank.rerank(c)
 
 
@@ -360,7 +359,7 @@ def source_quality(spark, sf_dir):
 def pick_sources(spark, sf_dir):
     """Of each item's fused candidates the first few that aren't near copies of one chosen before."""
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), T.token_set(F.col("text")).alias("tokens"))
-    c = d.join(retrieve.small(fused(spark, sf_dir)), "key")
+    c = d.join(fused(spark, sf_dir), "key")
     ordered = c.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("retrieval_score")).alias("s"), "key", "tokens"))).alias("all"))
     return ordered.select("query_id", F.transform(quality.pick_distinct(F.col("all")), lambda x: x["key"]).alias("keys"))
 
@@ -509,7 +508,7 @@ def cache_lookup(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"), F.min("vec_id").alias("own"))
     c = F.round(S.cosine(F.col("embedding"), F.col("q")), 9)
-    best = e.join(retrieve.small(q), "label").where("vec_id <> own").groupBy(F.col("label").cast("long").alias("query_id")).agg(F.max(F.struct(c.alias("c"), (-F.col("vec_id")).alias("id"))).alias("b"))
+    best = e.join(q, "label").where("vec_id <> own").groupBy(F.col("label").cast("long").alias("query_id")).agg(F.max(F.struct(c.alias("c"), (-F.col("vec_id")).alias("id"))).alias("b"))
     return best.select("query_id", (-F.col("b.id")).alias("id"), F.col("b.c").alias("similarity"))
 
 
@@ -636,3 +635,50 @@ def thread_totals(spark, sf_dir):
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, length(html) AS n FROM pages")
 def upload_sources(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.length("html").cast("long").alias("n"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey % 7 = 3 AS same FROM orders""")
+def same_failure(spark, sf_dir):
+    """Which orders show the failure of one query: equal step, code and message, order context not contradicting."""
+    from ..functions import procedures as P
+
+    f = failures(spark, sf_dir)
+    mine = lambda e: P.failure_text(T.clean_error(e))
+    q = {"step": F.lit("1 urgent"), "code": F.lit("14003"), "error": mine(F.lit("14003 | Order: 1234567 is F on 1/1/2025 1:00 AM")), "order_type": F.lit("add")}
+    s = {"step": F.regexp_replace(T.normalized_step(F.col("step")), "-", " "), "code": T.error_code(F.col("error")), "error": mine(F.col("error")), "order_type": F.lit("")}
+    return f.select("o_orderkey", quality.same_failure(q, s).alias("same"))
+
+
+@query("""SELECT item_id, len(list_slice(t, 1, 32)) AS n, list_slice(t, 1, 32)[1] AS first_term FROM (SELECT item_id, list_filter(x, lambda y, i: list_position(x, y) = i) AS t FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS x FROM benchmark))""")
+def query_terms(spark, sf_dir):
+    from ..functions import procedures as P
+
+    t = P.query_terms(F.col("text"))
+    return load(spark, sf_dir, "benchmark").select("item_id", F.size(t).cast("long").alias("n"), F.get(t, F.lit(0)).alias("first_term"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 1800 THEN length(text) ELSE 1799 END AS n FROM documents")
+def bounded_query(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.length(T.bounded_query(F.col("text"))).cast("long").alias("n"))
+
+
+@query()
+def semantic_guards(spark, sf_dir):
+    from ..functions import procedures as P
+
+    f = failures(spark, sf_dir)
+    g = P.guards(F.col("step"), F.col("error"), F.col("o_orderstatus"))
+    return f.select("o_orderkey", F.array_join(g["numbers"], " ").alias("numbers"), F.array_join(g["words"], " ").alias("words"), g["eligible"].alias("eligible"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_scan(spark, sf_dir):
+    """Events as a stream of changes, folded into the latest state of each user."""
+    from ..sources.shared import shared_path
+    from ..streaming import scan
+
+    path, checkpoint = shared_path(spark, "scan"), shared_path(spark, "scan-checkpoint")
+    schema = load(spark, sf_dir, "events").schema
+    changes = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    scan.scan(changes, path, checkpoint, "user_id", ["event_type", "value", "props"], "event_id").awaitTermination()
+    return scan.latest(spark.read.parquet(path), "user_id").select("user_id", "event_id", "event_type")
