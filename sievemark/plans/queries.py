@@ -682,3 +682,48 @@ def stream_scan(spark, sf_dir):
     changes = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     scan.scan(changes, path, checkpoint, "user_id", ["event_type", "value", "props"], "event_id").awaitTermination()
     return scan.latest(spark.read.parquet(path), "user_id").select("user_id", "event_id", "event_type")
+
+
+# ---- comments of issues: line items as changes and comments of an order
+def line_changes(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("author"),
+        F.when(F.col("l_returnflag") == "R", "resolution").otherwise("status").alias("field"), F.when(F.col("l_linestatus") == "F", "Done").otherwise("").alias("to"))
+
+
+@query("SELECT l_orderkey, arg_max(l_suppkey, (l_shipdate, l_linenumber)) AS author FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+def resolution_event(spark, sf_dir):
+    from ..operators import comments as C
+
+    return C.resolution_event(line_changes(spark, sf_dir), "l_orderkey").select("l_orderkey", "author")
+
+
+@query("SELECT l_orderkey, arg_max(l_suppkey, (l_shipdate, l_linenumber)) AS author FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+def field_setter(spark, sf_dir):
+    from ..operators import comments as C
+
+    return C.field_setter(line_changes(spark, sf_dir), "l_orderkey", "resolution")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate <= o_orderdate + INTERVAL 14 DAY AND l_returnflag <> 'A'")
+def eligible_comments(spark, sf_dir):
+    from ..operators import comments as C
+
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("resolved_at"))
+    c = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("created"), F.col("l_shipdate").alias("updated"), (F.col("l_returnflag") == "A").alias("bot"), F.lit("body").alias("body"))
+    return C.eligible(c.join(o, "l_orderkey")).select("l_orderkey", "l_linenumber")
+
+
+@query()
+def comment_noise(spark, sf_dir):
+    from ..operators import comments as C
+
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", C.is_unusable(F.col("text")).alias("unusable"), F.size(C.content_tokens(F.col("text"))).alias("n_tokens"))
+
+
+@query("SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS ready FROM orders GROUP BY 1")
+def package_status(spark, sf_dir):
+    from ..operators import decisions as D
+
+    o = load(spark, sf_dir, "orders").withColumn("s", D.package_status(F.when(F.col("o_orderstatus") == "F", "ready").otherwise("failed"), F.lit("ready")))
+    return o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("s") == "ready").alias("ready"))

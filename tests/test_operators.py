@@ -3,10 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sievemark.functions import procedures as P
 from sievemark.functions import scores as S
 from sievemark.functions import text as T
-from sievemark.operators import corpus, graph, history, quality, rank, retrieve, rules, windows
-from sievemark.sources import files, issues
+from sievemark.operators import comments, corpus, decisions, graph, history, quality, rank, retrieve, rules, windows
+from sievemark.sources import files, issues, seams
 from sievemark.streaming import scan
 
 
@@ -191,3 +192,74 @@ def test_scan_skips_unchanged_and_replays(spark, tmp_path):
     scan.scan(stream(), out, cp, "k", ["v"], "at").awaitTermination()
     table = spark.read.parquet(out)
     assert table.count() == 3 and {r.k: r.v for r in scan.latest(table, "k").collect()} == {1: "c", 2: "d"}
+
+
+def test_comment_noise(spark):
+    got = one(spark, comments.is_unusable, "done", "no issue found", "SLA breach, closing all", "dup, please refer to SAC-231619", "!shot.png!", "Reset the port and retried the order", "", "already activated\n" + "x" * 90)
+    assert got == [True, True, True, True, True, False, True, False]
+
+
+def test_comment_pools(spark):
+    rows = [(1, "Fixed the mapping of the device and retried it!", False, False, "2026-01-01", None), (2, "done.", False, True, "2026-01-01", None), (3, "reset ok", False, True, "2026-01-01", "2026-03-01"), (4, "bot says hello to everyone in this long text here", True, False, "2026-01-01", None)]
+    df = spark.createDataFrame(rows, "comment_id int, body string, bot boolean, by_assignee boolean, created string, updated string").withColumn("created", F.to_timestamp("created")).withColumn("updated", F.to_timestamp("updated")).withColumn("resolved_at", F.to_timestamp(F.lit("2026-01-02")))
+    assert sorted(r.comment_id for r in comments.human_pool(df).collect()) == [1, 3]
+    assert sorted(r.comment_id for r in comments.eligible(df).collect()) == [1, 2]
+
+
+def test_resolution_event_takes_the_later_entry(spark):
+    df = spark.createDataFrame([("A", 1, 1, "x", "status", "Done"), ("A", 5, 2, "y", "status", "Open"), ("A", 4, 3, "z", "resolution", "Fixed"), ("A", 4, 4, "w", "status", "Closed"), ("B", 1, 1, "q", "status", "Open")], "key string, at int, pos int, author string, field string, to string")
+    assert [tuple(r) for r in comments.resolution_event(df, "key").collect()] == [("A", 4, "w")]
+    assert comments.field_setter(df, "key", "status").where("key = 'A'").first().author == "y"
+
+
+def test_source_evidence(spark):
+    v = spark.createDataFrame([("v1", "Reset  the port"), ("v2", "other")], "version_id string, body string")
+    c = spark.createDataFrame([(i, "Resolution: reset the PORT") for i in range(5)], "comment_id int, body string")
+    got = comments.source_evidence(v, c).collect()
+    assert sorted((r.version_id, r.comment_id) for r in got if r.comment_id is not None) == [("v1", 0), ("v1", 1), ("v1", 2)] and [r.evidence for r in got if r.comment_id is None] == ["other"]
+
+
+def test_draft_reasons(spark):
+    text = "Check the line; reset the port; retry the order"
+    src = spark.createDataFrame([(d, "S", text) for d in range(6)], "draft_id int, source_key string, evidence string")
+    steps = [
+        (0, 1, "S", "check the line", text), (0, 2, "S", "reset the port", text), (1, 1, "X", "check the line", text), (2, 1, "S", "check the line", "Check the Line"),
+        (3, 1, "S", "reset the port", text), (3, 2, "S", "check the line", text), (4, 1, "S", "reset the port", text), (5, 1, "S", "do not check the line", text),
+    ]
+    df = spark.createDataFrame(steps, "draft_id int, pos int, source_key string, action string, quote string")
+    src = src.unionByName(src.where("draft_id = 0").withColumn("source_key", F.lit("T")))
+    assert {r.draft_id: r.reason for r in decisions.draft_reasons(df, src).collect()} == {0: "", 1: "outside", 2: "changed", 3: "reordered", 4: "skipped", 5: "changed"}
+
+
+def test_decision_labels(spark):
+    a, b = F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"), F.lit("x"))
+    none = F.array().cast("array<string>")
+    row = spark.range(1).select(
+        decisions.agreement(a, b, F.lit(False)).alias("a"), decisions.agreement(a, none, F.lit(False)).alias("b"), decisions.agreement(a, F.array(F.lit("z")), F.lit(True)).alias("c"),
+        decisions.gated(F.lit("high"), F.lit(False), none, F.lit("different_procedures"), F.lit(True)).alias("d"), decisions.publish(F.lit("h"), F.lit("h"), F.lit("high")).alias("e"),
+        decisions.package_status(F.lit("ready"), F.lit("failed")).alias("f"), decisions.next_stage(F.lit(2), F.lit("sufficient"), F.lit(False)).alias("g")).first()
+    assert tuple(row) == ("independent_sources_agree", "single_branch", "different_procedures", "medium", "unchanged", "partial", "draft")
+
+
+def test_seams(spark):
+    df = spark.createDataFrame([("reset the port",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(seams.embed(F.col("t"))).collect()]
+    assert len(got[0]) == 64 and sum(x * x for x in got[0]) == pytest.approx(1, abs=1e-5) and got[1:] == [None, None]
+    row = spark.range(1).select(*seams.relevance(F.lit(float("nan"))), *seams.relevance(), seams.keep_only(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("q")))).first()
+    assert tuple(row) == (0.5, False, 0.5, False, ["b"])
+
+
+def test_streams_of_votes(spark, tmp_path):
+    src = str(tmp_path / "v")
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "voter string, at int").withColumn("at", F.timestamp_seconds("at")).write.parquet(src)
+    q = scan.first_seen(spark.readStream.schema("voter string, at timestamp").parquet(src), ["voter"], "at").writeStream.format("memory").queryName("votes").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select count(*) c from votes").first().c == 2
+
+
+def test_procedures(spark):
+    assert one(spark, P.procedure_identity, "1. Resetting the port and retried it", "Can't retry") == [[["reset", "port"], ["retry", "it"]], [["can", "not", "retry"]]]
+    got = one(spark, P.lexemes, "Can't retried a = -5.2 A/B")
+    assert got == [["can", "not", "retry", "=", "-5.2", "A/B"]]
+    assert one(spark, lambda c: P.is_supported(c, F.lit("reset the port; retry the order")), "retried order; reset port", "reset port", "not reset port") == [False, True, False]
