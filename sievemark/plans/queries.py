@@ -691,14 +691,14 @@ def line_changes(spark, sf_dir):
         F.when(F.col("l_returnflag") == "R", "resolution").otherwise("status").alias("field"), F.when(F.col("l_linestatus") == "F", "Done").otherwise("").alias("to"))
 
 
-@query("SELECT l_orderkey, arg_max(l_suppkey, (l_shipdate, l_linenumber)) AS author FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+@query("SELECT l_orderkey, arg_max(l_suppkey, (l_shipdate, l_linenumber, l_suppkey)) AS author FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
 def resolution_event(spark, sf_dir):
     from ..operators import comments as C
 
     return C.resolution_event(line_changes(spark, sf_dir), "l_orderkey").select("l_orderkey", "author")
 
 
-@query("SELECT l_orderkey, arg_max(l_suppkey, (l_shipdate, l_linenumber)) AS author FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+@query("SELECT l_orderkey, arg_max(l_suppkey, (l_shipdate, l_linenumber, l_suppkey)) AS author FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
 def field_setter(spark, sf_dir):
     from ..operators import comments as C
 
