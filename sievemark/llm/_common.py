@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 try:
@@ -46,6 +47,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int, total: int, seed: int = 0) -> DataFrame:
+    """The ``rows`` rows of smallest key hash, of ``total``; rows that can't be among them are dropped before the sort."""
+    h = F.xxhash64(F.lit(seed), key)
+    if total > 2 * rows + 1000:
+        share = (1.5 * rows + 200) / total
+        df = df.where(F.pmod(h, F.lit(1 << 32)) < int(share * (1 << 32)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 32)), h, key).limit(rows)
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes staged tables that no later step reads."""
     for df in frames:

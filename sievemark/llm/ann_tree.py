@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mix, staged, tidy
+from ._common import hash_sample, mix, staged, tidy
 
 #: Vectors of a group, about.
 GROUP = 8192
@@ -253,14 +253,14 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vector_col="embedding", recall: float = 0.94, fit_rows: int = 20_000, leaf_rows: int = 200, branch: int = 16, calibration: int = 200) -> DataFrame:
+def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vector_col="embedding", recall: float = 0.96, fit_rows: int = 20_000, leaf_rows: int = 200, branch: int = 16, calibration: int = 200) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row that ``query_filter(id)`` picks."""
     spark = vectors.sparkSession
     rows = staged(taking_part(vectors, id_col, vector_col), "vectors")
     about = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).first()
     if not about.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").toArrow()  # at most fit_rows vectors
+    sample = hash_sample(rows, "id", fit_rows, about.n).select("v").toArrow()  # at most fit_rows vectors
     sample = matrix(sample.column("v").combine_chunks())
     share = len(sample) / about.n
     tree = fit_tree(sample, float(np.sqrt(about.norm)) * (1 + 1e-12), max(12, int(leaf_rows * share)), branch)
@@ -268,7 +268,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
     queries = rows.where(query_filter(F.col("id")))
 
     # true neighbours of the calibration queries among all rows, and the leaves that hold them
-    asked = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(calibration).toArrow()  # at most ``calibration`` vectors
+    asked = hash_sample(queries, "id", calibration, queries.count(), 1).toArrow()  # at most ``calibration`` vectors
     a_id, a = asked.column("id").to_numpy(), matrix(asked.column("v").combine_chunks())
     asked = spark.sparkContext.broadcast((a_id, a))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, flat, mix, rows_kept, tidy
+from ._common import chunks, flat, hash_sample, mix, rows_kept, tidy
 from ._words import tokens
 
 CHUNK = 1 << 20
@@ -134,8 +134,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         labels.select(labels["doc_id"].alias("k"), labels["toxic"].cast("int").alias("toxic"))
         .where(F.col("k").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("k")))
         .groupBy("k").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("k"), "k").limit(rows)
     )
+    chosen = hash_sample(chosen, "k", rows, chosen.count())
     found = docs.select(docs[id_col].alias("k"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "k")  # at most ``rows`` ids
 
     def sketch(batches):

@@ -91,7 +91,7 @@ def write_warc(pages: DataFrame, folder: str, id_col="page_id", url_col="url", p
 
     def run(batches):
         part, store, out, done = TaskContext.get().partitionId(), filesystem(folder)[0], None, []
-        at, count, names = 0, 0, iter(())
+        at = count = 0
         page, ordinal, refers, seen = object(), 0, {}, set()
 
         def closed():
