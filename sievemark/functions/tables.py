@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_value, scrub_identifiers, text
+from .text import clean_value, let, scrub_identifiers, text
 
 # Rows of the table in order, and the spellings of their labels.
 FIELDS = ["Order Type Failed", "BAN CAN", "MSISDN", "Cause", "Category", "Solution applied", "System modified", "Customer action"]
@@ -41,11 +41,14 @@ def parse_table(body: Column, least: int = 3) -> Column:
     cells = F.transform(rows, lambda x: F.transform(F.split(F.btrim(F.replace(x, F.lit("||"), F.lit("|")), F.lit("| ")), r"\|"), lambda x: F.trim(x)))
     real = F.filter(cells, lambda x: (F.size(x) >= 2) & ~F.forall(x, lambda y: (y == "") | F.regexp_like(y, F.lit(SEPARATOR))))
     named = F.transform(real, lambda x: F.struct(F.try_element_at(lookup(ALIASES), label_key(F.element_at(x, 1))).alias("k"), squash(F.array_join(F.slice(x, F.lit(2), F.size(x) - 1), " | ")).alias("v")))
-    named = F.filter(named, lambda x: x["k"].isNotNull())
-    keys = F.transform(named, lambda x: x["k"])
-    first = F.filter(named, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    ok = (F.size(first) >= least) & F.exists(first, lambda x: clean_value(x["v"]) != "")
-    return F.when(ok, F.map_from_entries(first))
+    named = first_of_each(F.filter(named, lambda x: x["k"].isNotNull()))
+    enough = lambda first: (F.size(first) >= least) & F.exists(first, lambda x: clean_value(x["v"]) != "")
+    return let(named, lambda first: F.when(enough(first), F.map_from_entries(first)))
+
+
+def first_of_each(pairs: Column) -> Column:
+    """Entries (k, v) whose key did not occur before."""
+    return let(pairs, lambda p: let(F.transform(p, lambda x: x["k"]), lambda keys: F.filter(p, lambda x, i: F.array_position(keys, x["k"]) == i + 1)))
 
 
 def render(values: Column, filler: str = "NA") -> Column:
@@ -91,9 +94,8 @@ def structured_fields(body: Column) -> Column:
     found = F.regexp_extract_all(text(body), F.lit(rf"(?im)\b(?:{LABELS})\s*:\s*[^\n]*"), F.lit(0))
     pairs = F.transform(found, lambda x: F.struct(F.initcap(squash(F.regexp_extract(x, r"^([^:]+):", 1))).alias("k"), squash(F.regexp_extract(x, r"^[^:]+:\s*(.*)$", 1)).alias("v")))
     pairs = F.transform(pairs, lambda x: F.struct(x["k"].alias("k"), F.when(F.startswith(x["k"], F.lit("Error")), x["v"]).otherwise(F.trim(F.regexp_extract(x["v"], r"^([^|]*)", 1))).alias("v")))
-    keys = F.transform(pairs, lambda x: x["k"])
-    first = F.filter(pairs, lambda x, i: (F.array_position(keys, x["k"]) == i + 1) & (F.startswith(x["k"], F.lit("Error")) | ~F.regexp_like(x["v"], F.lit(r"^\d*$"))))
-    return F.map_from_entries(first)
+    real = F.filter(first_of_each(pairs), lambda x: F.startswith(x["k"], F.lit("Error")) | ~F.regexp_like(x["v"], F.lit(r"^\d*$")))
+    return F.map_from_entries(real)
 
 
 def first_match(body: Column, table: list[tuple[str, str]], default: str = "") -> Column:

@@ -44,6 +44,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where a lambda uses it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_edge(c: Column) -> Column:
     return F.btrim(c, F.lit(EDGE))
 

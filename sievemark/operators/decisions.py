@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.procedures import clauses, is_supported, lexemes
-from ..functions.text import quote_is_present
+from ..functions.text import let, quote_is_present
 
 
 def draft_reasons(steps: DataFrame, sources: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def draft_reasons(steps: DataFrame, sources: DataFrame) -> DataFrame:
     s = steps.join(sources, ["draft_id", "source_key"], "left")
     evidence = F.transform(clauses(F.col("evidence")), lambda x: F.array_join(lexemes(x), " "))
     action = F.transform(clauses(F.col("action")), lambda x: F.array_join(lexemes(x), " "))
-    at = F.filter(F.transform(evidence, lambda x, i: F.when(F.array_contains(action, x), i)), lambda x: x.isNotNull())
+    at = let(action, lambda a: F.filter(F.transform(evidence, lambda x, i: F.when(F.array_contains(a, x), i)), lambda x: x.isNotNull()))
     bad = (F.length("quote") > 500) | ~quote_is_present(F.col("quote"), F.col("evidence")) | ~is_supported(F.col("action"), F.col("quote")) | ~is_supported(F.col("action"), F.col("evidence"))
     s = s.withColumn("at", at).withColumn("fault", F.when(F.col("evidence").isNull(), "outside").when(bad, "changed").otherwise(""))
     g = s.groupBy("draft_id", "source_key").agg(

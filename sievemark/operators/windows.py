@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def passages(words: Column, budget: int = 96, overlap: int = 24) -> Column:
     """Overlapping windows of an array of words; the last word is always covered.
@@ -12,9 +14,13 @@ def passages(words: Column, budget: int = 96, overlap: int = 24) -> Column:
     The overlap is at most a quarter of the budget.
     """
     step = budget - min(overlap, budget // 4)
-    n = F.size(words)
-    starts = F.when(n <= budget, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.ceil((n - budget) / step) * step).cast("int"), F.lit(step)))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, F.lit(budget)).alias("words")))
+
+    def cut(w):
+        n = F.size(w)
+        starts = F.when(n <= budget, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.ceil((n - budget) / step) * step).cast("int"), F.lit(step)))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(w, s + 1, F.lit(budget)).alias("words")))
+
+    return let(words, cut)
 
 
 def pieces(body: Column, size: int = 6000) -> Column:
