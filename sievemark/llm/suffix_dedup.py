@@ -21,7 +21,10 @@ A byte goes if it lies in a string of ``long`` bytes that also starts earlier
 
 Documents are moved only if a fixed-size bitmap says they may have variants or
 repeats.  A shard's memory follows the number of different contexts of its
-anchors, not the number of copies.
+anchors, not the number of copies.  Anchors with very many contexts, such as those
+at the border of a passage that stands in a third of all documents, are found
+first with a fixed-size table of counters; their strings are dealt one by one by
+two hashes of the whole string, so that no shard gets them together.
 
 Defined cases: null and empty texts have no bytes; matches never cross
 documents; rows with equal id and text are one document, which repeats nothing
@@ -40,12 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Rolling, chunks, dropped, flat, mix, staged, tidy
+from ._common import MIX_A, Rolling, chunks, dropped, flat, mix, staged, tidy
 from ._graph import gathered, slab_rows
 from ._rindex import RunIndex
 
 CHUNK = 2 << 20
 BITMAP = 1 << 26
+#: Counters of segments by anchor, and how many segments make an anchor hot.
+COUNTERS, HOT = 1 << 20, 30_000
 #: Segments of one anchor shard, symbols of one index, and documents of one merge group, on average.
 SHARE, SYMBOLS, GROUP = 400_000, 1_200_000, 20_000
 CODEC = "zstd"
@@ -61,11 +66,16 @@ def sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[:n], x[width - size : width - size + n])
 
 
-def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int):
+def slot(anchor: np.ndarray) -> np.ndarray:
+    return (mix(anchor) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int, hot: np.ndarray | None = None):
     """(anchor, row, first string's start in the row, strings, content hash) of all segments.
 
     The number of strings has INNER added where the anchor occurs more than once, so
-    that the segment may repeat itself.
+    that the segment may repeat itself.  Segments of anchors that ``hot`` marks are
+    cut into single strings with anchors of their own.
     """
     n = len(data)
     if n < long:
@@ -93,7 +103,15 @@ def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int):
         if not len(inside):
             break
         anchors[inside] += h[start[inside] + d] == low[start[inside]]
-    return low[start], row[start], start - bounds[row[start]], count | np.where(anchors > 1, INNER, 0), rolling.of(start, end - 1 + long)
+    anchor, content, many = low[start], rolling.of(start, end - 1 + long), count | np.where(anchors > 1, INNER, 0)
+    if hot is not None and (of := hot[slot(anchor)]).any():
+        n = count[of]
+        one = np.repeat(start[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        half = one + long // 2
+        own = mix(rolling.of(one, half) * MIX_A + rolling.of(half, one + long))
+        start, many = np.concatenate([start[~of], one]), np.concatenate([many[~of], np.ones(len(one), many.dtype)])
+        anchor, content = np.concatenate([anchor[~of], own]), np.concatenate([content[~of], rolling.of(one, one + long)])
+    return anchor, row[start], start - bounds[row[start]], many, content
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -130,6 +148,28 @@ def range_rows(doc, tag, start, end, groups: int):
     return [int(g) for g in group[cut[:-1]]] if len(group) else [], [packed(doc[a:b], tag[a:b], start[a:b].astype(np.int64), end[a:b].astype(np.int64)) for a, b in zip(cut[:-1], cut[1:])]
 
 
+def hot_anchors(docs: DataFrame, long: int, k: int) -> np.ndarray:
+    """Which counters of a fixed-size table belong to anchors with very many segments.
+
+    Each chunk of text counts a segment's content once.  Hot are counters of more than
+    HOT, and eight times the mean, so that the share of hot text doesn't follow the input.
+    """
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.uint64)
+        for b in tidy(batches):
+            data, bounds = flat(b.column(0))
+            for lo, hi in chunks(bounds, CHUNK):
+                a, _, _, _, content = segments(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], long, k)
+                _, first = np.unique(a ^ mix(content), return_index=True)
+                total += np.bincount(slot(a[first]), minlength=COUNTERS).astype(np.uint64)
+        slab, blob = slab_rows(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slab, pa.int32()), pa.array(blob, pa.binary())], ["slab", "blob"])
+
+    total = gathered(docs.select("text").mapInArrow(run, "slab int, blob binary"), np.uint64, COUNTERS)
+    return total > max(HOT, 8 * float(total.mean()))
+
+
 NAMES = ["kind", "key", "blob", "doc", "tag", "anchor", "start", "count"]
 SCHEMA = "kind int, key long, blob binary, doc long, tag long, anchor long, start long, count long"
 SEGMENT, RANGES, VARIANT = range(3)
@@ -140,7 +180,7 @@ def blob_batch(kind: int, keys: list[int], blobs: list[bytes]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(5))], NAMES)
 
 
-def deal_segments(docs: DataFrame, long: int, k: int, shards: int, groups: int) -> DataFrame:
+def deal_segments(docs: DataFrame, long: int, k: int, shards: int, groups: int, hot) -> DataFrame:
     """Step 1: SEGMENT rows (shard, packed segments) and RANGES rows (group, packed repeats)."""
 
     def run(batches):
@@ -151,7 +191,7 @@ def deal_segments(docs: DataFrame, long: int, k: int, shards: int, groups: int)
             data, bounds = flat(b.column(2))
             parts = []
             for lo, hi in chunks(bounds, CHUNK):
-                a, row, start, count, content = segments(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], long, k)
+                a, row, start, count, content = segments(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], long, k, hot.value)
                 parts.append((a, row + lo, start, count, content))
             a, row, start, count, content = (np.concatenate(x) for x in zip(*parts))
             if not len(a):
@@ -383,7 +423,8 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", long: int
     read = docs.select("doc", "tag", "text")
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     shards, groups = 1 + size.bytes // (SHARE * (long - k) // 2), 1 + size.rows // GROUP
-    first = staged(deal_segments(read, long, k, shards, groups), "segments")
+    hot = spark.sparkContext.broadcast(hot_anchors(read, long, k))
+    first = staged(deal_segments(read, long, k, shards, groups, hot), "segments")
     second = staged(match_segments(first, long, groups), "matches")
     variants = second.where(F.col("kind") == VARIANT).select("doc", "tag", "anchor", "start", "count")
     symbols = variants.agg(F.coalesce(F.sum(F.col("count") + long), F.lit(0)).alias("n")).first().n
