@@ -58,4 +58,10 @@ def op10_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_warc_writer, op3_sum_of_squares_packing, op4_linked_secret_scan, op5_pfor_token_files, op6_ngram_jaccard_join, op7_run_length_suffix_dedup, op8_cross_entropy_difference, op9_toxic_segments, op10_kmeans_tree_search)}
-ORACLE_SQL: dict[str, str] = {}
+#: SQL of the queries that it can express; tests/llm holds the others against brute force.
+ORACLE_SQL = {
+    "op2_warc_writer": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+        d AS (SELECT *, list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, (5 * g + 1)::BIGINT, 5))::BIGINT) >> s) & 31), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+        min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h, page_id) AS r FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first AND r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first AND r = 1 THEN NULL ELSE first END AS refers_to, url FROM d""",
+}

@@ -210,3 +210,15 @@ def test_registered_queries_cover_their_tables(spark):
     for q in (queries.op4_linked_secret_scan, queries.op5_pfor_token_files):
         assert q(spark, SF).select("doc_id").distinct().count() == n
     assert queries.op3_sum_of_squares_packing(spark, SF).select("doc_id").distinct().count() == n
+
+
+def test_registered_warc_matches_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    got = con.execute(queries.ORACLE_SQL["op2_warc_writer"])
+    names = [d[0] for d in got.description]
+    df = queries.op2_warc_writer(spark, SF)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, got.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in df.collect())

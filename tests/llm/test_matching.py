@@ -175,7 +175,9 @@ def test_index_against_brute_force():
             assert length[i] == max(max(k for k in range(len(q) - i + 1) if q[i : i + k] in s) for s in strings)
 
 
-def test_repeats_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [30_000, 1])
+def test_repeats_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     r = random.Random(3)
     parts = ["".join(r.choice("abc dé") for _ in range(r.randint(20, 260))) for _ in range(12)] + ["ha " * 120, "x" * 300]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 5))) for _ in range(80)] + [None, "", "y" * 99, "y" * 100, "y" * 101]
