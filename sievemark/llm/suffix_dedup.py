@@ -70,19 +70,15 @@ def slot(anchor: np.ndarray) -> np.ndarray:
     return (mix(anchor) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int, hot: np.ndarray | None = None):
-    """(anchor, row, first string's start in the row, strings, content hash) of all segments.
-
-    The number of strings has INNER added where the anchor occurs more than once, so
-    that the segment may repeat itself.  Segments of anchors that ``hot`` marks are
-    cut into single strings with anchors of their own.
-    """
+def anchored(data: np.ndarray, bounds: np.ndarray, long: int, k: int):
+    """(anchor, row, first place, end of places, k-gram hashes, rolling hash) of the segments of a chunk."""
     n = len(data)
-    if n < long:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64))
     rolling = Rolling(data)
-    at = np.arange(n - k + 1)
-    low = sliding(rolling.of(at, at + k), long - k + 1, np.minimum)
+    at = np.arange(max(0, n - k + 1))
+    h = rolling.of(at, at + k)
+    if n < long:
+        return *(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)), h, rolling
+    low = sliding(h, long - k + 1, np.minimum)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     ok = row[: n - long + 1] == row[long - 1 :]
     edge = np.ones(len(low), bool)
@@ -90,28 +86,40 @@ def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int, hot: np.nd
     start = np.flatnonzero(edge)
     end = np.append(start[1:], len(low))
     start, end = start[ok[start]], end[ok[start]]
+    return low[start], row[start], start, end, h, rolling
+
+
+def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int, hot: np.ndarray | None = None):
+    """(anchor, row, first string's start in the row, strings, content hash) of all segments.
+
+    The number of strings has INNER added where the anchor occurs more than once, so
+    that the segment may repeat itself.  Segments of anchors that ``hot`` marks are
+    cut into single strings with anchors of their own.
+    """
+    anchor, row, start, end, h, rolling = anchored(data, bounds, long, k)
     most = long - k + 1  # longer runs come from repeated k-grams
     if len(start) and (end - start).max() > most:
         parts = -(-(end - start) // most)
         first = np.repeat(start, parts) + most * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         end = np.minimum(first + most, np.repeat(end, parts))
-        start = first
+        anchor, row, start = np.repeat(anchor, parts), np.repeat(row, parts), first
     count = end - start
-    h, anchors = rolling.of(at, at + k), np.zeros(len(start), np.int64)
+    anchors = np.zeros(len(start), np.int64)
     for d in range(most + long - k):
         inside = np.flatnonzero(d < count + long - k)
         if not len(inside):
             break
-        anchors[inside] += h[start[inside] + d] == low[start[inside]]
-    anchor, content, many = low[start], rolling.of(start, end - 1 + long), count | np.where(anchors > 1, INNER, 0)
+        anchors[inside] += h[start[inside] + d] == anchor[inside]
+    content, many = rolling.of(start, end - 1 + long), count | np.where(anchors > 1, INNER, 0)
     if hot is not None and (of := hot[slot(anchor)]).any():
         n = count[of]
         one = np.repeat(start[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         half = one + long // 2
         own = mix(rolling.of(one, half) * MIX_A + rolling.of(half, one + long))
-        start, many = np.concatenate([start[~of], one]), np.concatenate([many[~of], np.ones(len(one), many.dtype)])
+        row, many = np.concatenate([row[~of], np.repeat(row[of], n)]), np.concatenate([many[~of], np.ones(len(one), many.dtype)])
         anchor, content = np.concatenate([anchor[~of], own]), np.concatenate([content[~of], rolling.of(one, one + long)])
-    return anchor, row[start], start - bounds[row[start]], many, content
+        start = np.concatenate([start[~of], one])
+    return anchor, row, start - bounds[row], many, content
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -151,8 +159,8 @@ def range_rows(doc, tag, start, end, groups: int):
 def hot_anchors(docs: DataFrame, long: int, k: int) -> np.ndarray:
     """Which counters of a fixed-size table belong to anchors with very many segments.
 
-    Each chunk of text counts a segment's content once.  Hot are counters of more than
-    HOT, and eight times the mean, so that the share of hot text doesn't follow the input.
+    Hot are counters of more than HOT, and eight times the mean, so that the share of
+    hot text doesn't follow the input.
     """
 
     def run(batches):
@@ -160,9 +168,8 @@ def hot_anchors(docs: DataFrame, long: int, k: int) -> np.ndarray:
         for b in tidy(batches):
             data, bounds = flat(b.column(0))
             for lo, hi in chunks(bounds, CHUNK):
-                a, _, _, _, content = segments(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], long, k)
-                _, first = np.unique(a ^ mix(content), return_index=True)
-                total += np.bincount(slot(a[first]), minlength=COUNTERS).astype(np.uint64)
+                a = anchored(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], long, k)[0]
+                total += np.bincount(slot(a), minlength=COUNTERS).astype(np.uint64)
         slab, blob = slab_rows(total)
         yield pa.RecordBatch.from_arrays([pa.array(slab, pa.int32()), pa.array(blob, pa.binary())], ["slab", "blob"])
 
