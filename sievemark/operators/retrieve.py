@@ -49,7 +49,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, key="doc_id", body="text", query
     tf = body_terms.join(small(wanted), "token").groupBy("key", "token", "len").agg(F.count("*").alias("tf"))
     about = corpus.select(F.size(tokens(F.col(body))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    weighed = df.crossJoin(F.broadcast(about)).select("token", "mean", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf"))
+    weighed = df.crossJoin(F.broadcast(about)).select("token", "mean", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf")).where("idf > 0")  # terms of most documents add nothing
     terms = q.join(weighed, "token")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return tf.join(terms, "token").groupBy("query_id", "key").agg(F.sum(part).alias("score")).where("score > 0")
