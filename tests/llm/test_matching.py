@@ -246,6 +246,33 @@ def test_losses_match_a_plain_model(spark):
     assert all(r.score is not None for r in lm_score.score_cross_entropy(frame(spark, docs), labels.where("false")).collect())
 
 
+def test_models_grow_with_the_corpus(spark):
+    """More words than any fixed vocabulary, and more pairs; all are counted one by one."""
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(60_000)]
+    docs = []
+    for _ in range(3):
+        rng.shuffle(names)
+        docs += [" ".join(names[i : i + 500]) for i in range(0, len(names), 500)]
+    docs.append(docs[0])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(len(docs))], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lm_score.score_cross_entropy(frame(spark, docs), labels).collect()}
+
+    def model(rows):
+        one, two = Counter(), Counter()
+        for r in rows:
+            one.update(["<s>", *r])
+            two.update(zip(["<s>", *r], r))
+        total = sum(map(len, rows))
+        return lambda p, w: -math.log((two[p, w] + 20 * (one[w] + 1) / (total + 60_002)) / (one[p] + 20))
+
+    split = [d.split() for d in docs]
+    target, back = model(split[::3]), model(split)
+    for i, s in enumerate(split):
+        t, g = (sum(f(*p) for p in zip(["<s>", *s], s)) / len(s) for f in (target, back))
+        assert (got[i].target_loss, got[i].background_loss, got[i].score) == pytest.approx((t, g, t - g))
+
+
 # ---- toxicity
 def test_segments_match_quadratic_search():
     r = random.Random(2)
