@@ -25,6 +25,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,20 +67,26 @@ def weak_spans(text: str, base: list[tuple[int, int, str]], bits: float) -> list
     """Candidates that need a complement: mixed, random-looking strings and endpoints outside the base spans."""
     ends = sorted((s, e) for s, e, _ in base)
     starts = [s for s, _ in ends]
+    furthest = list(accumulate((e for _, e in ends), max))
 
     def free(s: int, e: int) -> bool:
         i = bisect.bisect_left(starts, e)
-        return not any(ends[j][1] > s for j in range(max(0, i - 3), i))
+        return i == 0 or furthest[i - 1] <= s
 
     found = []
     for m in ENDPOINT.finditer(text):
         if free(*m.span()):
             found.append((m.start(), m.end(), "endpoint"))
-    urls = [(s, e) for s, e, _ in found]
+    urls = [(s, e) for s, e, _ in found]  # in order, without overlaps
+
+    def outside(s: int, e: int) -> bool:
+        i = bisect.bisect_left(urls, (e,))
+        return i == 0 or urls[i - 1][1] <= s
+
     for m in BARE.finditer(text):
         v = m[0]
         mixed = any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v)
-        if mixed and entropy(v) >= bits and free(*m.span()) and not any(s < m.end() and m.start() < e for s, e in urls[-8:]):
+        if mixed and entropy(v) >= bits and free(*m.span()) and outside(*m.span()):
             found.append((m.start(), m.end(), "secret"))
     return found
 
