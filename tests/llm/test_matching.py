@@ -42,6 +42,17 @@ def test_templates_catch_new_parameters(spark):
     assert left.columns == ["doc_id", "text", "id"] and {r.doc_id for r in left.collect()} == {0, 1, 5, 6}
 
 
+def test_every_item_has_windows(spark):
+    """Items of numbers, of few tokens and in scripts without spaces are found word for word."""
+    items = ["What is 12 * 7 + 3?", "Compute 45 + 17", "一个农夫有十七只羊卖掉九只以后还剩几只", "りんごを五個買いました", "3 5 8 13 21 34 55 89 144 233", "ไก่", "12 + 30"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [f"see below: {x} and so on" for x in items[:2]] + [f"前文。{x}。后文" for x in items[2:4]] + [f"so 7 8 {items[4]} 9", f"x {items[5]}", "12 30, 12 30"]
+    odd = ["What is 13 * 7 + 4?", "Compute 45 + 18", "农夫羊", "34 55 3 5 21 8", "", None, "一个人走在路上"]
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate(frame(spark, docs + odd), b).collect()}
+    assert got == {(i, i): True for i in range(7)}
+    assert {r.doc_id for r in without_benchmark(frame(spark, docs + odd), b).collect()} == set(range(7, 14))
+
+
 def test_inconsistent_slots_are_dropped(spark):
     item = "If A sees B then A calls B and when A calls B twice B tells A that A was late and B leaves"
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
