@@ -5,9 +5,10 @@ than all symbols; equal suffixes are ordered by place.  Stored are the runs of
 the transform (head, first row, where LF takes that row), text places at the
 first and last row of each run, and, for a length ``long``, the blocks of rows
 that share their first ``long`` symbols, with the first place of each block.
-``stream`` gives matching statistics of queries right to left: as long as the
+``stream`` gives matching statistics of any queries right to left: as long as the
 next symbol is the run's head it follows LF; else it jumps to the nearer end of
 a run of that symbol, whose sampled place tells how long the match still is.
+All queries advance together, one symbol a step.
 """
 
 from __future__ import annotations
@@ -94,7 +95,9 @@ class RunIndex:
         self.lf[by] = first[heads] + done - base
         self.last = self.run + size - 1
         self.at_first, self.at_last = order[self.run], order[self.last]  # sampled places
-        self.by_symbol = {int(c): np.flatnonzero(self.head == c) for c in np.unique(self.head)} if n else {}
+        self.by = by  # runs by symbol
+        self.by_key = self.head[by].astype(np.int64) * len(by) + by
+        self.edge = np.searchsorted(self.head[by], np.arange(258))
         # blocks of rows with equal first ``long`` symbols
         same = np.zeros(n, bool)
         if n:
@@ -118,11 +121,6 @@ class RunIndex:
             same &= self.text[a + j] == self.text[b + j]
         return same
 
-    def follow(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The run of each row, and where LF takes the row."""
-        r = np.searchsorted(self.run, row, "right") - 1
-        return r, self.lf[r] + row - self.run[r]
-
     def first_places(self, row: np.ndarray) -> np.ndarray:
         """The first place of a row's block, -1 for rows whose long prefix stands alone."""
         if not len(self.block):
@@ -131,55 +129,69 @@ class RunIndex:
         inside = (k >= 0) & (row < self.block_end[np.maximum(k, 0)])
         return np.where(inside, self.block_first[np.maximum(k, 0)], -1)
 
-    def common(self, a: int, query: np.ndarray, i: int) -> int:
-        """Length of the match of the text from ``a`` with the query from ``i``."""
-        n = min(len(query) - i, len(self.text) - a)
-        differ = np.flatnonzero(self.text[a : a + n] != query[i : i + n])
-        return int(differ[0]) if len(differ) else n
-
-    def statistics(self, query: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Matching statistics of any query: for each place the length of its longest match and a place of it in the text."""
-        q = np.frombuffer(query, np.uint8).astype(np.uint16) + 1
-        length, place = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-        row, at, n = 0, int(self.ends[0]) if len(self.ends) else 0, 0
-        for i in range(len(q) - 1, -1, -1):
-            runs = self.by_symbol.get(int(q[i]))
-            if runs is None:
-                n = 0
-                continue
-            r = int(np.searchsorted(self.run, row, "right")) - 1
-            if self.head[r] != q[i]:
-                k = int(np.searchsorted(runs, r))
-                options = []
-                if k > 0:
-                    options.append((self.common(int(self.at_last[runs[k - 1]]), q, i + 1), int(self.last[runs[k - 1]]), int(self.at_last[runs[k - 1]])))
-                if k < len(runs):
-                    options.append((self.common(int(self.at_first[runs[k]]), q, i + 1), int(self.run[runs[k]]), int(self.at_first[runs[k]])))
-                n, row, at = max(options)
-                r = int(np.searchsorted(self.run, row, "right")) - 1
-            row, at, n = int(self.lf[r] + row - self.run[r]), at - 1, n + 1
-            length[i], place[i] = n, at
-        return length, place
+    def common(self, place: np.ndarray, query: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Symbols that the text from each ``place`` and the query from ``at`` share, ``most`` at most."""
+        same, todo, done = np.zeros(len(place), np.int64), np.flatnonzero(most > 0), 0
+        while len(todo):
+            step = np.arange(done, done + 16)
+            a, q = place[todo][:, None] + step, at[todo][:, None] + step
+            differ = (self.text[np.minimum(a, len(self.text) - 1)] != query[np.minimum(q, len(query) - 1)]) | (step >= most[todo][:, None])
+            some = differ.any(axis=1)
+            same[todo] = done + np.where(some, differ.argmax(axis=1), 16)
+            todo, done = todo[~some], done + 16
+        return same
 
-    def stream_own(self):
-        """Matching statistics of the index's own strings, all at once from their ends.
+    def stream(self, data: np.ndarray, lengths: np.ndarray):
+        """Matching statistics of query strings (bytes end to end): yields (string, offset, length, place, row) a step.
 
-        Yields (strings, place, first place of the block) for the places whose match has ``long`` symbols.
+        For each place of a query, the length of its longest match and a place of that in
+        the text.  Lengths of ``long`` and more are only known to be that.
         """
-        alive = np.arange(len(self.ends))
-        row, place = alive.copy(), self.ends.copy()  # row i is the i-th separator
-        steps = 0
-        while len(alive):
-            keep = place > self.starts[alive]
-            alive, row, place = alive[keep], row[keep], place[keep]
-            if not len(alive):
-                return
-            r, row = self.follow(row)
-            place = place - 1
-            if (self.head[r] != self.text[place]).any():
-                raise AssertionError("the transform does not follow its text")
-            steps += 1
-            if steps >= self.long:
-                first = self.first_places(row)
-                hit = first >= 0
-                yield alive[hit], place[hit], first[hit]
+        if not len(self.ends) or not len(lengths):
+            return
+        order = np.argsort(-lengths, kind="stable")
+        size, end = lengths[order], np.cumsum(lengths)[order]
+        query = data.astype(np.uint16) + 1
+        m = len(order)
+        row, at, n = np.zeros(m, np.int64), np.full(m, self.ends[0]), np.zeros(m, np.int64)  # row 0 is the first separator
+        for step in range(int(size[0])):
+            m = int(np.searchsorted(-size, -step))  # strings longer than that
+            row, at, n = row[:m], at[:m], n[:m]
+            pos = end[:m] - 1 - step
+            c = query[pos]
+            r = np.searchsorted(self.run, row, "right") - 1
+            other = np.flatnonzero(self.head[r] != c)
+            if len(other):
+                want = c[other].astype(np.int64)
+                k = np.searchsorted(self.by_key, want * len(self.by) + r[other])
+                before, after = k - 1 >= self.edge[want], k < self.edge[want + 1]
+                most = np.minimum(n[other], self.long)
+                up, down = self.by[np.maximum(k - 1, 0)], self.by[np.minimum(k, len(self.by) - 1)]
+                one = np.where(before, self.common(self.at_last[up], query, pos[other] + 1, np.where(before, most, 0)), -1)
+                two = np.where(after, self.common(self.at_first[down], query, pos[other] + 1, np.where(after, most, 0)), -1)
+                best, lower = np.where(two > one, down, up), two > one
+                there = before | after
+                o, best, lower = other[there], best[there], lower[there]
+                r[o], n[o] = best, np.maximum(one, two)[there]
+                row[o], at[o] = np.where(lower, self.run[best], self.last[best]), np.where(lower, self.at_first[best], self.at_last[best])
+                lost = other[~there]  # symbols that the text doesn't have
+                held = row[lost], at[lost]
+            row, at, n = self.lf[r] + row - self.run[r], at - 1, n + 1
+            if len(other) and len(lost):
+                row[lost], at[lost], n[lost] = *held, 0
+            yield order[:m], size[:m] - 1 - step, n, at, row
+
+    def matches(self, data: np.ndarray, lengths: np.ndarray):
+        """(string, offset, first place) of all places of the queries whose match has ``long`` symbols."""
+        for string, offset, n, at, row in self.stream(data, lengths):
+            hit = np.flatnonzero(n >= self.long)
+            if len(hit):
+                first = self.first_places(row[hit])
+                yield string[hit], offset[hit], np.where(first >= 0, first, at[hit])
+
+    def statistics(self, query: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of one query: for each place the length of its longest match and a place of it in the text."""
+        length, place = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
+        for _, offset, n, at, _ in self.stream(np.frombuffer(query, np.uint8), np.array([len(query)])):
+            length[offset], place[offset] = n, at
+        return length, place

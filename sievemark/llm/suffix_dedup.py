@@ -6,25 +6,32 @@ A byte goes if it lies in a string of ``long`` bytes that also starts earlier
 1. Every string of ``long`` bytes has an anchor: the k-gram in it with the
    smallest hash.  Strings in a row with equal anchors form a segment; equal
    strings always have equal anchors, so repeats meet in the anchor's shard.
-   Of segments with the same content only the first of a batch travels on; the
-   others are repeats at once.
-2. In a shard equal segments of all batches meet: all but the first are repeats.
-   Anchors left with several different segments ("variants") need the index;
-   all other text is done.
-3. The variants' bytes are fetched from their documents and dealt by anchor.
-   Each shard builds a run-compressed Burrows-Wheeler transform of its variants
-   in document order, with sampled run ends and blocks of rows that share
-   ``long`` bytes, and streams the variants through it.  A place whose block
-   holds an earlier place is a repeat.  Strings that no other string of the
-   shard has the hash of are cut off first, which makes the index smaller.
-4. Repeats are merged for each document and cut out of its text.
-
-Documents are moved only if a fixed-size bitmap says they may have variants or
-repeats.  A shard's memory follows the number of different contexts of its
-anchors, not the number of copies.  Anchors with very many contexts, such as those
-at the border of a passage that stands in a third of all documents, are found
-first with a fixed-size table of counters; their strings are dealt one by one by
-two hashes of the whole string, so that no shard gets them together.
+   Of segments with the same content hash only the first of a batch travels on;
+   the others are candidates, with the first as their source.
+2. In a shard segments of all batches meet.  Those with the content hash of an
+   earlier one are candidates too.  Anchors left with several different segments
+   ("variants") are looked through by the index.
+3. Candidates of a document that continue each other in the same source become
+   runs.  Sources are cut into units of ``PIECE`` bytes; a run goes to the units
+   that it lies in.
+4. The bytes of variants, runs and sources are fetched from their documents and
+   dealt by anchor or unit.  Each group builds a run-compressed Burrows-Wheeler
+   transform with sampled run ends and streams the strings in question through
+   it.  A place is a repeat if its match has ``long`` bytes and the first place of
+   that match in the index comes earlier.  So hashes only bring strings together;
+   what goes is decided by matching statistics over bytes.  Of variants, strings
+   whose two halves (as hashes) don't both occur twice in the group are cut off
+   first, which makes the index smaller.
+5. Repeats are merged for each document and cut out of its text.
+
+Anchors in very many segments, such as those at the border of a passage that stands
+in a third of all documents, are found first by counting a sixteenth of the
+documents; an anchor that still has more than ``CROWD`` different segments is found
+in its shard.  Strings of both are dealt one by one by two hashes of the whole
+string, so that no shard gets them together, and become candidates like others.  A
+unit with very many runs is dealt to several groups, each with the unit's source.
+Documents are moved only if a bitmap says they may be needed; it has 16 bits a
+wanted document, up to 128 MB.
 
 Defined cases: null and empty texts have no bytes; matches never cross
 documents; rows with equal id and text are one document, which repeats nothing
@@ -48,11 +55,15 @@ from ._graph import gathered, slab_rows
 from ._rindex import RunIndex
 
 CHUNK = 2 << 20
-BITMAP = 1 << 26
-#: Counters of segments by anchor, and how many segments make an anchor hot.
-COUNTERS, HOT = 1 << 20, 30_000
+#: Most bits of the bitmaps of documents.
+BITMAP = 1 << 30
+#: Segments of an anchor from which its strings are dealt one by one at once, the share of documents in which they are
+#: counted (one in so many), and different segments of an anchor in a shard from which they are dealt so later.
+HOT, COUNTED, CROWD = 1_000_000, 16, 8_192
 #: Segments of one anchor shard, symbols of one index, and documents of one merge group, on average.
 SHARE, SYMBOLS, GROUP = 400_000, 1_200_000, 20_000
+#: Bytes of a source's unit, bytes of runs from which a unit is dealt to several groups, and strings of a streamed query.
+PIECE, FULL, QUERY = 1 << 16, 32 << 20, 1024
 CODEC = "zstd"
 INNER = 1 << 14
 
@@ -66,10 +77,6 @@ def sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[:n], x[width - size : width - size + n])
 
 
-def slot(anchor: np.ndarray) -> np.ndarray:
-    return (mix(anchor) & np.uint64(COUNTERS - 1)).astype(np.int64)
-
-
 def anchored(data: np.ndarray, bounds: np.ndarray, long: int, k: int):
     """(anchor, row, first place, end of places, k-gram hashes, rolling hash) of the segments of a chunk."""
     n = len(data)
@@ -89,12 +96,24 @@ def anchored(data: np.ndarray, bounds: np.ndarray, long: int, k: int):
     return low[start], row[start], start, end, h, rolling
 
 
+def among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
+def lone(rolling: Rolling, at: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """An anchor of its own for each string of ``long`` bytes, and its content hash."""
+    half = at + long // 2
+    return mix(rolling.of(at, half) * MIX_A + rolling.of(half, at + long)), rolling.of(at, at + long)
+
+
 def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int, hot: np.ndarray | None = None):
     """(anchor, row, first string's start in the row, strings, content hash) of all segments.
 
     The number of strings has INNER added where the anchor occurs more than once, so
-    that the segment may repeat itself.  Segments of anchors that ``hot`` marks are
-    cut into single strings with anchors of their own.
+    that the segment may repeat itself.  Segments of anchors in ``hot`` are cut into
+    single strings with anchors of their own.
     """
     anchor, row, start, end, h, rolling = anchored(data, bounds, long, k)
     most = long - k + 1  # longer runs come from repeated k-grams
@@ -111,13 +130,12 @@ def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int, hot: np.nd
             break
         anchors[inside] += h[start[inside] + d] == anchor[inside]
     content, many = rolling.of(start, end - 1 + long), count | np.where(anchors > 1, INNER, 0)
-    if hot is not None and (of := hot[slot(anchor)]).any():
+    if hot is not None and (of := among(hot, anchor)).any():
         n = count[of]
         one = np.repeat(start[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        half = one + long // 2
-        own = mix(rolling.of(one, half) * MIX_A + rolling.of(half, one + long))
+        own, whole = lone(rolling, one, long)
         row, many = np.concatenate([row[~of], np.repeat(row[of], n)]), np.concatenate([many[~of], np.ones(len(one), many.dtype)])
-        anchor, content = np.concatenate([anchor[~of], own]), np.concatenate([content[~of], rolling.of(one, one + long)])
+        anchor, content = np.concatenate([anchor[~of], own]), np.concatenate([content[~of], whole])
         start = np.concatenate([start[~of], one])
     return anchor, row, start - bounds[row], many, content
 
@@ -147,39 +165,54 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[at], start[at], reach[last] - base[last]
 
 
-def range_rows(doc, tag, start, end, groups: int):
-    """Ranges packed by a group of documents: lists of groups and blobs."""
+def numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each combination of keys, in their order, and the first row of each number."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    row = np.empty(len(order), np.int64)
+    row[order] = np.cumsum(new) - 1
+    return row, order[new]
+
+
+def runs(doc, tag, start, end, of_doc, of_tag, shift):
+    """Candidates (bytes ``start`` to ``end``, found in ``of`` from ``start + shift``) that continue each other as one."""
+    number, first = numbered(doc, tag, of_doc, of_tag, shift)
+    which, start, end = merged(number, start, end)
+    at = first[which]
+    return doc[at], tag[at], start, end, of_doc[at], of_tag[at], shift[at]
+
+
+def by_document(doc, tag, *more, groups: int):
+    """Rows packed by a group of documents: lists of groups and blobs."""
+    if not len(doc):
+        return [], []
     group = (mix(doc.view(np.uint64) ^ tag.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
-    group, doc, tag, start, end = group[order], doc[order], tag[order], start[order], end[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
-    return [int(g) for g in group[cut[:-1]]] if len(group) else [], [packed(doc[a:b], tag[a:b], start[a:b].astype(np.int64), end[a:b].astype(np.int64)) for a, b in zip(cut[:-1], cut[1:])]
+    group, cols = group[order], [c[order].astype(np.int64) for c in (doc, tag, *more)]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+    return [int(g) for g in group[cut[:-1]]], [packed(*(c[a:b] for c in cols)) for a, b in zip(cut[:-1], cut[1:])]
 
 
 def hot_anchors(docs: DataFrame, long: int, k: int) -> np.ndarray:
-    """Which counters of a fixed-size table belong to anchors with very many segments.
-
-    Hot are counters of more than HOT, and eight times the mean, so that the share of
-    hot text doesn't follow the input.
-    """
+    """Anchors of about HOT segments and more, sorted; at most all segments / HOT of them, twice that by chance."""
 
     def run(batches):
-        total = np.zeros(COUNTERS, np.uint64)
         for b in tidy(batches):
             data, bounds = flat(b.column(0))
             for lo, hi in chunks(bounds, CHUNK):
                 a = anchored(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], long, k)[0]
-                total += np.bincount(slot(a), minlength=COUNTERS).astype(np.uint64)
-        slab, blob = slab_rows(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slab, pa.int32()), pa.array(blob, pa.binary())], ["slab", "blob"])
+                a, n = np.unique(a, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
-    total = gathered(docs.select("text").mapInArrow(run, "slab int, blob binary"), np.uint64, COUNTERS)
-    return total > max(HOT, 8 * float(total.mean()))
+    part = docs.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(COUNTED)) == 0).select("text").mapInArrow(run, "anchor long, n long")
+    many = part.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, HOT // COUNTED)).select("anchor")
+    return np.sort(many.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 NAMES = ["kind", "key", "blob", "doc", "tag", "anchor", "start", "count"]
 SCHEMA = "kind int, key long, blob binary, doc long, tag long, anchor long, start long, count long"
-SEGMENT, RANGES, VARIANT = range(3)
+SEGMENT, CANDIDATES, RANGES, VARIANT, CROWDED = range(5)
 
 
 def blob_batch(kind: int, keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
@@ -187,8 +220,23 @@ def blob_batch(kind: int, keys: list[int], blobs: list[bytes]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(5))], NAMES)
 
 
+def segment_batch(a, row, start, count, content, doc, tag, shards: int) -> pa.RecordBatch:
+    """SEGMENT rows (shard, packed segments)."""
+    shard = (mix(a) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((a, shard))
+    a, row, start, count, content, shard = (x[order] for x in (a, row, start, count, content, shard))
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+    blobs = []
+    for x, y in zip(cut[:-1], cut[1:]):
+        rows, back = np.unique(row[x:y], return_inverse=True)
+        step = a[x:y].copy()
+        step[1:] -= a[x : y - 1]
+        blobs.append(packed(np.array([y - x, len(rows)], np.int64), step, content[x:y], doc[rows], tag[rows], back.astype(np.uint32), start[x:y].astype(np.uint32), count[x:y].astype(np.uint16)))
+    return blob_batch(SEGMENT, shard[cut[:-1]].tolist(), blobs)
+
+
 def deal_segments(docs: DataFrame, long: int, k: int, shards: int, groups: int, hot) -> DataFrame:
-    """Step 1: SEGMENT rows (shard, packed segments) and RANGES rows (group, packed repeats)."""
+    """Step 1: SEGMENT rows, and CANDIDATES rows (group, packed runs)."""
 
     def run(batches):
         for b in tidy(batches):
@@ -207,29 +255,23 @@ def deal_segments(docs: DataFrame, long: int, k: int, shards: int, groups: int,
             place[np.lexsort((tag, doc))] = np.arange(len(doc))
             order = np.lexsort((start, place[row], content, a))
             a, row, start, count, content = a[order], row[order], start[order], count[order], content[order]
-            again = np.zeros(len(a), bool)
-            again[1:] = (a[1:] == a[:-1]) & (content[1:] == content[:-1])
-            lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(a))))
-            own = again & (doc[row] == doc[row[lead]]) & (tag[row] == tag[row[lead]]) & (start == start[lead])  # the same document once more
-            r = again & ~own
-            which, s, e = merged(row[r], start[r], start[r] + count[r] % INNER - 1 + long)
-            yield blob_batch(RANGES, *range_rows(doc[which], tag[which], s, e, groups))
-            a, row, start, count, content = (x[~again] for x in (a, row, start, count, content))
-            shard = (mix(a) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((a, shard))
-            a, row, start, count, content, shard = (x[order] for x in (a, row, start, count, content, shard))
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-            blobs = []
-            for x, y in zip(cut[:-1], cut[1:]):
-                rows, back = np.unique(row[x:y], return_inverse=True)
-                step = a[x:y].copy()
-                step[1:] -= a[x : y - 1]
-                blobs.append(packed(np.array([y - x, len(rows)], np.int64), step, content[x:y], doc[rows], tag[rows], back.astype(np.uint32), start[x:y].astype(np.uint32), count[x:y].astype(np.uint16)))
-            yield blob_batch(SEGMENT, shard[cut[:-1]].tolist(), blobs)
+            again, found = sources(a, content, doc[row], tag[row], start, count % INNER - 1 + long)
+            yield blob_batch(CANDIDATES, *by_document(*found, groups=groups))
+            yield segment_batch(*(x[~again] for x in (a, row, start, count, content)), doc, tag, shards)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def sources(a, content, doc, tag, start, size):
+    """Of segments in order (anchor, content, document, start): which repeat an earlier one's content hash, and the runs of these."""
+    again = np.zeros(len(a), bool)
+    again[1:] = (a[1:] == a[:-1]) & (content[1:] == content[:-1])
+    lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(a))))
+    r = again & ~((doc == doc[lead]) & (tag == tag[lead]) & (start == start[lead]))  # else the same document once more
+    of = lead[r]
+    return again, runs(doc[r], tag[r], start[r], start[r] + size[r], doc[of], tag[of], start[of] - start[r])
+
+
 def opened(blob: bytes):
     raw = unpacked(blob)
     n, rows = (int(v) for v in np.frombuffer(raw, np.int64, 2))
@@ -243,18 +285,15 @@ def opened(blob: bytes):
 
 
 def match_segments(dealt: DataFrame, long: int, groups: int) -> DataFrame:
-    """Step 2: RANGES rows of repeats, and VARIANT rows of anchors with several contents."""
+    """Step 2: CANDIDATES rows, and VARIANT or CROWDED rows of anchors with several contents."""
 
     def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [opened(x) for b in batches for x in b.column("blob").to_pylist()]
         a, content, doc, tag, start, count = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((start, tag, doc, content, a))
         a, content, doc, tag, start, count = (x[order] for x in (a, content, doc, tag, start, count))
-        again = np.zeros(len(a), bool)
-        again[1:] = (a[1:] == a[:-1]) & (content[1:] == content[:-1])
-        lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(a))))
-        r = again & ~((doc == doc[lead]) & (tag == tag[lead]) & (start == start[lead]))
-        yield blob_batch(RANGES, *range_rows(doc[r], tag[r], start[r], start[r] + count[r] % INNER - 1 + long, groups))
+        again, found = sources(a, content, doc, tag, start, count % INNER - 1 + long)
+        yield blob_batch(CANDIDATES, *by_document(*found, groups=groups))
         a, doc, tag, start, count = (x[~again] for x in (a, doc, tag, start, count))
         several = count >= INNER
         same = a[1:] == a[:-1]
@@ -262,125 +301,231 @@ def match_segments(dealt: DataFrame, long: int, groups: int) -> DataFrame:
         several[:-1] |= same
         v = np.flatnonzero(several)
         n = len(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, VARIANT, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(doc[v]), pa.array(tag[v]), pa.array(a[v].view(np.int64)), pa.array(start[v]), pa.array(count[v] % INNER)], NAMES)
+        crowd = np.repeat(*(lambda u: (u > CROWD, u))(np.unique(a[v], return_counts=True)[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(crowd, CROWDED, VARIANT).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(doc[v]), pa.array(tag[v]), pa.array(a[v].view(np.int64)), pa.array(start[v]), pa.array(count[v] % INNER)], NAMES)
 
     return dealt.where(F.col("kind") == SEGMENT).groupBy("key").applyInArrow(run, SCHEMA)
 
 
-def bitmap(rows: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap of (doc, tag)."""
+def bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of (doc, tag) with ``bits`` bits, a power of two."""
 
     def mark(batches):
-        bits = np.zeros(BITMAP, bool)
+        mine = np.zeros(bits, bool)
         for b in tidy(batches):
             if b.num_rows:
-                bits[place_in(b)] = True
-        slab, blob = slab_rows(np.packbits(bits))
+                mine[place_in(b, bits)] = True
+        slab, blob = slab_rows(np.packbits(mine))
         yield pa.RecordBatch.from_arrays([pa.array(slab, pa.int32()), pa.array(blob, pa.binary())], ["slab", "blob"])
 
-    return gathered(rows.select("doc", "tag").mapInArrow(mark, "slab int, blob binary"), np.uint8, BITMAP // 8, "or")
+    return gathered(rows.select("doc", "tag").mapInArrow(mark, "slab int, blob binary"), np.uint8, bits // 8, "or")
 
 
-def place_in(b: pa.RecordBatch) -> np.ndarray:
+def bits_for(rows: int) -> int:
+    return min(BITMAP, 1 << max(20, (16 * rows).bit_length()))
+
+
+def place_in(b: pa.RecordBatch, bits: int) -> np.ndarray:
     doc, tag = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1))
-    return (mix(doc ^ mix(tag)) & np.uint64(BITMAP - 1)).astype(np.int64)
+    return (mix(doc ^ mix(tag)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def marked(b: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
-    at = place_in(b)
+    at = place_in(b, 8 * len(table))
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def fetch(docs: DataFrame, variants: DataFrame, long: int, shards: int) -> DataFrame:
-    """Step 3, first half: (shard, packed variants with their bytes)."""
-    table = docs.sparkSession.sparkContext.broadcast(bitmap(variants))
+def with_texts(docs: DataFrame, wants: DataFrame, temporary: list[DataFrame]) -> DataFrame:
+    """(doc, tag, text, parts): of each wanted document its text and what is wanted of it."""
+    wants = staged(wants.groupBy("doc", "tag").agg(F.collect_list("part").alias("parts")), "wants")  # bounded by the document's length
+    temporary.append(wants)
+    table = docs.sparkSession.sparkContext.broadcast(bitmap(wants, bits_for(wants.count())))
 
     def pick(batches):
         for b in tidy(batches):
             if b.num_rows:
                 yield b.filter(pa.array(marked(b, table.value)))
 
-    wanted = variants.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("parts"))  # bounded by the document's length
     text = docs.mapInArrow(pick, "doc long, tag long, text binary").dropDuplicates(["doc", "tag"])
+    return text.join(wants, ["doc", "tag"])
+
+
+def parts_in(b: pa.RecordBatch):
+    """(texts end to end, their bounds, row of each wanted part, fields of the parts)."""
+    data, bounds = flat(b.column("text"))
+    parts = b.column("parts")
+    offsets, held = parts.offsets.to_numpy(), parts.values
+    held = held.slice(offsets[0], offsets[-1] - offsets[0])
+    row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+    return data, bounds, row, [held.field(i).to_numpy(zero_copy_only=False) for i in range(held.type.num_fields)]
+
+
+def deal_crowded(docs: DataFrame, crowded: DataFrame, long: int, shards: int, temporary: list[DataFrame]) -> DataFrame:
+    """SEGMENT rows of the single strings of crowded anchors."""
+    wants = crowded.select("doc", "tag", F.struct("start", "count").alias("part"))
+
+    def run(batches):
+        for b in tidy(batches):
+            if not b.num_rows:
+                continue
+            data, bounds, row, (start, n) = parts_in(b)
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row = np.repeat(row, n)
+            own, whole = lone(Rolling(data), bounds[row] + at, long)
+            doc, tag = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            yield segment_batch(own, row, at, np.ones(len(at), np.int64), whole, doc, tag, shards)
+
+    return with_texts(docs, wants, temporary).mapInArrow(run, SCHEMA)
+
+
+def in_units(packed_runs: DataFrame, long: int) -> DataFrame:
+    """Step 3: runs of each document, cut at the sources' units: (unit, doc, tag, start, end, of_doc, of_tag, low, high)."""
+    names = ["unit", "doc", "tag", "start", "end", "of_doc", "of_tag", "low", "high"]
+
+    def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [np.frombuffer(unpacked(x), np.int64).reshape(7, -1) for b in tidy(batches) for x in b.column("blob").to_pylist()]
+        doc, tag, start, end, of_doc, of_tag, shift = runs(*np.concatenate(blobs, axis=1))
+        first, last = start + shift, end + shift - long  # places of strings in the source
+        n = last // PIECE - first // PIECE + 1
+        k = np.repeat(np.arange(len(doc)), n)
+        piece = first[k] // PIECE + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+        low, high = np.maximum(first[k], piece * PIECE), np.minimum(last[k], (piece + 1) * PIECE - 1) + long
+        unit = mix(mix(of_doc[k].view(np.uint64) ^ mix(of_tag[k].view(np.uint64))) + piece.view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unit, doc[k], tag[k], low - shift[k], high - shift[k], of_doc[k], of_tag[k], low, high)], names)
+
+    return packed_runs.select("key", "blob").groupBy("key").applyInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+INDEXED, ASKED = 1, 2
+
+
+def fetch(docs: DataFrame, variants: DataFrame, candidates: DataFrame, long: int, temporary: list[DataFrame]) -> DataFrame:
+    """Step 4, first half: (key, packed strings with their bytes, to be indexed, asked for, or both)."""
+    units = staged(candidates.groupBy("unit", "of_doc", "of_tag").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum(F.col("end") - F.col("start")).alias("bytes")), "units")
+    full = units.where(F.col("bytes") > FULL).select("unit", "bytes").orderBy("unit").toPandas()  # at most all bytes / FULL rows
+    sent = docs.sparkSession.sparkContext.broadcast((full.unit.to_numpy(np.int64), -(-full.bytes.to_numpy(np.int64) // FULL)))
+
+    def part(unit, start, end, role):
+        return F.struct(F.col(unit).alias("unit"), start.alias("start"), end.alias("end"), F.lit(role).alias("role")).alias("part")
+
+    wants = variants.select("doc", "tag", part("anchor", F.col("start"), F.col("start") + F.col("count") - 1 + long, INDEXED | ASKED))
+    wants = wants.unionByName(candidates.select("doc", "tag", part("unit", F.col("start"), F.col("end"), ASKED)))
+    wants = wants.unionByName(units.select(F.col("of_doc").alias("doc"), F.col("of_tag").alias("tag"), part("unit", F.col("low"), F.col("high"), INDEXED)))
+    wants = staged(wants, "wanted")
+    temporary += [units, wants]
+    symbols = wants.agg(F.coalesce(F.sum(F.col("part.end") - F.col("part.start")), F.lit(0)).alias("n")).first().n
+    shards = np.uint64(1 + symbols // (2 * SYMBOLS))
 
     def cut(batches):
+        hot, times = sent.value
         for b in tidy(batches):
-            rows = {}
-            for doc, tag, text, parts in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "text", "parts"))):
-                for p in parts:
-                    s, n = p["start"], p["count"]
-                    rows.setdefault((p["anchor"] & 0xFFFFFFFFFFFFFFFF) % shards, []).append((p["anchor"], doc, tag, s, text[s : s + n - 1 + long]))
-            keys, blobs = [], []
-            for key, held in rows.items():
-                keys.append(key)
-                cols = [np.array([r[i] for r in held], np.int64) for i in range(4)] + [np.array([len(r[4]) for r in held], np.int64)]
-                blobs.append(packed(np.array([len(held)], np.int64), *cols, np.frombuffer(b"".join(r[4] for r in held), np.uint8)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
-
-    return text.join(wanted, ["doc", "tag"]).mapInArrow(cut, "key long, blob binary")
-
-
-def repeats_by_index(data: np.ndarray, length: np.ndarray, long: int):
-    """(string, offset) of places in the strings, given in order, whose ``long`` bytes occur at an earlier place."""
-    starts = np.cumsum(length) - length
-    # strings of ``long`` bytes whose hash occurs once can't be repeats
-    count = length - long + 1
-    string = np.repeat(np.arange(len(length)), count)
+            if not b.num_rows:
+                continue
+            data, bounds, row, (unit, start, end, role) = parts_in(b)
+            doc, tag = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            copies = np.zeros(len(unit), np.int64)
+            if len(hot):  # a full unit's source goes to all of its parts, a run to one of them
+                at = np.minimum(np.searchsorted(hot, unit), len(hot) - 1)
+                of = (hot[at] == unit) & (role != INDEXED | ASKED)
+                n = np.where(of & (role == INDEXED), times[at], 1)
+                k = np.repeat(np.arange(len(unit)), n)
+                copies = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+                unit, start, end, role, row, of, at = (x[k] for x in (unit, start, end, role, row, of, at))
+                copies = np.where(of & (role == ASKED), (mix(doc.view(np.uint64) ^ mix(tag.view(np.uint64)))[row] % times[at].astype(np.uint64)).astype(np.int64), copies)
+            key = (mix(unit.view(np.uint64) + copies.view(np.uint64)) % shards).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            key, unit, start, size, role, row, copies = (x[order] for x in (key, unit, start, end - start, role, row, copies))
+            edge, blobs = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]), []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                m, r = size[lo:hi], row[lo:hi]
+                cols = (unit[lo:hi] + copies[lo:hi], doc[r], tag[r], start[lo:hi], m, role[lo:hi].astype(np.int64))
+                blobs.append(packed(np.array([hi - lo], np.int64), *cols, gathered_bytes(data, bounds[r] + start[lo:hi], m)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[edge[:-1]]), pa.array(blobs, pa.binary())], ["key", "blob"])
+
+    return with_texts(docs, wants, temporary).mapInArrow(cut, "key long, blob binary")
+
+
+def gathered_bytes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def worth_indexing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, long: int):
+    """(string, offset, size) of the pieces of strings in which both halves of each ``long`` bytes occur twice, as hashes."""
+    half = long // 2
+    count = size - long + 1
+    string = np.repeat(np.arange(len(size)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = starts[string] + offset
-    _, back, times = np.unique(Rolling(data).of(at, at + long), return_inverse=True, return_counts=True)
-    twice = times[back] > 1
-    string, offset = string[twice], offset[twice]
-    if not len(string):
-        return string, offset
+    own = gathered_bytes(data, begin, size)
+    rolling, first = Rolling(own), np.cumsum(size) - size
+    at = np.arange(max(0, len(own) - half + 1))
+    _, back, times = np.unique(rolling.of(at, at + half), return_inverse=True, return_counts=True)
+    often = times[back] > 1
+    at = first[string] + offset
+    keep = often[at] & often[at + long - half]
+    string, offset = string[keep], offset[keep]
     edge = np.ones(len(string), bool)
     edge[1:] = (string[1:] != string[:-1]) | (offset[1:] > offset[:-1] + long)  # nearer ones stay in one piece
-    first = np.flatnonzero(edge)
-    last = np.append(first[1:], len(string)) - 1
-    of, begin, size = string[first], offset[first], offset[last] - offset[first] + long
-    take = np.repeat(starts[of] + begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    index = RunIndex(data[take], size, long)
-    out = [np.zeros((0, 2), np.int64)]
-    for piece, place, earliest in index.stream_own():
-        hit = earliest < place
-        out.append(np.column_stack([of[piece[hit]], begin[piece[hit]] + place[hit] - index.starts[piece[hit]]]))
-    found = np.concatenate(out)
-    return found[:, 0], found[:, 1]
+    one = np.flatnonzero(edge)
+    last = np.append(one[1:], len(string)) - 1
+    return (string[one], offset[one], offset[last] - offset[one] + long) if len(string) else (string, offset, offset)
 
 
 def index_shards(fetched: DataFrame, long: int, groups: int) -> DataFrame:
-    """Step 3, second half: RANGES rows of repeats among the variants."""
+    """Step 4, second half: RANGES rows of the repeats, by matching statistics."""
 
     def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, bodies = [[] for _ in range(5)], []
+        cols, bodies = [[] for _ in range(6)], []
         for b in tidy(batches):
             for blob in b.column("blob").to_pylist():
                 raw = unpacked(blob)
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
                 for i, c in enumerate(cols):
                     c.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n * i))
-                bodies.append(np.frombuffer(raw, np.uint8, -1, 8 + 40 * n))
-        anchor, doc, tag, start, length = (np.concatenate(c) for c in cols)
+                bodies.append(np.frombuffer(raw, np.uint8, -1, 8 + 48 * n))
+        unit, doc, tag, start, length, role = (np.concatenate(c) for c in cols)
         data = np.concatenate(bodies)
         begin = np.cumsum(length) - length
-        # anchors in turn, as many at a time as fill an index
-        order = np.lexsort((start, tag, doc, anchor))
-        filled = np.cumsum(length[order])
-        ends = np.flatnonzero(np.append(np.diff(anchor[order]) != 0, True)) + 1
-        lo = 0
-        while lo < len(order):
-            fit = ends[filled[ends - 1] <= (filled[lo - 1] if lo else 0) + SYMBOLS]
-            hi = int(fit[-1]) if len(fit) and fit[-1] > lo else int(ends[np.searchsorted(ends, lo, "right")])
-            part = order[lo:hi]
-            part = part[np.lexsort((start[part], tag[part], doc[part]))]
-            size = length[part]
-            take = np.repeat(begin[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            string, offset = repeats_by_index(data[take], size, long)
-            of = part[string]
-            s = start[of] + offset
-            which, a, e = merged(of, s, s + long)
-            yield blob_batch(RANGES, *range_rows(doc[which], tag[which], a, e, groups))
-            lo = hi
+        for both in (False, True):
+            order = np.flatnonzero((role == INDEXED | ASKED) == both)
+            order = order[np.lexsort((start[order], tag[order], doc[order], unit[order]))]
+            # units in turn, as many at a time as fill an index
+            filled = np.cumsum(np.where(role & INDEXED, length, 0)[order])
+            ends = np.flatnonzero(np.append(np.diff(unit[order]) != 0, True)) + 1
+            lo = 0
+            while lo < len(order):
+                fit = ends[filled[ends - 1] <= (filled[lo - 1] if lo else 0) + SYMBOLS]
+                hi = int(fit[-1]) if len(fit) and fit[-1] > lo else int(ends[np.searchsorted(ends, lo, "right")])
+                part = order[lo:hi]
+                part = part[np.lexsort((start[part], tag[part], doc[part]))]
+                held, ask = ((doc[p], tag[p], start[p], begin[p], length[p]) for p in (part[(role[part] & r) > 0] for r in (INDEXED, ASKED)))
+                if both:
+                    string, offset, size = worth_indexing(data, held[3], held[4], long)
+                    held = ask = (held[0][string], held[1][string], held[2][string] + offset, held[3][string] + offset, size)
+                if len(held[0]) and len(ask[0]):
+                    yield from found_in(RunIndex(gathered_bytes(data, *held[3:]), held[4], long), held, ask, data)
+                lo = hi
+
+    def found_in(index: RunIndex, held, ask, data):
+        at, size = ask[3:]
+        # long queries in pieces that overlap
+        n = -(-(size - long + 1) // QUERY)
+        k = np.repeat(np.arange(len(size)), n)
+        skip = QUERY * (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n))
+        width = np.minimum(QUERY - 1 + long, size[k] - skip)
+        edge = [0, *np.searchsorted(np.cumsum(width), np.arange(2 * SYMBOLS, width.sum(), 2 * SYMBOLS), "right"), len(k)]
+        for a, z in zip(edge[:-1], edge[1:]):
+            q, s, w = k[a:z], skip[a:z], width[a:z]
+            got = [(q[string], s[string] + offset, first) for string, offset, first in index.matches(gathered_bytes(data, at[q] + s, w), w)]
+            if not got:
+                continue
+            string, offset, first = (np.concatenate(x) for x in zip(*got))
+            source = np.searchsorted(index.starts, first, "right") - 1
+            d, t, p = ask[0][string], ask[1][string], ask[2][string] + offset
+            e, u, o = held[0][source], held[1][source], held[2][source] + first - index.starts[source]
+            hit = (e < d) | (e == d) & ((u < t) | (u == t) & (o < p))
+            number, first = numbered(d[hit], t[hit])
+            which, x, y = merged(number, p[hit], p[hit] + long)
+            yield blob_batch(RANGES, *by_document(d[hit][first[which]], t[hit][first[which]], x, y, groups=groups))
 
     return fetched.groupBy("key").applyInArrow(run, SCHEMA)
 
@@ -397,12 +542,7 @@ def merge_ranges(packed_ranges: DataFrame) -> DataFrame:
         doc, tag, start, end = (np.concatenate(c) for c in cols)
         if not len(doc):
             return
-        order = np.lexsort((tag, doc))
-        new = np.ones(len(doc), bool)
-        new[1:] = (np.diff(doc[order]) != 0) | (np.diff(tag[order]) != 0)
-        row = np.empty(len(doc), np.int64)
-        row[order] = np.cumsum(new) - 1
-        first = order[new]
+        row, first = numbered(doc, tag)
         which, start, end = merged(row, start, end)
         cut = np.searchsorted(which, np.arange(len(first) + 1))
         blobs = [np.concatenate([start[a:b], end[a:b]]).tobytes() for a, b in zip(cut[:-1], cut[1:])]
@@ -430,16 +570,20 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", long: int
     read = docs.select("doc", "tag", "text")
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     shards, groups = 1 + size.bytes // (SHARE * (long - k) // 2), 1 + size.rows // GROUP
-    hot = spark.sparkContext.broadcast(hot_anchors(read, long, k))
+    hot, temporary = spark.sparkContext.broadcast(hot_anchors(read, long, k)), []
     first = staged(deal_segments(read, long, k, shards, groups, hot), "segments")
     second = staged(match_segments(first, long, groups), "matches")
+    found = first.where(F.col("kind") == CANDIDATES).unionByName(second.where(F.col("kind") == CANDIDATES))
+    crowded = second.where(F.col("kind") == CROWDED)
+    if not crowded.isEmpty():
+        strings = crowded.agg(F.sum("count").alias("n")).first().n
+        more = staged(match_segments(deal_crowded(read, crowded, long, 1 + strings // SHARE, temporary), long, groups), "matches")
+        found, second = found.unionByName(more.where(F.col("kind") == CANDIDATES)), second.unionByName(more)
+    candidates = staged(in_units(found, long), "runs")
     variants = second.where(F.col("kind") == VARIANT).select("doc", "tag", "anchor", "start", "count")
-    symbols = variants.agg(F.coalesce(F.sum(F.col("count") + long), F.lit(0)).alias("n")).first().n
-    third = staged(index_shards(fetch(read, variants, long, 1 + symbols // (2 * SYMBOLS)), long, groups), "index-matches")
-    every = first.where(F.col("kind") == RANGES).unionByName(second.where(F.col("kind") == RANGES)).unionByName(third)
-    ranges = staged(merge_ranges(every), "ranges")
-    dropped(spark, first, second, third)
-    table = spark.sparkContext.broadcast(bitmap(ranges))
+    ranges = staged(merge_ranges(index_shards(fetch(read, variants, candidates, long, temporary), long, groups)), "ranges")
+    dropped(spark, first, second, candidates, *temporary)
+    table = spark.sparkContext.broadcast(bitmap(ranges, bits_for(ranges.count())))
     cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
 
     def split(batches):

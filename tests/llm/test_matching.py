@@ -173,22 +173,27 @@ def test_index_against_brute_force():
             b = bytearray(r.choice(base))
             b[r.randrange(len(b))] = r.choice(letters)
             strings.append(bytes(b[r.randrange(len(b) - long + 1) :]))
-        index = RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), long)
+        ends = lambda x: (np.frombuffer(b"".join(x), np.uint8), np.array([len(s) for s in x]))
+        index = RunIndex(*ends(strings), long)
         places = {}
         for j, s in enumerate(strings):
             for o in range(len(s) - long + 1):
                 places.setdefault(s[o : o + long], []).append(int(index.starts[j]) + o)
-        got = {int(p): int(f) for _, at, first in index.stream_own() for p, f in zip(at, first)}
-        assert got == {p: min(v) for v in places.values() if len(v) > 1 for p in v}
+        asked = [bytes(r.choice(letters) for _ in range(20)) + r.choice(base) for _ in range(3)] + strings
+        got = {(int(q), int(o)): int(f) for found in index.matches(*ends(asked)) for q, o, f in zip(*found)}
+        assert got == {(i, o): min(places[q[o : o + long]]) for i, q in enumerate(asked) for o in range(len(q) - long + 1) if q[o : o + long] in places}
         q = bytes(r.choice(letters) for _ in range(20)) + r.choice(strings)[:20]
         length, place = index.statistics(q)
         for i in range(len(q)):
-            assert length[i] == max(max(k for k in range(len(q) - i + 1) if q[i : i + k] in s) for s in strings)
+            assert min(long, length[i]) == min(long, max(max(k for k in range(len(q) - i + 1) if q[i : i + k] in s) for s in strings))
+            n = int(length[i])
+            assert (index.text[place[i] : place[i] + n] == np.frombuffer(q[i : i + n], np.uint8) + np.uint16(1)).all()
 
 
-@pytest.mark.parametrize("hot", [30_000, 1])
-def test_repeats_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("settings", [{}, {"HOT": 1, "COUNTED": 1}, {"CROWD": 1}, {"FULL": 100, "PIECE": 64, "QUERY": 16}, {"SYMBOLS": 300}, {"CHUNK": 200}])
+def test_repeats_match_brute_force(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
     r = random.Random(3)
     parts = ["".join(r.choice("abc dé") for _ in range(r.randint(20, 260))) for _ in range(12)] + ["ha " * 120, "x" * 300]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 5))) for _ in range(80)] + [None, "", "y" * 99, "y" * 100, "y" * 101]
@@ -196,6 +201,18 @@ def test_repeats_match_brute_force(spark, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 100)
 
 
+def test_hashes_decide_nothing(spark, monkeypatch):
+    """Of segments whose content hashes are all equal only those with equal bytes go."""
+    plain = suffix_dedup.sources
+    monkeypatch.setattr(suffix_dedup, "sources", lambda a, content, *more: plain(a, content & np.uint64(0), *more))
+    r = random.Random(8)
+    t = ["".join(r.choices("abcdef", k=90)) for _ in range(6)]
+    texts = [t[i] + "shared by all of these texts, and rather long" * 2 + t[j] for i in range(6) for j in (1, 4)]
+    got = {d.doc_id: tuple(d)[1:5] for d in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    want = brute_repeats(texts, 100)
+    assert all(got[i][1] <= want[i][1] for i in got) and sum(v[1] for v in got.values()) > 0
+
+
 def test_repeats_of_odd_tables(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
     t = "".join(random.Random(5).choices("abcdef", k=150))
