@@ -5,8 +5,8 @@ reported on their own.  Weak candidates -- a random-looking bare string, an
 endpoint -- say nothing alone; they are reported only when complementary parts
 stand in the same scope.  A scope is a paragraph (text between blank lines)
 further bounded by a distance in code points.  Linking is an interval join: the
-parts of a document are sorted by start, and each weak part asks for the nearest
-part of each complementary role on either side, so no pairs are listed and a
+parts of each role and scope are sorted by start with the furthest end so far, and
+each weak part looks up the nearest on either side, so no pairs are listed and a
 document with many parts costs n log n.
 
 The scan is one pass over the rows without a shuffle; RE2 screens pick the few
@@ -102,22 +102,25 @@ def link(text: str, base: list[tuple[int, int, str]], weak: list[tuple[int, int,
     breaks = [m.start() for m in PARAGRAPH.finditer(text)]
     scope = lambda at: bisect.bisect_right(breaks, at)
 
-    def near(parts: list[tuple[int, int]], s: int, e: int) -> bool:
-        i = bisect.bisect_left(parts, (s, e))
-        for j in (i - 1, i):
-            if 0 <= j < len(parts):
-                a, b = parts[j]
-                if scope(a) == scope(s) and max(a - e, s - b) <= reach:
-                    return True
-        return False
+    def scoped(parts: list[tuple[int, int]]) -> dict[int, tuple[list[int], list[int]]]:
+        """By scope: starts in order, and the furthest end up to each."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        for part in sorted(parts):
+            out.setdefault(scope(part[0]), []).append(part)
+        return {k: ([a for a, _ in v], list(accumulate((b for _, b in v), max))) for k, v in out.items()}
+
+    def near(parts: dict[int, tuple[list[int], list[int]]], s: int, e: int) -> bool:
+        starts, furthest = parts.get(scope(s), ((), ()))
+        i = bisect.bisect_right(starts, s)  # those before start there or earlier, so only their ends count
+        return i > 0 and s - furthest[i - 1] <= reach or i < len(starts) and starts[i] - e <= reach
 
     roles: dict[str, list[tuple[int, int]]] = {"identifier": [], "secret": []}
     for s, e, kind in base:
         roles[ROLE[kind]].append((s, e))
-    roles["identifier"].sort()
-    linked = [x for x in weak if x[2] == "secret" and near(roles["identifier"], x[0], x[1])]
-    roles["secret"] = sorted(roles["secret"] + [x[:2] for x in linked])
-    linked += [x for x in weak if x[2] == "endpoint" and near(roles["identifier"], x[0], x[1]) and near(roles["secret"], x[0], x[1])]
+    identifiers = scoped(roles["identifier"])
+    linked = [x for x in weak if x[2] == "secret" and near(identifiers, x[0], x[1])]
+    secrets = scoped(roles["secret"] + [x[:2] for x in linked])
+    linked += [x for x in weak if x[2] == "endpoint" and near(identifiers, x[0], x[1]) and near(secrets, x[0], x[1])]
     return linked
 
 
