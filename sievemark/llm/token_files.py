@@ -10,12 +10,14 @@ width, u8 zero, u16 exceptions, u16 zero, packed bits, u16 places, u32 values);
 u64 block starts; i64 document ids, u8 flags of null ids, u32 counts; footer of
 u64 index start, blocks, documents, ids, u32 crc32 of the indexes, ``SMPF``.
 
-Documents are range-sorted by id; each task writes one file under a temporary
-name and renames it to a name fixed by its place, so a repeated task leaves the
-same file.  The driver then writes a manifest of one line a file.
+Documents are range-sorted by id into shards whose bounds follow from the rows
+alone; each shard makes one file, written under a temporary name and renamed to
+one fixed by its place, so that equal tables give equal files whatever the
+partitions and settings, and a repeated task leaves the same file.  The driver
+removes what failed tasks left and writes a manifest of one line a file.
 
 Defined cases: null and empty texts are one end id; rows with equal ids stand
-side by side, ordered by text; null ids come first; an empty table gives an
+side by side, ordered by a hash of the text and the text; null ids come first; an empty table gives an
 empty manifest and an empty result; other columns aren't read.
 """
 
@@ -28,10 +30,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import filesystem, new_path, tidy
+from ._shards import cleaned, range_shards, shard_slices
 from ._tokenize import pieces, vocabulary_path
 
 MAGIC, BLOCK = b"SMPF", 1024
@@ -159,25 +162,34 @@ def write_token_files(docs: DataFrame, folder: str, id_col="doc_id", text_col="t
     store.create_dir(root, recursive=True)
 
     def run(batches):
-        part, store, writer, out, held = TaskContext.get().partitionId(), None, None, None, ""
-        for b in tidy(batches):
-            if b.num_rows and writer is None:
-                store, root = filesystem(folder)
-                held = f"{root}/_part-{part:06d}.{uuid.uuid4().hex}"
-                out = store.open_output_stream(held)
-                writer = Writer(out, percentile)
-            for d, ids in zip(b.column(0).to_pylist(), pieces(path, False).rows(b.column(1))):
-                writer.add(d, np.append(ids, np.uint32(end_id)))
-        if writer is not None:
+        part, writer = None, None
+        store, root = filesystem(folder)
+
+        def closed():
             said = writer.close()
             out.close()
             name = f"part-{part:06d}.ids"
             renamed(store, held, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part]), "file": [name], **{k: pa.array([said[k]]) for k in ("docs", "ids", "blocks", "bytes")}})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part]), "file": [name], **{k: pa.array([said[k]]) for k in ("docs", "ids", "blocks", "bytes")}})
+
+        for b in tidy(batches):
+            for shard, piece in shard_slices(b):
+                if shard != part:
+                    if writer is not None:
+                        yield closed()
+                    part, held = shard, f"{root}/_part-{shard:06d}.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(held)
+                    writer = Writer(out, percentile)
+                for d, ids in zip(piece.column("id").to_pylist(), pieces(path, False).rows(piece.column("text"))):
+                    writer.add(d, np.append(ids, np.uint32(end_id)))
+        if writer is not None:
+            yield closed()
 
     read = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    shards = read.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, "part long, file string, docs long, ids long, blocks long, bytes long")
+    dealt, _ = range_shards(read.withColumn("tie", F.xxhash64("text")), "id", 8 + F.coalesce(F.octet_length("text"), F.lit(0)), "tie")
+    shards = dealt.sortWithinPartitions("shard", "id", "tie", "text").mapInArrow(run, "part long, file string, docs long, ids long, blocks long, bytes long")
     entries = sorted((r.asDict() for r in shards.collect()), key=lambda r: r["part"])  # one small row a file
+    cleaned(folder)
     start = 0
     for e in entries:
         e["start"] = start

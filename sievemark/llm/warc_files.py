@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id.  Each task streams its range into gzip
-members, one a record, and rolls to a new file when the compressed size passes
-``roll_bytes``; headers, digests and record ids are regenerated from the rows,
-so equal input gives equal files.  Files are written under temporary names and
-renamed; the manifest, one line a file, is written last.
+Records are range-sorted by page id into shards whose bounds follow from the rows
+alone.  A shard's records are streamed into gzip members, one a record, and roll to
+a new file when the compressed size passes ``roll_bytes``; headers, digests and
+record ids are regenerated from the rows.  So equal tables give equal files
+whatever the partitions and settings.  Files are written under temporary names and
+renamed; the driver removes what failed tasks left, and writes the manifest, one
+line a file, last.
 
 Records with equal payloads: the one with the smallest page id is ``response``,
 the rest are ``revisit`` and carry no payload.  Who refers to whom comes from a
@@ -26,13 +28,14 @@ import json
 import re
 import uuid
 import zlib
+from collections import Counter
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import filesystem, new_path, tidy
+from ._shards import cleaned, range_shards, shard_slices
 from .token_files import read_manifest, renamed
 
 # Fixed values of the format.
@@ -46,8 +49,9 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page, ordinal: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE_OF_IDS, f'page:{page}:{ordinal}')}>"
+def record_id(page, digest: str, ordinal: int) -> str:
+    """Of the ``ordinal``-th row of this page with this payload."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE_OF_IDS, f'page:{page}:{digest}:{ordinal}')}>"
 
 
 def header(fields: list[tuple[str, object]]) -> bytes:
@@ -59,9 +63,9 @@ def record(page, ordinal: int, url: str | None, payload: bytes, digest: str, rev
     block = http if revisit else http + payload
     url = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page, ordinal)), ("WARC-Date", date), ("WARC-Target-URI", url),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page, digest, ordinal)), ("WARC-Date", date), ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{sha1(block)}"), ("WARC-Profile", PROFILE if revisit else None),
-        ("WARC-Refers-To", record_id(refers, 0) if revisit else None), ("Page-ID", page), ("Refers-To-Page-ID", refers if revisit else None),
+        ("WARC-Refers-To", record_id(refers, digest, 0) if revisit else None), ("Page-ID", page), ("Refers-To-Page-ID", refers if revisit else None),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block)),
     ]
     return header(fields) + block + b"\r\n\r\n"
@@ -73,10 +77,10 @@ def member(raw: bytes, level: int) -> bytes:
 
 
 def marks(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """(id, digest, refers) of rows whose payload a smaller id has too."""
-    d = pages.select("id", F.unhex(F.sha1("payload")).alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= least_bytes)
+    """(id, tie, digest, refers) of rows whose payload a smaller id has too."""
+    d = pages.select("id", "tie", F.unhex(F.sha1("payload")).alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= least_bytes)
     first = d.groupBy("digest").agg(F.min("id").alias("refers"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    return d.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("refers"))).select("id", "digest", "refers").distinct()
+    return d.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("refers"))).select("id", "tie", "digest", "refers").distinct()
 
 
 def write_warc(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payload_col="html", least_bytes=0, roll_bytes=256 << 20, date="2000-01-01T00:00:00Z", level=6) -> list[dict]:
@@ -85,51 +89,60 @@ def write_warc(pages: DataFrame, folder: str, id_col="page_id", url_col="url", p
     store.create_dir(root, recursive=True)
     rows = pages.select(
         pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col].cast("string").cast("binary"), F.lit(b"")).alias("payload")
-    )
-    marked = marks(rows, least_bytes).select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("kind"), "digest", "refers")
-    every = rows.select("id", "url", "payload", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("refers")).unionByName(marked)
+    ).withColumn("tie", F.xxhash64("payload"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    marked = marks(rows, least_bytes).select("id", "tie", nothing("string").alias("url"), nothing("binary").alias("payload"), F.lit(0).alias("kind"), "digest", "refers")
+    every = rows.select("id", "tie", "url", "payload", F.lit(1).alias("kind"), nothing("binary").alias("digest"), nothing("long").alias("refers"))
 
     def run(batches):
-        part, store, out, done = TaskContext.get().partitionId(), filesystem(folder)[0], None, []
-        at = count = 0
-        page, ordinal, refers, seen = object(), 0, {}, set()
+        store, out, done = filesystem(folder)[0], None, []
+        shard = at = count = files = 0
+        key, refers, seen = None, {}, Counter()
 
         def closed():
             out.close()
             renamed(store, held, f"{root}/{name}")
-            done.append((part, name, count, at))
+            done.append((shard, name, count, at))
 
         for b in tidy(batches):
-            for i, url, payload, kind, digest, ref in zip(*(c.to_pylist() for c in b.columns)):
-                if i != page:
-                    page, ordinal, refers, seen = i, 0, {}, set()
-                if kind == 0:
-                    refers[digest] = ref
-                    continue
-                raw = hashlib.sha1(payload).digest()
-                again = len(payload) >= least_bytes and (raw in refers or raw in seen)
-                seen.add(raw)
-                if out is None:
-                    name = f"pages-{part:06d}-{len(done):05d}.warc.gz"
-                    held = f"{root}/_{name}.{uuid.uuid4().hex}"
-                    out = store.open_output_stream(held, compression=None)
-                    about = f"software: sievemark\r\nformat: WARC File Format 1.1\r\nisPartOf: pages\r\nname: {name}\r\n".encode()
-                    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(SPACE_OF_IDS, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("WARC-Block-Digest", f"sha1:{sha1(about)}"), ("Content-Type", "application/warc-fields"), ("Content-Length", len(about))]
-                    z = member(header(fields) + about + b"\r\n\r\n", level)
+            for part, piece in shard_slices(b):
+                if part != shard:
+                    if out is not None:
+                        closed()
+                    shard, files, out = part, 0, None
+                for i, tie, url, payload, kind, digest, ref in zip(*(piece.column(c).to_pylist() for c in ("id", "tie", "url", "payload", "kind", "digest", "refers"))):
+                    if (i, tie) != key:
+                        key, refers, seen = (i, tie), {}, Counter()
+                    if kind == 0:
+                        refers[digest] = ref
+                        continue
+                    raw = hashlib.sha1(payload).digest()
+                    ordinal = seen[raw]
+                    again = len(payload) >= least_bytes and (raw in refers or ordinal > 0)
+                    seen[raw] += 1
+                    if out is None:
+                        name = f"pages-{shard:06d}-{files:05d}.warc.gz"
+                        held = f"{root}/_{name}.{uuid.uuid4().hex}"
+                        out = store.open_output_stream(held, compression=None)
+                        about = f"software: sievemark\r\nformat: WARC File Format 1.1\r\nisPartOf: pages\r\nname: {name}\r\n".encode()
+                        fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(SPACE_OF_IDS, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("WARC-Block-Digest", f"sha1:{sha1(about)}"), ("Content-Type", "application/warc-fields"), ("Content-Length", len(about))]
+                        z = member(header(fields) + about + b"\r\n\r\n", level)
+                        out.write(z)
+                        at, count, files = len(z), 0, files + 1
+                    z = member(record(i, ordinal, url, payload, base64.b32encode(raw).decode(), again, refers.get(raw, i), date), level)
                     out.write(z)
-                    at, count = len(z), 0
-                z = member(record(i, ordinal, url, payload, base64.b32encode(raw).decode(), again, refers.get(raw, i), date), level)
-                out.write(z)
-                ordinal, at, count = ordinal + 1, at + len(z), count + 1
-                if at >= roll_bytes:
-                    closed()
-                    out = None
+                    at, count = at + len(z), count + 1
+                    if at >= roll_bytes:
+                        closed()
+                        out = None
         if out is not None:
             closed()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), *(pa.array([d[k] for d in done], pa.int64()) for k in (2, 3))], ["part", "file", "records", "bytes"])
 
-    sorted_rows = every.repartitionByRange("id").sortWithinPartitions("id", "kind", "url", "payload")
+    dealt, _ = range_shards(every, "id", 64 + F.length("payload"), "tie", marked)
+    sorted_rows = dealt.sortWithinPartitions("shard", "id", "tie", "kind", "url", "payload")
     entries = sorted((r.asDict() for r in sorted_rows.mapInArrow(run, "part long, file string, records long, bytes long").collect()), key=lambda r: r["file"])  # one small row a file
+    cleaned(folder)
     held = f"{root}/_manifest.{uuid.uuid4().hex}"
     with store.open_output_stream(held) as out:
         out.write(json.dumps({"version": 1, "files": entries}).encode())

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import pathlib
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievemark.llm import queries, secret_scan
+from sievemark.llm import _shards, queries, secret_scan
 from sievemark.llm import token_files as tf
 from sievemark.llm import warc_files as wf
 from sievemark.llm._common import new_path
@@ -171,6 +172,24 @@ def test_warc_round_trip(spark):
     assert wf.warc_round_trip(df.where("false")).count() == 0
 
 
+def test_files_follow_from_the_rows_alone(spark, monkeypatch):
+    """Two partitionings and numbers of shuffle partitions give the same bytes; an id that is cut keeps its records."""
+    monkeypatch.setattr(_shards, "LEAST", 40_000)
+    pages, docs = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "documents"))
+    pages = pages.unionByName(pages.limit(60).withColumn("page_id", F.lit(None).cast("long"))).unionByName(pages.limit(2))
+    before, files = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts, shuffled in ((1, "3"), (7, "11")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        w, t = new_path(spark, "w"), new_path(spark, "t")
+        wf.write_warc(pages.repartition(parts), w, roll_bytes=9000)
+        tf.write_token_files(docs.repartition(parts), t)
+        files.append([{f.name: f.read_bytes() for f in pathlib.Path(x.removeprefix("file://")).iterdir()} for x in (w, t)])
+        rows = wf.read_warc(spark, w)
+        assert rows.count() == pages.count() and rows.where("record_type = 'response'").count() == pages.select("html").distinct().count()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert files[0] == files[1] and min(map(len, files[0])) > 10
+
+
 def test_small_payloads_are_always_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in wf.warc_round_trip(df, least_bytes=3).collect()}
