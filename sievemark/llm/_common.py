@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import posixpath
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (as in tests on one machine) a local one is chosen.
+    Only where that is unset and everything runs on one machine a local one is chosen.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + posixpath.join(tempfile.gettempdir(), f"sievemark-{spark.sparkContext.applicationId}")
     return base.rstrip("/")
 
@@ -40,13 +45,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables staged by the operators that run now, innermost last.
+_staged: ContextVar[tuple[list[str], ...]] = ContextVar("staged", default=())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and reads it again."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _staged.get():
+        _staged.get()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(operator):
+    """An operator whose result is staged and whose other staged tables are deleted."""
+
+    @functools.wraps(operator)
+    def run(*args, **settings):
+        own: list[str] = []
+        token = _staged.set((*_staged.get(), own))
+        try:
+            out = operator(*args, **settings)
+        finally:
+            _staged.reset(token)
+        out = staged(out, operator.__name__)
+        deleted(out.sparkSession, own)
+        return out
+
+    return run
+
+
+def deleted(spark: SparkSession, folders) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hash_sample(df: DataFrame, key: str, rows: int, total: int, seed: int = 0) -> DataFrame:
     """The ``rows`` rows of smallest key hash, of ``total``; rows that can't be among them are dropped before the sort."""
     h = F.xxhash64(F.lit(seed), key)
@@ -61,8 +96,7 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if folder.startswith(shared_dir(spark).replace("file:///", "file:/").rstrip("/")) or folder.startswith(shared_dir(spark)):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                deleted(spark, [folder])
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dropped, staged, tidy
+from ._common import dropped, staged, tidied, tidy
 
 SLABS = 16
 
 
+@tidied
 def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
     """(node, component) of every node in ``edges(a, b)``: the smallest node that can be reached.
 

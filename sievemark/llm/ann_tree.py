@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import hash_sample, mix, staged, tidy
+from ._common import hash_sample, mix, staged, tidied, tidy
 
 #: Vectors of a group, about.
 GROUP = 8192
@@ -253,6 +253,7 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+@tidied
 def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vector_col="embedding", recall: float = 0.96, fit_rows: int = 20_000, leaf_rows: int = 200, branch: int = 16, calibration: int = 200) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row that ``query_filter(id)`` picks."""
     spark = vectors.sparkSession
