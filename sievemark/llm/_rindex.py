@@ -2,7 +2,8 @@
 
 The text is a collection of short strings, each closed by a separator smaller
 than all symbols; equal suffixes are ordered by place.  Stored are the runs of
-the transform (head, first row, where LF takes that row), text places at the
+the transform (head, first row, where LF takes that row; a bit a row finds the run of a
+row), text places at the
 first and last row of each run, and, for a length ``long``, the blocks of rows
 that share their first ``long`` symbols, with the first place of each block.
 ``stream`` gives matching statistics of any queries right to left: as long as the
@@ -36,6 +37,21 @@ def _ranked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, int]:
     return rank, int(rank.max(initial=0))
 
 
+class Ranks:
+    """Which of the marks (sorted rows) is the last at or before a row, -1 if none: a bit a row and a count a word."""
+
+    def __init__(self, marks: np.ndarray, n: int):
+        bits = np.zeros(-(-n // 64) * 64 or 64, np.uint8)
+        bits[marks] = 1
+        self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        count = np.bitwise_count(self.words).astype(np.int64)
+        self.before = np.cumsum(count) - count - 1
+
+    def __call__(self, row: np.ndarray) -> np.ndarray:
+        word = row >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] << (63 - (row & 63)).astype(np.uint64))
+
+
 class RunIndex:
     def __init__(self, data: np.ndarray, lengths: np.ndarray, long: int = 100):
         """``data``: the strings' bytes end to end; ``lengths``: of each string."""
@@ -80,6 +96,7 @@ class RunIndex:
         edge[1:] = before[1:] != before[:-1]
         self.run = np.flatnonzero(edge)
         self.head = before[self.run]
+        self.run_of = Ranks(self.run, n)
         size = np.diff(np.append(self.run, n))
         by = np.argsort(self.head, kind="stable")
         first = np.zeros(258, np.int64)  # rows before the first row of each symbol
@@ -114,6 +131,7 @@ class RunIndex:
         smallest = np.minimum.reduceat(order, lead) if n else order
         keep = size > 1
         self.block, self.block_end, self.block_first = lead[keep], lead[keep] + size[keep], smallest[keep]
+        self.block_of = Ranks(self.block, n)
 
     def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         same = np.ones(len(a), bool)
@@ -125,7 +143,7 @@ class RunIndex:
         """The first place of a row's block, -1 for rows whose long prefix stands alone."""
         if not len(self.block):
             return np.full(len(row), -1)
-        k = np.searchsorted(self.block, row, "right") - 1
+        k = self.block_of(row)
         inside = (k >= 0) & (row < self.block_end[np.maximum(k, 0)])
         return np.where(inside, self.block_first[np.maximum(k, 0)], -1)
 
@@ -159,7 +177,7 @@ class RunIndex:
             row, at, n = row[:m], at[:m], n[:m]
             pos = end[:m] - 1 - step
             c = query[pos]
-            r = np.searchsorted(self.run, row, "right") - 1
+            r = self.run_of(row)
             other = np.flatnonzero(self.head[r] != c)
             if len(other):
                 want = c[other].astype(np.int64)

@@ -96,6 +96,23 @@ def anchored(data: np.ndarray, bounds: np.ndarray, long: int, k: int):
     return low[start], row[start], start, end, h, rolling
 
 
+def occurrences(h, anchor, start, end, wide: int) -> np.ndarray:
+    """How often each segment's anchor stands in its k-grams from ``start`` to ``end``."""
+    out = np.zeros(len(start), np.int64)
+    if not len(start):
+        return out
+    low = np.zeros(len(h) + wide, np.uint64)
+    low[wide : len(h)] = sliding(h, wide + 1, np.minimum)
+    at = np.flatnonzero(h == sliding(low, wide + 1, np.maximum))  # k-grams that are the smallest of a window
+    a, z, d = np.searchsorted(at, start), np.searchsorted(at, end), 0
+    todo = np.arange(len(start))
+    while len(todo):
+        out[todo] += h[at[a[todo] + d]] == anchor[todo]
+        d += 1
+        todo = todo[a[todo] + d < z[todo]]
+    return out
+
+
 def among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(x), bool)
@@ -123,12 +140,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, long: int, k: int, hot: np.nd
         end = np.minimum(first + most, np.repeat(end, parts))
         anchor, row, start = np.repeat(anchor, parts), np.repeat(row, parts), first
     count = end - start
-    anchors = np.zeros(len(start), np.int64)
-    for d in range(most + long - k):
-        inside = np.flatnonzero(d < count + long - k)
-        if not len(inside):
-            break
-        anchors[inside] += h[start[inside] + d] == anchor[inside]
+    anchors = occurrences(h, anchor, start, start + count + long - k, long - k)
     content, many = rolling.of(start, end - 1 + long), count | np.where(anchors > 1, INNER, 0)
     if hot is not None and (of := among(hot, anchor)).any():
         n = count[of]
@@ -507,25 +519,41 @@ def index_shards(fetched: DataFrame, long: int, groups: int) -> DataFrame:
 
     def found_in(index: RunIndex, held, ask, data):
         at, size = ask[3:]
-        # long queries in pieces that overlap
+        # long queries in pieces that overlap; equal pieces are streamed once
         n = -(-(size - long + 1) // QUERY)
         k = np.repeat(np.arange(len(size)), n)
         skip = QUERY * (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n))
         width = np.minimum(QUERY - 1 + long, size[k] - skip)
-        edge = [0, *np.searchsorted(np.cumsum(width), np.arange(2 * SYMBOLS, width.sum(), 2 * SYMBOLS), "right"), len(k)]
+        view, number = memoryview(data), {}
+        place = (at[k] + skip).tolist()
+        same = np.array([number.setdefault(bytes(view[x : x + w]), len(number)) for x, w in zip(place, width.tolist())])
+        _, one, times = np.unique(same, return_index=True, return_counts=True)
+        members, begin, wide = np.argsort(same, kind="stable"), np.cumsum(times) - times, width[one]
+        del number
+        edge = [0, *np.searchsorted(np.cumsum(wide), np.arange(2 * SYMBOLS, wide.sum(), 2 * SYMBOLS), "right"), len(one)]
         for a, z in zip(edge[:-1], edge[1:]):
-            q, s, w = k[a:z], skip[a:z], width[a:z]
-            got = [(q[string], s[string] + offset, first) for string, offset, first in index.matches(gathered_bytes(data, at[q] + s, w), w)]
+            got = list(index.matches(gathered_bytes(data, at[k[one[a:z]]] + skip[one[a:z]], wide[a:z]), wide[a:z]))
             if not got:
                 continue
-            string, offset, first = (np.concatenate(x) for x in zip(*got))
+            piece, offset, first = (np.concatenate(x) for x in zip(*got))
+            order = np.argsort((piece << 32) + offset)
+            piece, offset, first = piece[order] + a, offset[order], first[order]
+            new = np.ones(len(piece), bool)  # else the place before goes on here, and so does its match
+            new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1) | (first[1:] != first[:-1] + 1)
+            lo = np.flatnonzero(new)
+            n = np.append(lo[1:], len(piece)) - lo
+            piece, offset, first = piece[lo], offset[lo], first[lo]
             source = np.searchsorted(index.starts, first, "right") - 1
-            d, t, p = ask[0][string], ask[1][string], ask[2][string] + offset
-            e, u, o = held[0][source], held[1][source], held[2][source] + first - index.starts[source]
+            r = np.repeat(np.arange(len(piece)), times[piece])
+            own = members[begin[piece[r]] + np.arange(len(r)) - np.repeat(np.cumsum(times[piece]) - times[piece], times[piece])]
+            string = k[own]
+            d, t, p = ask[0][string], ask[1][string], ask[2][string] + skip[own] + offset[r]
+            e, u, o = held[0][source[r]], held[1][source[r]], held[2][source[r]] + first[r] - index.starts[source[r]]
             hit = (e < d) | (e == d) & ((u < t) | (u == t) & (o < p))
-            number, first = numbered(d[hit], t[hit])
-            which, x, y = merged(number, p[hit], p[hit] + long)
-            yield blob_batch(RANGES, *by_document(d[hit][first[which]], t[hit][first[which]], x, y, groups=groups))
+            d, t, p, n = d[hit], t[hit], p[hit], n[r][hit]
+            row, one_of = numbered(d, t)
+            which, x, y = merged(row, p, p + n - 1 + long)
+            yield blob_batch(RANGES, *by_document(d[one_of[which]], t[one_of[which]], x, y, groups=groups))
 
     return fetched.groupBy("key").applyInArrow(run, SCHEMA)
 
