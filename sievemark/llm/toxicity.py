@@ -4,8 +4,9 @@ Training: a bounded sample of labelled rows (``train_rows``, smallest hashes of
 the id first) gives, for each token, the numbers of distinct toxic and clean
 texts that hold it.  Tokens get log-odds with an informative Dirichlet prior;
 those whose likelihood ratio against equal shares is beyond ``chance``, divided
-by the number of tokens tested, make the model, at most ``most_tokens`` of them.  All other tokens carry one small negative score, so that the expected
-score is negative and segment statistics hold.
+by the number of tokens tested, make the model, at most ``most_tokens`` of them.
+All other tokens carry one small negative score, so that the expected score is
+negative and segment statistics hold.
 
 Scoring: every text is scanned once in linear time (Ruzzo and Tompa 1999) for
 all maximal scoring segments.  A segment of score S in a text of m tokens has
@@ -208,30 +209,47 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         return m
 
     def measured(batches):
-        """Tokens and hits by text, for the segment statistics, in a bounded histogram of best scores."""
+        """Of each clean text its tokens and best score (token null); of each batch of them the model's tokens and how often they stand there."""
         for b in tidy(batches):
-            rows = [(n, max((s for *_, s in found), default=0.0), sum(s for *_, s in found), len(found)) for _, n, found in walk(b.column("text"), hashes, scores, m.drift)]
-            toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array([float(x[i]) for x in rows], pa.float64()) for i in range(4)] + [pa.array(toxic.astype(np.int32))], ["n", "best", "sum", "found", "toxic"])
-
-    seen = sample.mapInArrow(measured, "n double, best double, sum double, found double, toxic int").toPandas()  # at most train_rows rows of numbers
-    clean = seen[seen.toxic == 0]
-    size = float(clean.n.sum()) + 1
-    rate = (float(clean.found.sum()) + 0.5) / size
-    mean = float(np.average(scores, weights=t[keep][order]))
-    low, high = 1e-3, 20.0
-    for _ in range(60):  # lambda: rate exp(l mean) + (1 - rate) exp(l drift) = 1
-        mid = (low + high) / 2
-        low, high = (mid, high) if rate * math.exp(min(700, mid * mean)) + (1 - rate) * math.exp(mid * m.drift) < 1 else (low, mid)
-    m.decay = low
+            if not b.num_rows:
+                continue
+            rows = [(n, max((s for *_, s in found), default=0.0)) for _, n, found in walk(b.column("text"), hashes, scores, m.drift)]
+            every = np.concatenate([h[hits(hashes, scores, h)[0]] for _, h, _ in row_tokens(b.column("text"))])
+            token, n = np.unique(every, return_counts=True)
+            value = pa.array([*(x[1] for x in rows), *map(float, n)], pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([None] * len(rows) + token.view(np.int64).tolist(), pa.int64()), pa.array([x[0] for x in rows] + [0] * len(token), pa.int64()), value], ["token", "n", "value"])
+
+    seen = staged(sample.where("toxic = 0").mapInArrow(measured, "token long, n long, value double"), "toxic-clean")
+    size = float(seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n) + 1
+    often = seen.where("token is not null").groupBy("token").agg(F.sum("value").alias("value")).toPandas()  # at most most_tokens rows
+    share = np.zeros(len(hashes))
+    share[np.searchsorted(hashes, often.token.to_numpy(np.int64).view(np.uint64))] = often.value / size
+    m.decay = decay(share, scores, m.drift)
     floor = float(np.quantile(scores, 0.1))
-    m.k = (float((clean.best >= floor).sum()) + 0.5) / size * math.exp(m.decay * floor)
-    x = np.array([sum((v,)) if (v := m.decay * s - f * math.log(m.k * max(n, 1))) > 0 else 0.0 for n, s, f in zip(seen.n, seen["sum"], seen.found)])
-    m.slope, m.intercept = logistic(np.log1p(x), (seen.toxic > 0).to_numpy(float))
+    m.k = (seen.where(F.col("token").isNull() & (F.col("value") >= floor)).count() + 0.5) / size * math.exp(m.decay * floor)
+
+    def weighed(batches):
+        for b in tidy(batches):
+            x = [evidence(found, n, m) for _, n, found in walk(b.column("text"), hashes, scores, m.drift)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("toxic")], ["x", "toxic"])
+
+    x = sample.mapInArrow(weighed, "x double, toxic int").toPandas()  # at most train_rows rows of numbers
+    m.slope, m.intercept = logistic(np.log1p(x.x.to_numpy()), (x.toxic > 0).to_numpy(float))
+    dropped(sample.sparkSession, seen)
     dropped(sample.sparkSession, sample)
     return m
 
 
+def decay(share: np.ndarray, scores: np.ndarray, drift: float) -> float:
+    """lambda: the sum of p exp(lambda s) over clean text, ``share`` of tokens with ``scores`` and all others with ``drift``, is 1."""
+    low, high = 1e-3, 20.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        total = float((share * np.exp(np.minimum(700, mid * scores))).sum()) + (1 - share.sum()) * math.exp(mid * drift)
+        low, high = (mid, high) if total < 1 else (low, mid)
+    return low
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Slope and intercept by Newton steps with a light ridge."""
     a = np.column_stack([x, np.ones(len(x))])
