@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by inner product with a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (``fit_rows``); every vector is put into
-it.  Inner products become distances by one more component, sqrt(M^2 - |x|^2)
+The tree is fitted on a sample (``fit_rows``, by default one in 17 rows, at least
+20,000 and at most 1,000,000), so that leaves hold about ``leaf_rows`` vectors up to
+17 million and the tree, which all tasks get, stays below about 60 MB; every vector
+is put into it.  Inner products become distances by one more component, sqrt(M^2 - |x|^2)
 with M the largest norm, which is 0 for queries.  A query walks the tree
 best-bin-first: a priority queue of nodes by distance to their centroids yields
 leaves in turn.  How many leaves are visited is calibrated: for a bounded sample
 of queries the true neighbours are found among all rows, and visits are widened
-until they hold ``recall`` of them.
+until they hold ``recall`` of them.  A query whose leaves hold fewer than ``k`` other
+vectors goes on down its queue.
 
 Neighbouring leaves make buckets of about ``GROUP`` vectors; a larger leaf makes
 several groups, its vectors dealt by a hash of the id.  A query goes once to each
@@ -65,20 +68,24 @@ class Tree:
                     todo[int(child)] = rows[to == child]
         return at
 
-    def visits(self, q: np.ndarray, most: int) -> list[list[int]]:
-        """For each query its first ``most`` leaves, best bin first."""
-        q = np.column_stack([q, np.zeros(len(q))])
-        d = (self.centroids**2).sum(axis=1) - 2 * q @ self.centroids.T
+    def visits(self, q: np.ndarray, most: int, count: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """For each query its first ``most`` leaves, best bin first, and more until these hold ``least`` vectors of ``count``."""
+        q, square = np.column_stack([q, np.zeros(len(q))]), (self.centroids**2).sum(axis=1)
+        # where few leaves are visited, only the nodes that the queue reaches are measured
+        known = square - 2 * q @ self.centroids.T if 16 * most > len(self.children) else None
         out = []
-        for row in d:
-            heap, leaves = [(0.0, 0)], []
-            while heap and len(leaves) < most:
+        for i in range(len(q)):
+            heap, leaves, held = [(0.0, 0)], [], 0
+            while heap and (len(leaves) < most or held < least):
                 node = heapq.heappop(heap)[1]
                 below = self.children[node]
                 if not below:
                     leaves.append(node)
-                for c in below:
-                    heapq.heappush(heap, (row[c], c))
+                    held += 0 if count is None else int(count[node])
+                    continue
+                d = known[i, below] if known is not None else square[below] - 2 * self.centroids[below] @ q[i]
+                for c, x in zip(below, d.tolist()):
+                    heapq.heappush(heap, (x, c))
             out.append(leaves)
         return out
 
@@ -106,6 +113,7 @@ class Groups:
     size: list[int]  # leaves of each bucket
     parts: np.ndarray  # groups of each bucket
     first: np.ndarray  # number of its first group
+    count: np.ndarray  # vectors of each leaf
 
 
 def grouped(tree: Tree, count: dict[int, int]) -> Groups:
@@ -121,7 +129,9 @@ def grouped(tree: Tree, count: dict[int, int]) -> Groups:
         size[-1] += 1
         rows[-1] += n
     parts = np.maximum(1, -(-np.array(rows) // GROUP))
-    return Groups(bucket, place, size, parts, np.cumsum(parts) - parts)
+    rows_of = np.zeros(len(tree.children), np.int64)
+    rows_of[list(count)] = list(count.values())
+    return Groups(bucket, place, size, parts, np.cumsum(parts) - parts, rows_of)
 
 
 def kmeans(x: np.ndarray, k: int, rng, rounds: int = 10) -> np.ndarray:
@@ -254,13 +264,14 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
 
 
 @tidied
-def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vector_col="embedding", recall: float = 0.96, fit_rows: int = 20_000, leaf_rows: int = 200, branch: int = 16, calibration: int = 200) -> DataFrame:
+def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vector_col="embedding", recall: float = 0.96, fit_rows: int | None = None, leaf_rows: int = 200, branch: int = 16, calibration: int = 200) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row that ``query_filter(id)`` picks."""
     spark = vectors.sparkSession
     rows = staged(taking_part(vectors, id_col, vector_col), "vectors")
     about = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).first()
     if not about.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fit_rows = fit_rows or min(1_000_000, max(20_000, about.n // 17))
     sample = hash_sample(rows, "id", fit_rows, about.n).select("v").toArrow()  # at most fit_rows vectors
     sample = matrix(sample.column("v").combine_chunks())
     share = len(sample) / about.n
@@ -325,16 +336,16 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
             if not b.num_rows:
                 continue
             ids, q, g = b.column(0).to_numpy(), matrix(b.column(1)), where.value
-            leaves = [np.array(x) for x in sent.value.visits(q, visits)]
+            leaves = [np.array(x) for x in sent.value.visits(q, visits, g.count, k + 1)]
             row, leaf = np.repeat(np.arange(len(ids)), [len(x) for x in leaves]), np.concatenate(leaves)
             out = [[] for _ in NAMES]
-            for k in np.unique(g.bucket[leaf]):
-                mine = g.bucket[leaf] == k
+            for bucket in np.unique(g.bucket[leaf]):
+                mine = g.bucket[leaf] == bucket
                 rows, back = np.unique(row[mine], return_inverse=True)
-                seen = np.zeros((len(rows), g.size[k]), bool)
+                seen = np.zeros((len(rows), g.size[bucket]), bool)
                 seen[back, g.place[leaf[mine]]] = True
-                for part in range(int(g.parts[k])):
-                    for o, v in zip(out, (int(g.first[k]) + part, 1, ids[rows].tobytes(), q[rows].tobytes(), seen.tobytes())):
+                for part in range(int(g.parts[bucket])):
+                    for o, v in zip(out, (int(g.first[bucket]) + part, 1, ids[rows].tobytes(), q[rows].tobytes(), seen.tobytes())):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], NAMES)
 
