@@ -195,7 +195,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
     return docs.mapInArrow(run, docs.schema)
 
 
-def digests(found: DataFrame) -> DataFrame:
+def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The digest columns of the contract, from the operator's spans."""
     from pyspark.sql import functions as F
 
@@ -206,7 +206,7 @@ def digests(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
     return found.select(
-        "doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans")
+        id_col, *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans")
     )
 
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import count, takewhile
 
 import duckdb
 import numpy as np
@@ -16,6 +17,7 @@ import corpus_pipeline
 from sievemark.llm import ann_tree, lm_score, ngram_join, queries, suffix_dedup, toxicity
 from sievemark.llm._graph import components
 from sievemark.llm._rindex import RunIndex
+from sievemark.llm import decontaminate as decontamination
 from sievemark.llm._words import tokens, words
 from sievemark.llm.decontaminate import decontaminate, without_benchmark
 
@@ -71,6 +73,113 @@ def test_blocks_of_the_benchmark_agree(spark):
     assert decontaminate(d.where("false"), b).count() == 0 and decontaminate(d, b.where("false")).count() == 0
 
 
+def test_slots_agree_both_ways(spark):
+    """Four names and two numbers don't match a text in which all names, or all numbers, are one."""
+    item = "Alice gave Bob 12 red pears while Carol and Dave were counting 7 green plums in the old kitchen garden"
+    one = re.sub("Alice|Bob|Carol|Dave", "Eve", item).replace("12", "7")
+    other = item.replace("Alice", "Ina").replace("Bob", "Jon").replace("Carol", "Kim").replace("Dave", "Lou").replace("12", "31")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate(frame(spark, [one, other, item]), b).collect()] == [1, 2]
+
+
+class Plain:
+    """Template matching of one item and one text by comparing windows of strings, for tests."""
+
+    UNITS = set(decontamination.UNITS)
+
+    def __init__(self, text):
+        self.tokens, self.kind = [], []
+        for raw in re.split(r"[\x20\x09-\x0D]+", text or ""):
+            own = re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", "", raw)
+            if not own:
+                continue
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in own)
+            number = any(c.isascii() and c.isdigit() for c in own)
+            unit = not number and self.kind and self.kind[-1] == "number" and low in self.UNITS
+            name = "A" <= own[0] <= "Z" or "À" <= own[0] <= "Þ"
+            self.tokens.append(low)
+            self.kind.append("number" if number else "unit" if unit else "name" if name else None)
+
+    def template(self, names):
+        if names is None:
+            return [(t,) for t in self.tokens]
+        return [k if k and (names or k != "name") else (t,) for t, k in zip(self.tokens, self.kind)]
+
+    def windows(self, names, size):
+        t, least = self.template(names), 0 if names is None else min(3, size - 2)
+        return {i: tuple(t[i : i + size]) for i in range(len(t) - size + 1) if sum(isinstance(x, tuple) for x in t[i : i + size]) >= least}
+
+
+def plain_match(item, doc, window=6, coverage=0.4, run=12, consistent=0.8):
+    total = len(item.tokens)
+    if not total:
+        return False
+    size, hits = min(window, total), []
+    for names in (True, False, None):
+        own = item.windows(names, size)
+        if names is None and total >= 4:
+            own = {i: w for i, w in own.items() if i not in item.windows(False, size)}
+        elif names is not None and total < 4:
+            continue
+        there = doc.windows(names, size).items()
+        if names is None and size < window:
+            there = list(there)
+            there = [x for x in there if x[1] in own.values()][:1]
+        hits += [(at - i, i) for at, w in there for i, v in own.items() if v == w]
+    hits.sort()
+    groups = []
+    for h in hits:
+        if groups and h[0] - groups[-1][-1][0] <= 3:
+            groups[-1].append(h)
+        else:
+            groups.append([h])
+    for g in groups:
+        place = {}
+        for shift, i in g:
+            for x in range(i, i + size):
+                place.setdefault(x, x + shift)
+        longest = max(sum(1 for _ in takewhile(lambda y: y in place, count(x))) for x in place)
+        slots = [(item.tokens[x], doc.tokens[y]) for x, y in place.items() if item.kind[x]]
+        agree = 1.0
+        if slots:
+            both = Counter(slots)
+            agree = sum(max(n for (x, y), n in both.items() if (x, y)[side] == v) for side in (0, 1) for v in {s[side] for s in slots}) / (2 * len(slots))
+        if (len(place) >= coverage * total or longest >= run) and agree >= consistent:
+            return True
+    return False
+
+
+def test_template_matches_against_brute_force(spark):
+    r = random.Random(11)
+    d, b = (duckdb.sql(f"select * from '{SF}/{t}.parquet' order by 1").fetchall() for t in ("documents", "benchmark"))
+    items = [x[1] for x in b[:25]] + [ITEM, "What is 12 * 7 + 3?", "Compute 45 + 17", "12 kg + 7 kg = 19 kg and 40 km / 5 h = 8 km", "one two", ""]
+    names = ["Maria", "Juan", "Olaf", "12", "9", "77"]
+    docs = [x[1] for x in d[:60]]
+    for _ in range(120):
+        w = r.choice(items).split()
+        for _ in range(r.randint(0, 6)):
+            if w:
+                i = r.randrange(len(w))
+                if w[i][0].isupper() or w[i].isdigit() or r.random() < 0.3:
+                    w[i] = r.choice(names)
+                elif r.random() < 0.3:
+                    del w[i]
+                elif r.random() < 0.3:
+                    w = w[i:]
+        docs.append("so " * r.randint(0, 3) + " ".join(w) + " and so on")
+    spark_items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate(frame(spark, docs), spark_items).collect()}
+    plain_items, plain_docs = [Plain(t) for t in items], [Plain(t) for t in docs]
+    assert got == {(i, j) for i, t in enumerate(plain_docs) for j, x in enumerate(plain_items) if plain_match(x, t)} and len(got) > 60
+
+
+def test_decontamination_of_odd_rows(spark):
+    """Repeated documents and items give a row each; very long texts are read to their ends."""
+    docs = [ITEM, ITEM, "word " * 400_000 + ITEM]
+    b = spark.createDataFrame([(1, ITEM), (1, ITEM)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate(frame(spark, docs, [1, 1, 2]), b).collect()) == [1, 1, 1, 1, 2, 2]
+
+
 # ---- similarity join
 def brute_groups(rows):
     up = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -364,6 +473,30 @@ def test_toxicity_accuracy(spark):
     assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.8 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.03
 
 
+def test_segment_statistics_calibrate():
+    """lambda solves its equation, and chance segments are about as many as E = K n exp(-lambda S) says."""
+    r = np.random.default_rng(6)
+    scores, share, drift = np.array([1.0, 2.0, 3.5]), np.array([0.01, 0.004, 0.001]), -0.05
+    lam = toxicity.decay(share, scores, drift)
+    assert (share * np.exp(lam * scores)).sum() + (1 - share.sum()) * math.exp(lam * drift) == pytest.approx(1)
+    n, tops = 400, []
+    for _ in range(4000):
+        x = r.choice(np.array([drift, *scores]), n, p=[1 - share.sum(), *share])
+        at = np.flatnonzero(x > 0)
+        tops.append(max((s for *_, s in toxicity.passages(at, x[at], drift)), default=0.0))
+    tops = np.array(tops)
+    k = (tops >= 2.0).mean() / n * math.exp(lam * 2.0)
+    for s in (3.0, 4.0, 5.0):
+        assert (tops >= s).mean() == pytest.approx(k * n * math.exp(-lam * s), rel=0.6)
+
+
+def test_toxicity_of_very_long_texts(spark):
+    docs, labels, rows = toxic_table(spark)
+    long = spark.createDataFrame([(9100, rows[1][1] + " plain words" * 300_000, "x"), (9101, "plain words " * 300_000 + "vilest rubbish! vilest rubbish!", "x")], docs.schema)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs.unionByName(long), labels).where("doc_id >= 9100").collect()}
+    assert got[9100].predicted == 0 and got[9101].n_passages == 1 and 0 <= got[9101].score <= 1
+
+
 # ---- nearest neighbours
 def truth(rows, q, k):
     score = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q)
@@ -394,6 +527,32 @@ def test_nearest_neighbours(spark):
     assert ann_tree.nearest(df.where("false"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_small_leaves_are_left_for_more(spark):
+    """Clusters of fewer vectors than are asked for, each in a leaf of its own."""
+    r = np.random.default_rng(3)
+    rows = {i: (np.eye(16)[i % 16] * 5 + r.normal(size=16) * 0.01).tolist() for i in range(160)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = ann_tree.nearest(df, lambda i: i % 20 == 0, k=20, recall=0.01, leaf_rows=12, branch=16).groupBy("query_id").count().collect()
+    assert {x["count"] for x in got} == {20} and len(got) == 8
+
+
+def test_recall_on_the_registered_table(spark):
+    sf = "/root/testdata/sf0.1"
+    ids, x = zip(*duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet' order by 1").fetchall())
+    x, at = np.array(x, np.float64), {v: i for i, v in enumerate(ids)}
+    hit = n = 0
+    found = {}
+    for r in queries.op10_kmeans_tree_search(spark, sf).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(found) == {i for i in ids if i % 20 == 0}
+    for q, have in found.items():
+        s = x @ x[at[q]]
+        s[at[q]] = -np.inf
+        hit += len(have & {ids[i] for i in np.argsort(-s, kind="stable")[:20]})
+        n += 20
+    assert hit / n >= 0.9
+
+
 def test_large_leaves_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(ann_tree, "GROUP", 50)
     rows = {i: [1.0, 0.0] if i % 3 else [float(i % 7), 1.0] for i in range(400)}
@@ -406,6 +565,24 @@ def test_large_leaves_are_dealt_out(spark, monkeypatch):
 
 
 # ---- pipeline
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, clashing and further columns, empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, row int, row_ int, spans string, key int"
+    docs = [(1, "a b c d e f", "en", "s", 11, 1, 1, 1, "x", 1), (1, "a b c d e f", "en", "s", 11, 1, 1, 1, "x", 1), (None, None, None, None, None, None, None, None, None, None), (3, "", "en", "s", 0, 1, 1, 1, "x", 1), (2, "password = hunter2hunter2", "en", "s", 25, 1, 1, 1, "x", 1), (4, "long " * 100_000, "en", None, 500_000, 1, 1, 1, "x", 1)]
+    for name, rows in (("full", docs), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, None, None), (1, None, 0), (1, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(None, None), (1, ""), (2, None)] if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, folder)
+            assert out.columns == [c.split()[0] for c in schema.split(", ")]
+        assert sorted(str(r.doc_id) for r in out.collect()) == (["1", "2", "3", "4", "None"] if rows else [])
+        assert not rows or {r.text for r in out.collect() if r.doc_id == 2} == {"<assign>"}
+        assert {str(r.doc_id) for r in corpus_pipeline.run(spark, folder).collect()} == ({"1", "2", "3", "4", "None"} if rows else set())
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
