@@ -2,13 +2,19 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame.  All but the last return the columns of ``documents``.
+
+Defined cases, of all stages: a null text counts as empty and its row stays; rows
+with a null id stay, each for itself; further columns are carried along whatever
+their names; an empty table gives an empty table.  Of rows with equal ids
+``ngram_join`` keeps one, the other stages keep all; without labels or benchmark
+items nothing is rejected.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemark.llm._common import staged, table
+from sievemark.llm._common import dropped, staged, table
 from sievemark.llm.decontaminate import without_benchmark
 from sievemark.llm.ngram_join import one_of_each
 from sievemark.llm.packing import pack_documents
@@ -49,9 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; what a stage returns is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        after = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(spark, before)
+        docs = before = after
+    return STAGES[-1][1](spark, docs, sf_dir)
