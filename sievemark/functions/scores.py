@@ -24,9 +24,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (size == 0) | F.isnan(value) | value.isNull(), F.lit(-1.0)).otherwise(value)
 
 
-def dual_score(step: Column, error: Column, weight: float = 0.65) -> Column:
-    """Weighted sum of both sides, or the one that is there."""
+def dual_score(step: Column, error: Column, weight: float = 0.65, floor: float | None = None) -> Column:
+    """Weighted sum of both sides, or the one that is there; null where both are and the error side is below ``floor``."""
     both = (1 - weight) * step + weight * error
+    both = both if floor is None else F.when(error >= floor, both)
     return F.when(step.isNull(), error).when(error.isNull(), step).otherwise(both)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_value, let, scrub_identifiers, text
+from .text import clean_error, clean_text, clean_value, let, scrub_identifiers, text
 
 # Rows of the table in order, and the spellings of their labels.
 FIELDS = ["Order Type Failed", "BAN CAN", "MSISDN", "Cause", "Category", "Solution applied", "System modified", "Customer action"]
@@ -20,7 +20,8 @@ ALIASES = {
     "customer action": "Customer action", "customer": "Customer action", "next step": "Customer action",
 }
 SEPARATOR = r"^:?-{2,}:?$"
-LABELS = r"Order Reason|Order Type|Failed Step|Step|Error Description|Error Message|Error Code|Error|Release|Product"
+LABELS = ["Order Reason", "Order Type", "Step", "Failed Step", "Error Description", "Error Code", "Sub Type", "Order Sub Type", "Service Type", "Action"]
+ERROR_LABELS = ["Error Description", "Error Code"]
 
 
 def lookup(table: dict[str, str]) -> Column:
@@ -90,12 +91,27 @@ def render_fix(cause: Column, parts: Column) -> Column:
 
 
 def structured_fields(body: Column) -> Column:
-    """Map of known labels to values of ``Label: value`` parts; error fields run to the line's end, others to a bar."""
-    found = F.regexp_extract_all(text(body), F.lit(rf"(?im)\b(?:{LABELS})\s*:\s*[^\n]*"), F.lit(0))
-    pairs = F.transform(found, lambda x: F.struct(F.initcap(squash(F.regexp_extract(x, r"^([^:]+):", 1))).alias("k"), squash(F.regexp_extract(x, r"^[^:]+:\s*(.*)$", 1)).alias("v")))
-    pairs = F.transform(pairs, lambda x: F.struct(x["k"].alias("k"), F.when(F.startswith(x["k"], F.lit("Error")), x["v"]).otherwise(F.trim(F.regexp_extract(x["v"], r"^([^|]*)", 1))).alias("v")))
-    real = F.filter(first_of_each(pairs), lambda x: F.startswith(x["k"], F.lit("Error")) | ~F.regexp_like(x["v"], F.lit(r"^\d*$")))
-    return F.map_from_entries(real)
+    """Map of known labels to cleaned values, where one stands there.
+
+    A label stands at a line's start or after a bar, bold or not, and a colon or a bar
+    follows.  Values of error labels run to the line's end, others to a bar; bare numbers
+    only count as errors.
+    """
+    pairs = []
+    for label in LABELS:
+        error = label in ERROR_LABELS
+        inside, end = (r"[^*\n]", r"\s*(?:$|\n)") if error else (r"[^*\n|]", r"\*?\s*(?:\||$|\n)")
+        raw = F.regexp_extract(text(body), rf"(?im)(?:^|\n|\|)\s*\*?{label}\*?\s*[:|]\s*\*?({inside}{{1,200}}?){end}", 1)
+        value = clean_error(raw) if error else clean_text(raw)
+        real = (value != "") if error else (value != "") & ~F.regexp_like(value, F.lit(r"^\d+$"))
+        pairs.append(F.when(real, F.struct(F.lit(label).alias("k"), value.alias("v"))))
+    return F.map_from_entries(F.array_compact(F.array(*pairs)))
+
+
+def field_lines(body: Column) -> Column:
+    """The structured fields as ``Label: value`` lines, in the order of the labels."""
+    fields = structured_fields(body)
+    return let(fields, lambda m: F.concat_ws("\n", *(F.when(F.map_contains_key(m, label), F.concat(F.lit(f"{label}: "), m[label])) for label in LABELS)))
 
 
 def first_match(body: Column, table: list[tuple[str, str]], default: str = "") -> Column:

@@ -27,7 +27,7 @@ UUID = r"\b[A-Fa-f0-9]{8}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-
 EMAIL = r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?<!\w)\+?\d[\d ()-]{8,}\d(?!\w)"
 SEVEN_DIGITS = r"\b\d{7,}\b"
-EMPTY_SPELLINGS = ("", "na", "n/a", "none", "null", "nil", "-", "--")
+EMPTY_SPELLINGS = ("", "na", "n/a", "n.a.", "none", "-", "--", "nil")
 PLACEHOLDER = r"(?is)^(?:n/?a|none|done|fixed|resolved|closed|ok|completed?|(?:completed?|retr(?:y|ied))\s+(?:the\s+)?(?:failed\s+)?step)[.! ]*$"
 AUTOMATIC_CLOSURE = r"(?is)(?:resolved for more than\s+\d+\s+days?\s+with no response|will now be automatically closed|automatically closed due to inactivity)"
 ERROR_CODES = (
@@ -37,7 +37,9 @@ ERROR_CODES = (
     r"^\s*\[?([A-Z][A-Z0-9_-]{1,30}|-?\d{1,6})\]?\s*(?:(?:\||:|-|–)|(?=\s+[A-Z]))",
     r"\b(UNABLE_TO_LOCK_ROW|DUPLICATE_VALUE|REQUEST_LIMIT_EXCEEDED)\b",
 )
-MEDIA = r"(?i)!\S+\.(?:png|jpe?g|gif|bmp)[^!]*!|\[\^[^\]]+\]|<img[^>]*>"
+MEDIA = r"(?i)!\s*[^!\n]*?\.(?:png|jpe?g|gif|bmp|svg|pdf|docx?|xlsx?)[^!\n]*!?"
+ATTACHMENT = r"\[\^[^\]\n]+\]"
+UPDATE_NOTE, UPDATE_DETAILS = "update from salesforce", ("orderstepid", "order step link", "pr_error_description__c", "lastmodifieddate", "execution log")
 
 
 def text(c: Column) -> Column:
@@ -181,14 +183,32 @@ def epoch(c: Column) -> Column:
 
 
 def clean_value(c: Column) -> Column:
-    return F.when(F.lower(F.trim(text(c))).isin(*EMPTY_SPELLINGS), "").otherwise(F.trim(text(c)))
+    """A field's value with white space made one, '' for the spellings of nothing."""
+    value = F.trim(F.regexp_replace(text(c), r"\s+", " "))
+    return F.when(F.lower(value).isin(*EMPTY_SPELLINGS), "").otherwise(value)
+
+
+def labelled(c: Column, *names: str) -> Column:
+    """Value of the first name that labels a line, with the lines up to the next label; null if none does."""
+    found = []
+    for name in names:
+        label = rf"(?im)^[ \t]*(?:\|{{1,2}}[ \t]*|\*{{0,2}}[ \t]*){name}[ \t]*\*{{0,2}}[ \t]*(?:\|{{1,2}}|:)[ \t]*"
+        pattern = label + r"(.*(?:\n(?![ \t]*(?:\||\*{0,2}[\w /]{2,40}\*{0,2}[ \t]*:)).*)*)"
+        lines_ = F.transform(F.split(F.regexp_extract(text(c), pattern, 1), "\n"), lambda x: F.rtrim(x, F.lit(" |")))
+        found.append(F.when(F.regexp_like(text(c), F.lit(label)), F.regexp_replace(F.array_join(lines_, "\n"), r"^\s+|\s+$", "")))
+    return F.coalesce(*found)
 
 
 def resolution_text(c: Column) -> Column:
     """The solution field, else the fix block, else the whole body."""
-    named = field(c, r"Solution\s+Applied", "Resolution", "Workaround", "Fix", most=12000)
-    inner = F.trim(F.regexp_extract(text(c), r"(?is)===\s*fix\s*===\s*(.*?)(?:===\s*end\s*===|$)", 1))
-    return F.when(named != "", named).when(inner != "", inner).otherwise(F.trim(text(c)))
+    block = r"(?is)===\s*fix\s*===\s*(.*?)(?:===\s*end\s*===|$)"
+    inner = F.when(F.regexp_like(text(c), F.lit(block)), F.trim(F.regexp_extract(text(c), block, 1)))
+    return F.coalesce(labelled(c, r"Solution Applied", "Resolution", "Workaround", "Fix"), inner, F.trim(text(c)))
+
+
+def resolution_evidence(c: Column) -> Column:
+    """Solution and customer action, one after the other."""
+    return F.concat_ws("\n", F.nullif(resolution_text(c), F.lit("")), F.nullif(labelled(c, "Customer Action"), F.lit("")))
 
 
 def lines(c: Column) -> Column:
@@ -204,7 +224,18 @@ def is_automatic_closure(c: Column) -> Column:
 
 
 def strip_media(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text(c), MEDIA, ""), r"\n\s*\n+", "\n"))
+    """The prose around embedded media and attachment links, with the blank runs they leave made one."""
+    bare = F.regexp_replace(F.regexp_replace(text(c), MEDIA, " "), ATTACHMENT, " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", "")
+
+
+def is_generated(c: Column, *markers: str) -> Column:
+    """An automatic closure, an update that another system posted, or a comment with an own marker."""
+    low = F.lower(text(c))
+    found = is_automatic_closure(c) | (F.contains(low, F.lit(UPDATE_NOTE)) & F.greatest(*(F.contains(low, F.lit(d)) for d in UPDATE_DETAILS)))
+    for m in markers:
+        found = found | F.contains(text(c), F.lit(m))
+    return found
 
 
 def bounded_query(c: Column, most: int = 1800) -> Column:

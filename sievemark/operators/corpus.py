@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 TIERS = ("high", "medium", "low")
 
 
@@ -69,12 +71,14 @@ def exact_duplicates(docs: DataFrame, key: str, body: Column) -> DataFrame:
 
 def first_of(frames: list[DataFrame], key: str) -> DataFrame:
     """Union in which the earliest frame wins a key."""
-    every = None
+    columns = list(dict.fromkeys(c for f in frames for c in f.columns))
+    origin, every = "origin", None
+    while origin.lower() in {c.lower() for c in columns}:
+        origin += "_"
     for i, f in enumerate(frames):
-        f = f.withColumn("__from", F.lit(i))
+        f = f.withColumn(origin, F.lit(i))
         every = f if every is None else every.unionByName(f, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("__from")
-    return every.withColumn("__row", F.row_number().over(w)).where("__row = 1").drop("__row", "__from")
+    return numbered(every, Window.partitionBy(key).orderBy(origin), lambda n: n == 1).select(*columns)
 
 
 def listing(rated: DataFrame, key: str, limit: int, offset: int) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import new_column, numbered
+
 
 def versions(seen: DataFrame, pattern: str, body: str, at: str, key: str) -> DataFrame:
     """One row for each distinct body of a pattern: number by first sight, latest time, status, sources.
@@ -31,32 +36,63 @@ def tally(votes: DataFrame, *by: str) -> DataFrame:
 
 def first_votes(votes: DataFrame, key: list[str], order: str) -> DataFrame:
     """Insert-or-ignore: the earliest vote of each key counts."""
-    w = Window.partitionBy(*key).orderBy(order)
-    return votes.withColumn("__row", F.row_number().over(w)).where("__row = 1").drop("__row")
+    return numbered(votes, Window.partitionBy(*key).orderBy(order), lambda n: n == 1)
 
 
 def outcome_counts(outcomes: DataFrame, *by: str) -> DataFrame:
     return outcomes.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("verified") & (F.col("outcome") == "succeeded")).alias("ok"), F.count_if(F.col("verified") & (F.col("outcome") == "failed")).alias("failed"))
 
 
+START = "0" * 64
+
+
+def link_hash(payload: Column, previous: Column) -> Column:
+    """An event's hash covers its content and its predecessor's hash."""
+    return F.sha2(F.concat(payload, F.lit("|"), previous), 256)
+
+
 def chained(events: DataFrame, partition: str, order: str, payload: Column) -> DataFrame:
-    """Hash of each event's payload and its predecessor's, for links of an audit log.
+    """Adds previous_hash and event_hash of an audit log; each partition is a chain of its own.
 
-    The hash covers own and previous payload, so a link is checked without a pass in
-    sequence; each partition is a chain of its own.
+    A link needs its predecessor's hash, so a chain is walked in order: events are sorted
+    within their partition and streamed, with one hash kept.  Payloads are text.
+    """
+    columns = events.columns
+    rows = events.withColumn("payload", payload).withColumn("chain", F.col(partition).cast("string"))
+    kinds = {f.name: f.dataType for f in events.schema}
+    schema = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in columns), "previous_hash string", "event_hash string"])
+
+    def walk(batches):
+        chain, last, started = None, START, False
+        for b in batches:
+            previous, own = [], []
+            for body, name in zip(b.column("payload").to_pylist(), b.column("chain").to_pylist()):
+                if not started or name != chain:
+                    chain, last, started = name, START, True
+                previous.append(last)
+                last = hashlib.sha256(f"{body or ''}|{last}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(previous, pa.string()), pa.array(own, pa.string())], [*columns, "previous_hash", "event_hash"])
+
+    return rows.repartition("chain").sortWithinPartitions("chain", order).mapInArrow(walk, schema)
+
+
+def broken_links(log: DataFrame, partition: str, order: str, payload: Column) -> DataFrame:
+    """Events whose content doesn't have the stored hash, or whose predecessor isn't the one they name.
+
+    Links are checked side by side: each needs the stored hash before it only.
     """
-    w = Window.partitionBy(partition).orderBy(order)
-    own = F.sha2(payload, 256)
-    df = events.withColumn("payload_hash", own).withColumn("previous_hash", F.coalesce(F.lag("payload_hash").over(w), F.lit("")))
-    return df.withColumn("event_hash", F.sha2(F.concat("previous_hash", F.lit("|"), "payload_hash"), 256))
+    before = F.coalesce(F.lag("event_hash").over(Window.partitionBy(partition).orderBy(order)), F.lit(START))
+    wrong = ~F.col("previous_hash").eqNullSafe(before) | ~F.col("event_hash").eqNullSafe(link_hash(F.coalesce(payload, F.lit("")), F.col("previous_hash")))
+    flag = new_column(log, "bad")
+    return log.withColumn(flag, wrong).where(flag).drop(flag)
 
 
-def broken_links(log: DataFrame, partition: str, order: str) -> DataFrame:
-    """Events whose stored hashes don't follow from their predecessor."""
-    w = Window.partitionBy(partition).orderBy(order)
-    want = F.coalesce(F.lag("payload_hash").over(w), F.lit(""))
-    own = F.sha2(F.concat("previous_hash", F.lit("|"), "payload_hash"), 256)
-    return log.withColumn("__bad", (F.col("previous_hash") != want) | (F.col("event_hash") != own)).where("__bad").drop("__bad")
+def audit_report(log: DataFrame, partition: str, order: str, payload: Column) -> DataFrame:
+    """Of each chain: events, whether all hold, the first that doesn't, and the newest hash."""
+    bad = broken_links(log, partition, order, payload).groupBy(partition).agg(F.min(order).alias("first_bad"))
+    heads = log.groupBy(partition).agg(F.count("*").alias("events"), F.max_by("event_hash", order).alias("head_hash"))
+    return heads.join(bad, partition, "left").withColumn("ok", F.col("first_bad").isNull())
 
 
 def fresh(cache: DataFrame, now: Column, cutoff: Column) -> DataFrame:
@@ -64,9 +100,15 @@ def fresh(cache: DataFrame, now: Column, cutoff: Column) -> DataFrame:
 
 
 def evicted(cache: DataFrame, scope: str, keep: int) -> DataFrame:
-    """Entries beyond the newest ``keep`` of each scope."""
+    """Entries beyond the newest ``keep`` of each scope.
+
+    Only entries up to the ``keep``-th stay, so these are found by a limited window, which
+    drops the rest of each task's rows before they move; the others are what isn't among them.
+    """
     w = Window.partitionBy(scope).orderBy(F.desc("created_at"), F.desc("id"))
-    return cache.withColumn("__row", F.row_number().over(w)).where(F.col("__row") > keep).drop("__row")
+    n = new_column(cache, "row")
+    kept = cache.select("id", scope, "created_at").withColumn(n, F.row_number().over(w)).where(F.col(n) <= keep)
+    return cache.join(kept.select("id"), "id", "left_anti")
 
 
 def metrics(returned: DataFrame, expected: DataFrame, cases: DataFrame, k: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Keyword, vector and fused retrieval for tables of queries.
 
-Every operator takes a whole table of queries.  The corpus is read once: query
-terms, which are few, are joined against its terms, and vectors meet queries in
-a join whose query side is broadcast only after its size was checked.
+Every operator takes a whole table of queries.  Query terms, which are few, meet
+the corpus' terms in a join whose query side is broadcast only after its size was
+checked.
 """
 
 from __future__ import annotations
@@ -11,19 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import clamp, dot
-from ..functions.text import tokens
+from ..functions.text import let, text, tokens
 
-#: Rows of queries up to which they are sent to all executors.
-BROADCAST_ROWS = 50_000
+#: Bytes up to which a table is sent to all executors, and rows of it that are counted at most.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows (as JSON) are small enough together, else as it is.
 
-    For tables that are cheap to count; what is computed is left to adaptive execution,
-    which knows its size when it gets there.
+    For tables that are cheap to compute, since this runs a job; what is dear is left to
+    adaptive execution, which knows its size when it gets there.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = df.limit(BROADCAST_ROWS + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores, dealt to all of them; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def top(df: DataFrame, k: int, score: str, key: str, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -37,22 +44,93 @@ def term_counts(corpus: DataFrame, key: str, body: str) -> DataFrame:
     return t.select("key", F.size("t").alias("len"), F.explode("t").alias("token")).groupBy("key", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, key="doc_id", body="text", query_key="item_id", query_body="text", k1=1.5, b=0.75) -> DataFrame:
-    """(query_id, key, score) of every document that shares a term with a query.
+def vocabulary(corpus: DataFrame, body: Column) -> DataFrame:
+    """(token, df, lengths, total) of all terms in one pass; the row of the empty token, marked total, has the documents and their length.
 
-    A term twice in a query counts twice.  idf is ln((N - df + 0.5) / (df + 0.5)), at
-    least a quarter of 1e-9 where a term is in most documents.
+    Rows are told apart by ``total``, which is aggregated: a filter on the token would be
+    pushed below the aggregation, and each use would read the corpus again.
+    """
+    t = corpus.select(tokens(body).alias("t")).select(F.size("t").alias("len"), F.explode(F.array_append(F.array_distinct("t"), F.lit(""))).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("df"), F.sum("len").alias("lengths"), F.max(F.col("token") == "").alias("total"))
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, key="doc_id", body="text", query_key="item_id", query_body="text", k1=1.5, b=0.75, share=0.25) -> DataFrame:
+    """(query_id, key, score) of every document whose score for a query is positive.
+
+    A term twice in a query counts twice.  idf is ln((N - df + 0.5) / (df + 0.5)); where that
+    is negative, it is ``share`` of the mean idf of all terms of the corpus.  The corpus is
+    read twice: for the terms' document frequencies, and for the counts of the queries'
+    terms.
     """
     q = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col(query_body))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    wanted = q.select("token").distinct()
+    wanted = small(q.select("token").distinct())
+    words = vocabulary(corpus, F.col(body))
+    about = words.where("total").select(F.col("df").alias("n"), (F.col("lengths") / F.col("df")).alias("mean"))
+    terms = words.where("not total").join(F.broadcast(about))  # one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    floor = terms.agg((share * F.avg(idf)).alias("floor"))
+    weighed = terms.join(wanted, "token").join(F.broadcast(floor)).select("token", "mean", F.when(idf < 0, F.col("floor")).otherwise(idf).alias("idf"))
     body_terms = corpus.select(F.col(key).alias("key"), tokens(F.col(body)).alias("t")).select("key", F.size("t").alias("len"), F.explode("t").alias("token"))
-    tf = body_terms.join(small(wanted), "token").groupBy("key", "token", "len").agg(F.count("*").alias("tf"))
-    about = corpus.select(F.size(tokens(F.col(body))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    weighed = df.crossJoin(F.broadcast(about)).select("token", "mean", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf")).where("idf > 0")  # terms of most documents add nothing
-    terms = q.join(weighed, "token")
+    tf = body_terms.join(wanted, "token").groupBy("key", "token", "len").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return tf.join(terms, "token").groupBy("query_id", "key").agg(F.sum(part).alias("score")).where("score > 0")
+    return tf.join(q.join(weighed, "token"), "token").groupBy("query_id", "key").agg(F.sum(part).alias("score")).where("score > 0")
+
+
+def quoted(corpus: DataFrame, queries: DataFrame, key="doc_id", body="text", query_key="item_id", query_body="text", window=4, block=500) -> DataFrame:
+    """(query_id, key) of the documents that hold a query's whole text.
+
+    A text that holds another holds the other's inner tokens in sequence.  So the hash of
+    one window of them (the smallest) is looked up among the document's, and only hits are
+    compared in full.  Queries of too few tokens have no window; they go as literals, a
+    ``block`` of them a pass.
+    """
+    q = queries.select(F.col(query_key).alias("query_id"), text(F.col(query_body)).alias("needle"))
+
+    def grams(words: Column) -> Column:
+        def each(t):
+            last = F.size(t) - window + 1
+            return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(t, i, F.lit(window))))).otherwise(F.array().cast("array<bigint>"))
+
+        return let(words, each)
+
+    inner = tokens(F.col("needle"))
+    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
+    keyed = q.withColumn("gram", F.array_min(grams(inner)))
+    docs = corpus.select(F.col(key).alias("key"), F.col(body).alias("body"))
+    maybe = docs.select("key", F.explode(F.array_distinct(grams(tokens(F.col("body"))))).alias("gram")).join(small(keyed.where("gram is not null")), "gram")
+    out = docs.join(maybe.drop("gram"), "key").where(F.contains("body", F.col("needle"))).select("query_id", "key")
+    short = keyed.where("gram is null").select("query_id", "needle")
+    n = short.count()
+    for i in range(-(-n // block)):
+        own = [(r.query_id, r.needle) for r in (short if n <= block else short.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) == i)).collect()]  # about ``block`` rows
+        literals = F.array(*(F.struct(F.lit(a).alias("query_id"), F.lit(b).alias("needle")) for a, b in own))
+        found = docs.select("key", F.explode(F.filter(literals, lambda x: F.contains(F.col("body"), x["needle"]))).alias("x"))
+        out = out.unionByName(found.select(F.col("x.query_id").alias("query_id"), "key"))
+    return out.distinct()
+
+
+def similar_sets(left: DataFrame, right: DataFrame, least: float, left_key="doc_id", right_key="item_id") -> DataFrame:
+    """(left key, right key, score) of token sets ``t`` with a Jaccard similarity of ``least`` or more.
+
+    Prefix filter: sets of that similarity share a token among their rarest ones, so only
+    those of the left side, which is read in one pass, meet those of the right side; each
+    pair that passes the length filter is compared once.
+    """
+    one, two = (df.select(F.col(k).alias(n), "t", F.size("t").alias("size")).where("size > 0") for df, k, n in ((left, left_key, "l"), (right, right_key, "r")))
+    often = two.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ranks = small(often)
+    # tokens in order of frequency on the right side; those that it lacks come first and match nothing
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        each = df.select(name, "size", F.explode("t").alias("token")).join(ranks, "token")
+        known = F.count("*").over(Window.partitionBy(name))
+        place = F.row_number().over(Window.partitionBy(name).orderBy("n", "token")) + F.col("size") - known
+        return each.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size")) + 1).select(name, "size", "token")
+
+    x, y = prefix(one, "l"), prefix(two, "r")
+    pairs = x.join(y.withColumnRenamed("size", "other"), "token").where((F.least("size", "other") >= least * F.greatest("size", "other"))).select("l", "r").distinct()
+    both = pairs.join(one.select("l", F.col("t").alias("a")), "l").join(two.select("r", F.col("t").alias("b")), "r")
+    score = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
+    return both.select(F.col("l").alias(left_key), F.col("r").alias(right_key), score.alias("score")).where(F.col("score") >= least)
 
 
 def fielded_bm25(corpus: DataFrame, queries: DataFrame, fields: dict[str, float], key: str, query_key: str, query_body: str, k1=1.2, b=0.75, most_terms=32) -> DataFrame:
@@ -62,25 +140,26 @@ def fielded_bm25(corpus: DataFrame, queries: DataFrame, fields: dict[str, float]
     # every field gives weighted counts; lengths are over all fields
     sized = corpus.select(F.col(key).alias("key"), *(tokens(F.col(f)).alias(f) for f in fields))
     sized = sized.withColumn("len", sum((F.size(f) for f in fields), F.lit(0)))
-    terms = sized.select("key", "len", F.explode(F.array(*(F.struct(F.lit(float(w)).alias("w"), F.col(f).alias("t")) for f, w in fields.items()))).alias("x"))
-    terms = terms.select("key", "len", F.col("x.w").alias("w"), F.explode("x.t").alias("token")).where("w > 0").join(wanted, "token")
-    tf = terms.groupBy("key", "len", "token").agg(F.sum("w").alias("tf"))
     about = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(about))
+    terms = sized.select("key", "len", F.explode(F.array(*(F.struct(F.lit(float(w)).alias("w"), F.col(f).alias("t")) for f, w in fields.items() if w > 0))).alias("x"))
+    terms = terms.select("key", "len", F.col("x.w").alias("w"), F.explode("x.t").alias("token")).join(wanted, "token")
+    tf = terms.groupBy("key", "len", "token").agg(F.sum("w").alias("tf"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(about))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighed = df.select("token", "mean", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return tf.join(q.join(weighed, "token"), "token").groupBy("query_id", "key").agg(F.sum(part).alias("score"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key="vec_id", vector="embedding", query_key="query_id", query_vector="q", score: Column | None = None) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, key="vec_id", vector="embedding", query_key="query_id", query_vector="q", score=lambda v, q: clamp(dot(v, q))) -> DataFrame:
     """(query_id, key, score) of one block of queries and all vectors: clamped inner product of unit vectors, to 9 places.
 
-    ``queries`` is broadcast; ``dense_top`` gives it blocks of bounded size.
+    ``queries`` is broadcast; ``dense_top`` gives it blocks of bounded size.  Pairs whose
+    ``score`` is null are left out.
     """
     v = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("q"))
-    return v.join(F.broadcast(q), F.lit(True)).select("query_id", "key", F.round(clamp(dot(F.col("v"), F.col("q"))), 9).alias("score"))
+    return v.join(F.broadcast(q), F.lit(True)).select("query_id", "key", F.round(score(F.col("v"), F.col("q")), 9).alias("score")).where("score is not null")
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2_000, **names) -> DataFrame:

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 FIELDS = ("failed_step", "order_type", "order_reason")
 
 
-def usable_rules(rules: list[dict]) -> list[dict]:
-    """Rules whose pattern compiles; a malformed one never matches."""
+def usable_rules(spark: SparkSession, rules: list[dict]) -> list[dict]:
+    """Rules whose pattern compiles where it will run; a malformed one never matches."""
     out = []
     for r in rules:
         try:
-            re.compile(r.get("pattern") or "")
-        except re.error:
+            spark._jvm.java.util.regex.Pattern.compile("(?is)" + (r.get("pattern") or ""))
+        except (Py4JJavaError, IllegalArgumentException):
             continue
         out.append(r)
     return out
@@ -50,7 +52,7 @@ def match_rules(queries: DataFrame, rules: list[dict], query_id: str, error: str
             _all([F.regexp_like(F.col(error), F.lit("(?is)" + r.get("pattern", ""))), *(condition(r, f, F.col(f), unknown_matches) for f in FIELDS if f in queries.columns)]),
             F.struct(F.lit(specificity(r)).alias("s"), F.lit(r.get("created_at", "")).alias("c"), F.lit(r["id"]).alias("rule_id")),
         )
-        for r in usable_rules(rules)
+        for r in usable_rules(queries.sparkSession, rules)
     ]
     if not hits:
         return queries.select(query_id, F.lit(None).cast("string").alias("rule_id")).where("false")
@@ -85,5 +87,4 @@ def overlapping(rules: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def newest(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("__row", F.row_number().over(w)).where("__row = 1").drop("__row")
+    return numbered(df, Window.partitionBy(key).orderBy(F.desc(order)), lambda n: n == 1)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import let
 
@@ -23,7 +25,43 @@ def passages(words: Column, budget: int = 96, overlap: int = 24) -> Column:
     return let(words, cut)
 
 
+def soft_pieces(body: str | None, size: int = 6000) -> list[str]:
+    """Pieces of at most ``size`` characters, ended at the last line end, else the last space, in a window's second half."""
+    out, rest = [], body or ""
+    at, n = 0, len(rest)
+    while at < n:
+        end = min(n, at + size)
+        if end < n:
+            for mark in ("\n", " "):
+                cut = rest.rfind(mark, at + size // 2, end)
+                if cut >= 0:
+                    end = cut
+                    break
+        out.append(rest[at:end].strip())
+        at = end
+        while at < n and rest[at].isspace():
+            at += 1
+    return out
+
+
 def pieces(body: Column, size: int = 6000) -> Column:
-    """Fixed pieces of at most ``size`` characters."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(body) / size)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(body, i * size + 1, F.lit(size)))
+    """``soft_pieces`` of each text; each cut depends on the one before, so it runs on Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: soft_pieces(t, size))
+
+    return run(body)
+
+
+def new_column(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, window: WindowSpec, keep) -> DataFrame:
+    """Rows whose number in the window passes ``keep``, with the columns that ``df`` has."""
+    n = new_column(df, "row")
+    return df.withColumn(n, F.row_number().over(window)).where(keep(F.col(n))).select(*df.columns)

@@ -70,8 +70,8 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- text functions
 @query(f"SELECT doc_id, sha256({cleaned('text')}) AS cleaned_sha256, length({cleaned('text')}) AS n FROM documents")
 def clean_text(spark, sf_dir):
-    c = T.clean_text(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(c, 256).alias("cleaned_sha256"), F.length(c).cast("long").alias("n"))
+    c = T.let(T.clean_text(F.col("text")), lambda c: F.struct(F.sha2(c, 256).alias("cleaned_sha256"), F.length(c).cast("long").alias("n")))
+    return retrieve.spread(load(spark, sf_dir, "documents")).select("doc_id", c.alias("c")).select("doc_id", "c.*")
 
 
 @query(f"""SELECT o_orderkey, CASE WHEN m = '' THEN code ELSE concat(code, ' | ', m) END AS cleaned
@@ -203,14 +203,14 @@ def hydrate_candidates(spark, sf_dir):
 BM25 = f"""q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS token FROM benchmark) GROUP BY 1, 2),
 dl AS (SELECT doc_id, len({TOKENS.format('text')}) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS mean FROM dl),
 tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY 1, 2),
-df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
-lex AS (SELECT q.item_id AS query_id, tf.doc_id AS key, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 0.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS score
-  FROM q JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id), st GROUP BY 1, 2 HAVING score > 0),
+df AS (SELECT token, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM tf, st GROUP BY token, n), fl AS (SELECT avg(raw) / 4 AS least FROM df),
+lex AS (SELECT q.item_id AS query_id, tf.doc_id AS key, sum(times * CASE WHEN raw < 0 THEN least ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS score
+  FROM q JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id), st, fl GROUP BY 1, 2 HAVING score > 0),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, key) AS rank FROM lex) WHERE rank <= 20)"""
 
 
 def lexical(spark, sf_dir, k=20):
-    hits = retrieve.bm25(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
+    hits = retrieve.bm25(retrieve.spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
     return retrieve.top(hits, k, "score", "key")
 
 
@@ -235,14 +235,15 @@ def dense_topk(spark, sf_dir):
     return retrieve.dense_top(load(spark, sf_dir, "embeddings"), group_queries(spark, sf_dir), 20)
 
 
-@query("""WITH gq AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY 1)
-SELECT query_id::BIGINT AS query_id, vec_id AS key, round(0.35 * list_dot_product(embedding[1:32]::DOUBLE[], q[1:32]::DOUBLE[]) + 0.65 * list_dot_product(embedding[33:64]::DOUBLE[], q[33:64]::DOUBLE[]), 6) AS score FROM embeddings, gq""")
+@query("""WITH gq AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY 1),
+s AS (SELECT query_id, vec_id AS key, round(0.35 * greatest(0, least(1, list_dot_product(embedding[1:32]::DOUBLE[], q[1:32]::DOUBLE[]))) + 0.65 * greatest(0, least(1, list_dot_product(embedding[33:64]::DOUBLE[], q[33:64]::DOUBLE[]))), 9) AS score FROM embeddings, gq
+  WHERE greatest(0, least(1, list_dot_product(embedding[33:64]::DOUBLE[], q[33:64]::DOUBLE[]))) >= 0.05)
+SELECT query_id::BIGINT AS query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 20""")
 def dual_score(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings")
-    p = e.join(retrieve.small(group_queries(spark, sf_dir)), F.lit(True))
+    """Best twenty of each query by both halves of a vector, where the error side reaches its floor."""
     half = lambda c, i: F.slice(c, i, 32)
-    step, error = (S.dot(half(F.col("embedding"), i), half(F.col("q"), i)) for i in (1, 33))
-    return p.select("query_id", F.col("vec_id").alias("key"), F.round(S.dual_score(step, error), 6).alias("score"))
+    step, error = (lambda v, q, i=i: S.clamp(S.dot(half(v, i), half(q, i))) for i in (1, 33))
+    return retrieve.dense_top(load(spark, sf_dir, "embeddings"), group_queries(spark, sf_dir), 20, score=lambda v, q: S.dual_score(step(v, q), error(v, q), floor=0.05))
 
 
 RRF = f"""{BM25}, con AS (SELECT b.item_id AS query_id, d.doc_id AS key, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
@@ -252,8 +253,7 @@ fused AS (SELECT *, least(1.0, rrf / max(rrf) OVER (PARTITION BY query_id)) AS r
 
 def quoted(spark, sf_dir):
     """Second ranked list: documents that hold a benchmark item word for word."""
-    d, b = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("body"))
-    hit = d.join(retrieve.small(b), F.contains(d["text"], F.col("body"))).select("query_id", F.col("doc_id").alias("key"))
+    hit = retrieve.quoted(retrieve.spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"))
     return hit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("key")))
 
 
@@ -279,23 +279,23 @@ def history_search(spark, sf_dir):
     return retrieve.top(ok, 5, "retrieval_score", "key").select("query_id", "key", "tier", "lang", "n", "retrieval_score", "rank")
 
 
-@query()
+@query(f"""WITH q AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(list_slice(list_filter(x, lambda y, i: list_position(x, y) = i), 1, 32)) AS token FROM (SELECT item_id, {TOKENS.format('text')} AS x FROM benchmark))),
+f AS (SELECT doc_id, w, unnest(t) AS token FROM (SELECT doc_id, 1.0 AS w, {TOKENS.format('source')} AS t FROM documents UNION ALL SELECT doc_id, 2.0, {TOKENS.format('lang')} FROM documents UNION ALL SELECT doc_id, 0.5, {TOKENS.format('text')} FROM documents)),
+dl AS (SELECT doc_id, len({TOKENS.format('text')}) + len({TOKENS.format('source')}) + len({TOKENS.format('lang')}) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS mean FROM dl),
+tf AS (SELECT doc_id, token, sum(w)::DOUBLE AS tf FROM f GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+lex AS (SELECT item_id AS query_id, doc_id AS key, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id), st GROUP BY 1, 2)
+SELECT query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM lex) WHERE rank <= 20""")
 def fielded_topk(spark, sf_dir):
-    hits = retrieve.fielded_bm25(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), {"source": 1.0, "lang": 2.0, "text": 0.5}, "doc_id", "item_id", "text")
+    hits = retrieve.fielded_bm25(retrieve.spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"), {"source": 1.0, "lang": 2.0, "text": 0.5}, "doc_id", "item_id", "text")
     return retrieve.top(hits.withColumn("score", F.round("score", 6)), 20, "score", "key")
 
 
 @query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM benchmark)
 SELECT item_id, doc_id, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS score FROM t, b WHERE len(list_intersect(a, b)) > 0 AND len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) >= 0.2""")
 def jaccard_similarity(spark, sf_dir):
-    """Token-set similarity of items and documents, by counting shared tokens in a join on the token."""
-    d = load(spark, sf_dir, "documents").select("doc_id", T.token_set(F.col("text")).alias("t"))
-    b = load(spark, sf_dir, "benchmark").select("item_id", T.token_set(F.col("text")).alias("t"))
-    one = d.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    two = b.select("item_id", F.size("t").alias("m"), F.explode("t").alias("token"))
-    shared = one.join(two, "token").groupBy("item_id", "doc_id", "n", "m").agg(F.count("*").alias("c"))
-    score = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return shared.where(score >= 0.2).select("item_id", "doc_id", F.round(score, 6).alias("score"))
+    """Token-set similarity of items and documents."""
+    d, b = (retrieve.spread(load(spark, sf_dir, t)).select(k, T.token_set(F.col("text")).alias("t")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    return retrieve.similar_sets(d, b, 0.2).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 # ---- ranking and decisions
@@ -326,10 +326,12 @@ def composite_rank(spark, sf_dir):
 
 
 @query(f"""WITH {COMPOSITE}, s AS (SELECT query_id, count(*) AS candidates, count(*) FILTER (tier = 'high') AS eligible, count(DISTINCT CASE WHEN tier = 'high' THEN d.lang END) AS procedures FROM w JOIN documents d ON d.doc_id = w.key GROUP BY 1)
-SELECT *, CASE WHEN eligible >= 2 AND procedures <= 1 THEN 'sufficient' WHEN procedures > 1 THEN 'conflicting' ELSE 'weak' END AS status FROM s""")
+SELECT item_id AS query_id, coalesce(candidates, 0) AS candidates, coalesce(eligible, 0) AS eligible, coalesce(procedures, 0) AS procedures,
+CASE WHEN eligible >= 2 AND procedures <= 1 THEN 'sufficient' WHEN procedures > 1 THEN 'conflicting' WHEN candidates IS NULL THEN 'empty' ELSE 'weak' END AS status FROM (SELECT item_id FROM benchmark UNION SELECT -1) LEFT JOIN s ON query_id = item_id""")
 def evidence_status(spark, sf_dir):
     c = composite_candidates(spark, sf_dir).join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("procedure")), "key")
-    return quality.evidence_status(c, 2)
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("query_id")))  # one that nothing answers
+    return quality.evidence_status(c, 2, asked)
 
 
 @query(f"""WITH {COMPOSITE} SELECT query_id, key, round(score, 8) AS score FROM (SELECT query_id, key, CASE WHEN net >= 3 THEN greatest(s, 0.701) ELSE s END + h AS score FROM
@@ -357,11 +359,11 @@ def source_quality(spark, sf_dir):
 
 @query()
 def pick_sources(spark, sf_dir):
-    """Of each item's fused candidates the first few that aren't near copies of one chosen before."""
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), T.token_set(F.col("text")).alias("tokens"))
+    """Of each item's fused candidates the first few that say something new."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
     c = d.join(fused(spark, sf_dir), "key")
-    ordered = c.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("retrieval_score")).alias("s"), "key", "tokens"))).alias("all"))
-    return ordered.select("query_id", F.transform(quality.pick_distinct(F.col("all")), lambda x: x["key"]).alias("keys"))
+    ordered = c.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.round("retrieval_score", 6)).alias("s"), "key", "body"))).alias("all"))  # the lists' best few only
+    return ordered.select("query_id", F.array_join(F.transform(quality.pick_sources(F.col("all")), lambda x: x["key"].cast("string")), ",").alias("keys"))
 
 
 # ---- graph
@@ -475,17 +477,37 @@ def rule_overlap(spark, sf_dir):
     return rules.overlapping(spark.createDataFrame(rows, "id string, pattern string, order_type array<string>"), ["order_type"])
 
 
-@query("""WITH h AS (SELECT event_id, user_id, sha256(concat(event_type, '|', event_id)) AS payload_hash FROM events), p AS (SELECT *, coalesce(lag(payload_hash) OVER (PARTITION BY user_id ORDER BY event_id), '') AS previous_hash FROM h)
-SELECT event_id, user_id, sha256(concat(previous_hash, '|', payload_hash)) AS event_hash FROM p""")
-def audit_chain(spark, sf_dir):
+CHAIN = """RECURSIVE e AS (SELECT event_id, user_id, event_type, concat(event_type, '|', event_id) AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT event_id, user_id, event_type, n, repeat('0', 64) AS previous_hash, sha256(concat(body, '|', repeat('0', 64))) AS event_hash FROM e WHERE n = 1
+UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.n, c.event_hash, sha256(concat(e.body, '|', c.event_hash)) FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)"""
+
+
+def event_log(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return history.chained(e, "user_id", "event_id", F.concat_ws("|", "event_type", F.col("event_id").cast("string"))).select("event_id", "user_id", "event_hash")
+    return history.chained(e, "user_id", "event_id", event_body())
+
 
+def event_body():
+    return F.concat_ws("|", "event_type", F.col("event_id").cast("string"))
 
-@query("SELECT event_id, user_id FROM events WHERE false")
+
+@query(f"WITH {CHAIN} SELECT event_id, user_id, previous_hash, event_hash FROM c")
+def audit_chain(spark, sf_dir):
+    return event_log(spark, sf_dir).select("event_id", "user_id", "previous_hash", "event_hash")
+
+
+@query("""SELECT event_id, user_id FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_id % 97 = 0 OR event_id % 101 = 0 OR before % 101 = 0""")
 def audit_verify(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return history.broken_links(history.chained(e, "user_id", "event_id", F.col("event_type")), "user_id", "event_id").select("event_id", "user_id")
+    """A log in which the content of some events and the hash of others was changed afterwards."""
+    log = event_log(spark, sf_dir)
+    log = log.withColumn("event_type", F.when(F.col("event_id") % 97 == 0, "other").otherwise(F.col("event_type"))).withColumn("event_hash", F.when(F.col("event_id") % 101 == 0, F.sha2("event_hash", 256)).otherwise(F.col("event_hash")))
+    return history.broken_links(log, "user_id", "event_id", event_body()).select("event_id", "user_id")
+
+
+@query(f"WITH {CHAIN}, t AS (SELECT user_id, count(*) AS events, arg_max(event_hash, event_id) AS head_hash, min(event_id) FILTER (event_id % 997 = 0) AS first_bad FROM c GROUP BY 1) SELECT *, first_bad IS NULL AS ok FROM t")
+def audit_report(spark, sf_dir):
+    log = event_log(spark, sf_dir).withColumn("event_type", F.when(F.col("event_id") % 997 == 0, "other").otherwise(F.col("event_type")))
+    return history.audit_report(log, "user_id", "event_id", event_body())
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r > 1000")
@@ -540,16 +562,26 @@ def latency_percentiles(spark, sf_dir):
 
 
 # ---- passages, dashboards
-@query("SELECT doc_id, CASE WHEN n <= 96 THEN 1 ELSE 1 + CAST(ceil((n - 96) / 72.0) AS BIGINT) END AS n_passages FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents)")
+@query(f"""WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), n AS (SELECT doc_id, w, CASE WHEN len(w) <= 96 THEN 0 ELSE CAST(ceil((len(w) - 96) / 72.0) AS BIGINT) END AS last FROM t),
+p AS (SELECT doc_id, w, unnest(range(last + 1)) AS number FROM n)
+SELECT doc_id, number, number * 72 AS start, sha256(array_to_string(list_slice(w, number * 72 + 1, number * 72 + 96), ' ')) AS words FROM p""")
 def passage_windows(spark, sf_dir):
-    d = load(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(windows.passages(T.tokens(F.col("text")))).cast("long").alias("n_passages"))
+    d = retrieve.spread(load(spark, sf_dir, "documents")).select("doc_id", F.posexplode(windows.passages(T.tokens(F.col("text")))))
+    return d.select("doc_id", F.col("pos").cast("long").alias("number"), F.col("col.start").cast("long").alias("start"), F.sha2(F.array_join("col.words", " "), 256).alias("words"))
+
+
+SPACES = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
-@query("SELECT doc_id, greatest(1, CAST(ceil(length(text) / 6000.0) AS BIGINT)) AS n_pieces, length(text) AS n FROM documents")
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, 0 AS number, '' AS piece, text AS rest FROM documents
+UNION ALL SELECT doc_id, number + 1, substr(rest, 1, cut), regexp_replace(substr(rest, cut + 1), '^{SPACES}', '') FROM (
+  SELECT *, CASE WHEN length(rest) <= 6000 THEN length(rest)
+    WHEN contains(substr(rest, 3001, 3000), chr(10)) THEN 6000 - strpos(reverse(substr(rest, 3001, 3000)), chr(10))
+    WHEN contains(substr(rest, 3001, 3000), ' ') THEN 6000 - strpos(reverse(substr(rest, 3001, 3000)), ' ') ELSE 6000 END AS cut FROM p WHERE length(rest) > 0))
+SELECT doc_id, number::BIGINT AS number, sha256(regexp_replace(regexp_replace(piece, '^{SPACES}', ''), '{SPACES}$', '')) AS piece FROM p WHERE number > 0""")
 def document_pieces(spark, sf_dir):
-    p = windows.pieces(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("n_pieces"), F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n"))
+    d = retrieve.spread(load(spark, sf_dir, "documents")).select("doc_id", F.posexplode(windows.pieces(F.col("text"))))
+    return d.select("doc_id", (F.col("pos") + 1).cast("long").alias("number"), F.sha2("col", 256).alias("piece"))
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) GROUP BY 1")
@@ -599,13 +631,14 @@ def fix_steps(spark, sf_dir):
     return o.select("o_orderkey", B.render_fix(B.cause_of(body), B.steps(body)).alias("fix"), F.size(B.steps(body)).alias("n_steps"))
 
 
-@query("SELECT o_orderkey, o_orderpriority AS step, concat(o_orderstatus, ' | failed') AS error FROM orders")
+@query("""SELECT o_orderkey, concat('Order Type: Move of ', o_orderstatus, chr(10), 'Failed Step: step ', o_orderpriority[3:], chr(10), 'Error Description: ', 14000 + o_custkey % 7, ' | plan ', o_orderstatus, ' failed', chr(10), 'Error Code: ', 14000 + o_custkey % 7) AS lines, 4 AS n_fields FROM orders""")
 def structured_fields(spark, sf_dir):
     from ..functions import tables as B
 
     o = load(spark, sf_dir, "orders")
-    m = B.structured_fields(F.concat(F.lit("Order Type: 123\nFailed Step: "), "o_orderpriority", F.lit(" | x\nError Description: "), "o_orderstatus", F.lit(" | failed\n")))
-    return o.select("o_orderkey", m["Failed Step"].alias("step"), m["Error Description"].alias("error"))
+    code = (14000 + F.col("o_custkey") % 7).cast("string")
+    body = F.concat(F.lit("*Order Type:* Move of "), "o_orderstatus", F.lit("\n| Failed Step | step "), F.substring("o_orderpriority", 3, 20), F.lit(" | x\nSub Type: 4711\nError Description: "), code, F.lit(" | plan "), "o_orderstatus", F.lit(" failed\nProduct: none\nError Code: "), code, F.lit("\n"))
+    return o.select("o_orderkey", B.field_lines(body).alias("lines"), F.size(B.structured_fields(body)).alias("n_fields"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, concat('reset port/', lower(o_orderstatus)) AS first_clause, 2 AS n_clauses FROM orders GROUP BY 1")
@@ -681,7 +714,7 @@ def stream_scan(spark, sf_dir):
     schema = load(spark, sf_dir, "events").schema
     changes = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     scan.scan(changes, path, checkpoint, "user_id", ["event_type", "value", "props"], "event_id").awaitTermination()
-    return scan.latest(spark.read.parquet(path), "user_id").select("user_id", "event_id", "event_type")
+    return scan.latest(spark, path).select("user_id", "event_id", "event_type")
 
 
 # ---- comments of issues: line items as changes and comments of an order

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a local folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"sievemark-{spark.sparkContext.applicationId}")
+    """A new path under ``spark.checkpoint.dir``; a local folder only where that is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"sievemark-{spark.sparkContext.applicationId}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,13 +106,30 @@ def test_pointers_are_followed_once(spark):
 
 
 def test_quality_tiers(spark):
-    df = spark.createDataFrame([("Resolution: Reset the port and retry the order line", "s", "e"), ("done", "s", "e"), ("will now be automatically closed", "s", "e"), ("Reset the port and retry the order line", "", "e"), ("nothing to see in this long text", "s", "e")], "body string, step string, error string")
-    assert [r[0].tier for r in df.select(quality.source_quality(F.col("body"), F.col("step"), F.col("error"))).collect()] == ["high", "low", "low", "medium", "low"]
+    """A high tier needs a corrective clause of four lexemes, and that every clause acts."""
+    good = "Resolution: Reset the port in the access portal and retry the order line"
+    rows = [
+        (good, "s", "e", "high"), ("Resolution: Reset the port and retry the order line", "s", "e", "medium"), ("done", "s", "e", "low"), ("will now be automatically closed", "s", "e", "low"),
+        (good, "", "e", "medium"), ("nothing to see in this long text", "s", "e", "low"), ("Verify that the port is in the right state", "s", "e", "medium"), (good + "?", "s", "e", "medium"),
+        ("Reset the port in the access portal; nothing else", "s", "e", "medium"), ("Resetting the broken port in the portal", "s", "e", "high"), ("Open a new ticket and reset the port in the portal", "s", "e", "low"),
+        ("Update from Salesforce: reset the port in the portal, OrderStepId 4", "s", "e", "low"), ("OWN-MARK reset the port in the access portal", "s", "e", "low"),
+        ("Resolution: reset the port in the portal\nand mark the order as done\nRelease: 7 nothing", "s", "e", "high"),
+    ]
+    df = spark.createDataFrame(rows, "body string, step string, error string, want string")
+    found = quality.source_quality(F.col("body"), F.col("step"), F.col("error"), markers=("OWN-MARK",))
+    assert [(r[0].tier, r.body) for r in df.select(found, "body").collect()] == [(w, b) for b, *_, w in rows]
+    part = quality.source_quality(F.col("body"), F.col("step"), F.col("error"), F.lit(3))
+    assert df.limit(1).select(part).first()[0].tier == "medium"
 
 
-def test_pick_distinct(spark):
-    df = spark.createDataFrame([([(["a", "b"], 1), (["a", "b"], 2), (["c"], 3)],)], "x array<struct<tokens:array<string>,key:int>>")
-    assert [r["key"] for r in df.select(quality.pick_distinct(F.col("x"))).first()[0]] == [1, 3]
+def test_pick_sources(spark):
+    """Restatements are capped, not banned; unusable bodies are passed over; one stays where all are."""
+    fix = "reset the port, cleared cache seven, restarted line four and retried order"
+    bodies = ["done", fix, fix.upper(), fix + " quickly", fix + " carefully", fix + " slowly", "SLA breached by L3", "changed the plan code to gold and resubmitted it"]
+    df = spark.createDataFrame([([(i, b) for i, b in enumerate(bodies)],), ([(0, "done"), (1, "fixed")],), ([],)], "x array<struct<key:int,body:string>>")
+    got = [[x["key"] for x in r[0]] for r in df.select(quality.pick_sources(F.col("x"))).collect()]
+    assert got == [[1, 3, 4, 7], [0], []]
+    assert [x["key"] for x in df.select(quality.pick_sources(F.col("x"), most=2)).first()[0]] == [1, 3]
 
 
 def test_rules_malformed_and_unknown(spark):
@@ -127,9 +145,26 @@ def test_versions_and_audit(spark):
     got = {r.body: (r.version_number, r.status, r.source_keys) for r in history.versions(s, "p", "body", "at", "key").collect()}
     assert got == {"x": (1, "current", ["a", "c"]), "y": (2, "superseded", ["b"])}
     log = history.chained(s, "p", "at", F.col("body")).cache()
-    assert history.broken_links(log, "p", "at").count() == 0
-    bad = log.withColumn("payload_hash", F.when(F.col("at") == 2, "0").otherwise(F.col("payload_hash")))
-    assert [r["at"] for r in history.broken_links(bad, "p", "at").orderBy("at").collect()] == [2, 3]
+    assert history.broken_links(log, "p", "at", F.col("body")).count() == 0
+    at = lambda df: [r["at"] for r in history.broken_links(df, "p", "at", F.col("body")).orderBy("at").collect()]
+    assert at(log.withColumn("body", F.when(F.col("at") == 2, "tampered").otherwise(F.col("body")))) == [2]
+    assert at(log.withColumn("event_hash", F.when(F.col("at") == 2, "0").otherwise(F.col("event_hash")))) == [2, 3]
+    assert at(log.where("at <> 2")) == [3]
+    mended = log.withColumn("body", F.when(F.col("at") == 2, "tampered").otherwise(F.col("body"))).withColumn("event_hash", F.when(F.col("at") == 2, history.link_hash(F.col("body"), F.col("previous_hash"))).otherwise(F.col("event_hash")))
+    assert at(mended) == [3]  # the change reaches the next link even if the event's own hash was made anew
+    report = history.audit_report(mended, "p", "at", F.col("body")).first()
+    assert (report.ok, report.first_bad, report.events) == (False, 3, 3)
+
+
+def test_soft_pieces():
+    from sievemark.operators.windows import soft_pieces
+
+    r = random.Random(0)
+    for _ in range(200):
+        t = "".join(r.choice("abc  \n") for _ in range(r.randint(0, 300)))
+        got = soft_pieces(t, 40)
+        assert "".join(got).replace(" ", "").replace("\n", "") == t.replace(" ", "").replace("\n", "") and all(len(p) <= 40 for p in got)
+    assert soft_pieces("aaaa bbbb cccc", 10) == ["aaaa bbbb", "cccc"] and soft_pieces("a" * 25, 10) == ["a" * 10, "a" * 10, "a" * 5] and soft_pieces(None) == []
 
 
 def test_metrics(spark):
@@ -190,8 +225,11 @@ def test_scan_skips_unchanged_and_replays(spark, tmp_path):
     scan.scan(stream(), out, cp, "k", ["v"], "at").awaitTermination()
     spark.createDataFrame([(1, "c", 3), (2, "d", 3)], schema).write.mode("append").parquet(src)
     scan.scan(stream(), out, cp, "k", ["v"], "at").awaitTermination()
-    table = spark.read.parquet(out)
-    assert table.count() == 3 and {r.k: r.v for r in scan.latest(table, "k").collect()} == {1: "c", 2: "d"}
+    assert {r.k: r.v for r in scan.latest(spark, out).collect()} == {1: "c", 2: "d"}
+    spark.createDataFrame([(2, "late", 1), (3, "e", 1)], schema).write.mode("append").parquet(src)
+    scan.scan(stream(), out, cp, "k", ["v"], "at").awaitTermination()  # an event that is older than the state
+    assert {r.k: r.v for r in scan.latest(spark, out).collect()} == {1: "c", 2: "d", 3: "e"}
+    assert all(len(v) <= 2 for v in scan.versions(spark, out).values())
 
 
 def test_comment_noise(spark):
