@@ -20,6 +20,12 @@ ALIASES = {
     "customer action": "Customer action", "customer": "Customer action", "next step": "Customer action",
 }
 SEPARATOR = r"^:?-{2,}:?$"
+GENERATED = ["Cause", "Solution applied", "System modified", "Customer action"]
+STORED = {"wa_cause": ("Cause", 300), "wa_solution": ("Solution applied", 500), "wa_system": ("System modified", 80), "wa_customer": ("Customer action", 300), "wa_category": ("Category", 120)}
+SYSTEMS = [("salesforce", "Salesforce"), ("matrixx", "Matrixx"), (r"\baria\b", "Aria"), ("nokia", "Nokia"), (r"\beda\b", "EDA"), ("network", "Network"), ("asurion", "Asurion"), (r"\bsf\b", "SF")]
+MARKS = r"(?i)===\s*(?:FIX|END)\s*==="
+NO_ACTION = r"(?i)^(?:no|none|nil|nothing|not)\b[^.]{0,40}$"
+NO_FIX = "NO_RELIABLE_WORKAROUND"
 LABELS = ["Order Reason", "Order Type", "Step", "Failed Step", "Error Description", "Error Code", "Sub Type", "Order Sub Type", "Service Type", "Action"]
 ERROR_LABELS = ["Error Description", "Error Code"]
 
@@ -54,11 +60,14 @@ def first_of_each(pairs: Column) -> Column:
 
 def render(values: Column, filler: str = "NA") -> Column:
     """The eight rows ``|label|value|``; absent values show the filler."""
-    def row(f):
-        value = F.coalesce(F.try_element_at(values, F.lit(f)), F.lit(""))
-        return F.concat(F.lit(f"|{f}|"), F.when(value == "", filler).otherwise(value), F.lit("|"))
+    def rows(v):
+        def row(f):
+            value = F.coalesce(F.try_element_at(v, F.lit(f)), F.lit(""))
+            return F.concat(F.lit(f"|{f}|"), F.when(value == "", filler).otherwise(value), F.lit("|"))
 
-    return F.concat_ws("\n", *(row(f) for f in FIELDS))
+        return F.concat_ws("\n", *(row(f) for f in FIELDS))
+
+    return let(values, rows)
 
 
 def rendered_rows(body: Column) -> Column:
@@ -72,22 +81,120 @@ def blank_template(ban: Column, msisdn: Column) -> Column:
 
 
 def steps(body: Column) -> Column:
-    """Parts between semicolons and line ends, list marks and closing points removed, cause lines dropped."""
-    parts = F.transform(F.split(text(body), r"[;\n]"), lambda x: F.rtrim(F.trim(F.regexp_replace(x, r"^\s*(?:\d+[.)]|[-*])\s*", ""))))
-    parts = F.transform(parts, lambda x: F.regexp_replace(x, r"[.;\s]+$", ""))
-    return F.filter(parts, lambda x: (x != "") & ~F.regexp_like(x, F.lit(r"(?i)^(?:root\s+)?cause\s*:")))
+    """Parts between semicolons and line ends, without block marks, list marks, closing points and cause lines."""
+    parts = F.split(F.regexp_replace(text(body), MARKS, "\n"), r"\s*;\s*|\n")
+    parts = F.transform(parts, lambda x: F.btrim(F.trim(F.regexp_replace(x, r"^\s*(?:\d+[.)]|[-*•])\s*", "")), F.lit(".;")))
+    return F.filter(parts, lambda x: (x != "") & ~F.regexp_like(x, F.lit(r"(?i)^[ \t*_]*(?:root[ \t]+)?cause[ \t]*:")))
 
 
 def cause_of(body: Column) -> Column:
-    return F.trim(F.regexp_extract(text(body), r"(?im)^\s*(?:root\s+)?cause\s*:\s*(.*)$", 1))
+    return F.trim(F.regexp_extract(text(body), r"(?i)(?:^|\n)[ \t*_]*(?:root[ \t]+)?cause[ \t]*:[ \t]*([^\n]+)", 1))
 
 
 def render_fix(cause: Column, parts: Column) -> Column:
     """Numbered fix block without identifiers; empty without steps."""
-    clean = F.filter(F.transform(parts, scrub_identifiers), lambda x: x != "")
-    numbered = F.transform(clean, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 100000)))
-    head = F.when(text(cause) != "", F.concat(F.lit("Cause: "), scrub_identifiers(cause), F.lit("\n"))).otherwise("")
-    return F.when(F.size(clean) == 0, "").otherwise(F.concat(F.lit("=== FIX ===\n"), head, F.array_join(numbered, "\n"), F.lit("\n=== END ===")))
+    def block(clean):
+        numbered = F.transform(clean, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 100000)))
+        head = F.when(clean_value(cause) != "", F.concat(F.lit("Root Cause: "), scrub_identifiers(cause), F.lit("\n"))).otherwise("")
+        return F.when(F.size(clean) == 0, "").otherwise(F.concat(F.lit("=== FIX ===\n"), head, F.array_join(numbered, "\n"), F.lit("\n=== END ===")))
+
+    return let(F.filter(F.transform(parts, scrub_identifiers), lambda x: x != ""), block)
+
+
+def value_of(values: Column, label: str) -> Column:
+    return F.coalesce(F.try_element_at(values, F.lit(label)), F.lit(""))
+
+
+def to_fix_block(body: Column, values: Column | None = None) -> Column:
+    """A past resolution as a fix block: of a table its solution and what the customer must do, of prose its parts."""
+    table = parse_table(body) if values is None else values
+
+    def build(t):
+        follow = clean_value(value_of(t, "Customer action"))
+        more = F.when((follow == "") | F.regexp_like(follow, F.lit(NO_ACTION)), F.array().cast("array<string>")).otherwise(steps(follow))
+        tabled = render_fix(clean_value(value_of(t, "Cause")), F.concat(steps(clean_value(value_of(t, "Solution applied"))), more))
+        return F.when(t.isNotNull(), tabled).otherwise(render_fix(cause_of(body), steps(body)))
+
+    return let(table, build)
+
+
+def raw_field(body: Column, label: str) -> Column:
+    """A labelled value of a description as it stands."""
+    pattern = rf"(?im)(?:^|\n|\|)\s*\*{{0,2}}{label}\*{{0,2}}\s*[:|]\s*\*{{0,2}}([^*\n|]{{1,120}}?)\*{{0,2}}\s*(?:\||$|\n)"
+    return squash(F.regexp_extract(text(body), pattern, 1))
+
+
+def ticket_fields(description: Column, filler: str = "NA") -> Column:
+    """Map of the rows that the asking ticket owns."""
+    kind = raw_field(description, "Order Type")
+    kind = F.when((kind != "") & ~F.regexp_like(kind, F.lit(r"(?i)\border\b")), F.concat(kind, F.lit(" order"))).otherwise(kind)
+    own = {"Order Type Failed": kind, "BAN CAN": raw_field(description, r"BAN[-\s]?CAN"), "MSISDN": raw_field(description, "MSISDN"), "Category": raw_field(description, "Order Reason")}
+    return F.create_map(*(x for k, v in own.items() for x in (F.lit(k), F.when(v == "", filler).otherwise(v))))
+
+
+def infer_system(c: Column) -> Column:
+    """The first known system that a text names, '' for none."""
+    return first_match(c, [(rf"(?i){p}", name) for p, name in SYSTEMS])
+
+
+def reply_fields(answer: Column) -> Column:
+    """Map of the generated rows in a model's reply, as lines or as a table; empty where it declined."""
+    table = F.coalesce(parse_table(answer, 1), F.create_map().cast("map<string,string>"))
+    named = F.transform(F.filter(F.split(text(answer), "\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(
+        F.try_element_at(lookup(ALIASES), label_key(F.regexp_extract(x, r"^([^:]*):", 1))).alias("k"),
+        F.trim(F.btrim(squash(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), F.lit("|"))).alias("v")))
+    own = lambda x: x["k"].isin(GENERATED)
+    pairs = F.concat(F.transform(F.map_entries(table), lambda x: F.struct(x["key"].alias("k"), x["value"].alias("v"))), named)
+    kept = F.filter(first_of_each(F.filter(pairs, lambda x: x["k"].isNotNull() & own(x))), lambda x: clean_value(x["v"]) != "")
+    declined = (text(answer) == "") | F.contains(text(answer), F.lit(NO_FIX))
+    return F.when(declined, F.create_map().cast("map<string,string>")).otherwise(F.map_from_entries(kept))
+
+
+def over(base: Column, more: Column) -> Column:
+    """Two maps as one; entries of ``more`` replace those of ``base``."""
+    return let(more, lambda m: F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(m, k)), m))
+
+
+def compose(description: Column, answer: Column) -> Column:
+    """The finished table from the ticket's own rows and a reply; '' where the model declined."""
+    return let(reply_fields(answer), lambda g: F.when(F.size(g) == 0, "").otherwise(render(over(ticket_fields(description), g))))
+
+
+def from_raw(description: Column, body: Column, values: Column | None = None) -> Column:
+    """The table from a past resolution without a model: a table's generated rows, or prose as one line of steps."""
+    own = ticket_fields(description)
+    lines_ = F.filter(F.transform(F.split(F.regexp_replace(text(body), MARKS, " "), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:\d+[.)]|[-*•])\s*", ""))), lambda x: x != "")
+    solution = F.substring(scrub_identifiers(F.array_join(lines_, "; ")), 1, 500)
+    said = let(solution, lambda s: F.create_map(F.lit("Solution applied"), F.when(s == "", "NA").otherwise(s), F.lit("System modified"), F.coalesce(F.nullif(infer_system(s), F.lit("")), F.lit("NA"))))
+    return let(parse_table(body) if values is None else values, lambda t: F.when(t.isNotNull(), render(over(own, F.map_filter(t, lambda k, v: k.isin(GENERATED))))).otherwise(render(over(own, said))))
+
+
+def from_fix_answer(description: Column, block: Column, extra: Column) -> Column:
+    """The table that goes with a fix block; ``extra`` (a map) overrides what the block says."""
+    inner = F.regexp_replace(text(block), MARKS, "\n")
+    pick = lambda label, other: F.when(clean_value(value_of(extra, label)) != "", value_of(extra, label)).otherwise(other)
+    tidy = lambda c: F.substring(scrub_identifiers(clean_value(c)), 1, 500)
+
+    def build(solution):
+        return render(over(ticket_fields(description), F.create_map(
+            F.lit("Cause"), tidy(pick("Cause", cause_of(inner))), F.lit("Solution applied"), solution,
+            F.lit("System modified"), pick("System modified", infer_system(solution)), F.lit("Customer action"), tidy(value_of(extra, "Customer action")))))
+
+    return let(tidy(pick("Solution applied", F.array_join(steps(inner), "; "))), build)
+
+
+def stored_rows(body: Column) -> Column:
+    """Struct of what is stored of a resolution's table, each value with its own bound."""
+    def build(t):
+        return F.struct(t.isNotNull().alias("is_table"), *(F.substring(clean_value(value_of(t, label)), 1, most).alias(name) for name, (label, most) in STORED.items()))
+
+    return let(parse_table(body), build)
+
+
+def from_stored(stored: Column, body: Column) -> Column:
+    """Map of a resolution's rows: those stored, else those that its body has; null if it is no table."""
+    pairs = F.filter(F.array(*(F.struct(F.lit(label).alias("k"), clean_value(stored[name]).alias("v")) for name, (label, _) in STORED.items())), lambda x: x["v"] != "")
+    return F.when(stored["is_table"] & (F.size(pairs) > 0), F.map_from_entries(pairs)).otherwise(parse_table(body))
 
 
 def structured_fields(body: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.procedures import clauses, is_supported, lexemes
@@ -56,3 +56,89 @@ def next_stage(candidates: Column, status: Column, rule: Column) -> Column:
 def publish(body_hash: Column, published_hash: Column, tier: Column) -> Column:
     """Create, update, or nothing for a comment whose text was posted before."""
     return F.when(tier == "low", "hold").when(published_hash.isNull(), "create").when(published_hash == body_hash, "unchanged").otherwise("update")
+
+
+def with_kept_sources(original: DataFrame, revised: DataFrame) -> DataFrame:
+    """Revised steps (draft_id, pos, source_key, text, sources) with the sources that the same step had before."""
+    same = lambda c: F.transform(clauses(F.col(c)), lambda x: F.array_join(lexemes(x), " "))
+    before = original.select("draft_id", "source_key", same("text").alias("said"), F.col("sources").alias("had")).groupBy("draft_id", "source_key", "said").agg(F.flatten(F.collect_list("had")).alias("had"))
+    out = revised.withColumn("said", same("text")).join(before, ["draft_id", "source_key", "said"], "left")
+    every = F.array_distinct(F.concat("sources", F.coalesce("had", F.array().cast("array<string>"))))
+    return out.select("draft_id", "pos", "source_key", "text", every.alias("sources"))
+
+
+def proposal_quality(rule_kept: Column, candidates: Column, declined: Column, steps: Column, fault: Column, cited: Column, first: Column, most: int = 5) -> Column:
+    """Struct (tier, reason) of a proposal.
+
+    ``rule_kept``: null without a rule, else whether its action is kept word for word;
+    ``fault``: what is wrong with the draft, '' for nothing; ``cited``: tiers of all cited
+    sources; ``first``: tier of the best candidate.
+    """
+    say = lambda tier, why: F.struct((F.lit(tier) if isinstance(tier, str) else tier).alias("tier"), F.lit(why).alias("reason"))
+    worst = F.get(F.filter(cited, lambda t: t != "high"), F.lit(0))
+    return (
+        F.when(rule_kept, say("high", "rule kept")).when(rule_kept.isNotNull(), say("medium", "rule changed")).when(candidates == 0, say("low", "no candidates"))
+        .when(declined | (steps == 0), say(F.when(first == "high", "medium").otherwise(first), "no steps")).when(steps > most, say("medium", "too many steps"))
+        .when(fault != "", say("medium", "unfaithful")).when(worst.isNotNull(), say(worst, "cited source")).otherwise(say("high", "supported"))
+    )
+
+
+def review_lead(candidates: DataFrame, least: int = 12, most: int = 500) -> DataFrame:
+    """Per query the first candidate whose whole evidence can be shown and supports itself; null where sources conflict or none can.
+
+    ``candidates(query_id, position, key, applicable, tier, evidence, conflicting)``.
+    """
+    fits = F.col("applicable") & F.col("tier").isin("high", "medium") & F.length("evidence").between(least, most) & is_supported(F.col("evidence"), F.col("evidence")) & ~F.col("conflicting")
+    lead = F.min(F.when(fits, F.struct("position", "key", "evidence"))).alias("lead")
+    out = candidates.groupBy("query_id").agg(lead)
+    return out.select("query_id", F.col("lead.key").alias("key"), F.col("lead.evidence").alias("text"), F.col("lead").isNull().alias("decline"))
+
+
+def allowed_citations(cited: DataFrame, known: DataFrame, resolvable: DataFrame, excluded: DataFrame, pattern: str, most: int = 5) -> DataFrame:
+    """(query_id, added, allowed): whether all sources that a draft cites are known or can be looked up, none is excluded, and few are new."""
+    c = cited.select("query_id", "key").distinct()
+    c = c.join(known.select("query_id", "key", F.lit(True).alias("known")).distinct(), ["query_id", "key"], "left").join(resolvable.select("key", F.lit(True).alias("found")).distinct(), "key", "left")
+    c = c.join(excluded.select("query_id", "key", F.lit(True).alias("out")).distinct(), ["query_id", "key"], "left")
+    new = F.col("known").isNull()
+    bad = F.col("out").isNotNull() | (new & (~F.regexp_like("key", F.lit(pattern)) | F.col("found").isNull()))
+    return c.groupBy("query_id").agg(F.count_if(new).alias("added"), (~F.coalesce(F.bool_or(bad), F.lit(False)) & (F.count_if(new) <= most)).alias("allowed"))
+
+
+def verbatim_fix(body: Column, solution: Column, least: int = 20, most: int = 500) -> Column:
+    """The solution of a marked fix block if it can be used word for word, else null: then a model drafts."""
+    marked = F.contains(F.lower(body), F.lit("=== fix ==="))
+    return F.when(marked & F.length(solution).between(least, most), solution)
+
+
+def synthesis_status(body: Column, fingerprint: Column, cached: Column, idle: Column, most: int = 12_000) -> Column:
+    """What to do about a rewrite: take the cached one, say that nothing acts, that it is too long, or prepare it."""
+    return F.when(cached == fingerprint, "cached").when((F.trim(body) == "") | idle, "no_action").when(F.length(F.trim(body)) > most, "unavailable").otherwise("prepare")
+
+
+def matched(mode: Column, best: Column, declined: Column, no_fix: Column, threshold: float = 0.7) -> Column:
+    """Whether an answer may be suggested: an approved rule always, a strong match unless it is no fix."""
+    return (mode == "approved_rule") | ((mode == "strong_match") & (F.coalesce(best, F.lit(0.0)) >= threshold) & ~F.coalesce(declined, F.lit(False)) & ~no_fix)
+
+
+def failure_status(error: Column) -> Column:
+    """timeout, unavailable or error, by the name of what went wrong."""
+    low = F.lower(error)
+    return F.when(F.contains(low, F.lit("timeout")), "timeout").when(F.regexp_like(low, F.lit("unavailable|busy|connect")), "unavailable").otherwise("error")
+
+
+def reduced_stream(events: DataFrame, by: str = "request_id") -> DataFrame:
+    """Final text of each token stream, from events (by, seq, kind, artifact_id, text, append, last_chunk, state).
+
+    Chunks of an artifact are joined, a text without a chunk flag replaces what was there;
+    artifacts follow each other in the order of their first event.  Only completed streams
+    with a letter or digit give a text.
+    """
+    e = events.where("kind = 'artifact-update'").withColumn("chunk", F.coalesce("append", F.lit(False)) | F.coalesce(~F.col("last_chunk"), F.lit(False)))
+    whole = Window.partitionBy(by, "artifact_id").orderBy("seq")
+    e = e.withColumn("part", F.sum((~F.col("chunk")).cast("int")).over(whole)).withColumn("last", F.max("part").over(Window.partitionBy(by, "artifact_id"))).withColumn("begin", F.min("seq").over(Window.partitionBy(by, "artifact_id")))
+    parts = e.where("part = last").groupBy(by, "artifact_id", "begin").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))  # one answer's artifact
+    joined = parts.where("text <> ''").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "text"))), lambda x: x["text"]), "\n\n").alias("artifacts"))
+    said = events.groupBy(by).agg(F.max_by(F.when(F.col("kind") == "message", F.col("text")), F.when(F.col("kind") == "message", F.col("seq"))).alias("message"), F.max_by("state", F.when(F.col("state").isNotNull(), F.col("seq"))).alias("state"), F.bool_or(F.col("kind") == "message").alias("answered"))
+    text = F.coalesce("artifacts", "message")
+    done = (F.col("answered") | (F.col("state") == "completed")) & F.regexp_like(text, F.lit(r"[\p{L}\p{N}]"))
+    return said.join(joined, by, "left").select(by, F.when(F.coalesce(done, F.lit(False)), F.substring(text, 1, 40_000)).alias("text"), F.coalesce("state", F.when(F.col("answered"), "completed")).alias("state"))

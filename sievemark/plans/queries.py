@@ -523,17 +523,6 @@ def cache_fresh(spark, sf_dir):
     return history.fresh(c, F.col("t"), F.col("t") - F.expr("interval 1 day")).select("event_id")
 
 
-@query("""WITH gq AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS q, min(vec_id) AS own FROM embeddings GROUP BY 1), s AS (SELECT query_id, vec_id, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))) AS c FROM embeddings e JOIN gq ON e.label = gq.query_id AND e.vec_id <> own)
-SELECT query_id::BIGINT AS query_id, arg_max(vec_id, (round(c, 9), -vec_id)) AS id, round(max(c), 9) AS similarity FROM s GROUP BY 1""")
-def cache_lookup(spark, sf_dir):
-    """Nearest entry in the query's scope by general cosine."""
-    e = load(spark, sf_dir, "embeddings")
-    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"), F.min("vec_id").alias("own"))
-    c = F.round(S.cosine(F.col("embedding"), F.col("q")), 9)
-    best = e.join(q, "label").where("vec_id <> own").groupBy(F.col("label").cast("long").alias("query_id")).agg(F.max(F.struct(c.alias("c"), (-F.col("vec_id")).alias("id"))).alias("b"))
-    return best.select("query_id", (-F.col("b.id")).alias("id"), F.col("b.c").alias("similarity"))
-
-
 # ---- evaluation
 @query(f"""WITH {RRF}, w AS (SELECT query_id, count(*) AS wanted FROM con GROUP BY 1), h AS (SELECT t.query_id, count(*) AS found, min(t.rank) AS first FROM top t JOIN con c ON t.query_id = c.query_id AND t.key = c.key WHERE t.rank <= 10 GROUP BY 1)
 SELECT count(*) AS cases, round(avg(CASE WHEN found > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS hit_rate, round(avg(coalesce(found / wanted, 0)), 9) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr FROM w LEFT JOIN h USING (query_id)""")
@@ -622,7 +611,7 @@ def table_parse(spark, sf_dir):
     return o.select("o_orderkey", m["Category"].alias("category"), m["Solution applied"].alias("solution"), F.size(m).alias("n_fields"), B.render(m).alias("rendered"))
 
 
-@query("SELECT o_orderkey, concat('=== FIX ===', chr(10), 'Cause: bad ', o_orderstatus, chr(10), '1. Reset the port', chr(10), '2. Retry ', o_orderpriority, chr(10), '=== END ===') AS fix, 2 AS n_steps FROM orders")
+@query("SELECT o_orderkey, concat('=== FIX ===', chr(10), 'Root Cause: bad ', o_orderstatus, chr(10), '1. Reset the port', chr(10), '2. Retry ', o_orderpriority, chr(10), '=== END ===') AS fix, 2 AS n_steps FROM orders")
 def fix_steps(spark, sf_dir):
     from ..functions import tables as B
 
