@@ -427,3 +427,177 @@ def failure_status(spark, sf_dir):
     t = F.col("event_type")
     name = F.when(t == "view", "ReadTimeoutError").when(t == "click", "ConnectError").otherwise("ValueError")
     return load(spark, sf_dir, "events").select("event_id", decisions.failure_status(name).alias("status"))
+
+
+# ---- further text operators
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN concat('new ', o_orderstatus) ELSE 'old' END AS order_reason, 'Move' AS order_type, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE '' END AS release FROM orders""")
+def resolution_context(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    body = F.concat(F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("Order Reason: new "), "o_orderstatus", F.lit("\n"))).otherwise(""), F.lit("done"))
+    q = F.concat(F.lit("OrderType: Move\nReason: old\n"), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("| Release Version | "), "o_orderpriority", F.lit(" |"))).otherwise(""))
+    return o.select("o_orderkey", I.resolution_context(q, body).alias("c")).select("o_orderkey", "c.*")
+
+
+@query("""SELECT o_orderkey, concat('Failed Step: ', o_orderpriority, chr(10), 'Error Description: ', 14000 + o_custkey % 7, ' | gone') AS phrase, (14000 + o_custkey % 7)::VARCHAR AS term, o_orderpriority AS exact, replace(o_orderpriority, '-', ' ') AS summary_step FROM orders""")
+def search_phrases(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    error = F.concat((14000 + F.col("o_custkey") % 7).cast("string"), F.lit(" | gone"))
+    x = I.exact_terms(F.col("o_orderpriority"), error)
+    summary = F.concat(F.lit("FALLOUT: order "), (1000000 + F.col("o_orderkey")).cast("string"), F.lit(" Failed Step: "), "o_orderpriority")
+    return o.select("o_orderkey", I.semantic_query(F.col("o_orderpriority"), error, F.lit("")).alias("phrase"), x["term"].alias("term"), x["phrase"].alias("exact"), I.summary_step(summary).alias("summary_step"))
+
+
+@query("""SELECT o_orderkey, sha256(concat(lower(o_orderstatus), chr(10), trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')), chr(10), 'line was gone')) AS evidence_key, concat_ws(' ', o_orderstatus, o_orderpriority) AS entry FROM orders""")
+def evidence_keys(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    error = F.concat(F.lit("Line 787 555 "), (1000 + F.col("o_orderkey") % 9000).cast("string"), F.lit(" was gone!"))
+    key = I.evidence_key(F.concat("o_orderpriority", F.lit(" (Change Plan)")), error, F.col("o_orderstatus"))
+    return o.select("o_orderkey", key.alias("evidence_key"), I.entry_text(F.col("o_orderstatus"), F.lit(None).cast("string"), F.lit(""), F.col("o_orderpriority")).alias("entry"))
+
+
+@query("""SELECT o_orderkey, true AS is_table, concat('bad ', o_orderstatus) AS cause, left(repeat('long ', 200), 500) AS solution, '' AS system, 3 AS n_rows FROM orders""")
+def stored_tables(spark, sf_dir):
+    """What is stored of a resolution's table, and the rows read back from it."""
+    o = load(spark, sf_dir, "orders")
+    body = F.concat(F.lit("|Cause|bad "), "o_orderstatus", F.lit("|\n|Solution|"), F.repeat(F.lit("long "), F.lit(200)), F.lit("|\n|System modified|n.a.|\n|Category|"), "o_orderpriority", F.lit("|"))
+    x = o.select("o_orderkey", B.stored_rows(body).alias("s"), body.alias("body"))
+    return x.select("o_orderkey", F.col("s.is_table").alias("is_table"), F.col("s.wa_cause").alias("cause"), F.rpad(F.col("s.wa_solution"), 500, " ").alias("solution"), F.col("s.wa_system").alias("system"), F.size(B.from_stored(F.col("s"), F.col("body"))).alias("n_rows"))
+
+
+# ---- further filters and lists
+@query("""SELECT vec_id FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE label END AS e FROM embeddings) WHERE e IS NULL OR e >= 5""")
+def error_floor(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.lit(1.0).alias("step_score"), F.when(F.col("vec_id") % 3 != 0, F.col("label").cast("double")).alias("error_score"))
+    return chain.error_floor(e, 5.0).select("vec_id")
+
+
+@query("""SELECT p_partkey, list_has_all(regexp_extract_all(lower(p_type), '[a-z0-9]+'), ['steel']) OR lower(p_type) IN ('steel') AS same FROM part""")
+def same_category(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", chain.same_category(F.col("p_type"), F.lit("Steel!")).alias("same"))
+
+
+@query("WITH m AS (SELECT max(ts) AS t FROM events) SELECT event_id FROM events, m WHERE ts >= t - INTERVAL 720 MINUTE")
+def update_window(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("t")).first().t
+    return state.in_window(e, "ts", F.lit(now), 720).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts::DATE = (SELECT min(ts)::DATE FROM events) AND event_type IN ('view', 'error')")
+def day_previews(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("updated"), F.col("event_type").alias("status"))
+    day = e.agg(F.min(F.to_date("updated")).alias("d")).first().d
+    return state.previews(e, F.lit(day), ["view", "error"]).select(F.col("id").alias("event_id"))
+
+
+@query("SELECT event_id, event_type = 'view' OR event_type = 'click' AND coalesce(value, 0) >= 50 AND event_id % 3 <> 0 AS matched FROM events")
+def matched_answers(spark, sf_dir):
+    t = F.col("event_type")
+    mode = F.when(t == "view", "approved_rule").when(t == "click", "strong_match").otherwise("no_data")
+    return load(spark, sf_dir, "events").select("event_id", decisions.matched(mode, F.col("value"), F.lit(None).cast("boolean"), F.col("event_id") % 3 == 0, 50.0).alias("matched"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'cached' WHEN trim(text) = '' OR turn % 4 = 1 THEN 'no_action' WHEN length(trim(text)) > 100 THEN 'unavailable' ELSE 'prepare' END AS status, CASE WHEN turn % 2 = 0 AND length(text) BETWEEN 20 AND 500 THEN length(text) END AS verbatim FROM conversations""")
+def rewrite_status(spark, sf_dir):
+    k = F.col("turn") % 4
+    c = load(spark, sf_dir, "conversations")
+    marked = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("=== FIX === "), "text")).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", decisions.synthesis_status(F.col("text"), F.lit("f"), F.when(k == 0, "f").otherwise("g"), k == 1, 100).alias("status"), F.length(decisions.verbatim_fix(marked, F.col("text"))).cast("long").alias("verbatim"))
+
+
+@query("""SELECT o_custkey AS draft_id, o_orderkey AS pos, CASE WHEN o_orderstatus = 'F' THEN concat('n', o_orderkey, ',s', o_custkey % 2) ELSE concat('n', o_orderkey) END AS sources FROM orders""")
+def kept_sources(spark, sf_dir):
+    """Steps of revised drafts with the sources that the same step had before."""
+    o = load(spark, sf_dir, "orders")
+    key = F.concat(F.lit("k"), (F.col("o_custkey") % 2).cast("string"))
+    before = o.select(F.col("o_custkey").alias("draft_id"), key.alias("source_key"), F.lit("Retried the step").alias("text"), F.array(F.concat(F.lit("s"), (F.col("o_custkey") % 2).cast("string"))).alias("sources")).distinct()
+    after = o.select(F.col("o_custkey").alias("draft_id"), F.col("o_orderkey").alias("pos"), key.alias("source_key"), F.when(F.col("o_orderstatus") == "F", "retry step").otherwise("retry the order").alias("text"), F.array(F.concat(F.lit("n"), S("o_orderkey"))).alias("sources"))
+    return decisions.with_kept_sources(before, after).select("draft_id", "pos", F.array_join("sources", ",").alias("sources"))
+
+
+# ---- issues: pages, candidates, open ones, imports
+@query("""SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN count(*) ELSE least(count(*), 2) END AS n, string_agg(turn, ',' ORDER BY turn) FILTER (conv_id % 2 = 0 OR r <= 2) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) GROUP BY 1""")
+def comment_pages(spark, sf_dir):
+    """Turns as comments, of which two come with the issue; for every second issue the pages are read too."""
+    c = load(spark, sf_dir, "conversations").withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    listed = lambda df, *by: df.groupBy("conv_id", *by).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn"))), lambda x: x["turn"]).alias("comments"))
+    total = c.groupBy("conv_id").agg(F.count("*").alias("total"))
+    pages = listed(c.where("conv_id % 2 = 0").withColumn("start", F.floor((F.col("r") - 1) / 3) * 3), "start")
+    x = issues.all_comments(listed(c.where("r <= 2")).join(total, "conv_id"), pages, "conv_id")
+    return x.select("conv_id", F.size("comments").cast("long").alias("n"), F.array_join("comments", ",").alias("turns"))
+
+
+@query("""SELECT concat('AB-', 1000 + o_orderkey) AS key, o_orderpriority AS step, concat(14000 + o_custkey % 7, ' | bad') AS error, 'structured_resolution' AS selection, 'Move' AS order_type FROM orders WHERE o_orderstatus = 'F'""")
+def resolution_candidates(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    body = F.when(F.col("o_orderstatus") == "F", "Order Type: Move\nResolution: Resetting the broken port in the portal").otherwise("done")
+    comment = F.struct(F.lit("1").alias("id"), body.alias("body"), F.col("o_orderdate").cast("timestamp").alias("created"), F.lit(None).cast("timestamp").alias("updated"), F.lit("a").alias("author"), F.lit("Ann").alias("author_name"))
+    i = o.select(F.concat(F.lit("AB-"), (1000 + F.col("o_orderkey")).cast("string")).alias("key"), F.lit("x").alias("summary"), F.concat(F.lit("Failed Step: "), "o_orderpriority", F.lit("\nError Description: "), (14000 + F.col("o_custkey") % 7).cast("string"), F.lit(" | bad")).alias("description"), F.lit("Done").alias("status"), F.col("o_orderdate").cast("timestamp").alias("resolved"), F.lit("b").alias("assignee"), F.array(comment).alias("comments"))
+    return issues.resolution_candidates(i, "bot").select("key", "step", "error", "selection", "order_type")
+
+
+@query("""SELECT query_id, key, place FROM (SELECT user_id AS query_id, event_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events WHERE event_type = 'error') WHERE place <= 3""")
+def candidates_by_key(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    keys = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("pos"), F.col("event_id").alias("key"))
+    return issues.candidates_by_key(keys, e.where("event_type = 'error'").select(F.col("event_id").alias("key")), most=3).select("query_id", "key", "place")
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_name ELSE c_mktsegment END AS feedback FROM customer""")
+def open_issues(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 3
+    raw = F.when(k == 0, F.to_json(F.struct(F.col("c_mktsegment").alias("value"), F.lit("x").alias("name")))).when(k == 1, F.to_json(F.struct(F.col("c_name").alias("name")))).otherwise(F.col("c_mktsegment"))
+    return issues.inflow(c.select(S("c_custkey").alias("key"), F.lit("t").alias("updated"), raw.alias("raw")), feedback="raw").select("key", "feedback")
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS total, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS sample, true AS has_more FROM (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 5)")
+def query_preview(spark, sf_dir):
+    return issues.preview(load(spark, sf_dir, "orders"), "o_orderkey").select("total", F.array_join("sample_keys", ",").alias("sample"), "has_more")
+
+
+@query("SELECT p_partkey AS id, 'draft' AS status, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'legacy_import' END AS created_by FROM part WHERE p_size % 5 <> 0 AND p_partkey % 7 <> 0")
+def imported_rules(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    r = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_name")).alias("pattern"), F.lit("").alias("failed_step"), F.lit("").alias("order_type"), F.col("p_type").alias("workaround_text"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("").alias("created_by"))
+    return issues.imported_rules(r, p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("id"))).select("id", "status", "created_by")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) ORDER BY c_custkey, c_name LIMIT 20")
+def point_lookup(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    return issues.point_lookup({"customer": c}, "customer", "c_mktsegment", c.agg(F.min("c_mktsegment")).first()[0], ["c_custkey", "c_name"])
+
+
+# ---- documents, votes and state, continued
+@query("SELECT doc_id, len(list_filter([lang <> 'en', n_chars % 2 = 0], lambda x: x)) AS sides FROM documents WHERE lang <> 'en' OR n_chars % 2 = 0")
+def two_sided_rows(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "en", "s").otherwise(" ").alias("step"), F.when(F.col("n_chars") % 2 == 0, "e").alias("error"))
+    x = documents.two_sided(d, F.array(F.lit(1.0)), F.array(F.lit(2.0)))
+    return x.select("doc_id", (F.col("step_vec").isNotNull().cast("long") + F.col("error_vec").isNotNull().cast("long")).alias("sides"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM documents WHERE doc_id % 10 <> 9""")
+def replaced_rows(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", F.lit("old").alias("origin"))
+    return documents.without(documents.replaced(d, d.where("doc_id % 3 = 0").withColumn("origin", F.lit("new")), "doc_id"), d.where("doc_id % 10 = 9"), "doc_id")
+
+
+@query("""SELECT event_id, event_type AS scope FROM events WHERE user_id = 7 AND event_type = 'click'""")
+def vote_history(spark, sf_dir):
+    v = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.lit(None).cast("string").alias("step"), F.concat(F.lit(" "), "event_type").alias("error"), F.lit(1).alias("vote"), F.col("ts").alias("created_at"))
+    return votes.vote_history(votes.recorded(v), 7, "click").select(F.col("id").alias("event_id"), votes.vote_scope(F.col("step"), F.col("error")).alias("scope"))
+
+
+@query("""SELECT * FROM (VALUES ('retrieval_top_k', 10.0::DOUBLE, true), ('min_score', 0.7::DOUBLE, false), ('cache_minutes', 60.0::DOUBLE, true)) t(key, value, valid)""")
+def settings_table(spark, sf_dir):
+    n = load(spark, sf_dir, "region").count() * 2
+    rows = spark.createDataFrame([("retrieval_top_k", str(n)), ("min_score", "7"), ("unknown", "1")], "key string, value string")
+    return state.settings(rows, {"retrieval_top_k": (5, 1, 50), "min_score": (0.7, 0, 1), "cache_minutes": (60, 1, 1440)})
+
+
+@query("""SELECT o_orderkey AS id, left(concat('note ', o_orderstatus), 6) AS note FROM orders WHERE o_orderstatus <> 'F'""")
+def changed_notes(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    note = F.concat(F.lit("note "), "o_orderstatus", F.lit(" and more"))
+    return state.changed_notes(o.select(F.col("o_orderkey").alias("id"), note.alias("note")), o.select(F.col("o_orderkey").alias("id"), F.lit("note F").alias("note")), 6)
