@@ -13,8 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import procedures as P
 from ..functions import scores as S
 from ..functions import text as T
+from ..operators import comments as C
 from ..operators import corpus, graph, history, quality, rank, retrieve, rules, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,10 +95,15 @@ def redact_counts(spark, sf_dir):
         F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"), F.lit(0))).cast("long").alias("n_mail"))
 
 
-@query()
+#: Without look-around: each neighbour is taken along and put back, twice, for neighbours that two numbers share.
+PHONES = r"regexp_replace({}, '(^|[^\w])\+?\d[\d ()-]{{8,}}\d($|[^\w])', '\1[NUMBER]\2', 'g')"
+
+
+@query(rf"""WITH r AS (SELECT doc_id, regexp_replace({PHONES.format(PHONES.format("regexp_replace(regexp_replace(coalesce(text, ''), '" + T.UUID + "', '[ID]', 'g'), '" + T.EMAIL + "', '[EMAIL]', 'g')"))}, '\b\d{{7,}}\b', '[NUMBER]', 'g') AS t FROM documents)
+SELECT doc_id, sha256(t) AS redacted_sha256, (len(string_split(t, '[NUMBER]')) - 1)::INT AS n_numbers FROM r""")
 def redacted(spark, sf_dir):
-    c = T.redact(F.col("text"))
-    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(c, 256).alias("redacted_sha256"), (F.size(F.split(c, r"\[NUMBER\]")) - 1).alias("n_numbers"))
+    c = T.let(T.redact(F.col("text")), lambda c: F.struct(F.sha2(c, 256).alias("redacted_sha256"), (F.size(F.split(c, r"\[NUMBER\]")) - 1).alias("n_numbers")))
+    return retrieve.spread(load(spark, sf_dir, "documents")).select("doc_id", c.alias("c")).select("doc_id", "c.*")
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, sha256(concat(lower(trim(lang)), '|', lower(trim(source)))) AS pattern_key FROM documents")
@@ -471,10 +478,14 @@ def rule_match(spark, sf_dir):
     return rules.match_rules(f, RULES, "o_orderkey", "error")
 
 
-@query()
+@query("""WITH r AS (SELECT s_suppkey AS id, s_nationkey % 5 AS p, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN ['a'] WHEN s_suppkey % 5 = 2 THEN ['a', 'b'] WHEN s_suppkey % 5 = 3 THEN ['b', 'c'] ELSE ['d'] END AS v FROM supplier)
+SELECT x.id AS a, y.id AS b, CASE WHEN x.v IS NULL AND y.v IS NULL THEN 'equal' WHEN x.v IS NULL OR y.v IS NULL THEN 'subset' WHEN list_sort(x.v) = list_sort(y.v) THEN 'equal' WHEN list_has_all(x.v, y.v) OR list_has_all(y.v, x.v) THEN 'subset' WHEN list_has_any(x.v, y.v) THEN 'overlap' ELSE 'disjoint' END AS relation FROM r x JOIN r y ON x.p = y.p AND x.id < y.id""")
 def rule_overlap(spark, sf_dir):
-    rows = [("a", "is f", ["x"]), ("b", "is f ", ["x", "y"]), ("c", "is f", ["z"]), ("d", "is o", ["x"]), ("e", "is f", ["x"])]
-    return rules.overlapping(spark.createDataFrame(rows, "id string, pattern string, order_type array<string>"), ["order_type"])
+    """Pairs of rules with one pattern, from a table of rules."""
+    k = F.col("s_suppkey") % 5
+    values = F.when(k == 1, F.array(F.lit("a"))).when(k == 2, F.array(F.lit("a"), F.lit("b"))).when(k == 3, F.array(F.lit("b"), F.lit("c"))).when(k == 4, F.array(F.lit("d")))
+    r = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit(" is "), (F.col("s_nationkey") % 5).cast("string"), F.when(k > 2, " ").otherwise("")).alias("pattern"), values.alias("order_type"))
+    return rules.overlapping(r, ["order_type"])
 
 
 CHAIN = """RECURSIVE e AS (SELECT event_id, user_id, event_type, concat(event_type, '|', event_id) AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
@@ -632,8 +643,6 @@ def structured_fields(spark, sf_dir):
 
 @query("SELECT o_orderstatus, count(*) AS n, concat('reset port/', lower(o_orderstatus)) AS first_clause, 2 AS n_clauses FROM orders GROUP BY 1")
 def procedure_identity(spark, sf_dir):
-    from ..functions import procedures as P
-
     o = load(spark, sf_dir, "orders")
     body = F.concat(F.lit("1. resetting the port/"), F.lower("o_orderstatus"), F.lit(" and retried it"))
     p = P.procedure_identity(body)
@@ -642,8 +651,6 @@ def procedure_identity(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus = 'F' AS supported FROM orders")
 def step_support(spark, sf_dir):
-    from ..functions import procedures as P
-
     o = load(spark, sf_dir, "orders")
     source = F.concat(F.lit("Check the line; reset port "), "o_orderstatus", F.lit(" then retry order"))
     return o.select("o_orderkey", P.is_supported(F.lit("checked line; reset the port F; retried order"), source).alias("supported"))
@@ -662,8 +669,6 @@ def upload_sources(spark, sf_dir):
 @query("""SELECT o_orderkey, o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey % 7 = 3 AS same FROM orders""")
 def same_failure(spark, sf_dir):
     """Which orders show the failure of one query: equal step, code and message, order context not contradicting."""
-    from ..functions import procedures as P
-
     f = failures(spark, sf_dir)
     mine = lambda e: P.failure_text(T.clean_error(e))
     q = {"step": F.lit("1 urgent"), "code": F.lit("14003"), "error": mine(F.lit("14003 | Order: 1234567 is F on 1/1/2025 1:00 AM")), "order_type": F.lit("add")}
@@ -673,8 +678,6 @@ def same_failure(spark, sf_dir):
 
 @query("""SELECT item_id, len(list_slice(t, 1, 32)) AS n, list_slice(t, 1, 32)[1] AS first_term FROM (SELECT item_id, list_filter(x, lambda y, i: list_position(x, y) = i) AS t FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS x FROM benchmark))""")
 def query_terms(spark, sf_dir):
-    from ..functions import procedures as P
-
     t = P.query_terms(F.col("text"))
     return load(spark, sf_dir, "benchmark").select("item_id", F.size(t).cast("long").alias("n"), F.get(t, F.lit(0)).alias("first_term"))
 
@@ -684,13 +687,14 @@ def bounded_query(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.length(T.bounded_query(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
-def semantic_guards(spark, sf_dir):
-    from ..functions import procedures as P
+GUARDED = "array_to_string(list_sort(list_distinct(regexp_extract_all({}, '{}'))), ' ')"
 
-    f = failures(spark, sf_dir)
-    g = P.guards(F.col("step"), F.col("error"), F.col("o_orderstatus"))
-    return f.select("o_orderkey", F.array_join(g["numbers"], " ").alias("numbers"), F.array_join(g["words"], " ").alias("words"), g["eligible"].alias("eligible"))
+
+@query(f"""SELECT doc_id, sha256({GUARDED.format("coalesce(text, '')", P.VALUE)}) AS numbers, sha256({GUARDED.format("lower(coalesce(text, ''))", P.OPERATING.replace("'", "''"))}) AS words, trim(lang) <> '' AND doc_id % 3 <> 0 AS eligible FROM documents""")
+def semantic_guards(spark, sf_dir):
+    g = P.guards(F.col("text"), F.col("lang"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise("e"), F.col("source"))
+    d = retrieve.spread(load(spark, sf_dir, "documents")).select("doc_id", g.alias("g"))
+    return d.select("doc_id", F.sha2(F.array_join("g.numbers", " "), 256).alias("numbers"), F.sha2(F.array_join("g.words", " "), 256).alias("words"), F.col("g.eligible").alias("eligible"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
@@ -715,32 +719,40 @@ def line_changes(spark, sf_dir):
 
 @query("SELECT l_orderkey, arg_max(l_suppkey, (l_shipdate, l_linenumber, l_suppkey)) AS author FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
 def resolution_event(spark, sf_dir):
-    from ..operators import comments as C
-
     return C.resolution_event(line_changes(spark, sf_dir), "l_orderkey").select("l_orderkey", "author")
 
 
 @query("SELECT l_orderkey, arg_max(l_suppkey, (l_shipdate, l_linenumber, l_suppkey)) AS author FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
 def field_setter(spark, sf_dir):
-    from ..operators import comments as C
-
     return C.field_setter(line_changes(spark, sf_dir), "l_orderkey", "resolution")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate <= o_orderdate + INTERVAL 14 DAY AND l_returnflag <> 'A'")
 def eligible_comments(spark, sf_dir):
-    from ..operators import comments as C
-
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("resolved_at"))
     c = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("created"), F.col("l_shipdate").alias("updated"), (F.col("l_returnflag") == "A").alias("bot"), F.lit("body").alias("body"))
     return C.eligible(c.join(o, "l_orderkey")).select("l_orderkey", "l_linenumber")
 
 
-@query()
-def comment_noise(spark, sf_dir):
-    from ..operators import comments as C
+def content_words(c: str) -> str:
+    """SQL of ``content_tokens``."""
+    stop = ", ".join(f"'{w}'" for w in C.STOPWORDS)
+    return f"list_distinct(list_filter(regexp_extract_all(lower({cleaned(c)}), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({stop})))"
+
+
+BARE = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '{T.MEDIA}', ' ', 'g'), '{T.ATTACHMENT}', ' ', 'g'), '\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", C.is_unusable(F.col("text")).alias("unusable"), F.size(C.content_tokens(F.col("text"))).alias("n_tokens"))
+
+@query(f"""WITH c AS (SELECT conv_id, turn, concat(CASE turn % 6 WHEN 0 THEN '' WHEN 1 THEN concat('SLA breached', chr(10)) WHEN 2 THEN 'Please refer to AB-1234: ' WHEN 3 THEN '!shot.png|width=5! ' WHEN 4 THEN concat('**done**', chr(10)) ELSE '[^x.pdf]' END, left(text, turn * 4)) AS b FROM conversations),
+f AS (SELECT *, trim(trim(trim(list_filter(string_split(b, chr(10)), lambda x: trim(x) <> '')[1]), '*')) AS head, {BARE} AS bare FROM c)
+SELECT conv_id, turn, trim(b) = '' OR coalesce(regexp_matches(head, '{C.NON_RESOLUTION}'), false) AND length(trim(b)) < 80 OR coalesce(regexp_matches(head, '{C.STATUS_NOTE}'), false) OR regexp_matches(b, '{T.POINTER}') AND regexp_matches(b, '{T.HAS_REFERENCE}')
+OR bare <> trim(b) AND len({content_words('bare')}) < 3 AS unusable, len({content_words('b')})::INT AS n_tokens FROM f""")
+def comment_noise(spark, sf_dir):
+    t = F.col("turn") % 6
+    head = F.when(t == 0, "").when(t == 1, "SLA breached\n").when(t == 2, "Please refer to AB-1234: ").when(t == 3, "!shot.png|width=5! ").when(t == 4, "**done**\n").otherwise("[^x.pdf]")
+    body = F.concat(head, F.expr("left(text, cast(turn * 4 as int))"))
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))
+    return c.select("conv_id", "turn", C.is_unusable(F.col("body")).alias("unusable"), F.size(C.content_tokens(F.col("body"))).alias("n_tokens"))
 
 
 @query("SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS ready FROM orders GROUP BY 1")
