@@ -181,12 +181,17 @@ def test_decontamination_of_odd_rows(spark):
 
 
 # ---- similarity join
-def brute_groups(rows):
+def shingle_sets(rows):
     up = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(up))
         sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    return sets
+
+
+def brute_groups(rows):
+    sets = shingle_sets(rows)
     parent = {i: i for i, _ in rows}
 
     def find(x):
@@ -220,10 +225,14 @@ def near_copies(n, seed):
 def test_groups_match_brute_force(spark, monkeypatch, short, part):
     monkeypatch.setattr(ngram_join, "SHORT", short)
     monkeypatch.setattr(ngram_join, "PART", part)
-    texts = near_copies(150, short + part) + ["", None, " \n", "One two", "one TWO", "a b c d e", "same words " * 900, "same words " * 901]
+    texts = near_copies(150, short + part) + ["one two three four five six seven eight nine ten lone pair"] * 3 + ["one two three four five six seven eight nine ten lone pair x"] + ["", None, " \n", "One two", "one TWO", "a b c d e", "same words " * 900, "same words " * 901]
     rows = list(enumerate(texts))
-    got = ngram_join.similar_groups(frame(spark, texts))
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
+    got = ngram_join.similar_groups(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_groups(rows)
+    sets = {i: s for (i, _), s in zip(rows, shingle_sets(rows))}
+    every = {i: sum(i != j and bool(s) and 100 * len(s & t) >= 75 * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+    assert all(r.links_verified == every[r.doc_id] if r.links_complete else r.links_verified <= every[r.doc_id] for r in got)
+    assert any(r.links_complete and r.links_verified for r in got) or short < 12
 
 
 def test_groups_of_odd_tables(spark):
