@@ -16,6 +16,7 @@ RECORD_ID = r"\b[0-9][A-Za-z0-9]{14,17}\b"
 ANY_RECORD_ID = r"\b(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{15}(?:[A-Za-z0-9]{3})?\b"
 LONG_DIGITS = r"(?<![0-9])\d{6,}(?![0-9])"
 ORDER_LABEL = r"(?i)(?:Order\s+Id|Order)\s*:\s*"
+NON_ASCII, EMPTY_BRACKETS, SPACED_DASH = r"[^\x00-\x7f]+", (r"\(\s*\)", r"\[\s*\]"), r"\s*-\s*"
 EDGE = " -|:•‣●"
 CODE_PREFIX = r"(?s)^[\s*•·▪◦\-|>]*(\d{1,6})\s*\|(.*)$"
 POINTER = r"(?i)duplicat\w*|please\s+refer\s+to|refer\s+to\s+(?:the\s+)?(?:ticket|jira|sac)|merged\s+(?:with|into)|tracked\s+(?:in|under)|raised\s+as\s+(?:a\s+)?duplicate"
@@ -57,11 +58,10 @@ def strip_edge(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """One spelling for equal failures: no per-order noise, markup or non-ASCII."""
-    c = F.regexp_replace(text(c), r"[^\x00-\x7f]+", " ")
-    c = F.regexp_replace(c, DATETIME, " ")
-    for pattern in (RECORD_ID, LONG_DIGITS, ORDER_LABEL, r"\*", r"\(\s*\)", r"\[\s*\]"):
+    c = F.regexp_replace(F.regexp_replace(text(c), NON_ASCII, " "), DATETIME, " ")
+    for pattern in (RECORD_ID, LONG_DIGITS, ORDER_LABEL, r"\*", *EMPTY_BRACKETS):
         c = F.regexp_replace(c, pattern, "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\s*-\s*", " "), r"\s+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, SPACED_DASH, " "), r"\s+", " ")
     return strip_edge(c)
 
 
