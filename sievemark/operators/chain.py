@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import error_similarity, feedback_delta, text_similarity
 from ..functions.text import let, token_set
+from .windows import numbered
 
 
 def lexical_rescore(query_step: Column, query_error: Column, step: Column, error: Column, weight: float = 0.65) -> Column:
@@ -78,3 +79,24 @@ def best_of_kind(ranked: DataFrame, limits: dict[str, int], score: str, by: str
     place = F.row_number().over(Window.partitionBy(by, kind).orderBy(F.desc(score), F.asc(key)))
     limit = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col(kind)), F.lit(2**31 - 1))
     return ranked.withColumn("place", place).where(F.col("place") <= limit)
+
+
+def merged_sides(step: DataFrame, error: DataFrame, weight: float = 0.65, floor: float = 0.0, use_step: bool = True, use_error: bool = True, by: str = "query_id") -> DataFrame:
+    """(query, key, score, step_score, error_score) of hits of either side; a side that lacks a hit counts as 0.
+
+    With both sides in use, hits whose error side is below the floor go.
+    """
+    s, e = step.select(by, "key", F.col("score").alias("step_score")), error.select(by, "key", F.col("score").alias("error_score"))
+    both = s.join(e, [by, "key"], "full_outer").select(by, "key", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("step_score", "error_score")))
+    if use_step and use_error:
+        return both.where(F.col("error_score") >= floor).withColumn("score", F.col("step_score") * (1 - weight) + F.col("error_score") * weight)
+    return both.withColumn("score", F.col("step_score") if use_step else F.col("error_score"))
+
+
+def ticket_corpus(chunks: DataFrame, signature: Column) -> DataFrame:
+    """One row a ticket, its first chunk, with the signature of its failure and the number of tickets that share it.
+
+    ``chunks(key, pos, ...)``; rows without a key go.
+    """
+    one = numbered(chunks.where(F.trim(F.coalesce("key", F.lit(""))) != ""), Window.partitionBy("key").orderBy("pos"), lambda n: n == 1).withColumn("signature", signature)
+    return one.join(one.groupBy("signature").agg(F.count("*").alias("siblings")), "signature")

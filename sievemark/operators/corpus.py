@@ -37,10 +37,15 @@ def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def change_set(new: DataFrame, old: DataFrame, key: str, content: str = "content_hash") -> DataFrame:
-    """(key, change) of a full refresh: insert, update, same or missing."""
-    n = new.select(key, F.col(content).alias("new_hash"), F.lit(True).alias("in_new"))
-    o = old.select(key, F.col(content).alias("old_hash"), F.lit(True).alias("in_old"))
+def change_set(new: DataFrame, old: DataFrame, key: str, *content: str) -> DataFrame:
+    """(key, change) of a full refresh: insert, update, same or missing.
+
+    ``content`` (``content_hash`` by default) are the columns that make a row the same:
+    hash, tier and reasons, version of the policy or of the vectors.
+    """
+    content = content or ("content_hash",)
+    n = new.select(key, F.struct(*content).alias("new_hash"), F.lit(True).alias("in_new"))
+    o = old.select(key, F.struct(*content).alias("old_hash"), F.lit(True).alias("in_old"))
     change = F.when(F.col("in_old").isNull(), "insert").when(F.col("in_new").isNull(), "missing").when(F.col("new_hash").eqNullSafe(F.col("old_hash")), "same").otherwise("update")
     return n.join(o, key, "full_outer").select(key, change.alias("change"))
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import clamp, dot
 from ..functions.text import let, text, tokens
 
+# Weights of a source's fields in keyword search.
+FIELD_WEIGHTS = {"summary": 1.0, "step": 2.0, "error": 5.0, "body": 0.5}
 #: Bytes up to which a table is sent to all executors, and rows of it that are counted at most.
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import issues as I
+from ..functions import procedures as PR
 from ..functions import tables as B
 from ..functions import text as T
-from ..operators import caches, chain, decisions, documents, issues, library, retrieve, state, votes
+from ..operators import caches, chain, corpus, decisions, documents, issues, library, quality, retrieve, state, votes
 from .queries import dense_topk, failures, load, query
 
 S = lambda c: F.col(c).cast("string")
@@ -601,3 +602,44 @@ def changed_notes(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     note = F.concat(F.lit("note "), "o_orderstatus", F.lit(" and more"))
     return state.changed_notes(o.select(F.col("o_orderkey").alias("id"), note.alias("note")), o.select(F.col("o_orderkey").alias("id"), F.lit("note F").alias("note")), 6)
+
+
+# ---- qualities, sides, corpus
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'medium' WHEN o_custkey % 10 < 7 THEN 'low' WHEN o_custkey % 5 = 0 THEN 'low' WHEN o_custkey % 3 = 0 THEN 'medium' WHEN o_orderkey % 4 = 0 THEN 'medium' WHEN o_orderkey % 4 = 1 THEN 'medium' ELSE 'high' END AS tier,
+CASE WHEN o_orderkey % 7 = 0 THEN 'low' WHEN o_orderstatus = 'P' THEN 'medium' WHEN o_custkey % 10 < 7 OR o_orderkey % 2 = 0 THEN 'low' WHEN o_custkey % 3 = 0 THEN 'medium' WHEN o_orderkey % 4 = 1 THEN 'medium' ELSE 'high' END AS routing FROM orders""")
+def candidate_tiers(spark, sf_dir):
+    o, k, c = load(spark, sf_dir, "orders"), F.col("o_orderkey") % 4, F.col("o_custkey")
+    same, score = F.col("o_orderstatus") != "P", (c % 10) / 10
+    assessed, net = F.when(c % 3 == 0, "medium").otherwise("high"), F.when(k == 0, -1).otherwise(2)
+    ok, bad = F.lit(None).cast("int"), F.when(k == 1, 1).otherwise(0)
+    one = quality.candidate_quality(F.when(c % 5 == 0, F.lit(None)).otherwise("high"), assessed, same, score, net, ok, bad)
+    two = quality.routing_quality(F.lit("AB-1"), F.when(F.col("o_orderkey") % 7 == 0, "ftp://x").otherwise("https://x/y"), same, score, F.col("o_orderkey") % 2 == 1, assessed, net, ok, bad)
+    return o.select("o_orderkey", one["tier"].alias("tier"), two["tier"].alias("routing"))
+
+
+@query("""WITH s AS (SELECT user_id AS query_id, event_id % 50 AS key, max(event_id % 10) / 10 AS score FROM events WHERE event_type = 'view' GROUP BY 1, 2), e AS (SELECT user_id AS query_id, event_id % 50 AS key, max(event_id % 10) / 10 AS score FROM events WHERE event_type <> 'view' GROUP BY 1, 2)
+SELECT query_id, key, round(0.35 * coalesce(s.score, 0) + 0.65 * coalesce(e.score, 0), 6) AS score FROM s FULL OUTER JOIN e USING (query_id, key) WHERE coalesce(e.score, 0) >= 0.2""")
+def merged_sides(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    side = lambda own: e.where(own).groupBy(F.col("user_id").alias("query_id"), (F.col("event_id") % 50).alias("key")).agg((F.max(F.col("event_id") % 10) / 10).alias("score"))
+    return chain.merged_sides(side("event_type = 'view'"), side("event_type <> 'view'"), floor=0.2).select("query_id", "key", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT o_custkey::VARCHAR AS key, o_orderkey, count(*) OVER (PARTITION BY o_orderpriority) AS siblings FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1""")
+def ticket_corpus(spark, sf_dir):
+    c = load(spark, sf_dir, "orders").withColumn("key", S("o_custkey")).withColumn("pos", F.col("o_orderkey"))
+    return chain.ticket_corpus(c, T.failure_signature(F.col("o_orderpriority"), F.lit(""))).select("key", "o_orderkey", "siblings")
+
+
+@query("""SELECT doc_id, sha256(concat('Error code: ', doc_id, chr(10), 'Error: ', regexp_extract(text, '^(\\s*\\S+){0,5}'), chr(10), 'Failed Step: ', lang, chr(10), 'Order Reason: ', chr(10), 'Summary: ', source)) AS text FROM documents""")
+def embedding_text(spark, sf_dir):
+    d = retrieve.spread(load(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.sha2(PR.embedding_text(S("doc_id"), F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source"), 29), 256).alias("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'insert' WHEN d.doc_id IS NULL THEN 'missing' WHEN n_chars % 2 = l.quality AND (lang = 'en') = (l.toxic = 0) THEN 'same' ELSE 'update' END AS change FROM documents d FULL OUTER JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)""")
+def policy_changes(spark, sf_dir):
+    """Changes of a refresh in which content and tier must both be the same."""
+    d = load(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("content_hash"), (F.col("lang") == "en").alias("tier"))
+    old = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("content_hash"), (F.max("toxic") == 0).alias("tier"))
+    return corpus.change_set(d, old, "doc_id", "content_hash", "tier")

@@ -7,16 +7,16 @@ A page source is a folder of ``page-*.json`` files, each ``{"issues": [...],
 from __future__ import annotations
 
 import json
-import os
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "key string, summary string, description string, status string, updated string, resolutiondate string, assignee string, comments string"
 
 
 class Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most: int | None = None):
+        self.path, self.most = path, most
 
 
 class IssuePages(DataSource):
@@ -32,22 +32,48 @@ class IssuePages(DataSource):
 
 
 class IssueReader(DataSourceReader):
+    """Pages are found and opened through Arrow's file systems, so the folder may be local or shared.
+
+    With ``limit`` only the first so many issues, in page order, are read: whole pages are
+    counted on the driver until there are enough, and the last one is cut.
+    """
+
     def __init__(self, options):
         self.path, self.limit = options["path"], int(options.get("limit", "0"))
 
     def partitions(self):
-        names = sorted(n for n in os.listdir(self.path) if n.startswith("page-") and n.endswith(".json"))
-        return [Page(os.path.join(self.path, n)) for n in names]
+        store, root = opened(self.path)
+        names = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("page-") and f.base_name.endswith(".json"))
+        if not self.limit:
+            return [Page(n) for n in names]
+        out, left = [], self.limit
+        for n in names:
+            if left <= 0:
+                break
+            found = len(page(store, n))
+            out.append(Page(n, min(found, left)))
+            left -= found
+        return out
 
     def read(self, partition):
-        with open(partition.path, encoding="utf-8") as f:
-            page = json.load(f)
-        for i in page.get("issues", []):
+        store, _ = opened(self.path)
+        for i in page(store, partition.path)[: partition.most]:
             x = i.get("fields", {})
             name = lambda k, f="name": (x.get(k) or {}).get(f)
             yield (i["key"], flatten(x.get("summary")), flatten(x.get("description")), name("status"), x.get("updated"), x.get("resolutiondate"), name("assignee", "accountId"), json.dumps((x.get("comment") or {}).get("comments", []), sort_keys=True))
 
 
+def opened(path: str):
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def page(store, path: str) -> list[dict]:
+    with store.open_input_stream(path) as f:
+        return json.loads(f.read()).get("issues", [])
+
+
 def flatten(node) -> str:
     """Text of a rich-text tree, parts joined by spaces."""
     if node is None:
