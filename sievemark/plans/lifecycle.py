@@ -643,3 +643,18 @@ def policy_changes(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("content_hash"), (F.col("lang") == "en").alias("tier"))
     old = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("content_hash"), (F.max("toxic") == 0).alias("tier"))
     return corpus.change_set(d, old, "doc_id", "content_hash", "tier")
+
+
+@query()
+def suggestion_states(spark, sf_dir):
+    """Events as scans and votes on suggestions, run as a stream; what was done for each ticket."""
+    from ..sources.shared import shared_path
+    from ..streaming import suggestions
+
+    path, checkpoint = shared_path(spark, "suggestions"), shared_path(spark, "suggestions-checkpoint")
+    raw = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    t, k = F.col("event_type"), F.col("event_id") % 4
+    kind = F.when(t == "purchase", "up").when(t == "error", "down").otherwise("scan")
+    e = raw.select(F.col("user_id").alias("ticket"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(k != 0, F.concat(F.lit("c"), k.cast("string"))).alias("candidate"), (F.col("event_id") % 9 == 0).alias("deferred"), (t == "signup").alias("preview"))
+    suggestions.suggestions(e).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(suggestions.RESULT).parquet(path)

@@ -149,3 +149,44 @@ def test_quotations_and_similar_sets(spark):
         got = {(x.doc_id, x.item_id) for x in retrieve.similar_sets(frame(left, "doc_id"), frame(right, "item_id"), least).collect()}
         want = {(i, j) for i, a in enumerate(left) for j, c in enumerate(right) if set(a) and set(c) and len(set(a) & set(c)) / len(set(a) | set(c)) >= least}
         assert got == want
+
+
+def test_suggestions_step_by_step():
+    from types import SimpleNamespace
+
+    from sievemark.streaming.suggestions import NEW, step
+
+    def run(*events):
+        state, done = NEW, []
+        for i, (kind, candidate, *more) in enumerate(events):
+            state, action = step(state, SimpleNamespace(seq=i, kind=kind, candidate=candidate, deferred="late" in more, preview="preview" in more))
+            done.append((state[0], action))
+        return done, state
+
+    assert run(("scan", None), ("scan", None), ("scan", "a"), ("scan", "b"))[0] == [("awaiting_match", "post"), ("awaiting_match", "skip"), ("posted", "edit"), ("posted", "skip")]
+    done, state = run(("scan", "a"), ("down", "b"), ("down", "a"), ("up", None))
+    assert done == [("posted", "post"), ("improved", "edit"), ("exhausted", "edit"), ("accepted", "record")] and state[3] == "a,b"
+    assert run(("scan", "a", "preview"), ("scan", "a", "preview"), ("scan", "a"))[0] == [("previewed", "preview"), ("previewed", "skip"), ("posted", "post")]
+    assert run(("scan", "a", "late"), ("scan", "a"))[0] == [("deferred", "defer"), ("posted", "post")]
+    state, action = step(("posted", "a", True, "", 5), SimpleNamespace(seq=5, kind="down", candidate=None, deferred=False, preview=False))
+    assert (state[0], action) == ("posted", "skip")
+
+
+def test_suggestions_over_batches(spark, tmp_path):
+    """A stream in three batches does the same as one pass, and a repeated event nothing."""
+    from sievemark.streaming import suggestions as su
+
+    rows = [(t, s, ("scan", "scan", "down", "up")[(t + s) % 4], ("a", "b", None)[(t * s) % 3], s % 5 == 0, t % 4 == 0) for t in range(8) for s in range(9)]
+    want, src, out = set(), str(tmp_path / "src"), str(tmp_path / "out")
+    for t in range(8):
+        state = su.NEW
+        for r in sorted(x for x in rows if x[0] == t):
+            state, action = su.step(state, spark.createDataFrame([r], su.EVENT).collect()[0])
+            if action != "skip":
+                want.add((t, r[1], state[0], action, state[1], state[3]))
+    for part in ([r for r in rows if r[1] < 3], [r for r in rows if 2 <= r[1] < 6], [r for r in rows if r[1] >= 6]):
+        spark.createDataFrame(part, su.EVENT).coalesce(1).write.mode("append").parquet(src)
+        stream = su.suggestions(spark.readStream.schema(su.EVENT).parquet(src))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(su.RESULT).parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
