@@ -545,7 +545,7 @@ def candidates_by_key(spark, sf_dir):
 
 
 @query("""SELECT c_custkey::VARCHAR AS key, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_name ELSE c_mktsegment END AS feedback FROM customer""")
-def open_issues(spark, sf_dir):
+def issue_inflow(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
     k = F.col("c_custkey") % 3
     raw = F.when(k == 0, F.to_json(F.struct(F.col("c_mktsegment").alias("value"), F.lit("x").alias("name")))).when(k == 1, F.to_json(F.struct(F.col("c_name").alias("name")))).otherwise(F.col("c_mktsegment"))
