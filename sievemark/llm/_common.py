@@ -181,7 +181,7 @@ def powers(base: int, n: int) -> np.ndarray:
         a = np.full(size, base & (2**64 - 1), np.uint64)
         a[0] = 1
         have = np.multiply.accumulate(a)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _powers[base] = have
     return have
 
