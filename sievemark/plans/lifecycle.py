@@ -35,7 +35,7 @@ def order_issues(spark, sf_dir) -> DataFrame:
     bot = F.when(F.col("l_linenumber") % 2 == 1, "Check Bot").otherwise("Ann")
     body = F.concat(F.lit("seen\nPR_Error_Description: "), S("l_partkey"), F.lit(" | bad part"))
     c = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", bot.alias("author"), body.alias("body")))).alias("comments"))
-    o = load(spark, sf_dir, "orders").withColumn("summary", F.concat(F.lit("FALLOUT: order - Failed Step: "), "o_orderpriority")).withColumn("description", F.concat(F.lit("*Order Reason:* new "), "o_orderstatus", F.lit("\nMSISDN: 787"), S("o_custkey")))
+    o = load(spark, sf_dir, "orders").withColumn("summary", F.concat(F.lit("MOVE: order - Failed Step: "), "o_orderpriority")).withColumn("description", F.concat(F.lit("*Order Reason:* new "), "o_orderstatus", F.lit("\nMSISDN: 787"), S("o_custkey")))
     return o.join(c, "o_orderkey")
 
 
@@ -43,14 +43,14 @@ MARKED = """m AS (SELECT l_orderkey, arg_max(l_partkey, (l_linenumber, concat(l_
 i AS (SELECT o.*, CASE WHEN part IS NULL THEN '' ELSE concat(part, ' | bad part') END AS error FROM orders o JOIN m ON l_orderkey = o_orderkey)"""
 
 
-@query(f"""WITH {MARKED} SELECT o_orderkey, o_orderpriority AS step, error, sha256(concat('Summary: FALLOUT: order - Failed Step: ', o_orderpriority, chr(10), '*Order Reason:* new ', o_orderstatus, chr(10), 'MSISDN: 787', o_custkey, chr(10), 'Failed Step: ', o_orderpriority, CASE WHEN error <> '' THEN concat(chr(10), 'Error Description: ', error) ELSE '' END)) AS text FROM i""")
+@query(f"""WITH {MARKED} SELECT o_orderkey, o_orderpriority AS step, error, sha256(concat('Summary: MOVE: order - Failed Step: ', o_orderpriority, chr(10), '*Order Reason:* new ', o_orderstatus, chr(10), 'MSISDN: 787', o_custkey, chr(10), 'Failed Step: ', o_orderpriority, CASE WHEN error <> '' THEN concat(chr(10), 'Error Description: ', error) ELSE '' END)) AS text FROM i""")
 def issue_query(spark, sf_dir):
     o = order_issues(spark, sf_dir)
     q = o.select("o_orderkey", I.issue_query(F.col("summary"), F.col("description"), F.col("comments"), "check bot").alias("q"))
     return q.select("o_orderkey", F.col("q.step").alias("step"), F.col("q.error").alias("error"), F.sha2("q.text", 256).alias("text"))
 
 
-@query(f"""WITH {MARKED} SELECT o_orderkey, concat('FALLOUT', chr(10), 'Failed Step: ', split_part(o_orderpriority, '-', 1), chr(10), 'Order Reason: new ', o_orderstatus, CASE WHEN error <> '' THEN concat(chr(10), 'Error: ', error) ELSE '' END, chr(10), 'MSISDN: 787', o_custkey) AS text FROM i""")
+@query(f"""WITH {MARKED} SELECT o_orderkey, concat('MOVE', chr(10), 'Failed Step: ', split_part(o_orderpriority, '-', 1), chr(10), 'Order Reason: new ', o_orderstatus, CASE WHEN error <> '' THEN concat(chr(10), 'Error: ', error) ELSE '' END, chr(10), 'MSISDN: 787', o_custkey) AS text FROM i""")
 def ticket_text(spark, sf_dir):
     o = order_issues(spark, sf_dir)
     return o.select("o_orderkey", I.ticket_text(F.col("summary"), F.col("description"), F.col("comments"), "check bot").alias("text"))
@@ -444,7 +444,7 @@ def search_phrases(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     error = F.concat((14000 + F.col("o_custkey") % 7).cast("string"), F.lit(" | gone"))
     x = I.exact_terms(F.col("o_orderpriority"), error)
-    summary = F.concat(F.lit("FALLOUT: order "), (1000000 + F.col("o_orderkey")).cast("string"), F.lit(" Failed Step: "), "o_orderpriority")
+    summary = F.concat(F.lit("MOVE: order "), (1000000 + F.col("o_orderkey")).cast("string"), F.lit(" Failed Step: "), "o_orderpriority")
     return o.select("o_orderkey", I.semantic_query(F.col("o_orderpriority"), error, F.lit("")).alias("phrase"), x["term"].alias("term"), x["phrase"].alias("exact"), I.summary_step(summary).alias("summary_step"))
 
 

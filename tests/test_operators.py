@@ -26,9 +26,9 @@ def test_clean_error_keeps_codes(spark):
 
 
 def test_pointers(spark):
-    bodies = ("duplicate, refer to SAC-231619", "reset it, see SAC-231619", "merged with browse/ab-12", "duplicate of nothing", None)
+    bodies = ("duplicate, refer to ABC-231619", "reset it, see ABC-231619", "merged with browse/ab-12", "duplicate of nothing", None)
     assert one(spark, T.is_pointer, *bodies) == [True, False, True, False, False]
-    assert one(spark, T.referenced_ticket, *bodies) == ["SAC-231619", "SAC-231619", "AB-12", "", ""]
+    assert one(spark, T.referenced_ticket, *bodies) == ["ABC-231619", "ABC-231619", "AB-12", "", ""]
 
 
 def test_fix_block(spark):
@@ -233,7 +233,7 @@ def test_scan_skips_unchanged_and_replays(spark, tmp_path):
 
 
 def test_comment_noise(spark):
-    got = one(spark, comments.is_unusable, "done", "no issue found", "SLA breach, closing all", "dup, please refer to SAC-231619", "!shot.png!", "Reset the port and retried the order", "", "already activated\n" + "x" * 90)
+    got = one(spark, comments.is_unusable, "done", "no issue found", "SLA breach, closing all", "dup, please refer to ABC-231619", "!shot.png!", "Reset the port and retried the order", "", "already activated\n" + "x" * 90)
     assert got == [True, True, True, True, True, False, True, False]
 
 
