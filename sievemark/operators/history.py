@@ -123,9 +123,30 @@ def metrics(returned: DataFrame, expected: DataFrame, cases: DataFrame, k: int)
     )
 
 
-def nearest_rank(df: DataFrame, value: str, by: str, shares=(0.5, 0.95)) -> DataFrame:
-    """Nearest-rank percentiles: the value at place ceil(n p)."""
-    return df.groupBy(by).agg(*(F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"p{round(100 * p)}") for p in shares))
+def nearest_rank(df: DataFrame, value: str, by: str, shares=(0.5, 0.95), buckets: int = 4096) -> DataFrame:
+    """Nearest-rank percentiles of each group: the value at place max(1, ceil(n p)); nulls don't count.
+
+    Equal values are counted first.  Counts by equal stretches of a group's range say in which
+    stretch a place lies; only its values are put in order, so that no group is sorted
+    or held as a whole.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    about = c.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
+    place = F.when(F.col("high") > F.col("low"), F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets))).otherwise(0)
+    c = c.join(about.withColumnRenamed("g", "group"), F.col("g").eqNullSafe(F.col("group"))).select("group", "v", "n", "total", place.alias("bucket"))
+    sizes = c.groupBy("group", "bucket", "total").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("group").orderBy("bucket")) - F.col("size")  # at most ``buckets`` rows a group
+    sizes = sizes.withColumn("before", before)
+    out = df.select(F.col(by)).distinct()
+    for p in shares:
+        rank = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(p)))
+        own = sizes.where((F.col("before") < rank) & (rank <= F.col("before") + F.col("size"))).select(F.col("group").alias("og"), F.col("bucket").alias("ob"), "before")
+        inside = c.join(own, F.col("group").eqNullSafe(F.col("og")) & (F.col("bucket") == F.col("ob")))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy("group").orderBy("v"))
+        name = f"p{round(100 * p)}"
+        one = inside.withColumn("upto", upto).where(F.col("upto") >= rank).groupBy("group").agg(F.min("v").alias(name))
+        out = out.join(one, F.col(by).eqNullSafe(F.col("group")), "left").drop("group")
+    return out
 
 
 def leave_one_out(scored: DataFrame, labels: DataFrame, k: int) -> DataFrame:

@@ -32,7 +32,7 @@ def small(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A table in fewer files than there are cores, dealt to all of them; larger ones as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df  # counted there, not brought here
 
 
 def top(df: DataFrame, k: int, score: str, key: str, by: str = "query_id", rank: str = "rank") -> DataFrame:

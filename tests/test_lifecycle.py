@@ -122,6 +122,20 @@ def test_streams(spark):
     assert {r.request_id: r.text for r in decisions.reduced_stream(e).collect()} == {"a": "Hello\n\nfinal", "b": None, "c": "hi", "d": None}
 
 
+def test_nearest_ranks(spark):
+    import math
+    import random
+
+    from sievemark.operators.history import nearest_rank
+
+    r = random.Random(4)
+    rows = [(g, r.choice([None, 1.0, 2.5, r.random() * 100, -r.random()])) for g in ("a", "b", None) for _ in range(r.randint(30, 90))] + [("one", 7.0), ("none", None), ("same", 3.0), ("same", 3.0)]
+    got = {x.g: (x.p50, x.p95) for x in nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", "g", buckets=8).collect()}
+    for g in {x[0] for x in rows}:
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == tuple(v[max(1, math.ceil(len(v) * p)) - 1] if v else None for p in (0.5, 0.95))
+
+
 def test_state_tables(spark):
     t = spark.createDataFrame([(1, "a", 5), (2, "b", 5)], "k int, is_newer string, at int")
     new = spark.createDataFrame([(1, "late", 4), (2, "c", 6), (3, "d", 1)], t.schema)
