@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 CASES = "id string, issue_key string, query_text string, expected_source_keys array<string>, exclude_keys array<string>, verified boolean"
 #: Limits of an uploaded document.
-MOST_BYTES, LEAST_CHARS, MOST_CHARS = 10 << 20, 20, 200_000
+MOST_BYTES, MOST_PAGES, LEAST_CHARS, MOST_CHARS = 10 << 20, 100, 20, 200_000
 
 
 def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,7 +40,7 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def docx_text(raw: bytes) -> str:
-    """Paragraphs and tables of a word-processing file; document type declarations are refused."""
+    """Paragraphs (list items with a bullet) and tables of a word-processing file; document type declarations are refused."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     xml = zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml")
     if b"<!DOCTYPE" in xml or b"<!ENTITY" in xml:
@@ -49,7 +49,9 @@ def docx_text(raw: bytes) -> str:
     for part in ElementTree.fromstring(xml).iter(f"{w}body"):
         for x in part:
             if x.tag == f"{w}p":
-                out.append("".join(t.text or "" for t in x.iter(f"{w}t")))
+                style = x.find(f"{w}pPr/{w}pStyle")
+                listed = x.find(f"{w}pPr/{w}numPr") is not None or style is not None and "list" in (style.get(f"{w}val") or "").lower()
+                out.append(("• " if listed else "") + "".join(t.text or "" for t in x.iter(f"{w}t")))
             elif x.tag == f"{w}tbl":
                 for row in x.iter(f"{w}tr"):
                     out.append("|" + "|".join("".join(t.text or "" for t in c.iter(f"{w}t")) for c in row.iter(f"{w}tc")) + "|")
@@ -90,7 +92,12 @@ def extract(name: str, raw: bytes) -> tuple[str, str]:
                 from pypdf import PdfReader
             except ImportError:
                 return "", "no reader for pdf"
-            text = "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages)
+            reader = PdfReader(io.BytesIO(raw))
+            if reader.is_encrypted:
+                return "", "encrypted"
+            if len(reader.pages) > MOST_PAGES:
+                return "", "too many pages"
+            text = "\n".join(p.extract_text() or "" for p in reader.pages)
         else:
             return "", "unknown kind"
     except Exception as e:  # a damaged file is a row with its error, not a failed job

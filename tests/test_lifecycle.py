@@ -204,3 +204,30 @@ def test_suggestions_over_batches(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = [tuple(r) for r in spark.read.schema(su.RESULT).parquet(out).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_lists_in_office_files():
+    import io
+    import zipfile
+
+    from sievemark.sources.files import docx_text
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda inner, style="": f"<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{inner}</w:t></w:r></w:p>"
+    xml = f"<w:document {w}><w:body>{p('head')}{p('one', '<w:numPr/>')}{p('two', '<w:pStyle w:val=' + chr(34) + 'ListBullet' + chr(34) + '/>')}</w:body></w:document>"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", xml)
+    assert docx_text(held.getvalue()) == "head\n• one\n• two"
+
+
+def test_pages_of_issues_with_a_limit(spark, tmp_path):
+    import json
+
+    from sievemark.sources import issues as source
+
+    for n in range(3):
+        (tmp_path / f"page-{n}.json").write_text(json.dumps({"issues": [{"key": f"A-{n}{i}", "fields": {}} for i in range(4)]}))
+    source.register(spark)
+    read = lambda **o: sorted(r.key for r in spark.read.format("issue_pages").options(path=str(tmp_path), **o).load().collect())
+    assert len(read()) == 12 and read(limit="5") == ["A-00", "A-01", "A-02", "A-03", "A-10"] and len(read(limit="99")) == 12
