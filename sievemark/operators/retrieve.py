@@ -40,12 +40,6 @@ def top(df: DataFrame, k: int, score: str, key: str, by: str = "query_id", rank:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def term_counts(corpus: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, token, tf, len) of every document."""
-    t = corpus.select(F.col(key).alias("key"), tokens(F.col(body)).alias("t"))
-    return t.select("key", F.size("t").alias("len"), F.explode("t").alias("token")).groupBy("key", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
 def vocabulary(corpus: DataFrame, body: Column) -> DataFrame:
     """(token, df, lengths, total) of all terms in one pass; the row of the empty token, marked total, has the documents and their length.
 

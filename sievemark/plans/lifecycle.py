@@ -13,7 +13,7 @@ from ..functions import issues as I
 from ..functions import procedures as PR
 from ..functions import tables as B
 from ..functions import text as T
-from ..operators import caches, chain, corpus, decisions, documents, issues, library, quality, retrieve, state, votes
+from ..operators import caches, chain, corpus, decisions, documents, issues, library, quality, rank, retrieve, state, votes
 from .queries import dense_topk, failures, load, query
 
 S = lambda c: F.col(c).cast("string")
@@ -658,3 +658,57 @@ def suggestion_states(spark, sf_dir):
     e = raw.select(F.col("user_id").alias("ticket"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(k != 0, F.concat(F.lit("c"), k.cast("string"))).alias("candidate"), (F.col("event_id") % 9 == 0).alias("deferred"), (t == "signup").alias("preview"))
     suggestions.suggestions(e).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(suggestions.RESULT).parquet(path)
+
+
+# ---- smaller helpers, over whole tables
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS tidy, regexp_matches(coalesce(text, ''), '\d{6,}') OR len(list_filter(regexp_extract_all(coalesce(text, ''), '\w+'), lambda x: regexp_full_match(x, '[A-Za-z0-9]{15}([A-Za-z0-9]{3})?') AND regexp_matches(x, '\d'))) > 0 AS has_identifiers FROM documents""")
+def tidy_texts(spark, sf_dir):
+    d = retrieve.spread(load(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.sha2(T.clean_newlines(F.col("text")), 256).alias("tidy"), T.has_identifiers(F.col("text")).alias("has_identifiers"))
+
+
+@query("""SELECT o_orderkey, concat('|Order Type Failed||', chr(10), '|BAN CAN|', o_custkey, '|', chr(10), '|MSISDN||', chr(10), '|Cause||', chr(10), '|Category||', chr(10), '|Solution applied||', chr(10), '|System modified||', chr(10), '|Customer action||') AS blank, 8 AS n_rows, concat('BAN CAN=', o_custkey) AS second FROM orders""")
+def blank_tables(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").withColumn("blank", B.blank_template(S("o_custkey"), F.lit(None).cast("string")))
+    rows = B.rendered_rows(F.col("blank"))
+    return o.select("o_orderkey", "blank", F.size(rows).alias("n_rows"), F.concat(rows[1]["label"], F.lit("="), rows[1]["value"]).alias("second"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'approved_rule' WHEN coalesce(value, 0) >= 50 THEN 'strong_match' WHEN event_id % 2 = 1 THEN 'low_confidence' ELSE 'no_data' END AS confidence FROM events""")
+def answer_confidence(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", rank.confidence(F.col("event_type") == "purchase", F.coalesce("value", F.lit(0.0)), F.col("event_id") % 2, 50.0).alias("confidence"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, round(CASE WHEN l_returnflag = 'N' THEN 3.0::DOUBLE ELSE CASE WHEN l_linenumber % 3 > 0 THEN 5 + 0.4 * least(l_linenumber % 3, 5) ELSE 0 END + CASE WHEN l_linestatus = 'F' THEN 5 ELSE 0 END + 0.6 * least(l_linenumber, 5) + least(l_quantity * 20 / 200, 3) - CASE WHEN l_returnflag = 'R' THEN 5 ELSE 0 END - CASE WHEN l_quantity * 20 < 60 THEN 1 ELSE 0 END END, 6) AS richness FROM lineitem""")
+def resolution_richness(spark, sf_dir):
+    length = F.col("l_quantity") * 20
+    q = rank.resolution_quality(F.when(F.col("l_returnflag") == "N", "doc").otherwise("ticket"), F.col("l_linenumber") % 3, F.col("l_linestatus") == "F", F.col("l_linenumber"), length, F.col("l_returnflag") == "R")
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.round(q, 6).alias("richness"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE concat('Move ', o_orderstatus) END AS grabbed, concat('reset it', CASE WHEN o_custkey % 2 = 0 THEN concat(chr(10), 'restart phone ', o_orderstatus) ELSE '' END) AS evidence FROM orders""")
+def labelled_values(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_custkey") % 4 == 0, "12345").otherwise(F.concat(F.lit("Move - "), "o_orderstatus"))
+    body = F.concat(F.lit("Solution Applied: reset it"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("\n| Customer Action | restart phone "), "o_orderstatus", F.lit(" |"))).otherwise(""), F.lit("\nRelease: 7"))
+    return o.select("o_orderkey", I.grabbed(F.concat(F.lit("x\n| *Order Type* | "), kind, F.lit(" | y")), "Order Type").alias("grabbed"), T.resolution_evidence(body).alias("evidence"))
+
+
+@query("""SELECT conv_id, min(turn) FILTER (turn % 3 = 1) AS first_own FROM conversations GROUP BY 1""")
+def own_comments(spark, sf_dir):
+    body = F.when(F.col("turn") % 3 == 1, "here OWN-1").otherwise("other")
+    c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", body.alias("body")))).alias("comments"))
+    return c.select("conv_id", issues.own_comment(F.col("comments"), "OWN-1")["turn"].alias("first_own"))
+
+
+@query("""SELECT o_orderkey, sha256(concat(o_orderstatus, chr(10), '', chr(10), o_custkey)) AS scope, concat('{"a":"', o_orderstatus, '","b":', o_custkey, ',"c":null}') AS canonical FROM orders""")
+def scope_hashes(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.select("o_orderkey", caches.scope_hash(F.col("o_orderstatus"), F.lit(None), F.col("o_custkey")).alias("scope"), T.canonical_json(F.struct(F.col("o_orderstatus").alias("a"), F.col("o_custkey").alias("b"), F.lit(None).cast("string").alias("c"))).alias("canonical"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 2 = 0")
+def approved_rules(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 == 0, "approved").otherwise("draft").alias("status"), "p_size", F.col("p_partkey").alias("created_at"))
+    moved = state.moved(p, p.where("p_size % 2 = 0").select("id", F.lit("approved").alias("status")), state.RULE_STEPS)
+    return state.with_status(moved, "approved").select(F.col("id").alias("p_partkey"))
