@@ -11,8 +11,8 @@ negative and segment statistics hold.
 Scoring: every text is scanned once in linear time (Ruzzo and Tompa 1999) for
 all maximal scoring segments.  A segment of score S in a text of m tokens has
 the expected number of chance equals E = K m exp(-lambda S) (Karlin and Altschul
-1990); lambda solves sum p exp(lambda s) = 1 over clean text and K is fitted to
-clean training texts.  A document's evidence is the sum of -ln E over its
+1990); lambda solves sum p exp(lambda s) = 1 over clean text, where a token has the
+share that was counted and that of the prior, and K is fitted to clean training texts.  A document's evidence is the sum of -ln E over its
 significant passages, and a logistic curve fitted on the training sample maps it
 to a probability.
 
@@ -20,7 +20,8 @@ Scoring is one pass without a shuffle; only the training sample moves.
 
 Defined cases: null and empty texts have no passage and get the score of that;
 each input row gives one row, repeated ids included; without labelled rows of
-both classes every score is 0; a null id is never trained on and not held out; an
+both classes every score is 0; very long texts are scanned whole; which rows are
+near each other in partitions changes no score; a null id is never trained on and not held out; an
 empty table gives an empty result; columns besides id and text are not read.
 """
 
@@ -129,7 +130,7 @@ def held_out(id_col):
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
     """(toxic, text) of at most ``rows`` labelled rows that aren't held out.
 
-    Texts with the same smallest shingle hash, so most near copies, count once.
+    Texts with the same smallest shingle hash, so most near copies, count once; which one follows from the rows alone.
     """
     chosen = (
         labels.select(labels["doc_id"].alias("k"), labels["toxic"].cast("int").alias("toxic"))
@@ -152,7 +153,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             yield b.append_column("key", pa.array(keys, pa.int64()))
 
     rows = found.select("toxic", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sketch, "toxic int, text string, key long")
-    return rows.dropDuplicates(["key"]).drop("key")
+    # of several texts with one key the toxic one stays, then that of the smallest hash, then of the smallest text
+    first = F.min(F.struct((-F.col("toxic")).alias("toxic"), F.xxhash64("text").alias("h"), "text")).alias("s")
+    return rows.groupBy("key").agg(first).select((-F.col("s.toxic")).alias("toxic"), "s.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", train_rows=40_000, least_toxic=3, chance=0.01, most_tokens=100_000, prior=10.0) -> Model:
@@ -219,11 +222,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
             value = pa.array([*(x[1] for x in rows), *map(float, n)], pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([None] * len(rows) + token.view(np.int64).tolist(), pa.int64()), pa.array([x[0] for x in rows] + [0] * len(token), pa.int64()), value], ["token", "n", "value"])
 
-    seen = staged(sample.where("toxic = 0").mapInArrow(measured, "token long, n long, value double"), "toxic-clean")
+    clean = sample.where("toxic = 0")
+    seen = staged(clean.mapInArrow(measured, "token long, n long, value double"), "toxic-clean")
     size = float(seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n) + 1
     often = seen.where("token is not null").groupBy("token").agg(F.sum("value").alias("value")).toPandas()  # at most most_tokens rows
-    share = np.zeros(len(hashes))
-    share[np.searchsorted(hashes, often.token.to_numpy(np.int64).view(np.uint64))] = often.value / size
+    held_by = np.zeros(len(hashes))
+    held_by[np.searchsorted(hashes, often.token.to_numpy(np.int64).view(np.uint64))] = often.value
+    share = clean_share(held_by, a[keep][order], size)
+    m.drift = min(m.drift, -2 * float(share @ scores) / (1 - float(share.sum())))
+    if m.drift < Model.drift:  # clean text is so full of the model's tokens that the usual drift wouldn't outweigh them
+        dropped(sample.sparkSession, seen)
+        seen = staged(clean.mapInArrow(measured, "token long, n long, value double"), "toxic-clean")
     m.decay = decay(share, scores, m.drift)
     floor = float(np.quantile(scores, 0.1))
     m.k = (seen.where(F.col("token").isNull() & (F.col("value") >= floor)).count() + 0.5) / size * math.exp(m.decay * floor)
@@ -234,20 +243,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("toxic")], ["x", "toxic"])
 
     x = sample.mapInArrow(weighed, "x double, toxic int").toPandas()  # at most train_rows rows of numbers
+    x = x.sort_values(["x", "toxic"])  # so that sums don't depend on the order of rows
     m.slope, m.intercept = logistic(np.log1p(x.x.to_numpy()), (x.toxic > 0).to_numpy(float))
     dropped(sample.sparkSession, seen)
     dropped(sample.sparkSession, sample)
     return m
 
 
+def clean_share(n: np.ndarray, prior: np.ndarray, size: float) -> np.ndarray:
+    """Shares of the model's tokens in clean text: what was counted, and the Dirichlet prior's, so that none is zero; half of the text at most."""
+    share = (n + prior) / (size + prior.sum())
+    return share * min(1.0, 0.5 / share.sum())
+
+
 def decay(share: np.ndarray, scores: np.ndarray, drift: float) -> float:
-    """lambda: the sum of p exp(lambda s) over clean text, ``share`` of tokens with ``scores`` and all others with ``drift``, is 1."""
-    low, high = 1e-3, 20.0
+    """lambda: the sum of p exp(lambda s) over clean text, ``share`` of tokens with ``scores`` and all others with ``drift``, is 1.
+
+    There is exactly one such positive number if the expected score is negative and some score with a share is positive; else this raises.
+    """
+
+    def beyond(x: float) -> float:
+        return float((share * np.expm1(np.minimum(700, x * scores))).sum()) + (1 - float(share.sum())) * math.expm1(x * drift)
+
+    if not float(share @ scores) + (1 - float(share.sum())) * drift < 0 or not ((share > 0) & (scores > 0)).any():
+        raise ValueError("no extreme-value calibration: scores over clean text must have a negative mean and a positive part")
+    high = 1.0
+    while beyond(high) <= 0:
+        high *= 2
+    low = high / 2
+    while beyond(low) > 0:
+        low /= 2
     for _ in range(60):
         mid = (low + high) / 2
-        total = float((share * np.exp(np.minimum(700, mid * scores))).sum()) + (1 - share.sum()) * math.exp(mid * drift)
-        low, high = (mid, high) if total < 1 else (low, mid)
-    return low
+        low, high = (mid, high) if beyond(mid) <= 0 else (low, mid)
+    return (low + high) / 2
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
