@@ -5,16 +5,17 @@ reported on their own.  Weak candidates -- a random-looking bare string, an
 endpoint -- say nothing alone; they are reported only when complementary parts
 stand in the same scope.  A scope is a paragraph (text between blank lines)
 further bounded by a distance in code points.  Linking is an interval join: the
-parts of each role and scope are sorted by start with the furthest end so far, and
-each weak part looks up the nearest on either side, so no pairs are listed and a
-document with many parts costs n log n.
+parts of each kind and scope are sorted, and each weak part looks up those within
+reach as one range, so no pairs are listed and a document with many parts costs n log n.
+An endpoint's identifier and secret are two strings that don't overlap: some such pair is within
+reach if and only if the first identifier ends before the last secret starts, or the other way round.
 
 The scan is one pass over the rows without a shuffle; RE2 screens pick the few
 rows that the exact expressions then read in full.
 
 Defined cases: null text counts as empty and gives a row without spans; every
 input row gives one row, repeated rows and ids included; a null id stays null;
-an empty table gives an empty result; other columns of the input are not read,
+an empty table gives an empty result; very long texts are read whole; other columns of the input are not read,
 so their names can't clash.
 """
 
@@ -95,33 +96,43 @@ def link(text: str, base: list[tuple[int, int, str]], weak: list[tuple[int, int,
     """Weak spans with a complement in their scope.
 
     A bare secret needs an identifier within ``reach`` in its paragraph; an
-    endpoint needs both an identifier and a secret (base or linked) there.
+    endpoint needs both an identifier and a secret (base or linked) there, which
+    don't overlap: one string can't play both parts.
     """
     if not weak or not base:
         return []
     breaks = [m.start() for m in PARAGRAPH.finditer(text)]
     scope = lambda at: bisect.bisect_right(breaks, at)
 
-    def scoped(parts: list[tuple[int, int]]) -> dict[int, tuple[list[int], list[int]]]:
-        """By scope: starts in order, and the furthest end up to each."""
-        out: dict[int, list[tuple[int, int]]] = {}
-        for part in sorted(parts):
-            out.setdefault(scope(part[0]), []).append(part)
-        return {k: ([a for a, _ in v], list(accumulate((b for _, b in v), max))) for k, v in out.items()}
-
-    def near(parts: dict[int, tuple[list[int], list[int]]], s: int, e: int) -> bool:
-        starts, furthest = parts.get(scope(s), ((), ()))
-        i = bisect.bisect_right(starts, s)  # those before start there or earlier, so only their ends count
-        return i > 0 and s - furthest[i - 1] <= reach or i < len(starts) and starts[i] - e <= reach
-
-    roles: dict[str, list[tuple[int, int]]] = {"identifier": [], "secret": []}
-    for s, e, kind in base:
-        roles[ROLE[kind]].append((s, e))
-    identifiers = scoped(roles["identifier"])
+    def scoped(parts: list[tuple[int, int, str]]) -> dict[int, list[tuple[list[int], list[int]]]]:
+        """By scope and kind: starts and ends in order; spans of one kind don't overlap."""
+        out: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
+        for s, e, kind in sorted(parts):
+            starts, ends = out.setdefault((scope(s), kind), ([], []))
+            starts.append(s)
+            ends.append(e)
+        by: dict[int, list[tuple[list[int], list[int]]]] = {}
+        for (k, _), v in out.items():
+            by.setdefault(k, []).append(v)
+        return by
+
+    def near(parts: dict[int, list[tuple[list[int], list[int]]]], s: int, e: int) -> tuple[int, int] | None:
+        """Of the parts within reach the first end and the last start."""
+        found = []
+        for starts, ends in parts.get(scope(s), ()):
+            lo, hi = bisect.bisect_left(ends, s - reach), bisect.bisect_right(starts, e + reach)
+            if lo < hi:
+                found.append((ends[lo], starts[hi - 1]))
+        return (min(a for a, _ in found), max(b for _, b in found)) if found else None
+
+    def complementary(s: int, e: int) -> bool:
+        one, other = near(identifiers, s, e), near(secrets, s, e)
+        return one is not None and other is not None and (one[0] <= other[1] or other[0] <= one[1])
+
+    identifiers = scoped([x for x in base if ROLE[x[2]] == "identifier"])
     linked = [x for x in weak if x[2] == "secret" and near(identifiers, x[0], x[1])]
-    secrets = scoped(roles["secret"] + [x[:2] for x in linked])
-    linked += [x for x in weak if x[2] == "endpoint" and near(identifiers, x[0], x[1]) and near(secrets, x[0], x[1])]
-    return linked
+    secrets = scoped([x for x in base if ROLE[x[2]] == "secret"] + linked)
+    return linked + [x for x in weak if x[2] == "endpoint" and complementary(x[0], x[1])]
 
 
 def scan_text(text: str | None, reach: int = 400, bits: float = 3.5) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
