@@ -40,6 +40,8 @@ from ._common import hash_sample, mix, staged, tidied, tidy
 
 #: Vectors of a group, about.
 GROUP = 8192
+#: Distances of a block of queries to nodes, at most (8 bytes each).
+CELLS = 4 << 20
 
 
 @dataclass
@@ -249,6 +251,45 @@ NAMES, GROUP_ROWS = ["key", "kind", "ids", "v", "more"], "key long, kind int, id
 RESULT = "query_id long, vec_id long, score double"
 
 
+def asks(tree: Tree, g: Groups, batches, visits: int, least: int):
+    """Queries (id, v) with the leaves that they visit, a row for each group and block of queries.
+
+    A block has so few queries that their distances to all nodes, and the leaves they visit, stay below ``CELLS`` numbers.
+    """
+    block = max(1, min(4096, CELLS // len(tree.children)))
+    for b in tidy(batches):
+        if not b.num_rows:
+            continue
+        every_id, every_q = b.column(0).to_numpy(), matrix(b.column(1))
+        for lo in range(0, len(every_id), block):
+            ids, q = every_id[lo : lo + block], every_q[lo : lo + block]
+            leaves = [np.array(x, np.int32) for x in tree.visits(q, visits, g.count, least)]
+            row, leaf = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in leaves]), np.concatenate(leaves)
+            order = np.argsort(g.bucket[leaf], kind="stable")
+            row, leaf = row[order], leaf[order]
+            bucket = g.bucket[leaf]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            out, held = [[] for _ in NAMES], 0
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                one = int(bucket[a])
+                rows, back = np.unique(row[a:z], return_inverse=True)
+                seen = np.zeros((len(rows), g.size[one]), bool)
+                seen[back, g.place[leaf[a:z]]] = True
+                blobs = (ids[rows].tobytes(), q[rows].tobytes(), np.packbits(seen, axis=1).tobytes())
+                for part in range(int(g.parts[one])):
+                    for o, v in zip(out, (int(g.first[one]) + part, 1, *blobs)):
+                        o.append(v)
+                held += sum(map(len, blobs))
+                if held > 16 << 20:
+                    yield group_rows(out)
+                    out, held = [[] for _ in NAMES], 0
+            yield group_rows(out)
+
+
+def group_rows(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], NAMES)
+
+
 def taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part, as doubles."""
     v = vectors[vector_col].cast("array<double>")
@@ -332,22 +373,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
             yield pa.RecordBatch.from_arrays([pa.array([int(key[p[0]]) for p in parts], pa.int64()), pa.array([0] * len(parts), pa.int32()), *blobs], NAMES)
 
     def ask(batches):
-        for b in tidy(batches):
-            if not b.num_rows:
-                continue
-            ids, q, g = b.column(0).to_numpy(), matrix(b.column(1)), where.value
-            leaves = [np.array(x) for x in sent.value.visits(q, visits, g.count, k + 1)]
-            row, leaf = np.repeat(np.arange(len(ids)), [len(x) for x in leaves]), np.concatenate(leaves)
-            out = [[] for _ in NAMES]
-            for bucket in np.unique(g.bucket[leaf]):
-                mine = g.bucket[leaf] == bucket
-                rows, back = np.unique(row[mine], return_inverse=True)
-                seen = np.zeros((len(rows), g.size[bucket]), bool)
-                seen[back, g.place[leaf[mine]]] = True
-                for part in range(int(g.parts[bucket])):
-                    for o, v in zip(out, (int(g.first[bucket]) + part, 1, ids[rows].tobytes(), q[rows].tobytes(), seen.tobytes())):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], NAMES)
+        yield from asks(sent.value, where.value, batches, visits, k + 1)
 
     def meet(batches):
         tops, now, held, x_id = Tops(k), None, [], None
@@ -368,7 +394,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = 20, id_col="vec_id", vect
                     order = np.argsort(leaf, kind="stable")
                     x_id, x, leaf = x_id[order], x[order], leaf[order]
                     edge = np.searchsorted(leaf, np.arange(leaf[-1] + 2))
-                seen = np.frombuffer(more, bool).reshape(len(ids), -1)
+                seen = np.unpackbits(np.frombuffer(more, np.uint8).reshape(len(ids), -1), axis=1).view(bool)
                 for lo in range(0, len(ids), 1024):
                     for n in range(min(seen.shape[1], len(edge) - 1)):
                         rows = lo + np.flatnonzero(seen[lo : lo + 1024, n])
