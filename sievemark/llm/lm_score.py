@@ -12,11 +12,14 @@ All counts are exact, and their tables are distributed and grow with the corpus.
 Texts are cut into chunks of about ``TOKENS`` tokens.  A chunk sends each of its
 distinct tokens, later each of its distinct pairs, once to the shard of the key's
 hash; the shard adds up and answers with the totals in the order of the question.
+Frequent keys are asked for by every chunk, so with very many chunks shards are split
+and add up level by level; no group grows with the corpus.
 A document's score is the mean over its tokens of target loss less background
 loss, in nats; lower is nearer to the target.
 
 Defined cases: null, empty and wordless texts have no tokens, losses of 0 and
-score 0; every input row gives one row; labels of unknown or null ids are
+score 0; very long texts are counted whole, a chunk each; tokens that are equally frequent at the
+vocabulary's edge (with ``words``) are in or out together; every input row gives one row; labels of unknown or null ids are
 ignored, a repeated label counts if any of its rows has quality 1; without
 labelled documents the target is flat; an empty table gives an empty result;
 columns besides id and text are not read.
@@ -40,6 +43,8 @@ CHUNK = 2 << 20
 TOKENS, ROWS = 1 << 20, 50_000
 #: Tokens a shard of counts, and the fewest shards.
 SHARD, SHARDS = 4 << 20, 64
+#: Chunks whose questions one group takes.
+FAN = 2048
 SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Stand for the tokens beyond the vocabulary, a text's start and the sum of all tokens.
 REST, START, ALL = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0x5851F42D4C957F2D, 0x14057B7EF767814F))
@@ -191,24 +196,22 @@ def asked(parts: DataFrame, shards: int, pairs: bool) -> DataFrame:
     return parts.select("chunk", "sizes", "words", "seq", "good").mapInArrow(run, "shard int, chunk long, key binary, n binary, t binary")
 
 
-def answered(questions: DataFrame, least: int) -> DataFrame:
+def answered(questions: DataFrame, least: int, chunks: int, fan: int = FAN) -> DataFrame:
     """Rows of kind 1: totals for each question, in ``words`` of all rows, in ``good`` of labelled ones.
 
-    Rows of kind 3 say in ``chunk`` how many keys of at least ``least`` have the level ``at``.
+    Rows of kind 3 say in ``chunk`` how many keys of at least ``least`` have the level ``at``.  A key that stands in
+    every chunk is asked for by all of them; so beyond ``fan`` chunks a shard is split, its parts ask for the sums of their
+    own questions, by the same rule, and answer these with what they are told.  No group gets more than about ``fan`` rows.
     """
+    parts = -(-chunks // fan)
+    if parts > 1:
+        return answered_by_parts(questions, least, parts, fan)
 
     def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, asks = group[0].as_py(), [r for b in batches for r in b.to_pylist()]
-        key = [summed(r["key"]) for r in asks]
-        edge = np.concatenate([[0], np.cumsum([len(x) for x in key])])
-        every, at = np.unique(np.concatenate(key), return_inverse=True)
-        total = []
-        for c in ("n", "t"):
-            x = np.concatenate([unpacked(r[c], np.uint64) for r in asks])
-            total.append(np.bincount(at, x, len(every)).astype(np.uint64) if len(x) else None)
+        every, own, total = added(asks)
         for i, r in enumerate(asks):
-            own = at[edge[i] : edge[i + 1]]
-            n, t = (b"" if x is None else packed(x[own]) for x in total)
+            n, t = (b"" if x is None else packed(x[own[i]]) for x in total)
             yield rows_of(chunk=[r["chunk"]], kind=[1], at=[shard], words=[n], good=[t])
         levels, n = np.unique(level(total[0][total[0] >= least]), return_counts=True)
         yield rows_of(chunk=n, kind=[3] * len(n), at=levels)
@@ -216,6 +219,40 @@ def answered(questions: DataFrame, least: int) -> DataFrame:
     return questions.groupBy("shard").applyInArrow(run, PARTS)
 
 
+def added(asks: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray | None]]:
+    """All keys of some questions, the places of each question's keys among them, and their sums."""
+    key = [summed(r["key"]) for r in asks]
+    edge = np.cumsum([0, *map(len, key)])
+    every, at = np.unique(np.concatenate(key), return_inverse=True)
+    total = []
+    for c in ("n", "t"):
+        x = np.concatenate([unpacked(r[c], np.uint64) for r in asks])
+        total.append(np.bincount(at, x, len(every)).astype(np.uint64) if len(x) else None)
+    return every, [at[a:z] for a, z in zip(edge[:-1], edge[1:])], total
+
+
+def answered_by_parts(questions: DataFrame, least: int, parts: int, fan: int) -> DataFrame:
+    questions = staged(questions.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))), "lm-questions")
+
+    def sums(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, _, total = added([r for b in batches for r in b.to_pylist()])
+        n, t = (b"" if x is None else packed(x) for x in total)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([group[0].as_py()], pa.int32()), "chunk": pa.array([group[1].as_py()], pa.int64()), "key": pa.array([steps(every)], pa.binary()), "n": pa.array([n], pa.binary()), "t": pa.array([t], pa.binary())})
+
+    asks = questions.groupBy("shard", "part").applyInArrow(sums, "shard int, chunk long, key binary, n binary, t binary")
+    told = staged(answered(asks, least, parts, fan), "lm-told")
+
+    def reply(own: pa.Table, answer: pa.Table) -> pa.Table:
+        asks, said = own.to_pylist(), answer.to_pylist()[0]
+        at = added([r | {"n": b"\0" * 8, "t": b"\0" * 8} for r in asks])[1]
+        total = [unpacked(said[c], np.uint64) for c in ("words", "good")]
+        n, t = ([packed(x[i]) if len(x) else b"" for i in at] for x in total)
+        return pa.Table.from_batches([rows_of(chunk=[r["chunk"] for r in asks], kind=[1] * len(asks), at=[r["shard"] for r in asks], words=n, good=t)])
+
+    answers = told.where("kind = 1").select(F.col("at").alias("shard"), F.col("chunk").alias("part"), "words", "good")
+    return questions.groupBy("shard", "part").cogroup(answers.groupBy("shard", "part")).applyInArrow(reply, PARTS).unionByName(told.where("kind = 3"))
+
+
 def level(n: np.ndarray) -> np.ndarray:
     """Eight levels an octave."""
     return np.floor(8 * np.log2(n.astype(np.float64))).astype(np.int64)
@@ -273,17 +310,18 @@ def scored(parts: DataFrame, answers: DataFrame, v: int, smooth: float, ids: str
     return parts.unionByName(answers.where("kind = 1")).groupBy("chunk").applyInArrow(run, f"id {ids}, n_tokens long, target_loss double, background_loss double, score double")
 
 
-def score_cross_entropy(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", words: int | None = None, smooth: float = 20.0, least: int = 2) -> DataFrame:
+def score_cross_entropy(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", words: int | None = None, smooth: float = 20.0, least: int = 2, fan: int = FAN) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) for every row."""
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     ids = docs.schema["id"].dataType.simpleString()
     parts = staged(cut(docs), "lm-chunks")
-    size = parts.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first().n // 6  # about six bytes a token
-    counts = staged(answered(asked(parts, max(SHARDS, size // SHARD), False), least), "lm-tokens")
+    about = parts.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n"), F.count("*").alias("chunks")).first()
+    size = about.n // 6  # about six bytes a token
+    counts = staged(answered(asked(parts, max(SHARDS, size // SHARD), False), least, about.chunks, fan), "lm-tokens")
     floor, v = lowest(counts, words)
     known = staged(mapped(parts, counts, flags(parts, labels, ids), least, floor), "lm-mapped")
     dropped(spark, parts, counts)
     size = known.agg(F.coalesce(F.sum(F.octet_length("seq")), F.lit(0)).alias("n")).first().n // 2  # about two bytes a token
-    answers = answered(asked(known, max(SHARDS, size // SHARD), True), least)
+    answers = answered(asked(known, max(SHARDS, size // SHARD), True), least, about.chunks, fan)
     return scored(known, answers, v + 2, smooth, ids).withColumnRenamed("id", id_col)
