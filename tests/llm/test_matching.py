@@ -10,6 +10,7 @@ from itertools import count, takewhile
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,11 +89,15 @@ class Plain:
     UNITS = set(decontamination.UNITS)
 
     def __init__(self, text):
-        self.tokens, self.kind = [], []
+        self.tokens, self.kind, self.signs, between = [], [], [], ""
         for raw in re.split(r"[\x20\x09-\x0D]+", text or ""):
             own = re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", "", raw)
             if not own:
+                between += raw
                 continue
+            before, after = raw.partition(own[0])[0], raw.rpartition(own[-1])[2]
+            self.signs.append("".join(sorted(c for c in between + before if c in "+-*/=<>^%")) if self.tokens else "")
+            between = after
             low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in own)
             number = any(c.isascii() and c.isdigit() for c in own)
             unit = not number and self.kind and self.kind[-1] == "number" and low in self.UNITS
@@ -105,6 +110,15 @@ class Plain:
             return [(t,) for t in self.tokens]
         return [k if k and (names or k != "name") else (t,) for t, k in zip(self.tokens, self.kind)]
 
+    def calculations(self, size):
+        """Windows with only the numbers replaced, and the signs between tokens: few words, two numbers, many signs or units."""
+        out = {}
+        for i in range(len(self.tokens) - size + 1):
+            kinds, signs = self.kind[i : i + size], ["", *self.signs[i + 1 : i + size]]
+            if sum(k in (None, "name") for k in kinds) < 6 and kinds.count("number") >= 2 and size - kinds.count("number") + sum(x > "" for x in signs) >= max(3, size // 2):
+                out[i] = tuple((s, "number" if k == "number" else (t,)) for s, k, t in zip(signs, kinds, self.tokens[i : i + size]))
+        return out
+
     def windows(self, names, size):
         t, least = self.template(names), 0 if names is None else min(3, size - 2)
         return {i: tuple(t[i : i + size]) for i in range(len(t) - size + 1) if sum(isinstance(x, tuple) for x in t[i : i + size]) >= least}
@@ -125,7 +139,10 @@ def plain_match(item, doc, window=6, coverage=0.4, run=12, consistent=0.8):
         if names is None and size < window:
             there = list(there)
             there = [x for x in there if x[1] in own.values()][:1]
-        hits += [(at - i, i) for at, w in there for i, v in own.items() if v == w]
+        hits += [(at - i, i, size) for at, w in there for i, v in own.items() if v == w]
+    if total >= 8:
+        longer = min(10, total)
+        hits += [(at - i, i, longer) for at, w in doc.calculations(longer).items() for i, v in item.calculations(longer).items() if v == w]
     hits.sort()
     groups = []
     for h in hits:
@@ -135,7 +152,7 @@ def plain_match(item, doc, window=6, coverage=0.4, run=12, consistent=0.8):
             groups.append([h])
     for g in groups:
         place = {}
-        for shift, i in g:
+        for shift, i, size in g:
             for x in range(i, i + size):
                 place.setdefault(x, x + shift)
         longest = max(sum(1 for _ in takewhile(lambda y: y in place, count(x))) for x in place)
@@ -173,6 +190,58 @@ def test_template_matches_against_brute_force(spark):
     assert got == {(i, j) for i, t in enumerate(plain_docs) for j, x in enumerate(plain_items) if plain_match(x, t)} and len(got) > 60
 
 
+def test_calculations_with_other_numbers(spark):
+    items = ["12 kg + 7 kg = 19 kg and 40 km / 5 h = 8 km", "3 * 4 + 5 * 6 - 7 * 8 = 9 + 10"]
+    docs = ["so 13 kg + 9 kg = 22 kg and 60 km / 4 h = 15 km", "13 kg - 9 kg = 22 kg and 60 km * 4 h = 15 km", "31 * 24 + 15 * 16 - 17 * 28 = 92 + 11!", "13 14 15 16 17 18 19 20 21 22 23", "31 + 24 * 15 + 16 * 17 + 28 = 92 + 11"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontaminate(frame(spark, docs), b).collect()}
+    assert got == {(0, 0, False), (2, 1, False)}
+
+
+def crowd():
+    """Items with a common opening, items that differ in names only, and one template for all values."""
+    opening = "Which of the following statements about the subject of this text"
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("bcdfghjk") + r.choice("aeiou") for _ in range(4))
+    endings = [f"{opening} {' '.join(word() for _ in range(5))}" for _ in range(60)]
+    named = [f"{word().title()} walked to the market to buy some bread and then went home with {word().title()}" for _ in range(60)]
+    same = [f"What do you get when you add {r.randrange(100)} and {r.randrange(100)} to the number of the beast" for _ in range(60)]
+    return opening, endings, named, same
+
+
+def test_frequent_windows_lose_nothing(spark):
+    opening, endings, named, same = crowd()
+    items = endings + named + same + ["a word that no other item has stands here alone"]
+    docs = [opening + " ", *(f"x {t} y" for t in endings[:7]), "x Olga walked to the market to buy some bread and then went home with Pedro", named[3], "What do you get when you add 1234 and 77 to the number of the beast", same[5], opening + " is blue", (opening + " ") * 40]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate(frame(spark, docs), b).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, set()).add(r.item_id)
+    assert all(got[1 + k] == {k} for k in range(7))  # each found by what it alone has
+    assert got.keys() == {*range(1, 8), 8, 9, 10, 11}  # an opening alone says nothing
+    assert 63 in got[9] and any(r.doc_id == 9 and r.item_id == 63 and r.verbatim for r in rows)
+    assert len(got[8]) == 1 and len(got[10]) == 1  # the first of the items that are one template
+    whole = {r.doc_id: r.aligned for r in rows if r.doc_id in range(1, 8)}
+    assert set(whole.values()) == {16}  # frequent windows are compared once an item is proposed
+
+
+def test_many_items_with_one_opening_are_cheap():
+    import time
+    import tracemalloc
+
+    ending = lambda i: "".join("bcdfghjklm"[int(c)] + "aeiouaeiou"[int(c)] for c in f"{i:05d}")
+    items = [f"Which of the following statements about the subject of this text {ending(i)} {ending(7 * i)} {ending(i + 20_000)} {ending(99_999 - i)}" for i in range(20_000)]
+    index = decontamination.Index(list(range(len(items))), pa.array(items), 6, 4, 3)
+    doc = pa.array(["Which of the following statements about the subject of this text " * 50])
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert list(decontamination.matches(index, doc, 0.4, 12, 0.8)) == []
+    assert time.perf_counter() - began < 2 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert [m[:2] for m in decontamination.matches(index, pa.array(["x", items[777]]), 0.4, 12, 0.8)] == [(1, 777)]
+
+
 def test_decontamination_of_odd_rows(spark):
     """Repeated documents and items give a row each; very long texts are read to their ends."""
     docs = [ITEM, ITEM, "word " * 400_000 + ITEM]
@@ -437,6 +506,22 @@ def test_segments_match_quadratic_search():
         assert sorted(round(x[2], 6) for x in got) == sorted(round(x[2], 6) for x in best(0, len(s)))
 
 
+def test_shards_are_split_where_many_chunks_ask(spark, monkeypatch):
+    """Levels of parts give the same totals, and no group of questions has more than a few rows."""
+    monkeypatch.setattr(lm_score, "SHARDS", 4)
+    r = random.Random(12)
+    docs = [" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    one, tree = ({r.doc_id: r for r in lm_score.score_cross_entropy(frame(spark, docs).repartition(40), labels, fan=fan).collect()} for fan in (2048, 3))
+    assert one == tree and len(one) == 80
+    parts = lm_score.cut(frame(spark, docs).select(F.col("doc_id").alias("id"), "text").repartition(40))
+    chunks = parts.count()
+    assert chunks >= 30
+    asks = lm_score.asked(parts, 4, False).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(-(-chunks // 3))))
+    most = [asks.groupBy(*by).count().agg(F.max("count")).first()[0] for by in (("shard",), ("shard", "part"))]
+    assert most[0] == chunks and most[1] < 12  # about three, dealt by hash
+
+
 def toxic_table(spark, n=400):
     r = random.Random(4)
     w = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
@@ -499,6 +584,34 @@ def test_segment_statistics_calibrate():
         assert (tops >= s).mean() == pytest.approx(k * n * math.exp(-lam * s), rel=0.6)
 
 
+def test_lambda_is_solved_or_an_error():
+    scores = np.array([1.0, 2.0, 3.5])
+    for n in ([0, 0, 0], [3, 0, 0], [400, 20, 9]):
+        share = toxicity.clean_share(np.array(n, float), np.array([0.3, 0.2, 0.01]), 50_000.0)
+        lam = toxicity.decay(share, scores, -0.05)
+        assert (share * np.exp(lam * scores)).sum() + (1 - share.sum()) * math.exp(-0.05 * lam) == pytest.approx(1, abs=1e-9)
+    for share, drift in (([0.0, 0.0, 0.0], -0.05), ([0.3, 0.1, 0.1], -0.05), ([0.01, 0.0, 0.0], 0.0)):
+        with pytest.raises(ValueError):
+            toxicity.decay(np.array(share), scores, drift)
+    assert toxicity.clean_share(np.array([9e9, 9e9]), np.array([1.0, 1.0]), 10.0).sum() == pytest.approx(0.5)
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert 0.01 < model.decay < 20 and 0 < model.k < 1e6
+    got = [{r.doc_id: r.score for r in toxicity.score_toxicity(d, labels).select("doc_id", "score").collect()} for d in (docs, docs.repartition(7, "doc_id"), docs.repartition(3, "text"))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1000
+
+
+def test_toxicity_where_clean_texts_hold_the_words_as_well(spark):
+    docs, labels, rows = toxic_table(spark)
+    more = spark.createDataFrame([(20_000 + i, "vilest rubbish! " * 30 + "".join(f"u{i}x{j} " for j in range(20)), "x") for i in range(12)], docs.schema)
+    flags = spark.createDataFrame([(20_000 + i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(docs.unionByName(more), labels.unionByName(flags))
+    assert got.count() == len(rows) + 3 + 12 and all(0 <= r.score <= 1 for r in got.collect())
+
+
 def test_toxicity_of_very_long_texts(spark):
     docs, labels, rows = toxic_table(spark)
     long = spark.createDataFrame([(9100, rows[1][1] + " plain words" * 300_000, "x"), (9101, "plain words " * 300_000 + "vilest rubbish! vilest rubbish!", "x")], docs.schema)
@@ -507,6 +620,31 @@ def test_toxicity_of_very_long_texts(spark):
 
 
 # ---- nearest neighbours
+def test_queries_stay_small_in_large_trees():
+    """Half of 85,000 nodes for 600 queries (10,000 take as much at a time): blocks, not whole batches, are held."""
+    import resource
+
+    r = np.random.default_rng(1)
+    leaves = 84_000
+    children = [list(range(1, 1001)), *([] for _ in range(1000))]
+    for i in range(1, 1001):
+        children[i] = list(range(len(children), len(children) + leaves // 1000))
+        children += [[] for _ in range(leaves // 1000)]
+    tree = ann_tree.Tree(r.normal(size=(len(children), 17)), children, 9.0)
+    groups = ann_tree.grouped(tree, dict.fromkeys(tree.in_order(), 200))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(600)), pa.array(list(r.normal(size=(600, 16))))], ["id", "v"])
+    asked, size = np.zeros(600, np.int64), 0
+    for out in ann_tree.asks(tree, groups, [batch], leaves // 2, 21):
+        size = max(size, out.nbytes)
+        for key, ids, more in zip(*(out.column(c).to_pylist() for c in (0, 2, 4))):
+            seen = np.unpackbits(np.frombuffer(more, np.uint8).reshape(len(ids) // 8, -1), axis=1)
+            if key in groups.first:  # the other groups of a bucket get the same
+                np.add.at(asked, np.frombuffer(ids, np.int64), seen.sum(axis=1))
+    assert (asked == leaves // 2).all()
+    assert size < 40e6 and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 < 500e6
+
+
 def truth(rows, q, k):
     score = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q)
     return [i for _, i in score[:k]]
