@@ -30,11 +30,12 @@ def follow_pointers(candidates: DataFrame, comments: DataFrame) -> DataFrame:
 
     ``candidates(query_id, key, body, refers_to)`` with refers_to '' where the body is no
     pointer; ``comments(key, body, refers_to)``.  Dropped: targets that don't exist, point
-    on themselves, or are candidates of the query already.
+    on themselves, or are candidates of the query already.  Of a target's several comments
+    the smallest text counts, whatever the order of rows.
     """
     plain = candidates.where("refers_to = ''").select("query_id", "key", "body", F.lit("").alias("via"))
     target = comments.where("refers_to = ''").select(F.col("key").alias("target"), F.col("body").alias("found"))
     moved = candidates.where("refers_to <> ''").join(target, F.col("refers_to") == F.col("target"))
-    moved = moved.groupBy("query_id", F.col("target").alias("key")).agg(F.first("found").alias("body"), F.min("key").alias("via"))
+    moved = moved.groupBy("query_id", F.col("target").alias("key")).agg(F.min("found").alias("body"), F.min("key").alias("via"))
     moved = moved.join(candidates.select("query_id", "key"), ["query_id", "key"], "left_anti")
     return plain.unionByName(moved.select("query_id", "key", "body", "via"))
