@@ -141,7 +141,7 @@ def evidence(trees: DataFrame, templates: DataFrame, share: float, most_broadcas
     placed = joined(renamed, templates, most_broadcast).select("host", "form", "texts", "shape")
     counted = placed.mapInArrow(run, "host string, node int, h bigint, size bigint").groupBy("host", "node", "h").agg(F.count("*").alias("pages"), F.max("size").alias("size"))
     totals = trees.groupBy("host").agg(F.count("*").alias("total"))
-    counted = counted.join(totals, "host").withColumn("constant", (F.col("pages") >= 3) & (F.col("pages") >= F.lit(share) * F.col("total")))
+    counted = joined(counted, totals, most_broadcast).withColumn("constant", (F.col("pages") >= 3) & (F.col("pages") >= F.lit(share) * F.col("total")))
     # What is constant stands in `share` of the pages, so a page's number of texts bounds the list.
     nodes = counted.groupBy("host", "node").agg(F.sum(F.when(~F.col("constant"), F.col("pages") * F.col("size")).otherwise(0)).alias("varies"), F.sort_array(F.collect_list(F.when(F.col("constant"), F.col("h")))).alias("constants"))
     return nodes.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("node", "varies", "constants")))).alias("slots"))
