@@ -14,9 +14,9 @@ frequent.  So the texts are read twice.
 Then candidates are scored by their weakest cut, and those that only live inside a longer
 candidate are dropped.
 
-The sketch has about one counter for eight bytes of text, up to ``2 ** most_bits`` a row; beyond
-that more rare n-grams survive the first pass, which costs time and shuffle, and never results.  What is
-broadcast is one bit a counter, so 32 MB at most with the default.
+The sketch has one counter for 16 to 32 bytes of text, up to ``2 ** most_bits`` a row; beyond that
+(2 GB of text with the default) more rare n-grams survive the first pass, which costs time and shuffle, and
+never results.  A task holds two bytes, a broadcast two bits for each counter of a row.
 
 Defined cases: null and empty texts give nothing; a null language counts as ``und``; repeated
 rows count as often as they stand there; an empty table gives an empty result; texts are read whole;
@@ -200,11 +200,11 @@ def text_bytes(texts: DataFrame) -> int:
     return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, lang_col: str = "lang", text_col: str = "text", most_bits: int = 27) -> DataFrame:
+def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, lang_col: str = "lang", text_col: str = "text", most_bits: int = 26) -> DataFrame:
     """(lang, size, phrase, f) of all n-grams up to ``longest`` words that occur ``least`` times; size 0 has the words of a language."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     volume = text_bytes(texts)
-    bits = min(max((volume // 8).bit_length(), 12), most_bits)
+    bits = min(max((volume // 32).bit_length(), 12), most_bits)
     # A sketch leaves the task whole, so few tasks count much text each.
     tasks = max(texts.sparkSession.sparkContext.defaultParallelism, volume >> 28)
     maps = sketch(texts.coalesce(tasks), least, longest, bits)
@@ -212,7 +212,7 @@ def phrase_counts(docs: DataFrame, *, least: int = 30, longest: int = 4, lang_co
 
 
 @tidied
-def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, share: int = 80, top: int = 2000, lang_col: str = "lang", text_col: str = "text", most_bits: int = 27) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 30, longest: int = 4, share: int = 80, top: int = 2000, lang_col: str = "lang", text_col: str = "text", most_bits: int = 26) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     A candidate is dropped when a longer one that contains it has ``share`` per cent of its occurrences or more.
