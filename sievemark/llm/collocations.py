@@ -44,7 +44,7 @@ BLANK[[0x20, 0x09]] = True
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Multipliers that give a sketch's rows their own places.
 ROWS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-CHUNK, BLOCK = 4 << 20, 1 << 18
+CHUNK, BLOCK = 1 << 20, 1 << 18
 
 
 class Grams:
