@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,24 +36,99 @@ def scope_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
-def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.97, now: Column | None = None) -> DataFrame:
-    """(query_id, status, id, similarity): an exact hit, else the most similar valid entry of the scope, else a miss.
+def bands_needed(threshold: float, bits: int, miss: float) -> int:
+    """Bands of ``bits`` random hyperplanes that let a pair of ``threshold`` apart slip through with a chance of at most ``miss``."""
+    hit = (1 - math.acos(min(threshold, 1.0)) / math.pi) ** bits
+    return max(1, math.ceil(math.log(miss) / math.log1p(-hit))) if hit < 1 else 1
+
+
+def band_keys(vector: Column, bits: int, count: int, seed: int = 7) -> Column:
+    """For each band the sides of ``bits`` random hyperplanes on which a usable vector lies, as one number that names the band too."""
+
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes, weight = {}, 1 << np.arange(bits, dtype=np.int64)
+        for vectors in batches:
+            out = np.empty(len(vectors), object)
+            width = np.array([len(v) for v in vectors], np.int64)
+            for w in np.unique(width):
+                if w not in planes:
+                    planes[w] = np.random.default_rng([seed, int(w)]).standard_normal((int(w), bits * count))
+                rows = np.flatnonzero(width == w)
+                side = (np.stack([np.asarray(vectors.iloc[i], np.float64) for i in rows]) @ planes[w] > 0).reshape(len(rows), count, bits)
+                codes = side @ weight + (np.arange(count, dtype=np.int64) << bits)
+                for i, c in zip(rows, codes):
+                    out[i] = c
+            yield pd.Series(out, vectors.index)
+
+    return run(vector)
+
+
+def _meet(asked: DataFrame, stored: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(query_id, id) of rows with equal keys.  The stored rows of a key go in pieces of about ``most``, which the asked ones visit."""
+    hot = stored.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("pieces")).where("pieces > 1")
+    pieces = F.coalesce("pieces", F.lit(1).cast("long"))
+    s = stored.join(hot, keys, "left").withColumn("piece", F.pmod(F.xxhash64("id"), pieces)).drop("pieces")
+    a = asked.join(hot, keys, "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("pieces")
+    return a.join(s, [*keys, "piece"]).select("query_id", "id")
+
+
+def similar(requests: DataFrame, entries: DataFrame, threshold: float, nearest: int = 3, bits: int = 12, miss: float = 1e-6, most_bands: int = 64, direct: int = 2_000) -> DataFrame:
+    """(query_id, id, similarity, position): the ``nearest`` entries of the same scope from ``threshold`` on, ties to the smaller id.
+
+    ``requests(query_id, scope, vector)``, ``entries(id, scope, vector)``.  Scopes of at most
+    ``direct`` different vectors are compared whole.  In larger ones vectors meet that lie on the same side
+    of all hyperplanes of a band, and every pair is then compared in full; a pair at the threshold is
+    missed with a chance of ``miss``, a closer one with less.  Where the threshold is so low that this takes
+    more than ``most_bands`` bands, large scopes are compared whole too, in pieces.  Equal vectors of a
+    scope are compared once.  Vectors that are null, empty, zero, not finite or of another length than
+    the request's have no similarity.
+    """
+    v = F.col("vector").cast("array<double>")
+    ids = entries.select("id", "scope", v.alias("vector")).where(usable_vector(F.col("vector")))
+    ids = numbered(ids, Window.partitionBy("scope", "vector").orderBy("id"), lambda n: n <= nearest)
+    stored = ids.groupBy("scope", "vector").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))  # at most ``nearest``
+    q = requests.select("query_id", "scope", v.alias("vector")).where(usable_vector(F.col("vector")))
+    asked = q.groupBy("scope", "vector").agg(F.min("query_id").alias("query_id"))
+    count, size = bands_needed(threshold, bits, miss), F.size("vector").alias("width")
+    if count > most_bands:
+        pairs = _meet(asked.select("query_id", "scope", size), stored.select("id", "scope", size), ["scope", "width"], direct)
+    else:
+        large = stored.groupBy("scope").count().where(F.col("count") > direct).select("scope")
+        own = [d.join(large, "scope", "left_anti").select(k, "scope", size) for d, k in ((asked, "query_id"), (stored, "id"))]
+        banded = [d.join(large, "scope", "left_semi").select(k, "scope", size, F.explode(band_keys(F.col("vector"), bits, count)).alias("band")) for d, k in ((asked, "query_id"), (stored, "id"))]
+        pairs = _meet(*own, ["scope", "width"], direct).unionByName(_meet(*banded, ["scope", "width", "band"], 10 * direct).distinct())
+    found = pairs.join(asked.select("query_id", "scope", "vector"), "query_id").join(stored.select("id", "ids", F.col("vector").alias("other")), "id")
+    found = found.withColumn("similarity", F.round(cosine(F.col("vector"), F.col("other")), 9)).where(F.col("similarity") >= threshold)
+    found = found.select("query_id", "similarity", F.explode("ids").alias("id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    best = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= nearest).withColumnRenamed("query_id", "first")
+    same = q.join(asked.select("scope", "vector", F.col("query_id").alias("first")), ["scope", "vector"]).select("query_id", "first")
+    return same.join(best, "first").select("query_id", "id", "similarity", "position")
+
+
+def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.97, now: Column | None = None, valid: str | None = None, **search) -> DataFrame:
+    """(query_id, status, id, similarity): an exact hit, else the most similar entry of the scope, else a miss.
 
     ``requests(query_id, scope, query_hash, eligible, vector)``, ``entries(id, scope,
-    query_hash, vector, expires_at)``.  Similar entries count only for eligible requests with a usable
-    vector and from ``threshold`` on; exact ones for all.  Scopes are small, so both meet in
-    an equi-join on the scope.
+    query_hash, vector, expires_at)``.  Only requests without an exact hit are compared by ``similar``
+    (``search`` goes there), and of these the eligible ones.  ``valid`` names a column of entries
+    that is checked afterwards: an exact hit must pass it, and of the three nearest the first
+    that passes it counts.
     """
     e = entries if now is None else entries.where(F.col("expires_at") > now)
-    e = e.select("id", "scope", F.col("query_hash").alias("stored"), F.col("vector").alias("other"))
-    both = requests.join(e, "scope")
-    exact = F.col("stored") == F.col("query_hash")
-    near = F.when(F.col("eligible") & usable_vector(F.col("vector")), cosine(F.col("vector"), F.col("other")))
-    scored = both.withColumn("exact", exact).withColumn("similarity", F.when(exact, F.lit(1.0)).otherwise(F.round(near, 9))).where(F.col("exact") | (F.col("similarity") >= threshold))
-    best = numbered(scored, Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("similarity"), "id"), lambda n: n == 1)
-    out = requests.select("query_id").join(best.select("query_id", "id", "exact", "similarity"), "query_id", "left")
-    status = F.when(F.col("exact"), "exact_hit").when(F.col("id").isNotNull(), "semantic_hit").otherwise("miss")
-    return out.select("query_id", status.alias("status"), "id", "similarity")
+    passes = F.lit(True) if valid is None else F.coalesce(F.col(valid), F.lit(False))
+    e = e.select("id", "scope", "query_hash", "vector", passes.alias("passes"))
+    same = e.where("passes").groupBy("scope", "query_hash").agg(F.min("id").alias("id"))
+    exact = requests.select("query_id", "scope", "query_hash").join(same, ["scope", "query_hash"]).select("query_id", "id", F.lit(1.0).alias("similarity"), F.lit("exact_hit").alias("status"))
+    rest = requests.where("eligible").join(exact.select("query_id"), "query_id", "left_anti")
+    near = similar(rest, e, threshold, nearest=1 if valid is None else 3, **search)
+    if valid is not None:
+        near = near.join(e.where("passes").select("id"), "id")
+    near = near.groupBy("query_id").agg(F.min_by(F.struct("id", "similarity"), "position").alias("hit"))
+    hits = exact.unionByName(near.select("query_id", "hit.id", "hit.similarity", F.lit("semantic_hit").alias("status")))
+    out = requests.select("query_id").join(hits, "query_id", "left")
+    return out.select("query_id", F.coalesce("status", F.lit("miss")).alias("status"), "id", "similarity")
 
 
 def cleared(state: DataFrame, generation: Column) -> DataFrame:
