@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine
+from ..sources.shared import shared_path
 from .windows import numbered
 
 SCORES = "map<string, struct<llm_score:double, llm_reason:string>>"
@@ -82,29 +83,37 @@ def similar(requests: DataFrame, entries: DataFrame, threshold: float, nearest:
     missed with a chance of ``miss``, a closer one with less.  Where the threshold is so low that this takes
     more than ``most_bands`` bands, large scopes are compared whole too, in pieces.  Equal vectors of a
     scope are compared once.  Vectors that are null, empty, zero, not finite or of another length than
-    the request's have no similarity.
+    the request's have no similarity.  The different vectors of both sides are written to the
+    shared folder first, since every leg reads them, and stay there as long as the result may be read.
     """
+    folder = shared_path(requests.sparkSession, "similar")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     v = F.col("vector").cast("array<double>")
     ids = entries.select("id", "scope", v.alias("vector")).where(usable_vector(F.col("vector")))
     ids = numbered(ids, Window.partitionBy("scope", "vector").orderBy("id"), lambda n: n <= nearest)
-    stored = ids.groupBy("scope", "vector").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))  # at most ``nearest``
+    stored = written(ids.groupBy("scope", "vector").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "stored")  # at most ``nearest`` ids
     q = requests.select("query_id", "scope", v.alias("vector")).where(usable_vector(F.col("vector")))
-    asked = q.groupBy("scope", "vector").agg(F.min("query_id").alias("query_id"))
+    q = written(q.withColumn("first", F.min("query_id").over(Window.partitionBy("scope", "vector"))), "asked")
+    asked = q.where("query_id = first").drop("first")
     count, size = bands_needed(threshold, bits, miss), F.size("vector").alias("width")
-    if count > most_bands:
-        pairs = _meet(asked.select("query_id", "scope", size), stored.select("id", "scope", size), ["scope", "width"], direct)
+    sides = [asked.select("query_id", "scope", size, "vector"), stored.select("id", "scope", size, "vector")]
+    large = stored.groupBy("scope").count().where(F.col("count") > direct).select("scope")
+    if count > most_bands or large.isEmpty():
+        pairs = _meet(*(d.drop("vector") for d in sides), ["scope", "width"], direct)
     else:
-        large = stored.groupBy("scope").count().where(F.col("count") > direct).select("scope")
-        own = [d.join(large, "scope", "left_anti").select(k, "scope", size) for d, k in ((asked, "query_id"), (stored, "id"))]
-        banded = [d.join(large, "scope", "left_semi").select(k, "scope", size, F.explode(band_keys(F.col("vector"), bits, count)).alias("band")) for d, k in ((asked, "query_id"), (stored, "id"))]
-        pairs = _meet(*own, ["scope", "width"], direct).unionByName(_meet(*banded, ["scope", "width", "band"], 10 * direct).distinct())
+        whole = [d.join(large, "scope", "left_anti").drop("vector") for d in sides]
+        banded = [d.join(large, "scope", "left_semi").withColumn("band", F.explode(band_keys(F.col("vector"), bits, count))).drop("vector") for d in sides]
+        pairs = _meet(*whole, ["scope", "width"], direct).unionByName(_meet(*banded, ["scope", "width", "band"], 10 * direct).distinct())
     found = pairs.join(asked.select("query_id", "scope", "vector"), "query_id").join(stored.select("id", "ids", F.col("vector").alias("other")), "id")
     found = found.withColumn("similarity", F.round(cosine(F.col("vector"), F.col("other")), 9)).where(F.col("similarity") >= threshold)
     found = found.select("query_id", "similarity", F.explode("ids").alias("id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     best = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= nearest).withColumnRenamed("query_id", "first")
-    same = q.join(asked.select("scope", "vector", F.col("query_id").alias("first")), ["scope", "vector"]).select("query_id", "first")
-    return same.join(best, "first").select("query_id", "id", "similarity", "position")
+    return q.select("query_id", "first").join(best, "first").select("query_id", "id", "similarity", "position")
 
 
 def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.97, now: Column | None = None, valid: str | None = None, **search) -> DataFrame:
