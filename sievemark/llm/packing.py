@@ -11,8 +11,11 @@ partition read again after a loss packs in the same way.  At a partition's end
 the windows that are still open are closed by moving ids from the emptiest to
 the fullest, so at most one window a partition is short.
 
+Where input partitions end decides which documents share a window, as the method is
+online: other partitions give another, equally valid packing.
+
 Defined cases: null and empty texts are one end id; a document longer than a
-window is cut; repeated rows and ids are packed one by one; a null id stays
+window is cut, however long it is; repeated rows and ids are packed one by one; a null id stays
 null; an empty table gives an empty result; other columns aren't read.
 """
 

@@ -33,8 +33,8 @@ unit with very many runs is dealt to several groups, each with the unit's source
 Documents are moved only if a bitmap says they may be needed; it has 16 bits a
 wanted document, up to 128 MB.
 
-Defined cases: null and empty texts have no bytes; matches never cross
-documents; rows with equal id and text are one document, which repeats nothing
+Defined cases: null and empty texts have no bytes; texts longer than ``CHUNK`` are
+read whole, a chunk each; matches never cross documents; rows with equal id and text are one document, which repeats nothing
 of itself by that; rows with one id and different texts are ordered by a hash of
 the text; null ids come first; an empty table gives an empty result; columns
 besides id and text are not read.

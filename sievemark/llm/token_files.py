@@ -17,8 +17,8 @@ partitions and settings, and a repeated task leaves the same file.  The driver
 removes what failed tasks left and writes a manifest of one line a file.
 
 Defined cases: null and empty texts are one end id; rows with equal ids stand
-side by side, ordered by a hash of the text and the text; null ids come first; an empty table gives an
-empty manifest and an empty result; other columns aren't read.
+side by side, ordered by a hash of the text and the text; null ids come first; very long texts
+are encoded whole; an empty table gives an empty manifest and an empty result; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Defined cases: null html is an empty payload; a null url is left out of the
 header, control characters in a url are percent-encoded; of repeated rows with
 the smallest id one is response, the others revisit it; rows with a null id come
 first and revisit like any other, the smallest non-null id being the response;
-an empty table gives an empty manifest and result; other columns aren't read.
+an empty table gives an empty manifest and result; very long pages are one record
+each, larger than ``roll_bytes`` if need be; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -746,3 +746,32 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in out.collect()} == keep
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.collect()} == keep
+
+
+def test_groups_of_very_long_texts(spark):
+    """Texts of a megabyte: a near copy links, half of one doesn't, and what is changed at the end counts."""
+    r = random.Random(11)
+    words_ = [f"{r.choice('abcdefgh')}{r.randrange(50_000)}" for _ in range(150_000)]
+    near = [w if i % 60 else "other" for i, w in enumerate(words_)]  # a shingle in twelve changes
+    far = words_[:100_000] + [w[::-1] for w in words_[100_000:]]
+    texts = [" ".join(words_), "short one of six words here", " ".join(near), " ".join(words_[:75_000]), " ".join(far), " ".join(words_), "short one of six words here"]
+    got = ngram_join.similar_groups(frame(spark, texts)).collect()
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == brute_groups(list(enumerate(texts)))
+    assert {x.doc_id: x.component_id for x in got} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 0, 6: 1}
+
+
+def test_repeats_of_very_long_texts(spark):
+    """A text larger than a chunk: passages repeated at its very end and in other texts are found, and nothing else."""
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzäö 0123456789"
+    noise = lambda n: "".join(r.choices(letters, k=n))
+    p, q = noise(5_000), noise(700)
+    head = "".join(r.choices("abcdefgh ", k=99))  # a byte a letter, so a byte too short
+    first, second, third = head + noise(1_500_000) + "<" + p + ">", noise(1_400_000), "[" + p + "]" + noise(400) + "{" + q + "}"
+    texts = [first + second + third, "(" + q + ")", "short", head + "!", "«" + first[-301:-1] + "»"]
+    assert len(texts[0].encode()) > suffix_dedup.CHUNK
+    kept = [first + second + "[]" + third[5_002 : 5_402] + "{" + q + "}", "()", "short", head + "!", "«»"]
+    got = {d.doc_id: d for d in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    for i, (t, k) in enumerate(zip(texts, kept)):
+        n = len(t.encode())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (n, n - len(k.encode()), int(t != k), hashlib.sha256(k.encode()).hexdigest())
