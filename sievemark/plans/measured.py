@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import caches, comments, decisions, retrieve
+from ..operators import caches, comments, decisions, retrieve, vectors
+from ..sources.shared import shared_path
 from .queries import load, query
 
 #: Folder of vocabulary files.
@@ -92,3 +93,12 @@ def older_pool(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     c = c.select("conv_id", "turn", F.col("text").alias("body"), (F.col("role") == "system").alias("bot"), (F.col("role") == "assistant").alias("by_assignee"))
     return comments.human_pool(c).select("conv_id", "turn")
+
+
+@query("""SELECT query_id, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM
+  (SELECT a.vec_id AS query_id, b.vec_id AS key, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b)) WHERE rank <= 10""")
+def indexed_vectors(spark, sf_dir):
+    """All vectors as questions to an index of all vectors."""
+    path, e = shared_path(spark, "vectors"), load(spark, sf_dir, "embeddings")
+    vectors.build(e, path)
+    return vectors.ask(spark, path, e, 10, "vec_id", "embedding")

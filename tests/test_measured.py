@@ -138,3 +138,53 @@ def test_query_windows_are_those_of_whole_texts(spark):
         for n, (a, b) in enumerate(tokens.cuts(VOCABULARY, r.text or "", f"{r.lang or ''}\nReference: ", 128, 24, 0)):
             want[r.doc_id, n] = (a, b, hashlib.sha256((r.text or "")[a:b].encode()).hexdigest())
     assert got == want and len(want) > 300
+
+
+def clustered(n=900, width=16, seed=9):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(25)]
+    rows = [(i, blurred(rng, centres[i % 25 if i % 3 else 0], 0.02)) for i in range(n)]
+    return rows + [(n + i, rows[0][1]) for i in range(40)]  # a third near one centre, and copies
+
+
+def plain_nearest(asked, rows, k):
+    out = set()
+    for q, v in asked:
+        best = sorted((-round(math.fsum(a * b for a, b in zip(v, w)), 9), i) for i, w in rows)[:k]
+        out |= {(q, i, n) for n, (_, i) in enumerate(best, 1)}
+    return out
+
+
+def test_vector_index_is_exact_and_reads_few_lists(spark, tmp_path):
+    from sievemark.operators import vectors as V
+
+    rows, path = clustered(), f"file://{tmp_path}/v"
+    odd = [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [math.nan] * 16), (5004, [1.0]), (None, [1.0] * 16)]
+    d = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>")
+    V.build(d, path, rows=100)
+    asked = rows[::30] + odd[:5]
+    q = spark.createDataFrame(asked, "query_id bigint, q array<double>")
+    got = V.ask(spark, path, q, 7).collect()
+    assert {(r.query_id, r.key, r["rank"]) for r in got} == plain_nearest(rows[::30], rows, 7)
+    centres = spark.read.parquet(f"{path}/centres").collect()
+    c, radius, n = ([r[x] for r in centres] for x in ("centre", "radius", "n"))
+    assert sum(n) == len(rows) and len(n) == math.isqrt(len(rows))
+    few = 0
+    for _, v in rows[::30]:
+        floor = sorted((sum(a * b for a, b in zip(v, w)) for _, w in rows), reverse=True)[6]
+        few += sum(m for x, r, m in zip(c, radius, n) if sum(a * b for a, b in zip(v, x)) + math.dist(v, [0] * 16) * r >= floor)
+    assert few < 0.6 * len(rows) * len(rows[::30])  # vectors in lists that reach the floor
+
+
+def test_vector_index_of_few_and_no_vectors(spark, tmp_path):
+    from sievemark.operators import vectors as V
+
+    path = f"file://{tmp_path}/v"
+    with pytest.raises(ValueError):
+        V.ask(spark, path, spark.createDataFrame([(1, [1.0])], "query_id bigint, q array<double>"), 3)
+    empty = spark.createDataFrame([], "vec_id bigint, embedding array<double>")
+    V.build(empty, path)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id bigint, q array<double>")
+    assert V.ask(spark, path, q, 3).collect() == []
+    V.build(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id bigint, embedding array<double>"), path)  # the next version
+    assert [(r.query_id, r.key, r.score, r["rank"]) for r in V.ask(spark, path, q, 3).orderBy("query_id", "rank").collect()] == [(1, 1, 1.0, 1), (1, 2, 1.0, 2), (2, 1, 0.0, 1), (2, 2, 0.0, 2)]

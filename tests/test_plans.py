@@ -15,7 +15,7 @@ def plan(df) -> str:
 
 
 #: Cuts and chains depend on what came before, tokens on a vocabulary's file, bands on products of matrices, so these run on Arrow batches.
-ARROW = {"document_pieces", "document_items", "audit_chain", "audit_verify", "audit_report", "rule_table_match", "token_windows", "token_budgets", "semantic_lookup"}
+ARROW = {"document_pieces", "document_items", "audit_chain", "audit_verify", "audit_report", "rule_table_match", "token_windows", "token_budgets", "semantic_lookup", "indexed_vectors"}
 #: Joins with one-row tables, and blocks of queries against all vectors.
 LOOPS = {"dense_topk", "dual_score", "selftest", "chain_rank", "cache_fresh", "cache_sources"}
 
