@@ -97,8 +97,7 @@ def similar(requests: DataFrame, entries: DataFrame, threshold: float, nearest:
     ids = numbered(ids, Window.partitionBy("scope", "vector").orderBy("id"), lambda n: n <= nearest)
     stored = written(ids.groupBy("scope", "vector").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "stored")  # at most ``nearest`` ids
     q = requests.select("query_id", "scope", v.alias("vector")).where(usable_vector(F.col("vector")))
-    q = written(q.withColumn("first", F.min("query_id").over(Window.partitionBy("scope", "vector"))), "asked")
-    asked = q.where("query_id = first").drop("first")
+    asked = written(q.groupBy("scope", "vector").agg(F.min("query_id").alias("query_id")), "asked")
     count, size = bands_needed(threshold, bits, miss), F.size("vector").alias("width")
     sides = [asked.select("query_id", "scope", size, "vector"), stored.select("id", "scope", size, "vector")]
     large = stored.groupBy("scope").count().where(F.col("count") > direct).select("scope")
@@ -113,7 +112,8 @@ def similar(requests: DataFrame, entries: DataFrame, threshold: float, nearest:
     found = found.select("query_id", "similarity", F.explode("ids").alias("id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     best = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= nearest).withColumnRenamed("query_id", "first")
-    return q.select("query_id", "first").join(best, "first").select("query_id", "id", "similarity", "position")
+    same = q.join(asked.withColumnRenamed("query_id", "first"), ["scope", "vector"]).select("query_id", "first")
+    return same.join(best, "first").select("query_id", "id", "similarity", "position")
 
 
 def lookup(requests: DataFrame, entries: DataFrame, threshold: float = 0.97, now: Column | None = None, valid: str | None = None, **search) -> DataFrame:
