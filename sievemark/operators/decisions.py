@@ -5,31 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.procedures import clauses, is_supported, lexemes
+from ..functions.procedures import clauses, is_supported, is_told, lexemes, told
 from ..functions.text import let, quote_is_present
 
 
 def draft_reasons(steps: DataFrame, sources: DataFrame) -> DataFrame:
-    """(draft_id, reason) of each draft's first fault, '' where there is none.
-
-    ``steps(draft_id, pos, source_key, action, quote)``, ``sources(draft_id, source_key,
-    evidence)``.  Faults: a source that wasn't selected, a quote that isn't there or
-    doesn't support the action, an order other than the source's, a skipped step.
+    """(draft_id, reason, source_key, skipped): each draft's first fault, '' and nulls where there is none.
+
+    ``steps(draft_id, pos, source_key, action, quote)`` has a row for each source that a step
+    cites, in the order of ``cite`` where there is such a column; ``sources(draft_id,
+    source_key, evidence)`` are those selected.  Going through the steps, the first of these
+    counts: ``outside``, a source that wasn't selected (or no source); ``changed``, a quote of
+    more than 500 characters or that isn't in the evidence, or an action that quote or
+    evidence don't support; ``reordered``, an action that the source has before one already
+    drafted.  A draft without them that leaves out an action which its source has before a
+    drafted one is ``skipped``, and ``skipped`` lists the clauses left out.  Clauses are equal
+    if their normalised words are, so a repeated clause counts at all its places.  Null
+    evidence supports nothing; of repeated sources the smallest text counts.  Drafts without
+    steps give no row.
     """
-    s = steps.join(sources, ["draft_id", "source_key"], "left")
-    evidence = F.transform(clauses(F.col("evidence")), lambda x: F.array_join(lexemes(x), " "))
-    action = F.transform(clauses(F.col("action")), lambda x: F.array_join(lexemes(x), " "))
-    at = let(action, lambda a: F.filter(F.transform(evidence, lambda x, i: F.when(F.array_contains(a, x), i)), lambda x: x.isNotNull()))
-    bad = (F.length("quote") > 500) | ~quote_is_present(F.col("quote"), F.col("evidence")) | ~is_supported(F.col("action"), F.col("quote")) | ~is_supported(F.col("action"), F.col("evidence"))
-    s = s.withColumn("at", at).withColumn("fault", F.when(F.col("evidence").isNull(), "outside").when(bad, "changed").otherwise(""))
-    g = s.groupBy("draft_id", "source_key").agg(
-        F.min(F.when(F.col("fault") != "", F.struct("pos", "fault"))).alias("first"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at"))), lambda x: x["at"])).alias("order"))
-    sorted_ = F.array_sort(F.array_distinct("order"))
-    whole = F.coalesce(F.size(sorted_) == F.element_at(sorted_, -1) + 1, F.lit(True))
-    g = g.withColumn("flow", F.when(F.col("order") != F.array_sort("order"), "reordered").when(~F.when(F.size("order") == 0, True).otherwise(whole), "skipped").otherwise(""))
-    out = g.groupBy("draft_id").agg(F.min("first").alias("first"), F.max("flow").alias("flow"))
-    return out.select("draft_id", F.coalesce(F.col("first.fault"), F.col("flow")).alias("reason"))
+    key = ["draft_id", "source_key"]
+    known = sources.groupBy(*key).agg(F.coalesce(F.min("evidence"), F.lit("")).alias("evidence")).withColumn("told", told(F.col("evidence")))
+    s = steps.select(*key, "pos", (F.col("cite") if "cite" in steps.columns else F.lit(0)).alias("cite"), "action", "quote").join(known, key, "left")
+    s = s.withColumn("doing", told(F.col("action"))).withColumn("quoted", told(F.col("quote")))
+    sound = (F.length("quote") <= 500) & quote_is_present(F.col("quote"), F.col("evidence")) & is_told(F.col("doing"), F.col("quoted")) & is_told(F.col("doing"), F.col("told"))
+    s = s.withColumn("fault", F.when(F.col("told").isNull(), "outside").when(F.coalesce(sound, F.lit(False)), "").otherwise("changed"))
+    places = F.filter(F.transform("told.said", lambda x, i: F.when(F.array_contains("doing.said", x), i)), lambda x: x.isNotNull())
+    s = s.select(*key, "pos", "cite", "fault", F.explode_outer(F.when(F.col("fault") == "", places)).alias("place"))
+    before = F.max("place").over(Window.partitionBy(*key).orderBy("pos").rangeBetween(Window.unboundedPreceding, -1))
+    at = lambda order, name: F.struct("pos", F.lit(order).alias("order"), "cite", "source_key", name.alias("reason"))
+    s = s.withColumn("fault", F.when(F.col("fault") != "", at(0, F.col("fault"))).when(F.col("place") < before, at(1, F.lit("reordered"))))
+    used = s.groupBy(*key).agg(F.min("fault").alias("fault"), F.collect_set("place").alias("used"), F.min(F.struct("pos", "cite")).alias("since"))
+    evidence = sources.groupBy(*key).agg(F.min("evidence").alias("evidence"))
+    left_out = F.filter(F.transform(clauses(F.col("evidence")), lambda x, i: F.when((i < F.array_max("used")) & ~F.array_contains("used", i), x)), lambda x: x.isNotNull())
+    used = used.join(evidence, key, "left").withColumn("skipped", left_out)
+    gap = F.min(F.when(F.size("skipped") > 0, F.struct("since", "source_key", "skipped")))
+    out = used.groupBy("draft_id").agg(F.min("fault").alias("fault"), gap.alias("gap"))
+    sole = F.when(F.col("fault").isNull(), F.col("gap"))
+    return out.select("draft_id", F.coalesce(F.col("fault.reason"), F.when(F.col("gap").isNotNull(), "skipped"), F.lit("")).alias("reason"),
+                      F.coalesce(F.col("fault.source_key"), sole["source_key"]).alias("source_key"), sole["skipped"].alias("skipped"))
 
 
 def agreement(a: Column, b: Column, same_source: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..functions.text import epoch, quote_is_present
 from ..operators import caches, comments, decisions, retrieve, vectors
 from ..sources.shared import shared_path
 from .queries import load, query
@@ -87,6 +88,63 @@ def draft_agreement(spark, sf_dir):
     return g.select("o_orderkey", decisions.agreement(F.col("a"), F.col("b"), F.col("same")).alias("agreement"), decisions.next_stage(F.col("n"), status, F.col("o_orderpriority") == "1-URGENT").alias("stage"))
 
 
+#: Sentences of three words or more of a conversation's turns, in small ASCII letters and digits.
+SENTENCES = """x AS (SELECT conv_id, turn, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[.!?\\n]+') AS l FROM conversations WHERE text IS NOT NULL)),
+y AS (SELECT conv_id, turn, i, lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g'))) AS s FROM x),
+z AS (SELECT conv_id, s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM y WHERE len(string_split(s, ' ')) >= 3)"""
+NOT_HELD = "['a', 'an', 'the', 'please', 'we', 'have', 'has', 'had', 'was', 'were', 'been']"
+HELD_BACK = "['not', 'no', 'never', 'without', 'before', 'after', 'if', 'unless', 'until', 'only', 'except']"
+
+
+@query(rf"""WITH {SENTENCES},
+c AS (SELECT *, list_transform(raw, lambda p: array_to_string(list_filter(string_split(p, ' '), lambda w: NOT list_contains({NOT_HELD}, w)), ' ')) AS said,
+  list_sort(list_distinct(list_filter(string_split(s, ' '), lambda w: list_contains({HELD_BACK}, w)))) AS held FROM (SELECT *, list_filter(string_split(regexp_replace(concat('check ', s), ' (and )?then ', chr(10), 'g'), chr(10)), lambda p: p <> '') AS raw FROM z)),
+e AS (SELECT conv_id, flatten(list(said ORDER BY pos)) AS every, flatten(list(raw ORDER BY pos)) AS text, list_sort(list_distinct(flatten(list(held)))) AS holds, sum(length(s) + 6) + 2 * (count(*) - 1) AS size FROM c GROUP BY 1),
+d AS (SELECT conv_id * 4 + k AS draft_id, k, c.*, CASE WHEN k = 2 THEN -pos ELSE pos END AS place FROM c, range(4) r(k) WHERE k <> 1 OR pos <> 2),
+p AS (SELECT *, list_transform(said, lambda q: list_position(every, q)) AS there, list_transform(said, lambda q: list_position(said, q)) AS here, k = 3 AND pos = n AS away FROM d JOIN e USING (conv_id)),
+f AS (SELECT *, CASE WHEN away THEN 'outside' WHEN length(s) + 6 BETWEEN 12 AND 500 AND size <= 12000 AND held = holds AND there = list_sort(there) AND here = list_sort(here) THEN '' ELSE 'changed' END AS fault FROM p),
+a AS (SELECT *, CASE WHEN fault = '' THEN list_filter(range(len(every)), lambda j: list_contains(said, every[j + 1])) END AS spots FROM f),
+g AS (SELECT *, CASE WHEN fault <> '' THEN fault WHEN list_min(spots) < max(list_max(spots)) OVER (PARTITION BY draft_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'reordered' END AS why FROM a),
+h AS (SELECT draft_id, any_value(conv_id) AS conv_id, arg_min(why, place) FILTER (why IS NOT NULL) AS why, arg_min(away, place) FILTER (why IS NOT NULL) AS away, list_distinct(flatten(list(spots) FILTER (spots IS NOT NULL))) AS used, any_value(text) AS text FROM g GROUP BY 1),
+m AS (SELECT *, list_transform(list_filter(range(coalesce(list_max(used), 0)), lambda j: NOT list_contains(used, j)), lambda j: text[j + 1]) AS missing FROM h)
+SELECT draft_id, coalesce(why, CASE WHEN len(missing) > 0 THEN 'skipped' ELSE '' END) AS reason, CASE WHEN why IS NOT NULL THEN conv_id + CASE WHEN away THEN 1 ELSE 0 END WHEN len(missing) > 0 THEN conv_id END AS source_key,
+  CASE WHEN why IS NULL AND len(missing) > 0 THEN array_to_string(missing, '; ') END AS skipped FROM m""")
+def draft_support(spark, sf_dir):
+    """Each conversation as a procedure of its sentences, and four drafts of it: as it is, without the second step, backwards, and with the last step from elsewhere."""
+    c = load(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", r"[.!?\n]+")).alias("i", "x"))
+    c = c.withColumn("s", F.lower(F.trim(F.regexp_replace("x", "[^A-Za-z0-9]+", " ")))).where(F.size(F.split("s", " ")) >= 3)
+    w = Window.partitionBy("conv_id")
+    c = c.select("conv_id", "s", F.row_number().over(w.orderBy("turn", "i")).alias("at"), F.count("*").over(w).alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: F.concat(F.lit("check "), x["s"])), "; ")
+    drafts = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    sources = c.groupBy("conv_id").agg(whole.alias("evidence")).select(F.col("conv_id").alias("source_key"), "evidence", drafts.alias("k")).withColumn("draft_id", F.col("source_key") * 4 + F.col("k"))
+    d = c.withColumn("k", drafts).where((F.col("k") != 1) | (F.col("at") != 2))
+    away = (F.col("k") == 3) & (F.col("at") == F.col("n"))
+    steps = d.select((F.col("conv_id") * 4 + F.col("k")).alias("draft_id"), F.when(F.col("k") == 2, -F.col("at")).otherwise(F.col("at")).alias("pos"), (F.col("conv_id") + away.cast("int")).alias("source_key"),
+                     F.concat(F.lit("checked "), "s").alias("action"), F.concat(F.lit("check "), "s").alias("quote"))
+    return decisions.draft_reasons(steps, sources).withColumn("skipped", F.array_join("skipped", "; "))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), q AS (SELECT doc_id, text, replace(CASE WHEN doc_id % 2 = 1 THEN upper(l[-1]) ELSE l[-1] END, ' ', '  ') AS quote FROM d),
+s AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B]+', ' ', 'g')) AS body, trim(regexp_replace(coalesce(quote, ''), '[\s\x0B]+', ' ', 'g')) AS quote FROM q)
+SELECT doc_id, length(quote) >= 12 AND contains(body, quote) AS present FROM s""")
+def quoted_lines(spark, sf_dir):
+    """Whether the last line of each document, spaced otherwise and every other time in capitals, is a quotation of it."""
+    d, line = load(spark, sf_dir, "documents"), F.element_at(F.split("text", "\n"), -1)
+    quote = F.replace(F.when(F.col("doc_id") % 2 == 1, F.upper(line)).otherwise(line), F.lit(" "), F.lit("  "))
+    return d.select("doc_id", quote_is_present(quote, F.col("text")).alias("present"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN epoch(date_trunc('second', ts)) - 5400 WHEN 2 THEN epoch(date_trunc('day', ts)) ELSE epoch(date_trunc('second', ts)) END AS at FROM events")
+def event_epochs(spark, sf_dir):
+    """Seconds of times written with a zone's letter, with an offset, as a day, and of what can't be read or isn't there."""
+    e, n = load(spark, sf_dir, "events"), F.col("event_id") % 5
+    iso, day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("ts", "yyyy-MM-dd")
+    bad = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("no "), iso))
+    written = F.when(n == 0, bad).when(n == 1, F.concat(iso, F.lit("+01:30"))).when(n == 2, day).otherwise(F.concat(iso, F.lit("Z")))
+    return e.select("event_id", epoch(written).alias("at"))
+
+
 @query("""SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND (length(text) > 40 OR (role = 'assistant' AND length(trim(text)) >= 3))""")
 def older_pool(spark, sf_dir):
     """Turns that the older pool of comments would keep; those of the assistant are the assignee's."""

@@ -269,6 +269,35 @@ def test_draft_reasons(spark):
     assert {r.draft_id: r.reason for r in decisions.draft_reasons(df, src).collect()} == {0: "", 1: "outside", 2: "changed", 3: "reordered", 4: "skipped", 5: "changed"}
 
 
+def test_draft_reasons_name_what_was_left_out(spark):
+    text = "Check the line; reset the port; retry the order; reset the port"
+    other = "Verify the plan then update the plan"
+    src = [(d, "S", text, "x") for d in range(9)] + [(d, "T", other, "x") for d in range(9)] + [(9, "S", None, "x"), (10, "S", text, "x"), (10, "S", "zzz", "x")]
+    steps = [
+        (0, 1, 0, "S", "reset the port", text), (0, 2, 0, "S", "frob the port", text),  # a repeated clause stands at both its places
+        (1, 1, 0, "S", "check the line", text), (1, 1, 1, "S", "Checked the line", text), (1, 1, 2, "T", "verify the plan", other),  # several citations of a step
+        (2, 1, 0, "S", "retry the order", text), (2, 2, 0, "S", "check the line", text), (2, 3, 0, "S", "never retry", text),  # out of order before it is changed
+        (3, 1, 0, "T", "update the plan", other), (3, 2, 0, "S", "retry the order", text),  # both lack something, the one cited first counts
+        (4, 1, 0, "S", "check the line", None), (5, 1, 0, "S", None, text), (6, 1, 0, None, "check the line", text), (7, 1, 0, "S", "check the line", "check the line; " + "x" * 500),
+        (8, 1, 1, "S", "frob", text), (8, 1, 0, "U", "frob", text), (9, 1, 0, "S", "check the line", text), (10, 1, 0, "S", "check the line", text),
+    ]
+    df = spark.createDataFrame(steps, "draft_id int, pos int, cite int, source_key string, action string, quote string").withColumn("evidence", F.lit("clashing")).withColumn("fault", F.lit(1))
+    df = df.unionByName(df.where("draft_id = 1")).repartition(3)
+    s = spark.createDataFrame(src, "draft_id int, source_key string, evidence string, told string")
+    got = {r.draft_id: (r.reason, r.source_key, r.skipped) for r in decisions.draft_reasons(df, s).collect()}
+    assert got == {
+        0: ("changed", "S", None), 1: ("", None, None), 2: ("reordered", "S", None), 3: ("skipped", "T", ["Verify the plan"]), 4: ("changed", "S", None), 5: ("changed", "S", None),
+        6: ("outside", None, None), 7: ("changed", "S", None), 8: ("outside", "U", None), 9: ("changed", "S", None), 10: ("", None, None),
+    }
+    assert decisions.draft_reasons(df.limit(0), s).count() == 0 and {r.reason for r in decisions.draft_reasons(df, s.limit(0)).collect()} == {"outside"}
+
+
+def test_forms_of_verbs(spark):
+    words = [(f, v) for v, forms in P.VERBS.items() for f in forms.split()] + [("Retried", "retry"), ("resett", "resett"), ("", ""), ("re", "re"), ("Re-Triggered", "retrigger"), (None, None)]
+    d = spark.createDataFrame(words, "w string, verb string").select("verb", P.operation(F.col("w")).alias("got"))
+    assert d.where(~F.col("verb").eqNullSafe(F.col("got"))).count() == 0
+
+
 def test_decision_labels(spark):
     a, b = F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"), F.lit("x"))
     none = F.array().cast("array<string>")
